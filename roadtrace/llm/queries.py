@@ -71,8 +71,8 @@ def _op3_sql() -> str:
     def located(kind: str, pattern: str, group: int, floor: int, where: str = "") -> str:
         quoted = pattern.replace("'", "''")
         return f"""
-SELECT rid, '{kind}' AS kind, {sl.KINDS.index(kind) + 1} AS rank, at - len(m) AS s, at AS e, g AS part FROM (
-  SELECT rid, m, g, sum(length(gap) + length(m)) OVER (PARTITION BY rid ORDER BY i) AS at FROM (
+SELECT rid, '{kind}' AS kind, {sl.KINDS.index(kind) + 1} AS rank, pos - len(m) AS s, pos AS e, g AS part FROM (
+  SELECT rid, m, g, sum(length(gap) + length(m)) OVER (PARTITION BY rid ORDER BY i) AS pos FROM (
     SELECT rid, unnest(range(len(ms))) AS i, unnest(ms) AS m, unnest(gs) AS g, unnest(gaps[1:len(ms)]) AS gap FROM (
       SELECT rid, regexp_extract_all(t, '{quoted}') AS ms, regexp_extract_all(t, '{quoted}', {group}) AS gs, regexp_split_to_array(t, '{quoted}') AS gaps
       FROM d WHERE regexp_matches(t, '{quoted}') {where})))
