@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from roadtrace.llm import bpe_codec as bc
 from roadtrace.llm import hilbert_shards as hs
+from roadtrace.llm import langid_pieces as lp
+from roadtrace.llm import quality_llr as ql
 from roadtrace.llm import secret_links as sl
 from roadtrace.llm import url_trie as ut
 
@@ -42,8 +45,35 @@ def op7_url_trie_filter(spark: SparkSession, root: str) -> DataFrame:
     return ut.judge_urls(table(spark, root, "pages"), URL_RULES, keys=["page_id"], url="url", default="allow")
 
 
+def vocabulary(name: str) -> str:
+    """Place of a public tokenizer's file; the package is installed on every node."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op8_pair_index_bpe(spark: SparkSession, root: str) -> DataFrame:
+    docs = table(spark, root, "documents").select("doc_id", "text")
+    coded = bc.encode_texts(docs, vocabulary("byte_bpe_50k.json"), ids="ids", decoded="decoded", keep=["doc_id"])
+    return coded.select("doc_id", (F.octet_length("ids") / F.lit(4)).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op9_ngram_likelihood_ratio(spark: SparkSession, root: str) -> DataFrame:
+    docs = table(spark, root, "documents").select("doc_id", "text")
+    model = ql.fit(docs, table(spark, root, "labels"))
+    return ql.apply(docs, model).drop("text")
+
+
+def op10_piece_language_id(spark: SparkSession, root: str) -> DataFrame:
+    docs = table(spark, root, "documents").select("doc_id", "text", "lang")
+    held = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == F.lit(2), F.lit(False))
+    docs = docs.withColumn("held_out", held)
+    model = lp.fit(docs.filter("NOT held_out"), vocabulary("piece_bpe_32k.model"), order=F.col("doc_id"))
+    return lp.predict(docs, model, keep=["doc_id", "held_out"])
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_hilbert_sharding, op3_credential_linking, op7_url_trie_filter)}
+    return {f.__name__: f for f in (op2_hilbert_sharding, op3_credential_linking, op7_url_trie_filter, op8_pair_index_bpe, op9_ngram_likelihood_ratio, op10_piece_language_id)}
 
 
 _OP7_SQL = """
