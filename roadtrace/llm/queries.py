@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from roadtrace.llm import bpe_codec as bc
+from roadtrace.llm import decontaminate as dc
 from roadtrace.llm import hilbert_shards as hs
 from roadtrace.llm import langid_pieces as lp
 from roadtrace.llm import quality_llr as ql
@@ -38,6 +39,11 @@ def op3_credential_linking(spark: SparkSession, root: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(sl.listed(base), 256).alias("base_sha256"), sl.listed(F.col("spans")).alias("spans"))
 
 
+def op5_fm_index_decontamination(spark: SparkSession, root: str) -> DataFrame:
+    marked = dc.mark(table(spark, root, "documents").select("doc_id", "text"), table(spark, root, "benchmark"))
+    return marked.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), dc.contaminated().alias("contaminated"))
+
+
 URL_RULES = [ut.Rule("com", "/", "allow"), ut.Rule("example.com", "/en/", "block"), ut.Rule("www.example.com", "/en/", "allow"), ut.Rule("net", "/es/", "block"), ut.Rule("net", "/fr/", "block")]
 
 
@@ -73,7 +79,7 @@ def op10_piece_language_id(spark: SparkSession, root: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_hilbert_sharding, op3_credential_linking, op7_url_trie_filter, op8_pair_index_bpe, op9_ngram_likelihood_ratio, op10_piece_language_id)}
+    return {f.__name__: f for f in (op2_hilbert_sharding, op3_credential_linking, op5_fm_index_decontamination, op7_url_trie_filter, op8_pair_index_bpe, op9_ngram_likelihood_ratio, op10_piece_language_id)}
 
 
 _OP7_SQL = """
@@ -133,5 +139,23 @@ FROM d LEFT JOIN joined USING (rid)
 """
 
 
+_OP5_SQL = r"""
+WITH lowered AS (SELECT row_number() OVER () AS rid, doc_id, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+d AS (SELECT rid, doc_id, coalesce(regexp_extract_all(t, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM lowered),
+b AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+win AS (SELECT DISTINCT item, size, array_to_string(w[i:i + size - 1], ' ') AS phrase
+  FROM (SELECT item, w, least(13, len(w)) AS size, unnest(range(1, len(w) - least(13, len(w)) + 2)) AS i FROM b WHERE len(w) > 0)),
+sizes AS (SELECT DISTINCT size FROM win),
+occ AS (SELECT rid, i, size, item FROM (
+    SELECT rid, i, size, array_to_string(w[i:i + size - 1], ' ') AS phrase
+    FROM (SELECT rid, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM d, sizes WHERE len(w) >= size)) JOIN win USING (size, phrase)),
+hit AS (SELECT rid, count(DISTINCT p) AS n_hit FROM (SELECT rid, unnest(range(i, i + size)) AS p FROM (SELECT DISTINCT rid, i, size FROM occ)) GROUP BY rid),
+it AS (SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT rid, item FROM occ WHERE item IS NOT NULL) GROUP BY rid)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN hit USING (rid) LEFT JOIN it USING (rid)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_credential_linking": _op3_sql(), "op7_url_trie_filter": _OP7_SQL}
+    return {"op3_credential_linking": _op3_sql(), "op5_fm_index_decontamination": _OP5_SQL, "op7_url_trie_filter": _OP7_SQL}

@@ -149,6 +149,12 @@ def repeated(keys: np.ndarray) -> np.ndarray:
     return twice[np.minimum(at, len(twice) - 1)] == keys
 
 
+def ranges(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """The integers of all half-open ranges, one after another."""
+    bounds = sums(hi - lo)
+    return np.repeat(lo - bounds[:-1], hi - lo) + np.arange(bounds[-1])
+
+
 def gather(values: np.ndarray, offsets: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Concatenation of the slices ``offsets[r]:offsets[r+1]`` of ``values`` for each of ``rows``, and n+1 bounds."""
     starts = offsets[rows]
