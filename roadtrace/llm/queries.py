@@ -11,6 +11,7 @@ from roadtrace.llm import bpe_codec as bc
 from roadtrace.llm import decontaminate as dc
 from roadtrace.llm import hilbert_shards as hs
 from roadtrace.llm import langid_pieces as lp
+from roadtrace.llm import partenum_join as pj
 from roadtrace.llm import quality_llr as ql
 from roadtrace.llm import secret_links as sl
 from roadtrace.llm import url_trie as ut
@@ -44,6 +45,10 @@ def op5_fm_index_decontamination(spark: SparkSession, root: str) -> DataFrame:
     return marked.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), dc.contaminated().alias("contaminated"))
 
 
+def op6_partenum_jaccard_join(spark: SparkSession, root: str) -> DataFrame:
+    return pj.classes(table(spark, root, "documents").select("doc_id", "text"))
+
+
 URL_RULES = [ut.Rule("com", "/", "allow"), ut.Rule("example.com", "/en/", "block"), ut.Rule("www.example.com", "/en/", "allow"), ut.Rule("net", "/es/", "block"), ut.Rule("net", "/fr/", "block")]
 
 
@@ -79,7 +84,7 @@ def op10_piece_language_id(spark: SparkSession, root: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_hilbert_sharding, op3_credential_linking, op5_fm_index_decontamination, op7_url_trie_filter, op8_pair_index_bpe, op9_ngram_likelihood_ratio, op10_piece_language_id)}
+    return {f.__name__: f for f in (op2_hilbert_sharding, op3_credential_linking, op5_fm_index_decontamination, op6_partenum_jaccard_join, op7_url_trie_filter, op8_pair_index_bpe, op9_ngram_likelihood_ratio, op10_piece_language_id)}
 
 
 _OP7_SQL = """
@@ -157,5 +162,19 @@ FROM d LEFT JOIN hit USING (rid) LEFT JOIN it USING (rid)
 """
 
 
+_OP6_SQL = r"""
+WITH RECURSIVE lowered AS (SELECT row_number() OVER () AS rid, doc_id, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+d AS (SELECT rid, doc_id, coalesce(regexp_extract_all(t, '[^\x20\x09-\x0D]+'), []) AS w FROM lowered),
+s AS (SELECT DISTINCT rid, array_to_string(w[i:i + 4], ' ') AS sh FROM (SELECT rid, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT rid, count(*) AS n FROM s GROUP BY rid),
+common AS (SELECT a.rid AS a, b.rid AS b, count(*) AS c FROM s a JOIN s b ON a.sh = b.sh AND a.rid <> b.rid GROUP BY 1, 2),
+link AS (SELECT a, b FROM common JOIN n x ON x.rid = a JOIN n y ON y.rid = b WHERE 100 * c >= 75 * (x.n + y.n - c)),
+reach AS (SELECT rid AS root, rid AS node FROM n UNION SELECT root, b FROM reach JOIN link ON link.a = reach.node),
+least AS (SELECT root, min(doc_id) AS component_id FROM reach JOIN d ON d.rid = node GROUP BY root)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, CASE WHEN n IS NULL THEN doc_id ELSE component_id END AS component_id
+FROM d LEFT JOIN n USING (rid) LEFT JOIN least ON root = rid
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_credential_linking": _op3_sql(), "op5_fm_index_decontamination": _OP5_SQL, "op7_url_trie_filter": _OP7_SQL}
+    return {"op3_credential_linking": _op3_sql(), "op5_fm_index_decontamination": _OP5_SQL, "op6_partenum_jaccard_join": _OP6_SQL, "op7_url_trie_filter": _OP7_SQL}
