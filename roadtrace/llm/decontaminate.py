@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from roadtrace.llm import textkit as tk
+from roadtrace.llm.suffixes import suffix_array
 
 WINDOW = 13
 SHARD = 4 << 20
@@ -76,35 +77,11 @@ def phrases(rows: list[tuple[str | None, str | None]], window: int = WINDOW) ->
     return Phrases(vocabulary, [np.array(k, np.int64) for k in by], [[tuple(found[p]) for p in k] for k in by])
 
 
-def suffix_array(seq: np.ndarray) -> np.ndarray:
-    """Order of all suffixes, by doubling; only suffixes whose rank is still shared are sorted again."""
-    n = len(seq)
-    order = np.argsort(seq, kind="stable")
-    new = np.concatenate([[True], seq[order][1:] != seq[order][:-1]])
-    rank = np.empty(n, np.int64)
-    rank[order] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
-    step = 1
-    while True:
-        # Places of the order that share their rank with a neighbour.
-        shared = ~new | np.concatenate([~new[1:], [False]])
-        places = np.flatnonzero(shared)
-        if not len(places):
-            return order
-        at = order[places]
-        second = np.where(at + step < n, rank[np.minimum(at + step, n - 1)] + 1, 0)
-        moved = np.lexsort((second, rank[at]))
-        at, second, first = at[moved], second[moved], rank[at][moved]
-        order[places] = at
-        new[places] = np.concatenate([[True], (first[1:] != first[:-1]) | (second[1:] != second[:-1])])
-        rank[at] = np.maximum.accumulate(np.where(new[places], places, 0))
-        step *= 2
-
-
 class FMIndex:
     """Count and locate over a sequence of codes 1..sigma-1 that ends in a single 0."""
 
     def __init__(self, seq: np.ndarray, sample: int = SAMPLE):
-        order = suffix_array(seq)
+        order, _ = suffix_array(seq)
         last = seq[order - 1]
         sigma = int(seq.max()) + 1
         self.first = tk.sums(np.bincount(seq, minlength=sigma))

@@ -14,6 +14,7 @@ from roadtrace.llm import langid_pieces as lp
 from roadtrace.llm import partenum_join as pj
 from roadtrace.llm import quality_llr as ql
 from roadtrace.llm import secret_links as sl
+from roadtrace.llm import suffix_dedup as sd
 from roadtrace.llm import url_trie as ut
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,6 +24,11 @@ def table(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{root}/{name}.parquet")
 
 
+def op1_suffix_array_dedup(spark: SparkSession, root: str) -> DataFrame:
+    cut = sd.remove_repeats(table(spark, root, "documents").select("doc_id", "text"))
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op2_hilbert_sharding(spark: SparkSession, root: str) -> DataFrame:
     """All documents in 8 shards along the curve over language, source and size; law ``rows``."""
     docs = table(spark, root, "documents")
@@ -84,7 +90,7 @@ def op10_piece_language_id(spark: SparkSession, root: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_hilbert_sharding, op3_credential_linking, op5_fm_index_decontamination, op6_partenum_jaccard_join, op7_url_trie_filter, op8_pair_index_bpe, op9_ngram_likelihood_ratio, op10_piece_language_id)}
+    return {f.__name__: f for f in (op1_suffix_array_dedup, op2_hilbert_sharding, op3_credential_linking, op5_fm_index_decontamination, op6_partenum_jaccard_join, op7_url_trie_filter, op8_pair_index_bpe, op9_ngram_likelihood_ratio, op10_piece_language_id)}
 
 
 _OP7_SQL = """
