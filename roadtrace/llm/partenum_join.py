@@ -29,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from roadtrace.llm import textkit as tk
@@ -375,3 +375,21 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", keep
     spread = rows.withColumn("__key", F.when(F.col("node") == 0, F.xxhash64(id_col)).otherwise(F.col("node")))
     joined = spread.join(by_node.withColumnRenamed("node", "__key"), "__key", "left")
     return joined.select(*kept, "n_shingles", F.when(F.col("node") == 0, F.col(id_col)).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def representatives(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that stand for their class: one row with its smallest id; rows of the empty set all stay.
+
+    The choice is made on narrow rows; the texts then meet it by id and set, so a hot class is spread over its ids.
+    """
+    columns = docs.columns
+    labels = components(set_links(docs, text=text))
+    rows = set_nodes(docs, text=text, keep=columns).drop("n_shingles")
+    own = F.coalesce(F.col(id_col), F.lit((1 << 63) - 1))
+    least = set_nodes(docs, text=text, keep=[id_col]).filter("node <> 0").groupBy("node").agg(F.min(own).alias("least"))
+    named = least.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    chosen = named.groupBy("label").agg(F.min(F.struct("least", "node")).alias("c")).select(F.col("c.least").alias("__least"), F.col("c.node").alias("node"))
+    met = rows.withColumn("__least", own).join(chosen.withColumn("__chosen", F.lit(1)), ["__least", "node"], "left").filter("node = 0 OR __chosen = 1")
+    # Rows that repeat an id with the same set: the first text stays.
+    place = F.row_number().over(Window.partitionBy("__least", "node").orderBy(text))
+    return met.withColumn("__place", place).filter("node = 0 OR __place = 1").select(*columns)

@@ -11,6 +11,7 @@ from roadtrace.llm import bpe_codec as bc
 from roadtrace.llm import decontaminate as dc
 from roadtrace.llm import hilbert_shards as hs
 from roadtrace.llm import langid_pieces as lp
+from roadtrace.llm import license_scan as ls
 from roadtrace.llm import partenum_join as pj
 from roadtrace.llm import quality_llr as ql
 from roadtrace.llm import secret_links as sl
@@ -46,6 +47,12 @@ def op3_credential_linking(spark: SparkSession, root: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(sl.listed(base), 256).alias("base_sha256"), sl.listed(F.col("spans")).alias("spans"))
 
 
+def op4_license_inheritance(spark: SparkSession, root: str) -> DataFrame:
+    """Documents as files of a tree source / language / id."""
+    docs = table(spark, root, "documents").select("doc_id", F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string")).alias("path"), "text")
+    return ls.scan_licenses(docs, id_col="doc_id", path="path")
+
+
 def op5_fm_index_decontamination(spark: SparkSession, root: str) -> DataFrame:
     marked = dc.mark(table(spark, root, "documents").select("doc_id", "text"), table(spark, root, "benchmark"))
     return marked.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), dc.contaminated().alias("contaminated"))
@@ -90,7 +97,7 @@ def op10_piece_language_id(spark: SparkSession, root: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_suffix_array_dedup, op2_hilbert_sharding, op3_credential_linking, op5_fm_index_decontamination, op6_partenum_jaccard_join, op7_url_trie_filter, op8_pair_index_bpe, op9_ngram_likelihood_ratio, op10_piece_language_id)}
+    return {f.__name__: f for f in (op1_suffix_array_dedup, op2_hilbert_sharding, op3_credential_linking, op4_license_inheritance, op5_fm_index_decontamination, op6_partenum_jaccard_join, op7_url_trie_filter, op8_pair_index_bpe, op9_ngram_likelihood_ratio, op10_piece_language_id)}
 
 
 _OP7_SQL = """
@@ -183,4 +190,4 @@ FROM d LEFT JOIN n USING (rid) LEFT JOIN least ON root = rid
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_credential_linking": _op3_sql(), "op5_fm_index_decontamination": _OP5_SQL, "op6_partenum_jaccard_join": _OP6_SQL, "op7_url_trie_filter": _OP7_SQL}
+    return {"op3_credential_linking": _op3_sql(), "op4_license_inheritance": ls.oracle("concat_ws('/', source, lang, CAST(doc_id AS VARCHAR))"), "op5_fm_index_decontamination": _OP5_SQL, "op6_partenum_jaccard_join": _OP6_SQL, "op7_url_trie_filter": _OP7_SQL}

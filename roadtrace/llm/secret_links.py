@@ -105,8 +105,11 @@ def scan_secrets(df: DataFrame, *, text: str = "text", reach: int = REACH) -> Da
     return joined.select(*rest, F.coalesce("spans", F.expr("CAST(array() AS array<struct<start:bigint,rank:bigint,kind:string,end:bigint>>)")).alias("spans"))
 
 
-def redact(df: DataFrame, *, text: str = "text", reach: int = REACH) -> DataFrame:
-    """``df`` with every span of ``text`` replaced by ``[kind]``; overlapping spans become one, named by the first."""
+def redact(df: DataFrame, *, text: str = "text", length: str | None = None, reach: int = REACH) -> DataFrame:
+    """``df`` with every span of ``text`` replaced by ``[kind]``; overlapping spans become one, named by the first.
+
+    ``length`` names a column that holds the text's length; it follows the changed texts.
+    """
     body = F.coalesce(F.col(text), F.lit(""))
     hit = reduce(Column.__or__, (body.rlike(p) for p, _, _ in BASE.values()))
     texts = df.select(body.alias("text")).filter(hit).select(F.sha2("text", 256).alias("key"), "text")
@@ -122,4 +125,8 @@ def redact(df: DataFrame, *, text: str = "text", reach: int = REACH) -> DataFram
     pieces = F.transform("__cuts", lambda c: F.concat(F.substring(F.col(text), (c["from"] + 1).cast("int"), (c["start"] - c["from"]).cast("int")), F.lit("["), c["kind"], F.lit("]")))
     tail = F.substring(F.col(text), (F.element_at("__cuts", -1)["end"] + 1).cast("int"), F.length(text))
     cleaned = F.when(F.col("__cuts").isNull(), F.col(text)).otherwise(F.concat(F.array_join(pieces, ""), tail))
-    return joined.select(*[cleaned.alias(c) if c == text else F.col(c) for c in df.columns])
+    joined = joined.withColumn("__cleaned", cleaned)
+    changed = {text: F.col("__cleaned")}
+    if length:
+        changed[length] = F.when(F.col("__cuts").isNull(), F.col(length)).otherwise(F.length("__cleaned").cast(df.schema[length].dataType))
+    return joined.select(*(changed[c].alias(c) if c in changed else F.col(c) for c in df.columns))
