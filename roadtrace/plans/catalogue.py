@@ -2,43 +2,24 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from roadtrace.sources.tables import table
+from roadtrace.plans.registry import ORACLES, QUERIES, Query
 
-Query = Callable[[SparkSession, str], DataFrame]
-_QUERIES: dict[str, Query] = {}
-_ORACLES: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
-    """Registers a query under ``name`` with its oracle."""
-
-    def register(function: Query) -> Query:
-        _QUERIES[name] = function
-        if sql is not None:
-            _ORACLES[name] = sql
-        return function
-
-    return register
-
-
-@query("kind_counts", "SELECT event_type AS kind, count(*) AS n FROM events GROUP BY 1")
-def kind_counts(spark: SparkSession, root: str) -> DataFrame:
-    """AGG01: rows by kind."""
-    return table(spark, root, "events").groupBy(F.col("event_type").alias("kind")).agg(F.count("*").alias("n"))
+for _name in ("ordered", "aggregates", "spatial", "graph", "text"):
+    import_module(f"roadtrace.plans.{_name}")
 
 
 def flagship(spark: SparkSession, root: str) -> DataFrame:
-    return kind_counts(spark, root)
+    """Per drive: turns, rows, gaps."""
+    return QUERIES["drive_gap_summary"](spark, root)
 
 
 def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_ORACLES)
+    return dict(ORACLES)
