@@ -2,8 +2,8 @@
 
 Alternating star contraction: each node passes its smallest neighbour to its larger neighbours, then the smaller
 neighbours of a node are tied to the smallest of them. Every round works on tables of at most one row a link, is a
-group and a join on the node (which adaptive execution splits where a hub is hot), and ends in checkpoint(), so
-a lost executor costs at most a round.
+group and a join on the node, and ends in checkpoint(), so a lost executor costs at most a round. A hub may have a
+third of all links: its minimum is combined before the shuffle, and the links that learn it are dealt to ``SALTS`` tasks.
 """
 
 from __future__ import annotations
@@ -13,6 +13,14 @@ from pyspark.sql import functions as F
 
 from roadtrace.llm import textkit as tk
 
+SALTS = 16
+
+
+def _joined(rows: DataFrame, least: DataFrame) -> DataFrame:
+    """``rows`` (u, v) with the m of their u."""
+    spread = least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int")).join(spread, ["u", "salt"]).drop("salt")
+
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, label) of every node with a link to another; label is the component's smallest node."""
@@ -23,10 +31,10 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         # Large star: u's larger neighbours get u's smallest neighbour.
         both = edges.union(edges.select("v", "u"))
         least = both.groupBy("u").agg(F.min("v").alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.least("m", "u").alias("v"))
+        large = _joined(both.filter("v > u"), least).select(F.col("v").alias("u"), F.least("m", "u").alias("v"))
         # Small star: u's smaller neighbours and u get the smallest of them.
         smaller = large.groupBy("u").agg(F.min("v").alias("m"))
-        edges = large.join(smaller, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*").filter("u <> v").distinct().checkpoint()
+        edges = _joined(large, smaller).select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*").filter("u <> v").distinct().checkpoint()
         new = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if new == state:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("label")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
