@@ -43,7 +43,7 @@ SMALL = 16
 #: Sets compared at once.
 BLOCK = 2000
 #: Signatures a task holds before it hands them on.
-FLUSH = 1 << 21
+FLUSH = 1 << 20
 #: Bytes of text per bucket of signatures.
 BUCKET_BYTES = 8 << 20
 
@@ -354,7 +354,8 @@ def set_links(docs: DataFrame, *, text: str = "text") -> DataFrame:
     placed = placed.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     # One text for each tied set: rows with the same set are the same set whichever text stands for it.
     noded = set_nodes(docs, text=text, keep=[text]).select("node", F.col(text).alias("text"))
-    texts = noded.join(placed.select("node"), "node", "left_semi").groupBy("node").agg(F.min("text").alias("text"))
+    # Always a merge join: the tied sets grow with the input, and texts take the same way at every size.
+    texts = noded.join(placed.select("node").hint("merge"), "node", "left_semi").groupBy("node").agg(F.min("text").alias("text"))
     sets = _shingled(texts, "text").join(placed, "node")
     # Block i meets itself and every other block once: as side 0 of (i, j) for j >= i, as side 1 of (j, i) for j < i.
     meet = F.explode(F.expr("transform(sequence(0, blocks - 1), j -> struct(least(block, j) AS i, greatest(block, j) AS j, IF(j < block, 1, 0) AS side))"))
