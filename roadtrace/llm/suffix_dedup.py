@@ -15,7 +15,7 @@ shards take part. *Document shards* hold whole documents; *string shards* hold a
    start in a smaller document.
 4. Removal. A document shard turns the bits into spans and cuts them.
 
-Shared anchors and bits travel as packed arrays as well. Text is shuffled twice, whole documents each time. Positions
+Shared anchors and bits travel as packed arrays as well. Texts are shuffled once, as whole documents. Positions
 are recomputed, never stored, and every step is a Spark stage that can be run again.
 
 Defined cases: null text counts as empty; a null id counts as larger than all others; rows that share an id don't
@@ -40,10 +40,11 @@ LENGTH = 50
 GRAM = 20
 WINDOWS = LENGTH - GRAM + 1
 CONTEXT = 2 * LENGTH - GRAM
-#: Bytes of text per shard of either kind, roughly.
+#: Bytes of text per document shard, and of all text per string shard, roughly.
 SHARD_BYTES = 4 << 20
+PIECE_BYTES = 1 << 20
 #: Bytes of contexts per suffix array.
-BLOCK = 8 << 20
+BLOCK = 2 << 20
 FLUSH = 1 << 21
 _LAST = np.int64((1 << 63) - 1)
 
@@ -65,11 +66,11 @@ def anchors(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     word = np.ndarray((len(buf) - 7,), "<u8", np.ascontiguousarray(buf).data, 0, (1,)).astype(np.uint64)
     m = len(buf) - GRAM + 1
-    h = word[:m] * np.uint64(0x9E3779B97F4A7C15)
-    h ^= h >> np.uint64(29)
-    h += word[8 : m + 8] * np.uint64(0xD6E8FEB86659FD93)
-    h ^= h >> np.uint64(32)
-    h += word[12 : m + 12] * np.uint64(0xA24BAED4963EE407)
+    h = np.zeros(m, np.uint64)
+    for k in (*range(0, GRAM - 8, 8), GRAM - 8):
+        h += word[k : m + k]
+        h *= np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
     h = tk.mix(h) | np.uint64(1)
     least = _slide(h, WINDOWS, np.minimum)
     # Strings that cross a text's end choose no anchor.
@@ -189,6 +190,14 @@ def _contexts(text: pa.Array, ids: np.ndarray, shared: np.ndarray) -> tuple[dict
     return {"at": at, "number": number, "owner": owner, "hash": hashes[first], "row": row[first], "left": left[first], "right": right[first], "least": least}, buf, offs
 
 
+_ZSTD = pa.Codec("zstd", 1)
+
+
+def _squeezed(rows: np.ndarray) -> bytes:
+    """Contexts, compressed together: those of one passage overlap."""
+    return _ZSTD.compress(np.ascontiguousarray(rows).tobytes(), asbytes=True)
+
+
 def _sent(shards: int):
     """(piece, home, numbers, contexts, sides, least) of one document shard, to each string shard."""
 
@@ -198,7 +207,7 @@ def _sent(shards: int):
         piece = _dealt(found["hash"], shards)
         order = np.argsort(piece, kind="stable")
         home = docs.column("__home")[0].as_py() if docs.num_rows else 0
-        rows = [(p, home, order[lo:hi].astype(np.int32).tobytes(), found["row"][order[lo:hi]].tobytes(), np.stack([found["left"], found["right"]], axis=1)[order[lo:hi]].astype(np.uint8).tobytes(), found["least"][order[lo:hi]].tobytes()) for p, lo, hi in _runs(piece[order])]
+        rows = [(p, home, order[lo:hi].astype(np.int32).tobytes(), _squeezed(found["row"][order[lo:hi]]), np.stack([found["left"], found["right"]], axis=1)[order[lo:hi]].astype(np.uint8).tobytes(), found["least"][order[lo:hi]].tobytes()) for p, lo, hi in _runs(piece[order])]
         columns = list(zip(*rows, strict=True)) or [()] * 6
         return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int32(), *[pa.binary()] * 4), strict=True)], names=["piece", "home", "numbers", "contexts", "sides", "least"])
 
@@ -259,7 +268,7 @@ def _judged(table: pa.Table) -> pa.Table:
     for h, n, c, s, d in zip(*(table.column(k).to_pylist() for k in ("home", "numbers", "contexts", "sides", "least")), strict=True):
         numbers.append(np.frombuffer(n, np.int32))
         homes.append(np.full(len(numbers[-1]), h))
-        rows.append(np.frombuffer(c, np.uint8).reshape(-1, CONTEXT))
+        rows.append(np.frombuffer(_ZSTD.decompress(c, len(numbers[-1]) * CONTEXT, asbytes=True), np.uint8).reshape(-1, CONTEXT))
         sides.append(np.frombuffer(s, np.uint8).reshape(-1, 2).astype(np.int64))
         least.append(np.frombuffer(d, np.int64))
     homes, numbers, rows, sides, least = (np.concatenate(x) for x in (homes, numbers, rows, sides, least))
@@ -338,11 +347,13 @@ def remove_repeats(df: DataFrame, *, id_col: str = "doc_id", text: str = "text",
     total = df.agg(F.sum(F.octet_length(F.col(text).cast("string")))).first()[0] or 0
     shards = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // SHARD_BYTES))
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    pieces = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // PIECE_BYTES))
     docs = df.select(*kept, F.col(id_col).cast("long").alias("__id"), F.pmod(F.xxhash64(id_col, text), F.lit(shards)).cast("int").alias("__home"), body.alias("__text"))
-    shared = _anchored(docs, shards).groupBy("piece").applyInArrow(_shared, "home int, kind int, payload binary")
+    shared = _anchored(docs, pieces).groupBy("piece").applyInArrow(_shared, "home int, kind int, payload binary")
     tk.checkpoint_dir(spark)
     shared = shared.checkpoint()
-    sent = docs.select("__id", "__home", "__text").groupBy("__home").cogroup(shared.groupBy("home")).applyInArrow(_sent(shards), "piece int, home int, numbers binary, contexts binary, sides binary, least binary")
+    # Both passes over the document shards read the same columns, so Spark shuffles the texts once and reads them twice.
+    sent = docs.groupBy("__home").cogroup(shared.groupBy("home")).applyInArrow(_sent(pieces), "piece int, home int, numbers binary, contexts binary, sides binary, least binary")
     bits = sent.groupBy("piece").applyInArrow(_judged, "home int, kind int, payload binary")
     news = shared.unionByName(bits)
     out = T.StructType([*(docs.schema[c] for c in kept), *(T.StructField(n, T.LongType()) for n in ("n_bytes", "n_removed", "n_spans")), T.StructField("kept", T.BinaryType())])
