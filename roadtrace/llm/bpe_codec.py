@@ -3,7 +3,7 @@
 The distinct words of a partition (pieces of the pre-tokenizer's pattern) stand in one symbol array with links to the
 next and previous live symbol. An index maps each mergeable pair to all its positions. Active ranks are taken in
 ascending order from a heap; a rank's merge is applied at all its positions at once, left to right where they overlap,
-and only the pairs on either side of a merged position enter the index again. Word encodings are kept per worker, up to
+and only the pairs on either side of a merged position enter the index again. Word encodings are kept in a task, up to
 ``MAX_KNOWN`` words, and texts are gathered from them.
 
 The vocabulary file (``path``) is a parameter and is read in the tasks from the installed package; special tokens in
@@ -29,10 +29,10 @@ from pyspark.sql import types as T
 
 from roadtrace.llm import textkit as tk
 
-#: Words of which a worker keeps the encodings; then it starts anew.
-MAX_KNOWN = 1 << 20
+#: Words of which a task keeps the encodings; then it starts anew.
+MAX_KNOWN = 1 << 18
 #: Bytes of texts encoded together.
-CHUNK = 4 << 20
+CHUNK = 2 << 20
 _NONE = np.int64(1 << 40)
 
 
@@ -192,6 +192,7 @@ def encode_texts(df: DataFrame, path: str, *, text: str = "text", ids: str = "id
                 if decoded:
                     columns.append(pa.array(own.decode(found, bounds), pa.string()))
                 yield pa.RecordBatch.from_arrays([*batch.slice(lo, hi - lo).columns[: len(kept)], *columns], names=schema.names)
+        own.forget()
 
     return taken.mapInArrow(encode, schema)
 

@@ -32,7 +32,7 @@ from roadtrace.llm import textkit as tk
 from roadtrace.llm.suffixes import suffix_array
 
 WINDOW = 13
-SHARD = 4 << 20
+SHARD = 2 << 20
 BLOCK = 4 << 20
 SAMPLE = 8
 

@@ -33,7 +33,7 @@ from roadtrace.llm import textkit as tk
 MAX_TRAIN = 2000
 MAX_LANGS = 500
 MAX_WORD = 24
-MAX_KNOWN = 1 << 19
+MAX_KNOWN = 1 << 18
 ROUNDS = 2
 FLOOR = 1e-7
 SMOOTH = 0.5

@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import SparkSession
 
 #: Bytes of text that are worked on together; a longer text is a chunk of its own.
-CHUNK = 2 << 20
+CHUNK = 1 << 20
 
 #: Bytes that part words: space and the controls \t \n \v \f \r.
 SPACE = np.zeros(256, bool)
@@ -59,16 +59,22 @@ def _byte_values() -> np.ndarray:
 
 _BASE = 0x9E3779B97F4A7C15
 _POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+#: Powers that a worker keeps; those of longer buffers are made anew.
+_KEPT = 1 << 21
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_POWERS[0]) < n + 1:
-        size = 1 << (n + 1).bit_length()
-        for k, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
-            steps = np.full(size, base, np.uint64)
-            steps[0] = 1
-            _POWERS[k] = np.cumprod(steps)
-    return _POWERS[0], _POWERS[1]
+    if len(_POWERS[0]) > n:
+        return _POWERS[0], _POWERS[1]
+    size = (n // (1 << 18) + 1) << 18
+    made = []
+    for base in (_BASE, pow(_BASE, -1, 1 << 64)):
+        steps = np.full(size, base, np.uint64)
+        steps[0] = 1
+        made.append(np.cumprod(steps))
+    if size <= _KEPT:
+        _POWERS[:] = made
+    return made[0], made[1]
 
 
 def mix(h: np.ndarray) -> np.ndarray:
