@@ -3,20 +3,21 @@
 A byte goes if a string of ``LENGTH`` bytes that covers it also starts in a document with a smaller id. Two kinds of
 shards take part. *Document shards* hold whole documents; *string shards* hold all strings with one anchor.
 
-1. Anchors. In every ``LENGTH``-byte string the ``GRAM``-byte piece with the smallest hash is an anchor, so equal
-   strings have equal anchors. Each document's anchors go to the string shard of their hash as packed arrays, which
-   tells the anchors that two documents share. Only those matter from here on.
-2. Contexts. A shared anchor's context is all the text that a string with it can cover (up to 2 * LENGTH - GRAM bytes).
-   A document shard keeps each distinct context once, with the smallest id that holds it there, so the copies of a hot
-   group cost a shard one context, and sends it to the anchor's string shard.
+1. Anchors. In every ``LENGTH``-byte string the leftmost ``GRAM``-byte piece with the smallest hash is its anchor, so
+   equal strings have equal anchors. A document shard sends the hashes of its anchors to string shards as packed arrays,
+   which tells the anchors that several document shards have. Those, and those that two documents of one shard share, matter
+   from here on.
+2. Contexts. A shared anchor's context is the text of its strings, which follow one another (up to 2 * LENGTH - GRAM
+   bytes). A document shard keeps each distinct context once, with the smallest id that holds it there, so the copies of a
+   hot group cost a shard one context, and sends it to the anchor's string shard.
 3. Suffix arrays. A string shard builds the suffix array of its distinct contexts (Larsson-Sadakane refinement), takes
    common prefixes (Kasai), and so has the smallest id of each of its strings. It works in blocks of ``BLOCK`` bytes;
    the sorted strings of the blocks are merged by binary search. Back go 31 bits a context: which of its strings also
    start in a smaller document.
 4. Removal. A document shard turns the bits into spans and cuts them.
 
-Shared anchors and bits travel as packed arrays as well. Texts are shuffled once, as whole documents. Positions
-are recomputed, never stored, and every step is a Spark stage that can be run again.
+Texts are shuffled once, as whole documents; the three passes over the document shards read the same exchange.
+Positions are recomputed, never stored, and every step is a Spark stage that can be run again.
 
 Defined cases: null text counts as empty; a null id counts as larger than all others; rows that share an id don't
 remove each other's strings; texts under ``LENGTH`` bytes stay; an empty table gives no rows.
@@ -45,7 +46,6 @@ SHARD_BYTES = 4 << 20
 PIECE_BYTES = 1 << 20
 #: Bytes of contexts per suffix array.
 BLOCK = 2 << 20
-FLUSH = 1 << 21
 _LAST = np.int64((1 << 63) - 1)
 
 
@@ -59,11 +59,11 @@ def _slide(values: np.ndarray, width: int, better) -> np.ndarray:
     return better(values[:-rest], values[rest:]) if rest else values
 
 
-def anchors(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Positions and hashes of the anchors of all strings of each text."""
+def anchors(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Position and hash of each anchor, and how many bytes of its strings stand before and from it."""
     n = len(buf) - LENGTH + 1
     if n <= 0:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return (np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
     word = np.ndarray((len(buf) - 7,), "<u8", np.ascontiguousarray(buf).data, 0, (1,)).astype(np.uint64)
     m = len(buf) - GRAM + 1
     h = np.zeros(m, np.uint64)
@@ -77,8 +77,23 @@ def anchors(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     for end in offs[1:-1].tolist():
         least[max(0, end - LENGTH + 1) : end] = 0
     edge = np.zeros(WINDOWS - 1, np.uint64)
-    chosen = np.flatnonzero(_slide(np.concatenate([edge, least, edge]), WINDOWS, np.maximum) == h)
-    return chosen, h[chosen]
+    chosen = _slide(np.concatenate([edge, least, edge]), WINDOWS, np.maximum) == h
+    at = np.flatnonzero(chosen)
+    hashes = h[at]
+    # Each string's anchor: the first chosen place from its start that has its smallest hash.
+    strings = np.flatnonzero(least)
+    owner = (np.cumsum(chosen) - chosen)[strings]
+    wanted = least[strings]
+    wrong = np.flatnonzero(hashes[owner] != wanted)
+    while len(wrong):
+        owner[wrong] += 1
+        wrong = wrong[hashes[owner[wrong]] != wanted[wrong]]
+    if not len(strings):
+        return at[:0], hashes[:0], at[:0], at[:0]
+    first = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
+    own = owner[first]
+    last = np.append(first[1:], len(owner)) - 1
+    return at[own], hashes[own], at[own] - strings[first], strings[last] + LENGTH - at[own]
 
 
 def _ids(column: pa.Array) -> np.ndarray:
@@ -89,58 +104,58 @@ def _dealt(hashes: np.ndarray, shards: int) -> np.ndarray:
     return ((hashes >> np.uint64(40)) * np.uint64(shards) >> np.uint64(24)).astype(np.int64)
 
 
-def _anchored(docs: DataFrame, shards: int) -> DataFrame:
-    """(piece, anchors, owners, ids, shards): the anchors of some documents that belong to string shard ``piece``."""
+def _named(hashes: np.ndarray, shards: int) -> np.ndarray:
+    """An anchor's name: its string shard and 40 more bits of its hash."""
+    return (_dealt(hashes, shards).astype(np.uint64) << np.uint64(40)) | (hashes & _LOW)
 
-    def emit(h: np.ndarray, owner: np.ndarray, ids: np.ndarray, homes: np.ndarray) -> pa.RecordBatch:
-        piece = _dealt(h, shards)
-        order = np.argsort(piece, kind="stable")
-        h, owner, edges = h[order], owner[order], np.searchsorted(piece[order], np.arange(shards + 1))
-        rows = []
-        for p in np.flatnonzero(np.diff(edges)):
-            used, number = np.unique(owner[edges[p] : edges[p + 1]], return_inverse=True)
-            rows.append((int(p), h[edges[p] : edges[p + 1]].tobytes(), number.astype(np.int32).tobytes(), ids[used].tobytes(), homes[used].tobytes()))
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), *[pa.binary()] * 4), strict=True)], names=["piece", "anchors", "owners", "ids", "homes"])
 
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, count, rows = [], 0, 0
+_LOW = np.uint64((1 << 40) - 1)
+
+
+def _anchors_of(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Position, hash, left and right of all anchors of a document shard, then its bytes and text offsets."""
+    buf, offs = tk.strings(_one(table, "__text"))
+    buf, offs = buf[offs[0] : offs[-1]], offs - offs[0]
+    found, lo = [[np.zeros(0, t)] for t in (np.int64, np.uint64, np.int64, np.int64)], 0
+    while lo < len(offs) - 1:
+        hi = max(lo + 1, int(np.searchsorted(offs, offs[lo] + tk.CHUNK, "right")) - 1)
+        for parts, values, shift in zip(found, anchors(buf[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo]), (offs[lo], 0, 0, 0), strict=True):
+            parts.append(values + shift if shift else values)
+        lo = hi
+    return (*(np.concatenate(p) for p in found), buf, offs)
+
 
-        def flush() -> pa.RecordBatch:
-            return emit(*(np.concatenate([x[k] for x in held]) for k in range(4)))
+def _announced(shards: int):
+    """(piece, home, anchors): the names of one document shard's anchors, five bytes each, for each string shard."""
 
-        for batch in batches:
-            ids, homes = _ids(batch.column(0)), batch.column(1).to_numpy(zero_copy_only=False).astype(np.int32)
-            for lo, hi, buf, offs in tk.chunks(batch.column(2)):
-                at, h = anchors(buf, offs)
-                held.append((h, rows + np.searchsorted(offs, at, "right") - 1, ids[lo:hi], homes[lo:hi]))
-                rows += hi - lo
-                count += len(h)
-                if count >= FLUSH:
-                    yield flush()
-                    held, count, rows = [], 0, 0
-        if count:
-            yield flush()
+    def announce(docs: pa.Table) -> pa.Table:
+        names = np.unique(_named(_anchors_of(docs)[1], shards))
+        home = docs.column("__home")[0].as_py()
+        rows = []
+        for piece, lo, hi in _runs((names >> np.uint64(40)).astype(np.int64)):
+            part = np.ascontiguousarray(names[lo:hi]).view(np.uint8).reshape(-1, 8)[:, :5]
+            rows.append((piece, home, part.tobytes()))
+        columns = list(zip(*rows, strict=True)) or [()] * 3
+        return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.binary()), strict=True)], names=["piece", "home", "anchors"])
 
-    return docs.select("__id", "__home", "__text").mapInArrow(gather, "piece int, anchors binary, owners binary, ids binary, homes binary")
+    return announce
 
 
 def _shared(table: pa.Table) -> pa.Table:
-    """(home, kind 0, hashes): the anchors of one string shard that several documents hold, for each document shard."""
-    h, ids, homes = [], [], []
-    for a, o, i, s in zip(*(table.column(c).to_pylist() for c in ("anchors", "owners", "ids", "homes")), strict=True):
-        owner = np.frombuffer(o, np.int32)
-        h.append(np.frombuffer(a, np.uint64))
-        ids.append(np.frombuffer(i, np.int64)[owner])
-        homes.append(np.frombuffer(s, np.int32)[owner])
-    h, ids, homes = np.concatenate(h), np.concatenate(ids), np.concatenate(homes)
-    order = np.argsort(h, kind="stable")
-    h, ids, homes = h[order], ids[order], homes[order]
-    first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-    several = np.repeat(np.minimum.reduceat(ids, first) < np.maximum.reduceat(ids, first), np.diff(np.append(first, len(h))))
-    h, homes = h[several], homes[several]
-    order = np.lexsort((h, homes))
-    h, homes = h[order], homes[order]
-    rows = [(int(home), np.unique(h[lo:hi]).tobytes()) for home, lo, hi in _runs(homes)]
+    """(home, kind 0, names): the anchors of one string shard that several document shards have, for each of those."""
+    piece = np.uint64(table.column("piece")[0].as_py())
+    names, homes = [], []
+    for home, raw in zip(table.column("home").to_pylist(), table.column("anchors").to_pylist(), strict=True):
+        wide = np.zeros((len(raw) // 5, 8), np.uint8)
+        wide[:, :5] = np.frombuffer(raw, np.uint8).reshape(-1, 5)
+        names.append(wide.view(np.uint64).reshape(-1))
+        homes.append(np.full(len(wide), home, np.int32))
+    names, homes = np.concatenate(names), np.concatenate(homes)
+    several = tk.repeated(names)
+    names, homes = names[several] | (piece << np.uint64(40)), homes[several]
+    order = np.lexsort((names, homes))
+    names, homes = names[order], homes[order]
+    rows = [(home, names[lo:hi].tobytes()) for home, lo, hi in _runs(homes)]
     return pa.table([pa.array([r[0] for r in rows], pa.int32()), pa.array([0] * len(rows), pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["home", "kind", "payload"])
 
 
@@ -150,30 +165,25 @@ def _runs(values: np.ndarray) -> Iterator[tuple[int, int, int]]:
     return zip(values[edges[:-1]].tolist(), edges[:-1].tolist(), edges[1:].tolist(), strict=True)
 
 
-def _contexts(text: pa.Array, ids: np.ndarray, shared: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
-    """Distinct contexts of a document shard, then the buffer and text offsets.
+def _contexts(docs: pa.Table, shared: np.ndarray, shards: int) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
+    """Distinct contexts of a document shard's shared anchors, then its bytes and text offsets.
 
     ``row`` is a context's bytes, ``left`` and ``right`` how many of them stand before and from the anchor, ``least``
     the smallest id with it. Each occurrence has a position ``at`` and a context ``number``.
     """
-    buf, offs = tk.strings(text)
-    buf, offs = buf[offs[0] : offs[-1]], offs - offs[0]
-    found, hashes = [], []
-    lo = 0
-    while lo < len(offs) - 1:
-        hi = max(lo + 1, int(np.searchsorted(offs, offs[lo] + tk.CHUNK, "right")) - 1)
-        at, h = anchors(buf[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo])
-        if len(shared) and len(at):
-            near = np.minimum(np.searchsorted(shared, h), len(shared) - 1)
-            some = shared[near] == h
-            found.append(at[some] + offs[lo])
-            hashes.append(h[some])
-        lo = hi
-    at = np.concatenate([np.zeros(0, np.int64), *found])
-    hashes = np.concatenate([np.zeros(0, np.uint64), *hashes])
+    at, hashes, left, right, buf, offs = _anchors_of(docs)
+    ids = _ids(_one(docs, "__id"))
     owner = np.searchsorted(offs, at, "right") - 1
-    left = np.minimum(at - offs[owner], LENGTH - GRAM)
-    right = np.minimum(offs[owner + 1] - at, LENGTH)
+    names = _named(hashes, shards)
+    # Besides the anchors that other shards have: those that documents of this shard share.
+    _, first, number = np.unique(names, return_index=True, return_inverse=True)
+    low, high = np.full(len(first), _LAST), np.full(len(first), -_LAST)
+    np.minimum.at(low, number, ids[owner])
+    np.maximum.at(high, number, ids[owner])
+    some = (low < high)[number]
+    if len(shared) and len(at):
+        some |= shared[np.minimum(np.searchsorted(shared, names), len(shared) - 1)] == names
+    at, hashes, left, right, owner = (x[some] for x in (at, hashes, left, right, owner))
     wide = np.concatenate([np.zeros(LENGTH, np.uint8), buf, np.zeros(LENGTH, np.uint8)])
     view = np.lib.stride_tricks.sliding_window_view(wide, CONTEXT) if len(wide) >= CONTEXT else np.zeros((0, CONTEXT), np.uint8)
     row = view[at + LENGTH - (LENGTH - GRAM)].copy() if len(at) else np.zeros((0, CONTEXT), np.uint8)
@@ -203,7 +213,7 @@ def _sent(shards: int):
 
     def send(docs: pa.Table, news: pa.Table) -> pa.Table:
         shared = _payload(news, 0)
-        found, *_ = _contexts(_one(docs, "__text"), _ids(_one(docs, "__id")), shared)
+        found, *_ = _contexts(docs, shared, shards)
         piece = _dealt(found["hash"], shards)
         order = np.argsort(piece, kind="stable")
         home = docs.column("__home")[0].as_py() if docs.num_rows else 0
@@ -235,7 +245,7 @@ def smallest_owners(rows: np.ndarray, left: np.ndarray, right: np.ndarray, least
     bounds = tk.sums(sizes)
     base = np.arange(len(rows)) * CONTEXT + starts
     buf = rows.reshape(-1)[tk.ranges(base, base + sizes)]
-    order, _ = suffix_array(words8(buf), 8)
+    order, _ = suffix_array(words8(buf) >> np.uint64(24), 5)
     run = np.cumsum(common_prefixes(buf, order) < LENGTH)
     owner = np.repeat(np.arange(len(rows)), sizes)
     keep = (order + LENGTH <= bounds[1:][owner[order]]) & (order - bounds[:-1][owner[order]] <= left[owner[order]])
@@ -310,12 +320,12 @@ def string_owners(rows: np.ndarray, left: np.ndarray, right: np.ndarray, least:
     return np.concatenate(out)
 
 
-def _cut(keep: list[str], schema: pa.Schema):
+def _cut(keep: list[str], schema: pa.Schema, shards: int):
     """The rows of a document shard with their spans and what is left of their bytes."""
 
     def cut(docs: pa.Table, news: pa.Table) -> pa.Table:
         ids = _ids(_one(docs, "__id"))
-        found, buf, offs = _contexts(_one(docs, "__text"), ids, _payload(news, 0))
+        found, buf, offs = _contexts(docs, _payload(news, 0), shards)
         bits = np.zeros(len(found["least"]), np.uint64)
         packed = _payload(news, 1)
         bits[(packed >> np.uint64(32)).astype(np.int64)] = packed & np.uint64((1 << 32) - 1)
@@ -349,12 +359,10 @@ def remove_repeats(df: DataFrame, *, id_col: str = "doc_id", text: str = "text",
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     pieces = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // PIECE_BYTES))
     docs = df.select(*kept, F.col(id_col).cast("long").alias("__id"), F.pmod(F.xxhash64(id_col, text), F.lit(shards)).cast("int").alias("__home"), body.alias("__text"))
-    shared = _anchored(docs, pieces).groupBy("piece").applyInArrow(_shared, "home int, kind int, payload binary")
-    tk.checkpoint_dir(spark)
-    shared = shared.checkpoint()
-    # Both passes over the document shards read the same columns, so Spark shuffles the texts once and reads them twice.
+    announced = docs.groupBy("__home").applyInArrow(_announced(pieces), "piece int, home int, anchors binary")
+    shared = announced.groupBy("piece").applyInArrow(_shared, "home int, kind int, payload binary")
     sent = docs.groupBy("__home").cogroup(shared.groupBy("home")).applyInArrow(_sent(pieces), "piece int, home int, numbers binary, contexts binary, sides binary, least binary")
     bits = sent.groupBy("piece").applyInArrow(_judged, "home int, kind int, payload binary")
     news = shared.unionByName(bits)
     out = T.StructType([*(docs.schema[c] for c in kept), *(T.StructField(n, T.LongType()) for n in ("n_bytes", "n_removed", "n_spans")), T.StructField("kept", T.BinaryType())])
-    return docs.groupBy("__home").cogroup(news.groupBy("home")).applyInArrow(_cut(kept, to_arrow_schema(out)), out)
+    return docs.groupBy("__home").cogroup(news.groupBy("home")).applyInArrow(_cut(kept, to_arrow_schema(out), pieces), out)

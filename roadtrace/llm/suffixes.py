@@ -12,6 +12,26 @@ def words8(buf: np.ndarray, at: np.ndarray | None = None) -> np.ndarray:
     return (view[: len(buf)] if at is None else view[at]).astype(np.uint64)
 
 
+#: Suffixes of a shard up to which ranks and positions fit one word together.
+PACKED = 1 << 21
+
+
+def _order(first: np.ndarray, second: np.ndarray | None = None) -> np.ndarray:
+    """Stable order by one key, or by two that are below ``PACKED``."""
+    n = len(first)
+    if second is None:
+        if n > PACKED or n and int(first.max()) >> 42:
+            return np.argsort(first, kind="stable")
+        packed = first.astype(np.uint64) << np.uint64(21)
+    elif n > PACKED or n and max(int(first.max()), int(second.max())) >= PACKED:
+        return np.lexsort((second, first))
+    else:
+        packed = (first.astype(np.uint64) << np.uint64(42)) | (second.astype(np.uint64) << np.uint64(21))
+    packed |= np.arange(n, dtype=np.uint64)
+    packed.sort()
+    return (packed & np.uint64(PACKED - 1)).astype(np.int64)
+
+
 def suffix_array(keys: np.ndarray, span: int = 1) -> tuple[np.ndarray, np.ndarray]:
     """(order, rank) of all suffixes, where ``keys[i]`` orders them by their first ``span`` symbols.
 
@@ -19,7 +39,7 @@ def suffix_array(keys: np.ndarray, span: int = 1) -> tuple[np.ndarray, np.ndarra
     sorts only the suffixes whose rank is still shared.
     """
     n = len(keys)
-    order = np.argsort(keys, kind="stable")
+    order = _order(keys)
     ordered = keys[order]
     new = np.ones(n, bool)
     new[1:] = ordered[1:] != ordered[:-1]
@@ -28,18 +48,17 @@ def suffix_array(keys: np.ndarray, span: int = 1) -> tuple[np.ndarray, np.ndarra
     places = np.flatnonzero(~new | np.append(~new[1:], False))
     while len(places):
         at = order[places]
+        first = rank[at]
         # A suffix that ends first comes first.
         second = np.where(at + span < n, rank[np.minimum(at + span, n - 1)] + span + 1, n - at)
-        # Ranks are below 2**31 in a shard, so both fit one word.
-        pair = (rank[at] << 32) | second
-        moved = np.argsort(pair, kind="stable")
-        at, pair = at[moved], pair[moved]
+        moved = _order(first, second)
+        at, first, second = at[moved], first[moved], second[moved]
         order[places] = at
-        first = np.ones(len(at), bool)
-        first[1:] = pair[1:] != pair[:-1]
-        rank[at] = np.maximum.accumulate(np.where(first, places, 0))
+        fresh = np.ones(len(at), bool)
+        fresh[1:] = (first[1:] != first[:-1]) | (second[1:] != second[:-1])
+        rank[at] = np.maximum.accumulate(np.where(fresh, places, 0))
         # A suffix is settled when its rank is its own.
-        places = places[~first | np.append(~first[1:], False)]
+        places = places[~fresh | np.append(~fresh[1:], False)]
         span *= 2
     return order, rank
 

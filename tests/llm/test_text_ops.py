@@ -105,10 +105,8 @@ def test_repeated_strings(spark, root, monkeypatch):
 def test_string_shard_blocks_merge():
     """Several blocks of a string shard give what one block gives."""
     text = pa.array([*BASE, BASE[6][40:400], BASE[5] + BASE[4]])
-    ids = np.arange(len(text))
-    buf, offs = textkit.strings(text)
-    shared = np.unique(suffix_dedup.anchors(buf, offs)[1])
-    found, *_ = suffix_dedup._contexts(text, ids, shared)
+    docs = pa.table({"__id": pa.array(range(len(text)), pa.int64()), "__home": pa.array([0] * len(text), pa.int32()), "__text": text})
+    found, *_ = suffix_dedup._contexts(docs, np.zeros(0, np.uint64), 4)
     part = [found[k] for k in ("row", "left", "right", "least")]
     whole = suffix_dedup.string_owners(*part)
     size, suffix_dedup.BLOCK = suffix_dedup.BLOCK, 7 * suffix_dedup.CONTEXT
