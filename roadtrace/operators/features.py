@@ -126,3 +126,50 @@ def banded_evidence(df: DataFrame, ratio: str, speed: str, score: str, bands: in
     banded = df.withColumn("band", F.least(F.floor(F.col(speed) / width), F.lit(bands - 1)))
     each = banded.groupBy(ratio, "band").agg(F.avg(score).alias("mean"), F.count("*").alias("n"))
     return each.groupBy(ratio).agg(F.avg("mean").alias("evidence"), F.count_if(F.col("n") >= 20).alias("full_bands"), F.sum("n").alias("windows"))
+
+
+def settled(df: DataFrame, key: str, time: str, value: str, span: int, least: int, variance: float) -> DataFrame:
+    """FLT17: rows whose last ``span`` holds at least ``least`` rows of at most ``variance``."""
+    back = Window.partitionBy(key).orderBy(time).rangeBetween(-span, 0)
+    return df.withColumns({"rows": F.count("*").over(back), "variance": F.var_pop(value).over(back)}).filter((F.col("rows") >= least) & (F.col("variance") <= variance))
+
+
+def calibration_record(df: DataFrame, key: str, time: str, channels: list[str]) -> DataFrame:
+    """AGG21: rows, span, and mean and population deviation of each channel."""
+    moments = [f(c).alias(f"{n}_{c}") for c in channels for n, f in (("mean", F.avg), ("deviation", F.stddev_pop))]
+    return df.groupBy(key).agg(F.count("*").alias("rows"), F.min(time).alias("begin"), F.max(time).alias("end"), *moments)
+
+
+def distinct_bends(features: DataFrame, key: str, least: float) -> DataFrame:
+    """WIN12: of neighbours nearer than ``least`` with the same sense the larger angle stays; one pass a route."""
+
+    def keep(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("middle", kind="stable")
+        kept: list[int] = []
+        middle, angle = rows["middle"].tolist(), rows["angle"].tolist()
+        for i in range(len(rows)):
+            if kept and middle[i] - middle[kept[-1]] < least and (angle[i] > 0) == (angle[kept[-1]] > 0):
+                if abs(angle[i]) > abs(angle[kept[-1]]):
+                    kept[-1] = i
+            else:
+                kept.append(i)
+        return rows.iloc[kept]
+
+    return features.groupBy(key).applyInPandas(keep, features.schema)
+
+
+def junctions(edges: DataFrame, turns: DataFrame, low: float, high: float) -> DataFrame:
+    """JOI21: (edge, next, angle) of legal turns whose heading change lies between ``low`` and ``high`` radians.
+
+    ``edges`` has (id, arrive, leave): the headings at its end and at its beginning.
+    """
+    a = edges.select(F.col("id").alias("edge"), "arrive")
+    b = edges.select(F.col("id").alias("next"), "leave")
+    change = F.col("leave") - F.col("arrive")
+    met = turns.join(a, "edge").join(b, "next").withColumn("angle", F.atan2(F.sin(change), F.cos(change)))
+    return met.filter(F.abs("angle").between(low, high)).select("edge", "next", "angle")
+
+
+def unvisited(candidates: Column, route: Column, last: int = 15) -> Column:
+    """SET05: candidates that are not among the last ``last`` of a route."""
+    return F.array_except(candidates, F.slice(route, F.greatest(F.size(route) - last + 1, F.lit(1)), F.lit(last)))

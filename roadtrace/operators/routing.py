@@ -7,7 +7,7 @@ ends in checkpoint(). Cost is that of the edges left; the arrival edge counts no
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from roadtrace.operators.components import shared_folder
@@ -95,3 +95,19 @@ def clipped(routes: DataFrame, edges: DataFrame, start_at: str, goal_at: str) ->
     along = routes.select("request", start_at, goal_at, F.size("route").alias("n"), F.posexplode("route").alias("seq", "id")).join(edges.select("id", "length"), "id")
     whole = F.sum(F.when(F.col("seq") < F.col("n") - 1, F.col("length")).otherwise(0.0))
     return along.groupBy("request").agg((whole - F.max(start_at) + F.max(goal_at)).alias("metres"))
+
+
+def through(edges: DataFrame, turns: DataFrame, stops: DataFrame) -> DataFrame:
+    """GRF10, GRF12: (request, cost, route) through ordered stops (request, seq, edge); the legs are searched together.
+
+    A request with an unreachable leg has no row.
+    """
+    along = Window.partitionBy("request").orderBy("seq")
+    legs = stops.withColumn("goal", F.lead("edge").over(along)).filter("goal IS NOT NULL")
+    asked = legs.select(F.struct("request", "seq").alias("request"), F.col("edge").alias("start"), "goal")
+    found = shortest(edges, turns, asked).select("request.request", "request.seq", "cost", "route")
+    joined = found.groupBy("request").agg(F.count("*").alias("n"), F.sum("cost").alias("cost"), F.sort_array(F.collect_list(F.struct("seq", "route"))).alias("parts"))
+    # Each leg begins with the edge that the one before ends with.
+    route = F.flatten(F.transform("parts", lambda p, i: F.when(i == 0, p["route"]).otherwise(F.slice(p["route"], F.lit(2), F.size(p["route"])))))
+    whole = legs.groupBy("request").agg(F.count("*").alias("wanted"))
+    return joined.join(whole, "request").filter("n = wanted").select("request", "cost", route.alias("route"))

@@ -11,6 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from roadtrace.functions.geometry import project_on_polyline
 from roadtrace.operators.components import components
 
 
@@ -79,3 +80,19 @@ def corridor(df: DataFrame, boxes: list[tuple[float, float, float, float]], circ
     conditions = [box(F.col("x"), F.col("y"), *b) for b in boxes] + [(F.col("x") - cx) ** 2 + (F.col("y") - cy) ** 2 <= r * r for cx, cy, r in circles]
     plain = reduce(Column.__or__, conditions, F.lit(False))
     return df.filter(plain).unionByName(within(df.filter(~plain), route, buffer))
+
+
+def drag(moves: DataFrame, edges: DataFrame, turn_radius: float = 35.0, most: float = 80.0) -> DataFrame:
+    """JOI06: (move, edge, error, along): where a point dragged from a road comes to lie.
+
+    ``moves`` has (move, edge, x, y, from_x, from_y, node, node_distance); ``edges`` (id, start, end, points). Candidates are
+    the move's own edge and, within ``turn_radius`` of a node, the edges at that node; moves over ``most`` give none.
+    """
+    short = moves.filter((F.col("x") - F.col("from_x")) ** 2 + (F.col("y") - F.col("from_y")) ** 2 <= most * most)
+    own = short.select("move", "x", "y", F.col("edge").alias("id"))
+    at = short.filter(F.col("node_distance") <= turn_radius).select("move", "x", "y", "node")
+    ends = edges.select("id", F.explode(F.array_distinct(F.array("start", "end"))).alias("node"))
+    near = own.unionByName(at.join(ends, "node").select("move", "x", "y", "id")).distinct()
+    on = near.join(edges.select("id", "points"), "id").withColumn("p", project_on_polyline(F.col("points"), F.col("x"), F.col("y")))
+    best = on.groupBy("move").agg(F.min(F.struct(F.col("p.error").alias("error"), F.col("id").alias("edge"), F.col("p.along").alias("along"))).alias("b"))
+    return best.select("move", "b.edge", "b.error", "b.along")

@@ -168,3 +168,49 @@ def shortest_routes(spark: SparkSession, root: str) -> DataFrame:
     pairs = starts.withColumn("goal", F.explode(F.array(*(F.lit(n).cast("long") for n in (20, 33, 47))))).withColumn("request", F.concat_ws("-", "start", "goal"))
     found = routing.shortest(nodes, net, pairs, most=14)
     return found.join(pairs, "request").select("start", "goal", "cost")
+
+
+@query("""
+SELECT event_id, n AS "rows", round(v, 9) AS variance FROM (
+  SELECT event_id, count(*) OVER w AS n, var_pop(value) OVER w AS v FROM (SELECT *, epoch_us(ts) AS t FROM events) WINDOW w AS (PARTITION BY user_id ORDER BY t RANGE BETWEEN 86400000000 PRECEDING AND CURRENT ROW)) WHERE n >= 3 AND v <= 60""")
+def settled_stops(spark: SparkSession, root: str) -> DataFrame:
+    """FLT16, FLT17: calm stretches of the last day."""
+    e = table(spark, root, "events").select("event_id", "user_id", micros().alias("t"), "value")
+    return f.settled(e, "user_id", "t", "value", 86_400_000_000, 3, 60).select("event_id", "rows", F.round("variance", 9).alias("variance"))
+
+
+@query("""
+SELECT l_suppkey, count(*) AS "rows", min(l_orderkey) AS "begin", max(l_orderkey) AS "end", round(avg(l_tax), 6) AS mean_l_tax, round(stddev_pop(l_tax), 6) AS deviation_l_tax, round(avg(l_discount), 6) AS mean_l_discount, round(stddev_pop(l_discount), 6) AS deviation_l_discount FROM lineitem GROUP BY 1""")
+def calibration_record(spark: SparkSession, root: str) -> DataFrame:
+    """AGG21."""
+    out = f.calibration_record(table(spark, root, "lineitem"), "l_suppkey", "l_orderkey", ["l_tax", "l_discount"])
+    return out.select("l_suppkey", "rows", "begin", "end", *(F.round(c, 6).alias(c) for c in out.columns if c[:4] in ("mean", "devi")))
+
+
+@query("""
+WITH e AS (SELECT DISTINCT l_suppkey AS id, (l_suppkey * 37) % 63 / 10.0 AS arrive, (l_suppkey * 53) % 63 / 10.0 AS leave FROM lineitem), t AS (SELECT DISTINCT l_suppkey AS edge, l_partkey % 100 AS next FROM lineitem WHERE l_orderkey % 20 = 0)
+SELECT edge, next, round(atan2(sin(b.leave - a.arrive), cos(b.leave - a.arrive)), 5) AS angle FROM t JOIN e a ON a.id = edge JOIN e b ON b.id = next WHERE abs(atan2(sin(b.leave - a.arrive), cos(b.leave - a.arrive))) BETWEEN 0.77 AND 2.11""")
+def junction_candidates(spark: SparkSession, root: str) -> DataFrame:
+    """JOI21."""
+    l = table(spark, root, "lineitem")
+    e = l.select(F.col("l_suppkey").alias("id")).distinct().withColumns({"arrive": (F.col("id") * 37) % 63 / 10.0, "leave": (F.col("id") * 53) % 63 / 10.0})
+    t = l.filter("l_orderkey % 20 = 0").select(F.col("l_suppkey").alias("edge"), (F.col("l_partkey") % 100).alias("next")).distinct()
+    return f.junctions(e, t, 0.77, 2.11).withColumn("angle", F.round("angle", 5))
+
+
+@query("""
+SELECT l_orderkey, array_to_string(list_sort(list_filter([1, 2, 3, 4, 5, 6, 7], lambda c: NOT list_contains(r[-3:], c))), ',') AS open FROM (
+  SELECT l_orderkey, list(CAST(l_linenumber AS INTEGER) ORDER BY l_linenumber) AS r FROM lineitem GROUP BY 1)""")
+def unvisited_lines(spark: SparkSession, root: str) -> DataFrame:
+    """SET05: candidates outside the last three of a route."""
+    r = table(spark, root, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list("l_linenumber")).alias("r"))
+    candidates = F.array(*map(F.lit, range(1, 8)))
+    return r.select("l_orderkey", F.array_join(F.array_sort(f.unvisited(candidates, F.col("r"), 3)), ",").alias("open"))
+
+
+@query("""SELECT count(*) AS roads, CAST(sum(b) AS BIGINT) AS total FROM (SELECT DISTINCT l_orderkey % 500 AS way, least(l_suppkey % 97, l_partkey % 97) AS a, greatest(l_suppkey % 97, l_partkey % 97) AS b FROM lineitem) GROUP BY way % 10""")
+def physical_roads(spark: SparkSession, root: str) -> DataFrame:
+    """SET06: roads regardless of direction."""
+    a, b = F.col("l_suppkey") % 97, F.col("l_partkey") % 97
+    roads = table(spark, root, "lineitem").select((F.col("l_orderkey") % 500).alias("way"), F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
+    return roads.groupBy(F.col("way") % 10).agg(F.count("*").alias("roads"), F.sum("b").alias("total")).select("roads", "total")

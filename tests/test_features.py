@@ -74,3 +74,23 @@ def test_banded_evidence_and_peaks(spark):
     assert sorted(map(tuple, f.banded_evidence(df, "ratio", "speed", "score", 3, 10.0).collect())) == [(1, pytest.approx(3.0), 1, 25), (2, 1.0, 0, 1)]
     line = spark.createDataFrame([("k", i, float(v)) for i, v in enumerate((1, 3, 3, 2, 5))], "k string, i int, v double")
     assert [q["i"] for q in f.peaks(line, "k", "i", "v").orderBy("i").collect()] == [1, 4]
+
+
+def test_drag_stays_on_its_road(spark):
+    """A road north, one on from its end, one right from its end, and an unconnected parallel."""
+    from roadtrace.operators import spatial as sp
+
+    line = lambda *p: [(float(x), float(y)) for x, y in p]
+    edges = spark.createDataFrame([(0, 1, 2, line((0, 0), (0, 200))), (1, 2, 3, line((0, 200), (0, 1400))), (2, 2, 4, line((0, 200), (1000, 200))), (4, 8, 9, line((15, 0), (15, 200)))], "id long, start long, end long, points array<struct<x: double, y: double>>")
+    moves = spark.createDataFrame([("stay", 0, 15.0, 80.0, 0.0, 60.0, 2, 140.0), ("turn", 0, 30.0, 205.0, 0.0, 190.0, 2, 10.0), ("far", 0, 500.0, 500.0, 0.0, 60.0, 2, 140.0)], "move string, edge long, x double, y double, from_x double, from_y double, node long, node_distance double")
+    got = {q["move"]: (q["edge"], q["along"]) for q in sp.drag(moves, edges).collect()}
+    assert got == {"stay": (0, 80.0), "turn": (2, 30.0)}
+
+
+def test_routes_through_stops_and_distinct_bends(spark):
+    edges = spark.createDataFrame([(i, 1.0) for i in range(6)], "id long, cost double")
+    turns = spark.createDataFrame([(i, (i + 1) % 6) for i in range(5)] + [(1, 4)], "edge long, next long")
+    stops = spark.createDataFrame([("a", 0, 0), ("a", 1, 2), ("a", 2, 5), ("b", 0, 3), ("b", 1, 0)], "request string, seq int, edge long")
+    assert [tuple(q) for q in r.through(edges, turns, stops).collect()] == [("a", 5.0, [0, 1, 2, 3, 4, 5])]
+    bends = spark.createDataFrame([("r", 10.0, 0.4), ("r", 15.0, 0.9), ("r", 20.0, -0.5), ("r", 40.0, -0.1)], "k string, middle double, angle double")
+    assert sorted(q["middle"] for q in f.distinct_bends(bends, "k", 8).collect()) == [15, 20, 40]
