@@ -17,7 +17,8 @@ linked sets together; within them, blocks of ``BLOCK`` sets are compared exactly
 inverted list) and only a spanning forest of the links leaves a task. The links' components are the classes.
 
 Equal sets are one node from the start, once per task, so hot copies cost one row a task. Nodes are 64-bit hashes of
-sets, shingles 48-bit hashes within a document. Signatures travel as packed arrays, one row per task and bucket.
+sets, shingles 48-bit hashes within a document. Signatures travel as packed arrays of 15 bytes
+each, one row per task and bucket.
 
 Defined cases: null text and text without words have the empty set, link with nothing and are their own class; a
 null id takes the class's smallest id, if any has one; rows may repeat; an empty table gives no rows.
@@ -156,110 +157,122 @@ def signatures(sets: np.ndarray, bounds: np.ndarray, groups: np.ndarray) -> tupl
     return np.concatenate(out), np.concatenate(who), filled[0], filled[1]
 
 
-_PACKED = "bucket int, signature binary, who binary, nodes binary"
+_PACKED = "bucket int, signature binary, who binary, code binary"
+#: Sizes travel as their logarithm in steps of this ratio.
+_STEP = np.log(1.002)
+_NEAR = int(np.log(4 / 3) / _STEP) + 2
+
+
+def _fresh(ids: np.ndarray, seen: set[int]) -> np.ndarray:
+    """Whether each non-empty set is the first of its kind in the task."""
+    return np.array([i and i not in seen and not seen.add(i) for i in ids.tolist()], bool)
 
 
 def _packed(docs: DataFrame, text: str, buckets: int, groups: np.ndarray) -> DataFrame:
-    """Rows (bucket, signatures, node number * 2 + role, node table) of all distinct sets of each task."""
+    """Rows (bucket, signatures, owners, size codes) of all distinct sets of each task.
 
-    def emit(sig: np.ndarray, who: np.ndarray, table: np.ndarray) -> pa.RecordBatch:
+    A signature takes 15 bytes at any size of the input: five of its hash, since the bucket tells the rest, eight of its
+    set, whose lowest bit is its role, and two of the set's size.
+    """
+
+    def emit(sig: np.ndarray, who: np.ndarray, code: np.ndarray) -> pa.RecordBatch:
         bucket = ((sig >> np.uint64(40)) * np.uint64(buckets) >> np.uint64(24)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
-        sig, who, bucket = sig[order], who[order], bucket[order]
-        edges = np.searchsorted(bucket, np.arange(buckets + 1))
-        rows = []
-        for b in np.flatnonzero(np.diff(edges)):
-            part = who[edges[b] : edges[b + 1]]
-            used, number = np.unique(part >> 1, return_inverse=True)
-            rows.append((int(b), sig[edges[b] : edges[b + 1]].tobytes(), (number * 2 + (part & 1)).astype(np.int32).tobytes(), table[used].tobytes()))
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "signature", "who", "nodes"])
+        sig, who, code = sig[order], who[order], code[order]
+        edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
+        five = np.ascontiguousarray(sig).view(np.uint8).reshape(-1, 8)[:, :5]
+        rows = [(int(b), five[lo:hi].tobytes(), who[lo:hi].tobytes(), code[lo:hi].tobytes()) for b in np.flatnonzero(np.diff(edges)) for lo, hi in [(edges[b], edges[b + 1])]]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "signature", "who", "code"])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         held, count = [], 0
-
-        def flush() -> pa.RecordBatch:
-            base = np.cumsum([0, *(len(t) for *_, t in held)])
-            return emit(np.concatenate([s for s, *_ in held]), np.concatenate([w + 2 * b for (_, w, _), b in zip(held, base, strict=False)]), np.concatenate([t for *_, t in held]))
-
         for batch in batches:
             for _, _, buf, offs in _pieces(batch.column(0)):
                 sets, bounds = shingles(buf, offs)
                 ids = node_ids(sets, bounds)
-                first = np.array([i and i not in seen and not seen.add(i) for i in ids.tolist()], bool)
-                sig, who, low, up = signatures(sets, bounds, groups)
-                stays = first[who >> 1]
-                table = np.stack([ids.view(np.int64), np.diff(bounds), low, up], axis=1)
-                held.append((sig[stays], who[stays], table))
-                count += int(stays.sum())
+                sig, who, _, _ = signatures(sets, bounds, groups)
+                stays = _fresh(ids, seen)[who >> 1]
+                sig, who = sig[stays], who[stays]
+                code = (np.log(np.maximum(1, np.diff(bounds))) / _STEP).astype(np.uint16)
+                held.append((sig, (ids[who >> 1] & ~np.uint64(1)) | (who & 1).astype(np.uint64), code[who >> 1]))
+                count += len(sig)
                 if count >= FLUSH:
-                    yield flush()
+                    yield emit(*(np.concatenate(c) for c in zip(*held, strict=True)))
                     held, count = [], 0
         if count:
-            yield flush()
+            yield emit(*(np.concatenate(c) for c in zip(*held, strict=True)))
 
     return docs.select(F.col(text).cast("string").alias("text")).mapInArrow(pack, _PACKED)
 
 
-#: kind 0: a pair with its shared signatures; 1: a member of a large group; 2: a set whose groups are too few.
-_MET = "kind int, a long, b long, shared int, size_a int, size_b int, need_a int, need_b int, role int"
+def _sizes(docs: DataFrame, text: str, groups: np.ndarray) -> DataFrame:
+    """(node, size, low, up): each distinct set's size and its non-empty groups as lower and as upper."""
+
+    def size(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in batches:
+            for _, _, buf, offs in _pieces(batch.column(0)):
+                sets, bounds = shingles(buf, offs)
+                ids = node_ids(sets, bounds)
+                _, _, low, up = signatures(sets, bounds, groups)
+                first = _fresh(ids, seen)
+                yield pa.RecordBatch.from_arrays([pa.array(c[first]) for c in (ids.view(np.int64), np.diff(bounds), low, up)], names=["node", "size", "low", "up"])
+
+    rows = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(size, "node long, size long, low long, up long")
+    return rows.groupBy("node").agg(*(F.max(c).alias(c) for c in ("size", "low", "up")))
+
+
+#: kind 0: a pair with its shared signatures; 1: a member a of the large group b.
+_MET = "kind int, a long, b long, shared int, role int"
 
 
 def _meet(table: pa.Table) -> pa.Table:
     """Pairs and large-group members of one bucket."""
-    sig, who, info, base = [], [], [], 0
-    for s, w, n in zip(*(table.column(c).to_pylist() for c in ("signature", "who", "nodes")), strict=True):
-        nodes = np.frombuffer(n, np.int64).reshape(-1, 4)
-        sig.append(np.frombuffer(s, np.uint64))
-        who.append(np.frombuffer(w, np.int32).astype(np.int64) + 2 * base)
-        info.append(nodes)
-        base += len(nodes)
-    sig, who, info = np.concatenate(sig), np.concatenate(who), np.concatenate(info)
-    # The same set may come from several tasks: number distinct nodes.
-    ids, first, number = np.unique(info[:, 0], return_index=True, return_inverse=True)
-    info = info[first]
-    role, node = who & 1, number[who >> 1]
-    order = np.lexsort((role, node, sig))
-    sig, role, node = sig[order], role[order], node[order]
-    fresh = np.concatenate([[True], (sig[1:] != sig[:-1]) | (node[1:] != node[:-1]) | (role[1:] != role[:-1])])
-    sig, role, node = sig[fresh], role[fresh], node[fresh]
-    edges = np.append(np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]])), len(sig))
+    five = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint8).reshape(-1, 5)
+    wide = np.zeros((len(five), 8), np.uint8)
+    wide[:, :5] = five
+    sig = wide.view(np.uint64).reshape(-1)
+    who = np.frombuffer(b"".join(table.column("who").to_pylist()), np.uint64)
+    code = np.frombuffer(b"".join(table.column("code").to_pylist()), np.uint16)
+    bucket = np.int64(table.column("bucket")[0].as_py())
+    # Only signatures that meet another matter; the same set may come from several tasks.
+    some = np.flatnonzero(tk.repeated(sig))
+    sig, who, code = sig[some], who[some], code[some]
+    order = np.lexsort((who, sig))
+    sig, who, code = sig[order], who[order], code[order].astype(np.int64)
+    fresh = np.ones(len(sig), bool)
+    fresh[1:] = (sig[1:] != sig[:-1]) | (who[1:] != who[:-1])
+    sig, who, code = sig[fresh], who[fresh], code[fresh]
+    node, role = (who | np.uint64(1)).view(np.int64), (who & np.uint64(1)).astype(np.int64)
+    edges = np.append(np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]])), len(sig)) if len(sig) else np.zeros(1, np.int64)
     length = np.diff(edges)
-    size, low, up = info[:, 1], info[:, 2], info[:, 3]
-    # Least shared signatures with any partner: N - k.
-    need = np.stack([low - size // 3, up - 2 * size // 7])
     lows = np.add.reduceat(role == 0, edges[:-1]) if len(sig) else length
-    left, right = [], []
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for n in range(2, SMALL + 1):
         at = edges[:-1][(length == n) & (lows > 0)]
         for i in range(n):
             for j in range(i + 1, n):
-                both = (role[at + i] == 0) | (role[at + j] == 0)
+                # A pair of two uppers counts in its own instance; partners' sizes must be within the threshold.
+                both = ((role[at + i] == 0) | (role[at + j] == 0)) & (np.abs(code[at + i] - code[at + j]) <= _NEAR) & (node[at + i] != node[at + j])
                 left.append((at + i)[both])
                 right.append((at + j)[both])
-    cells = [np.zeros((0, 9), np.int64)]
-    if left:
-        x, y = np.concatenate(left), np.concatenate(right)
-        a, b, ra, rb = node[x], node[y], role[x], role[y]
-        swap = a > b
-        a, b, ra, rb = np.where(swap, b, a), np.where(swap, a, b), np.where(swap, rb, ra), np.where(swap, ra, rb)
-        # Partners' sizes must be within the threshold; a pair of one band counts in its own instance only.
-        fits = 4 * np.minimum(size[a], size[b]) >= 3 * np.maximum(size[a], size[b])
-        pair, count = np.unique(((a * len(ids) + b) * 4 + ra * 2 + rb)[fits], return_counts=True)
-        ra, rb, pair = pair >> 1 & 1, pair & 1, pair >> 2
-        a, b = pair // len(ids), pair % len(ids)
-        most = (size[a] + size[b]) // 7
-        cells.append(np.stack([np.zeros_like(a), ids[a], ids[b], count, size[a], size[b], np.where(ra, up[a], low[a]) - most, np.where(rb, up[b], low[b]) - most, ra * 2 + rb], axis=1))
+    x, y = np.concatenate(left), np.concatenate(right)
+    swap = node[x] > node[y]
+    x, y = np.where(swap, y, x), np.where(swap, x, y)
+    pair = np.stack([node[x], node[y], role[x] * 2 + role[y]], axis=1)
+    order = np.lexsort(pair.T[::-1])
+    pair = pair[order]
+    first = np.flatnonzero(np.concatenate([[True], (pair[1:] != pair[:-1]).any(axis=1)])) if len(pair) else np.zeros(0, np.int64)
+    count = np.diff(np.append(first, len(pair)))
     big = np.flatnonzero((length > SMALL) & (lows > 0))
-    if len(big):
-        at = tk.ranges(edges[big], edges[big + 1])
-        group = np.repeat(sig[edges[big]].view(np.int64), length[big])
-        n = node[at]
-        cells.append(np.stack([np.ones_like(n), ids[n], group, np.ones_like(n), size[n], size[n], need[role[at], n], need[role[at], n], role[at]], axis=1))
-    poor = np.flatnonzero((low <= size // 3) & (size > FIRST))
-    cells.append(np.stack([np.full(len(poor), 2), ids[poor], *[np.zeros(len(poor), np.int64)] * 7], axis=1))
-    out = np.concatenate(cells)
-    return pa.table([pa.array(out[:, k].astype(np.int64 if name in "ab" else np.int32)) for k, name in enumerate(n.split()[0] for n in _MET.split(", "))], names=[n.split()[0] for n in _MET.split(", ")])
+    at = tk.ranges(edges[:-1][big], edges[1:][big])
+    group = np.repeat((bucket << 40) | sig[edges[:-1][big]].view(np.int64), length[big]) if len(big) else np.zeros(0, np.int64)
+    columns = {
+        "kind": np.concatenate([np.zeros(len(first)), np.ones(len(at))]), "a": np.concatenate([pair[first, 0], node[at]]), "b": np.concatenate([pair[first, 1], group]),
+        "shared": np.concatenate([count, np.ones(len(at))]), "role": np.concatenate([pair[first, 2], role[at]]),
+    }
+    return pa.table({n: v.astype(np.int64 if n in "ab" else np.int32) for n, v in columns.items()})
 
 
 def _candidates(docs: DataFrame, text: str) -> DataFrame:
@@ -270,20 +283,26 @@ def _candidates(docs: DataFrame, text: str) -> DataFrame:
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET_BYTES))
     fineness = 1.0
     while True:
-        met = _packed(docs, text, buckets, group_counts(fineness)).repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_meet, _MET).checkpoint()
-        if met.filter("kind = 2").isEmpty():
+        groups = group_counts(fineness)
+        info = _sizes(docs, text, groups).checkpoint()
+        if info.filter(f"size > {FIRST} AND low <= size DIV 3").isEmpty():
             break
         fineness *= 1.5
+    met = _packed(docs, text, buckets, groups).repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_meet, _MET).checkpoint()
     hot = met.filter("kind = 1")
-    hot_counts = hot.groupBy(F.col("a").alias("node"), "role").agg(F.sum("shared").alias("hot"), F.max("need_a").alias("need"))
-    pairs = met.filter("kind = 0").groupBy("a", "b", "role").agg(F.sum("shared").alias("shared"), *(F.max(c).alias(c) for c in ("need_a", "need_b")))
+    hot_counts = hot.groupBy(F.col("a").alias("node"), "role").agg(F.sum("shared").alias("hot"))
+    pairs = met.filter("kind = 0").groupBy("a", "b", "role").agg(F.sum("shared").alias("shared"))
     pairs = pairs.withColumn("ra", F.shiftright("role", 1)).withColumn("rb", F.col("role").bitwiseAND(F.lit(1)))
     for side in "ab":
+        known = info.select(F.col("node").alias(side), F.col("size").alias(f"size_{side}"), F.col("low").alias(f"low_{side}"), F.col("up").alias(f"up_{side}"))
         counts = hot_counts.select(F.col("node").alias(side), F.col("role").alias(f"r{side}"), F.col("hot").alias(f"hot_{side}"))
-        pairs = pairs.join(counts, [side, f"r{side}"], "left")
+        pairs = pairs.join(known, side).join(counts, [side, f"r{side}"], "left")
+    pairs = pairs.filter("4 * least(size_a, size_b) >= 3 * greatest(size_a, size_b)")
+    # The signatures that a pair shares here, and at most in larger groups, must reach N - k.
+    needed = F.expr("greatest(IF(ra = 0, low_a, up_a), IF(rb = 0, low_b, up_b)) - (size_a + size_b) DIV 7")
     reach = F.col("shared") + F.least(F.coalesce("hot_a", F.lit(0)), F.coalesce("hot_b", F.lit(0)))
-    pairs = pairs.filter(reach >= F.greatest("need_a", "need_b", F.lit(1))).select("a", "b")
-    ready = hot_counts.filter("hot >= need").select(F.col("node").alias("a"), "role")
+    pairs = pairs.filter(reach >= F.greatest(needed, F.lit(1))).select("a", "b")
+    ready = hot_counts.join(info, "node").filter("hot >= IF(role = 0, low - size DIV 3, up - (2 * size) DIV 7)").select(F.col("node").alias("a"), "role")
     members = hot.join(ready, ["a", "role"]).select(F.col("a").alias("node"), F.col("b").alias("group"), "role")
     # The leader of a large group is a lower member; without one there is nothing to tie.
     leaders = members.filter("role = 0").groupBy("group").agg(F.min("node").alias("leader"))
@@ -326,7 +345,11 @@ def _compare(table: pa.Table) -> pa.Table:
     """Links within a block, or between the two blocks of a pair."""
     node = table.column("node").to_numpy()
     side = table.column("side").to_numpy()
-    sets = [np.frombuffer(s, np.uint64) for s in table.column("shingles").to_pylist()]
+    sets: list[np.ndarray] = []
+    for chunk in table.column("text").chunks:
+        for lo, hi, buf, offs in _pieces(chunk):
+            found, bounds = shingles(buf, offs)
+            sets += [found[bounds[i] : bounds[i + 1]] for i in range(hi - lo)]
     a, b = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
     at = np.concatenate([a, b])
     pairs = _links([sets[i] for i in a], [sets[i] for i in b] if len(b) else None) if len(a) else []
@@ -334,16 +357,18 @@ def _compare(table: pa.Table) -> pa.Table:
     return pa.table({"a": node[at[x]] if len(x) else pa.array([], pa.int64()), "b": node[at[y]] if len(y) else pa.array([], pa.int64())})
 
 
-def _shingled(docs: DataFrame, text: str) -> DataFrame:
-    """(node, shingles as packed binary) of ``docs``, which has a node column."""
+def _texts(docs: DataFrame, text: str) -> DataFrame:
+    """(node, text) of each distinct non-empty set, once a task: a hot class sends one text from each task."""
 
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
-            for lo, hi, buf, offs in _pieces(batch.column(1)):
-                sets, bounds = shingles(buf, offs)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), tk.binary_rows(sets.view(np.uint8), bounds * 8).cast(pa.binary())], names=["node", "shingles"])
+            for lo, hi, buf, offs in _pieces(batch.column(0)):
+                ids = node_ids(*shingles(buf, offs)).view(np.int64)
+                some = pa.array(_fresh(ids, seen))
+                yield pa.RecordBatch.from_arrays([pa.array(ids).filter(some), batch.column(0).slice(lo, hi - lo).filter(some)], names=["node", "text"])
 
-    return docs.select("node", F.col(text).alias("text")).mapInArrow(pack, "node long, shingles binary")
+    return docs.select(F.col(text).cast("string").alias("text")).mapInArrow(once, "node long, text string")
 
 
 def set_links(docs: DataFrame, *, text: str = "text") -> DataFrame:
@@ -353,13 +378,12 @@ def set_links(docs: DataFrame, *, text: str = "text") -> DataFrame:
     placed = ties.join(sizes, "label").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
     placed = placed.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     # One text for each tied set: rows with the same set are the same set whichever text stands for it.
-    noded = set_nodes(docs, text=text, keep=[text]).select("node", F.col(text).alias("text"))
     # Always a merge join: the tied sets grow with the input, and texts take the same way at every size.
-    texts = noded.join(placed.select("node").hint("merge"), "node", "left_semi").groupBy("node").agg(F.min("text").alias("text"))
-    sets = _shingled(texts, "text").join(placed, "node")
+    tied = _texts(docs, text).join(placed.hint("merge"), "node")
+    sets = tied.groupBy("node").agg(F.min("text").alias("text"), *(F.first(c).alias(c) for c in ("label", "block", "blocks")))
     # Block i meets itself and every other block once: as side 0 of (i, j) for j >= i, as side 1 of (j, i) for j < i.
     meet = F.explode(F.expr("transform(sequence(0, blocks - 1), j -> struct(least(block, j) AS i, greatest(block, j) AS j, IF(j < block, 1, 0) AS side))"))
-    spread = sets.withColumn("at", meet).select("label", "at.i", "at.j", "at.side", "node", "shingles")
+    spread = sets.withColumn("at", meet).select("label", "at.i", "at.j", "at.side", "node", "text")
     return spread.groupBy("label", "i", "j").applyInArrow(_compare, "a long, b long").checkpoint()
 
 
