@@ -45,7 +45,7 @@ CONTEXT = 2 * LENGTH - GRAM
 SHARD_BYTES = 4 << 20
 PIECE_BYTES = 1 << 20
 #: Bytes of contexts per suffix array.
-BLOCK = 2 << 20
+BLOCK = 3 << 19
 _LAST = np.int64((1 << 63) - 1)
 
 
@@ -243,14 +243,14 @@ def smallest_owners(rows: np.ndarray, left: np.ndarray, right: np.ndarray, least
     """
     starts, sizes = (LENGTH - GRAM) - left, left + right
     bounds = tk.sums(sizes)
-    base = np.arange(len(rows)) * CONTEXT + starts
-    buf = rows.reshape(-1)[tk.ranges(base, base + sizes)]
+    place = np.arange(CONTEXT)
+    buf = rows[(place >= starts[:, None]) & (place < (starts + sizes)[:, None])]
     order, _ = suffix_array(words8(buf) >> np.uint64(24), 5)
-    run = np.cumsum(common_prefixes(buf, order) < LENGTH)
-    owner = np.repeat(np.arange(len(rows)), sizes)
+    run = np.cumsum(common_prefixes(buf, order) < LENGTH, dtype=np.int32)
+    owner = np.repeat(np.arange(len(rows), dtype=np.int32), sizes)
     keep = (order + LENGTH <= bounds[1:][owner[order]]) & (order - bounds[:-1][owner[order]] <= left[owner[order]])
     order, run = order[keep], run[keep]
-    number = np.full((len(rows), WINDOWS), -1)
+    number = np.full((len(rows), WINDOWS), -1, np.int32)
     if not len(order):
         return np.zeros(0, f"S{LENGTH}"), np.zeros(0, np.int64), number
     new = np.concatenate([[True], run[1:] != run[:-1]])
@@ -289,7 +289,9 @@ def _judged(table: pa.Table) -> pa.Table:
     np.minimum.at(smallest, number, least)
     owners = string_owners(rows, sides[:, 0], sides[:, 1], smallest)
     # Each document shard compares with the smallest id that it has for the context itself.
-    reached = np.where(owners[number] < least[:, None], np.uint64(1) << np.arange(WINDOWS, dtype=np.uint64), np.uint64(0)).sum(axis=1, dtype=np.uint64)
+    reached = np.zeros(len(number), np.uint64)
+    for o in range(WINDOWS):
+        reached |= (owners[number, o] < least).astype(np.uint64) << np.uint64(o)
     some = reached > 0
     packed = (numbers[some].astype(np.uint64) << np.uint64(32)) | reached[some]
     homes = homes[some]

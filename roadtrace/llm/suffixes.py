@@ -29,7 +29,8 @@ def _order(first: np.ndarray, second: np.ndarray | None = None) -> np.ndarray:
         packed = (first.astype(np.uint64) << np.uint64(42)) | (second.astype(np.uint64) << np.uint64(21))
     packed |= np.arange(n, dtype=np.uint64)
     packed.sort()
-    return (packed & np.uint64(PACKED - 1)).astype(np.int64)
+    packed &= np.uint64(PACKED - 1)
+    return packed.astype(np.int32)
 
 
 def suffix_array(keys: np.ndarray, span: int = 1) -> tuple[np.ndarray, np.ndarray]:
@@ -43,8 +44,10 @@ def suffix_array(keys: np.ndarray, span: int = 1) -> tuple[np.ndarray, np.ndarra
     ordered = keys[order]
     new = np.ones(n, bool)
     new[1:] = ordered[1:] != ordered[:-1]
-    rank = np.empty(n, np.int64)
-    rank[order] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
+    small = np.int32 if n < 1 << 30 else np.int64
+    rank = np.empty(n, small)
+    rank[order] = np.maximum.accumulate(np.where(new, np.arange(n, dtype=small), small(0)))
+    del keys, ordered
     places = np.flatnonzero(~new | np.append(~new[1:], False))
     while len(places):
         at = order[places]
@@ -56,7 +59,7 @@ def suffix_array(keys: np.ndarray, span: int = 1) -> tuple[np.ndarray, np.ndarra
         order[places] = at
         fresh = np.ones(len(at), bool)
         fresh[1:] = (first[1:] != first[:-1]) | (second[1:] != second[:-1])
-        rank[at] = np.maximum.accumulate(np.where(fresh, places, 0))
+        rank[at] = np.maximum.accumulate(np.where(fresh, places, 0)).astype(small)
         # A suffix is settled when its rank is its own.
         places = places[~fresh | np.append(~fresh[1:], False)]
         span *= 2
@@ -71,12 +74,13 @@ def common_prefixes(buf: np.ndarray, order: np.ndarray) -> np.ndarray:
     at a time, and the rest follow by counting down.
     """
     n = len(buf)
-    neighbour = np.full(n, -1)
+    small = np.int32 if n < 1 << 30 else np.int64
+    neighbour = np.full(n, -1, small)
     neighbour[order[1:]] = order[:-1]
-    i = np.arange(n)
+    i = np.arange(n, dtype=small)
     fresh = (neighbour <= 0) | (i == 0)
     fresh[~fresh] = buf[i[~fresh] - 1] != buf[neighbour[~fresh] - 1]
-    length = np.zeros(n, np.int64)
+    length = np.zeros(n, small)
     at = np.flatnonzero(fresh & (neighbour >= 0))
     step = 0
     word = words8(buf)
@@ -92,7 +96,7 @@ def common_prefixes(buf: np.ndarray, order: np.ndarray) -> np.ndarray:
         length[at] = step + np.minimum(equal, room)
         at = at[(equal == 8) & (room > 8)]
         step += 8
-    last = np.maximum.accumulate(np.where(fresh, i, 0))
+    last = np.maximum.accumulate(np.where(fresh, i, small(0)))
     length = np.maximum(0, length[last] + last - i)
     length[neighbour < 0] = 0
     return length[order]
