@@ -44,6 +44,8 @@ CONTEXT = 2 * LENGTH - GRAM
 #: Bytes of text per document shard, and of all text per string shard, roughly.
 SHARD_BYTES = 4 << 20
 PIECE_BYTES = 1 << 20
+#: Bytes of text whose anchors are found together; their arrays fit a processor's cache.
+STRETCH = 1 << 17
 #: Bytes of contexts per suffix array.
 BLOCK = 3 << 19
 _LAST = np.int64((1 << 63) - 1)
@@ -66,12 +68,14 @@ def anchors(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray,
         return (np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
     word = np.ndarray((len(buf) - 7,), "<u8", np.ascontiguousarray(buf).data, 0, (1,)).astype(np.uint64)
     m = len(buf) - GRAM + 1
-    h = np.zeros(m, np.uint64)
-    for k in (*range(0, GRAM - 8, 8), GRAM - 8):
-        h += word[k : m + k]
-        h *= np.uint64(0x9E3779B97F4A7C15)
-        h ^= h >> np.uint64(29)
-    h = tk.mix(h) | np.uint64(1)
+    h = word[:m] * np.uint64(0x9E3779B97F4A7C15)
+    for k, factor in zip((*range(8, GRAM - 8, 8), GRAM - 8), (0xD6E8FEB86659FD93, 0xA24BAED4963EE407), strict=True):
+        h ^= h >> np.uint64(32)
+        h += word[k : m + k] * np.uint64(factor)
+    h ^= h >> np.uint64(32)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(29)
+    h |= np.uint64(1)
     least = _slide(h, WINDOWS, np.minimum)
     # Strings that cross a text's end choose no anchor.
     for end in offs[1:-1].tolist():
@@ -118,7 +122,7 @@ def _anchors_of(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
     buf, offs = buf[offs[0] : offs[-1]], offs - offs[0]
     found, lo = [[np.zeros(0, t)] for t in (np.int64, np.uint64, np.int64, np.int64)], 0
     while lo < len(offs) - 1:
-        hi = max(lo + 1, int(np.searchsorted(offs, offs[lo] + tk.CHUNK, "right")) - 1)
+        hi = max(lo + 1, int(np.searchsorted(offs, offs[lo] + STRETCH, "right")) - 1)
         for parts, values, shift in zip(found, anchors(buf[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo]), (offs[lo], 0, 0, 0), strict=True):
             parts.append(values + shift if shift else values)
         lo = hi
