@@ -43,11 +43,11 @@ WINDOWS = LENGTH - GRAM + 1
 CONTEXT = 2 * LENGTH - GRAM
 #: Bytes of text per document shard, and of all text per string shard, roughly.
 SHARD_BYTES = 4 << 20
-PIECE_BYTES = 1 << 20
+PIECE_BYTES = 1 << 19
 #: Bytes of text whose anchors are found together; their arrays fit a processor's cache.
 STRETCH = 1 << 17
 #: Bytes of contexts per suffix array.
-BLOCK = 3 << 19
+BLOCK = 3 << 18
 _LAST = np.int64((1 << 63) - 1)
 
 
