@@ -214,3 +214,22 @@ def physical_roads(spark: SparkSession, root: str) -> DataFrame:
     a, b = F.col("l_suppkey") % 97, F.col("l_partkey") % 97
     roads = table(spark, root, "lineitem").select((F.col("l_orderkey") % 500).alias("way"), F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
     return roads.groupBy(F.col("way") % 10).agg(F.count("*").alias("roads"), F.sum("b").alias("total")).select("roads", "total")
+
+
+@query()
+def shortest_routes_whole(spark: SparkSession, root: str) -> DataFrame:
+    """GRF05, GRF06 over the whole table under its own ids; leaving a node costs one to three; tested against brute force."""
+    net = table(spark, root, "lineitem").select(F.col("l_suppkey").alias("edge"), F.col("l_partkey").alias("next")).distinct()
+    nodes = net.select(F.col("edge").alias("id")).union(net.select("next")).distinct().withColumn("cost", (1 + F.col("id") % 3).cast("double"))
+    starts = net.filter("edge < 12").select(F.col("edge").alias("start")).distinct()
+    pairs = starts.withColumn("goal", F.explode(F.array(*(F.lit(n).cast("long") for n in (20, 33, 47))))).withColumn("request", F.concat_ws("-", "start", "goal"))
+    return routing.shortest(nodes, net, pairs, most=14).join(pairs, "request").select("start", "goal", "cost")
+
+
+@query()
+def junction_candidates_whole(spark: SparkSession, root: str) -> DataFrame:
+    """JOI21 with every turn that the table holds; tested against brute force."""
+    l = table(spark, root, "lineitem")
+    e = l.select(F.col("l_suppkey").alias("id")).distinct().withColumns({"arrive": (F.col("id") * 37) % 63 / 10.0, "leave": (F.col("id") * 53) % 63 / 10.0})
+    t = l.select(F.col("l_suppkey").alias("edge"), F.col("l_partkey").alias("next")).distinct()
+    return f.junctions(e, t, 0.77, 2.11).withColumn("angle", F.round("angle", 5))
