@@ -12,6 +12,11 @@ distinct notice is scored once, so a licence line that a third of all documents
 
 The templates are a parameter of bounded size (``MAX_TERMS`` terms), inlined as a local table.
 
+With ``pieces`` a document is scored by parts: each marker line, each paragraph with a marker and the whole text are
+notices of their own, and the best one counts, so a header stands out beside copyright lines and code. ``FULL`` adds
+SPDX ids, standard headers, title paragraphs and the full texts of the short licences; a name's part after a colon only
+tells its templates apart.
+
 Defined cases: null text has no notice; a null path has no directory and neither gives nor takes a licence; ids may
 repeat or be null; an empty table gives no rows; other columns stay out of the result unless named in ``keep``.
 """
@@ -46,6 +51,47 @@ TEMPLATES = {
     "mpl-2.0": "Subject to the terms of the Mozilla Public License, version 2.0",
 }
 
+_ANY_KIND = 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.'
+_MIT = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"
+_MIT_FULL = f"MIT License Copyright (c) {_MIT} The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. {_ANY_KIND}"
+_BSD = "Copyright (c) All rights reserved. Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+_NEITHER = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+_BSD_END = 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.'
+_ISC = 'Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.'
+_APACHE = "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at"
+_APACHE_END = 'Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.'
+_GNU = "This {0} is free software: you can redistribute it and/or modify it under the terms of the GNU {1}General Public License as published by the Free Software Foundation, either version {2} of the License, or (at your option) any later version."
+_SPDX = {n: [n] for n in ("apache-2.0", "bsd-2-clause", "bsd-3-clause", "cc-by-4.0", "cc-by-nc-4.0", "cc-by-sa-4.0", "cc0-1.0", "isc", "mit", "mpl-2.0")} | {n: [n, f"{n}-only", f"{n}-or-later"] for n in ("gpl-2.0", "gpl-3.0", "lgpl-3.0")}
+
+#: ``TEMPLATES`` with SPDX ids, standard headers, title paragraphs and full texts.
+FULL = (
+    TEMPLATES
+    | {f"{name}:spdx{i}": f"SPDX-License-Identifier: {v}" for name, ids in _SPDX.items() for i, v in enumerate(ids)}
+    | {
+        "apache-2.0:header": _APACHE,
+        "apache-2.0:notice": f"{_APACHE} http://www.apache.org/licenses/LICENSE-2.0 {_APACHE_END}",
+        "apache-2.0:title": "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/",
+        "bsd-2-clause:title": "BSD 2-Clause License",
+        "bsd-2-clause:text": f"{_BSD} {_BSD_END}",
+        "bsd-3-clause:title": "BSD 3-Clause License",
+        "bsd-3-clause:names": _NEITHER,
+        "bsd-3-clause:text": f"{_BSD} {_NEITHER} {_BSD_END}",
+        "gpl-2.0:header": _GNU.format("program", "", "2"),
+        "gpl-2.0:title": "GNU GENERAL PUBLIC LICENSE Version 2, June 1991",
+        "gpl-3.0:header": _GNU.format("program", "", "3"),
+        "gpl-3.0:title": "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
+        "lgpl-3.0:header": _GNU.format("library", "Lesser ", "3"),
+        "lgpl-3.0:title": "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
+        "isc:title": "ISC License",
+        "isc:text": f"ISC License Copyright (c) {_ISC}",
+        "mit:title": "The MIT License (MIT)",
+        "mit:grant": _MIT,
+        "mit:text": _MIT_FULL,
+        "mpl-2.0:header": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
+        "mpl-2.0:title": "Mozilla Public License Version 2.0",
+    }
+)
+
 
 def weights(templates: dict[str, str]) -> tuple[list[tuple[str, str, float]], dict[str, float], float]:
     """(term, licence, unit-length weight) rows, each term's inverse frequency, and that of a foreign term."""
@@ -77,22 +123,40 @@ def scored(spark: SparkSession, notices: DataFrame, templates: dict[str, str]) -
     dots = terms.join(F.broadcast(table), "term").groupBy("key", "license").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"))
     cosines = dots.join(norms, "key").withColumn("cosine", F.round(F.col("dot") / F.col("norm"), 6)).filter(F.col("cosine") >= LEAST)
     best = cosines.groupBy("key").agg(F.min(F.struct((-F.col("cosine")).alias("minus"), "license")).alias("best"))
-    return best.select("key", F.col("best.license").alias("license"), (-F.col("best.minus")).alias("cosine"))
+    return best.select("key", F.substring_index("best.license", ":", 1).alias("license"), (-F.col("best.minus")).alias("cosine"))
+
+
+def scored_pieces(spark: SparkSession, bodies: DataFrame, templates: dict[str, str]) -> DataFrame:
+    """As ``scored`` for (key, body): the best of a body's marker lines, paragraphs with a marker, and whole text."""
+    marked = lambda parts: F.filter(parts, lambda part: part.rlike(MARKER))
+    # A line without a letter or digit ends a paragraph, also within a comment.
+    paragraphs = F.split("body", r"\n(?:[^\p{L}\p{N}\n]*\n)+")
+    pieces = F.array_distinct(F.concat(marked(F.split("body", "\n", -1)), marked(paragraphs), F.array("body")))
+    each = bodies.select(F.col("key").alias("__body"), F.explode(pieces).alias("notice")).withColumn("key", F.sha2("notice", 256))
+    # Each distinct piece is scored once, whatever the number of texts that hold it.
+    best = scored(spark, each.select("key", "notice").distinct(), templates)
+    met = each.select("__body", "key").join(best, "key").groupBy("__body").agg(F.min(F.struct((-F.col("cosine")).alias("minus"), "license")).alias("best"))
+    return met.select(F.col("__body").alias("key"), F.col("best.license").alias("license"), (-F.col("best.minus")).alias("cosine"))
+
 
+def scan_licenses(df: DataFrame, *, id_col: str, path: str, text: str = "text", keep: list[str] | None = None, templates: dict[str, str] = TEMPLATES, pieces: bool = False) -> DataFrame:
+    """``keep`` columns (by default the id) with path, own_license, cosine, license and license_dir of each row.
 
-def scan_licenses(df: DataFrame, *, id_col: str, path: str, text: str = "text", keep: list[str] | None = None, templates: dict[str, str] = TEMPLATES) -> DataFrame:
-    """``keep`` columns (by default the id) with path, own_license, cosine, license and license_dir of each row."""
+    ``pieces``: the best of a text's lines, paragraphs and whole counts, not all its marker lines as one notice.
+    """
     spark = df.sparkSession
     kept = [id_col] if keep is None else keep
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     marked = F.when(body.rlike(MARKER), F.array_join(F.filter(F.split(body, "\n", -1), lambda line: line.rlike(MARKER)), "\n"))
     words = F.when(body.rlike(MARKER), F.size(F.filter(F.split(body, r"\s+"), lambda w: w != "")))
-    rows = df.select(*kept, F.col(path).cast("string").alias("__path"), marked.alias("__notice"), words.alias("__words"))
+    scored_text = F.when(body.rlike(MARKER), body) if pieces else marked
+    rows = df.select(*kept, F.col(path).cast("string").alias("__path"), marked.alias("__notice"), words.alias("__words"), scored_text.alias("__scored"))
     directory = F.when(F.col("__path").contains("/"), F.regexp_replace("__path", "/[^/]*$", "")).otherwise(F.when(F.col("__path").isNotNull(), F.lit("")))
     # Rows without a notice spread over the join by a key of their own.
-    rows = rows.withColumn("__dir", directory).withColumn("__key", F.when(F.col("__notice").isNotNull(), F.sha2("__notice", 256)).otherwise(F.concat(F.lit("-"), F.monotonically_increasing_id())))
-    notices = rows.filter("__notice IS NOT NULL").select(F.col("__key").alias("key"), F.col("__notice").alias("notice")).distinct()
-    best = scored(spark, notices, templates).select(F.col("key").alias("__key"), F.col("license").alias("own_license"), "cosine")
+    rows = rows.withColumn("__dir", directory).withColumn("__key", F.when(F.col("__notice").isNotNull(), F.sha2("__scored", 256)).otherwise(F.concat(F.lit("-"), F.monotonically_increasing_id())))
+    notices = rows.filter("__notice IS NOT NULL").select(F.col("__key").alias("key"), F.col("__scored").alias("body" if pieces else "notice")).distinct()
+    rows = rows.drop("__scored")
+    best = (scored_pieces if pieces else scored)(spark, notices, templates).select(F.col("key").alias("__key"), F.col("license").alias("own_license"), "cosine")
     owned = rows.join(best, "__key", "left")
 
     notice_words = F.size(F.filter(F.split("__notice", r"\s+"), lambda w: w != ""))

@@ -53,6 +53,12 @@ def op4_license_inheritance(spark: SparkSession, root: str) -> DataFrame:
     return ls.scan_licenses(docs, id_col="doc_id", path="path")
 
 
+def op4_license_pieces(spark: SparkSession, root: str) -> DataFrame:
+    """As ``op4_license_inheritance``, by the best line, paragraph or whole text and with the full templates."""
+    docs = table(spark, root, "documents").select("doc_id", F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string")).alias("path"), "text")
+    return ls.scan_licenses(docs, id_col="doc_id", path="path", templates=ls.FULL, pieces=True)
+
+
 def op5_fm_index_decontamination(spark: SparkSession, root: str) -> DataFrame:
     marked = dc.mark(table(spark, root, "documents").select("doc_id", "text"), table(spark, root, "benchmark"))
     return marked.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), dc.contaminated().alias("contaminated"))
@@ -97,7 +103,7 @@ def op10_piece_language_id(spark: SparkSession, root: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_suffix_array_dedup, op2_hilbert_sharding, op3_credential_linking, op4_license_inheritance, op5_fm_index_decontamination, op6_partenum_jaccard_join, op7_url_trie_filter, op8_pair_index_bpe, op9_ngram_likelihood_ratio, op10_piece_language_id)}
+    return {f.__name__: f for f in (op1_suffix_array_dedup, op2_hilbert_sharding, op3_credential_linking, op4_license_inheritance, op4_license_pieces, op5_fm_index_decontamination, op6_partenum_jaccard_join, op7_url_trie_filter, op8_pair_index_bpe, op9_ngram_likelihood_ratio, op10_piece_language_id)}
 
 
 _OP7_SQL = """
