@@ -6,33 +6,39 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from roadtrace.operators.components import shared_folder
 from roadtrace.operators.spatial import around, cell
 
 
 def nearest_settlement(points: DataFrame, settlements: DataFrame, size: float, bonus: dict[str, float]) -> DataFrame:
     """JOI07: (id, place): the settlement with the least distance less its kind's bonus, among the 3x3 cells around.
 
-    Points without a settlement there fall back to all settlements. Those are counted first and broadcast only up to
-    ``BROADCAST`` rows; beyond that the search widens ring by ring, so the work stays an equi join.
+    Points without a settlement there take the best of all. Their search doubles the cells' width until it is at least the
+    best score plus the largest bonus: whatever lies outside the 3x3 cells is farther than one width, so it can't win.
     """
+    shared_folder(points.sparkSession)
     weight = F.create_map(*(F.lit(x) for pair in bonus.items() for x in pair)) if bonus else F.create_map(F.lit(""), F.lit(0.0))
     s = settlements.select(F.col("id").alias("place"), F.col("x").alias("sx"), F.col("y").alias("sy"), F.coalesce(weight[F.col("kind")], F.lit(0.0)).alias("bonus"))
     score = F.sqrt((F.col("x") - F.col("sx")) ** 2 + (F.col("y") - F.col("sy")) ** 2) - F.col("bonus")
     best = lambda met: met.groupBy("id").agg(F.min(F.struct(score.alias("score"), "place")).alias("b")).select("id", "b.place", "b.score")
-    found = best(around(points.select("id", "x", "y"), size).join(cell(s, size, "sx", "sy"), ["cx", "cy"]))
-    rest = points.select("id", "x", "y").join(found, "id", "left_anti")
-    if s.limit(BROADCAST + 1).count() <= BROADCAST:
-        return found.unionByName(best(rest.crossJoin(F.broadcast(s))))
-    rings = 1
-    while not rest.isEmpty():
-        rings *= 4
-        # Four times as wide cells: the 3x3 around a point reach four times as far.
-        more = best(around(rest, size * rings).join(cell(s, size * rings, "sx", "sy"), ["cx", "cy"]))
-        found, rest = found.unionByName(more), rest.join(more, "id", "left_anti")
+    some = s.limit(BROADCAST + 1).count()
+    side = F.broadcast if some <= BROADCAST else lambda df: df
+    block = lambda p, width: best(around(p, width).join(side(cell(s, width, "sx", "sy")), ["cx", "cy"]))
+    found = block(points.select("id", "x", "y"), size)
+    rest = points.select("id", "x", "y").join(found, "id", "left_anti").checkpoint()
+    placed = rest.select("x", "y").union(s.select("sx", "sy")).filter((F.abs("x") < F.lit(float("inf"))) & (F.abs("y") < F.lit(float("inf"))))
+    span = placed.agg(F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y")).alias("span")).first()["span"] or 0.0
+    most, width, seen_all = max([0.0, *bonus.values()]), size, some == 0
+    while not seen_all and not rest.isEmpty():
+        width *= 2
+        seen_all = width > span
+        met = block(rest, width)
+        ended = (met if seen_all else met.filter(F.col("score") + most <= width)).checkpoint()
+        found, rest = found.unionByName(ended), rest.join(ended, "id", "left_anti").checkpoint()
     return found
 
 
-#: Settlements that may be broadcast for the fall-back.
+#: Settlements that may be broadcast to the joins by cell; the result is the same beyond.
 BROADCAST = 10_000
 
 
