@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from roadtrace.operators.ordered import running_sum
+
 
 def bends(turns: DataFrame, key: str, at: str, delta: str, active: float, quiet: float, least: float) -> DataFrame:
     """WIN10: runs of active heading changes that no more than ``quiet`` metres part: (key, bend, begin, end, angle, middle).
@@ -60,15 +62,42 @@ def top_groups(df: DataFrame, group: str, key: str, mass: str, first: int, last:
     return df.withColumn("place", place).filter(F.col("place").between(first, last))
 
 
-def background(df: DataFrame, key: str, order: list[str], value: str, length: int, name: str = "background") -> DataFrame:
-    """WIN18: b = (1 - 1/length) b + value/length from the first value on; one sequential pass a key."""
-    schema = df.withColumn(name, F.lit(0.0)).schema
+def background(df: DataFrame, key: str, order: list[str], value: str, length: int, bucket: Column, name: str = "background") -> DataFrame:
+    """WIN18: b = (1 - 1/length) b + value/length from the first value on.
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(order, kind="stable")
-        return rows.assign(**{name: rows[value].ewm(alpha=1 / length, adjust=False).mean()})[schema.names]
+    The recurrence is linear: rows are numbered in ``order`` by buckets (see ``ordered``), each ``BLOCK`` of them runs
+    from zero by itself, and one row a block carries the decayed value across. ``order`` must be unique within a key.
+    """
+    keep = 1 - 1 / length
+    numbered = running_sum(df, [key], order, F.lit(1), bucket, "__n").withColumn("__block", F.floor((F.col("__n") - 1) / BLOCK))
+    schema = numbered.withColumn("__own", F.lit(0.0)).schema
 
-    return df.groupBy(key).applyInPandas(run, schema)
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("__n")
+        own, last = [], 0.0
+        for n, v in zip(rows["__n"].tolist(), rows[value].tolist(), strict=True):
+            last = v if n == 1 else keep * last + v / length
+            own.append(last)
+        return rows.assign(__own=own)[schema.names]
+
+    local = numbered.groupBy(key, "__block").applyInPandas(run, schema)
+    ends = local.groupBy(key, "__block").agg(F.max_by("__own", "__n").alias("own"), F.count("*").alias("n"))
+
+    def carry(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("__block")
+        before, last = [], 0.0
+        for own, n in zip(rows["own"].tolist(), rows["n"].tolist(), strict=True):
+            before.append(last)
+            last = keep**n * last + own
+        return rows.assign(__carry=before)[[key, "__block", "__carry"]]
+
+    carried = ends.groupBy(key).applyInPandas(carry, ends.select(key, "__block", F.lit(0.0).alias("__carry")).schema)
+    decay = F.pow(F.lit(keep), F.col("__n") - F.col("__block") * BLOCK)
+    return local.join(carried, [key, "__block"]).withColumn(name, F.col("__own") + decay * F.col("__carry")).drop("__n", "__block", "__own", "__carry")
+
+
+#: Rows of a key that ``background`` runs in one piece.
+BLOCK = 4096
 
 
 def downsampled(df: DataFrame, key: str, time: str, values: list[str], step: float) -> DataFrame:

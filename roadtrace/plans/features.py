@@ -10,7 +10,7 @@ from roadtrace.functions import motion as m
 from roadtrace.operators import features as f
 from roadtrace.operators import places as p
 from roadtrace.operators import routing
-from roadtrace.operators.ordered import micros
+from roadtrace.operators.ordered import by_day, micros
 from roadtrace.plans.registry import query
 from roadtrace.plans.spatial import _POINTS, _SEGS, _lines, points
 from roadtrace.sources.tables import table
@@ -112,7 +112,7 @@ SELECT event_id, round(b, 6) AS background FROM w""")
 def exponential_background(spark: SparkSession, root: str) -> DataFrame:
     """WIN18."""
     e = table(spark, root, "events").select("user_id", "event_id", micros().alias("t"), "value")
-    return f.background(e, "user_id", ["t", "event_id"], "value", 120).select("event_id", F.round("background", 6).alias("background"))
+    return f.background(e, "user_id", ["t", "event_id"], "value", 120, by_day("t")).select("event_id", F.round("background", 6).alias("background"))
 
 
 @query("""
