@@ -52,7 +52,12 @@ class HostTrie:
             node = self.root
             for label in reversed(rule.host.split(".")):
                 node = node.setdefault(label, {})
-            node.setdefault("", []).append((rule.path, rule.text, rule.verdict))
+            # Whole segments lead down a host's own trie; what follows the last slash is kept under its length.
+            *segments, part = rule.path.split("/")
+            place = node.setdefault("", ({}, {}))
+            for segment in segments:
+                place = place[0].setdefault(segment, ({}, {}))
+            place[1].setdefault(len(part), {}).setdefault(part, (rule.text, rule.verdict))
 
     def match(self, host: str, path: str) -> tuple[str, str] | None:
         """Rule text and verdict of the longest match."""
@@ -60,12 +65,21 @@ class HostTrie:
         for label in reversed(host.split(".")):
             if not label or (node := node.get(label)) is None:
                 break
-            for prefix, text, verdict in node.get("", ()):
-                if path.startswith(prefix):
-                    best = (text, verdict)
-                    break
+            if "" in node:
+                best = self._longest(node[""], path) or best
         return best
 
+    @staticmethod
+    def _longest(place: tuple[dict, dict], path: str) -> tuple[str, str] | None:
+        """The deepest place on the way along the segments counts; there, the longest beginning of the next segment."""
+        found = None
+        for segment in path.split("/"):
+            # Rules come longest first, so lengths do too.
+            found = next((hit for n, parts in place[1].items() if n <= len(segment) and (hit := parts.get(segment[:n]))), found)
+            if (place := place[0].get(segment)) is None:
+                break
+        return found
+
 
 def split_url(url: str | None) -> tuple[str, str]:
     found = _URL.search(url) if url else None
