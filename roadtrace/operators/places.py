@@ -1,4 +1,4 @@
-"""Places: nearest settlement, suppression of duplicates, region unions."""
+"""Places: nearest settlement, suppression of duplicates."""
 
 from __future__ import annotations
 

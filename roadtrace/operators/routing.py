@@ -98,7 +98,7 @@ def clipped(routes: DataFrame, edges: DataFrame, start_at: str, goal_at: str) ->
 
 
 def through(edges: DataFrame, turns: DataFrame, stops: DataFrame) -> DataFrame:
-    """GRF10, GRF12: (request, cost, route) through ordered stops (request, seq, edge); the legs are searched together.
+    """(request, cost, route) through ordered stops (request, seq, edge); the legs are searched together.
 
     A request with an unreachable leg has no row.
     """
