@@ -9,9 +9,15 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> None:
-    """Makes sure that checkpoint() has a folder: the cluster's spark.checkpoint.dir, or one of our own if unset."""
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+    """Makes sure that checkpoint() has a folder: the cluster's spark.checkpoint.dir, or in local mode one of our own."""
+    if spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        return
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the executors share")
+        folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    spark.sparkContext.setCheckpointDir(folder)
 
 
 def components(links: DataFrame) -> DataFrame:
