@@ -1,12 +1,15 @@
-"""Vectorised text work inside tasks: chunks of whole texts, word and line bounds, hashes of spans.
+"""Vectorised text work inside tasks: chunks of whole texts, word and line bounds, hashes and equality of spans.
 
-Hashes are 64-bit; where an operator takes equal hashes for equal strings, it says so.
+A span's hash takes in its bytes eight at a time through a mixing bijection, from ``SEED``; a span beyond ``LONG`` bytes goes through
+keyed BLAKE2. No sum or polynomial is involved, so strings that collide for every base of a polynomial don't collide here.
+Hashes have 64 bits; an operator that can see both strings compares their bytes as well (``same``), the others say so.
 """
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Iterator
-from functools import cache
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -22,14 +25,17 @@ SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
 def checkpoint_dir(spark: SparkSession) -> None:
-    """Makes sure that DataFrame.checkpoint has a folder: the cluster's, or one of our own where none is named."""
+    """Makes sure that DataFrame.checkpoint has a folder: the cluster's, or in local mode one of our own.
+
+    Raises on a cluster that names none, since executors couldn't share a folder of the driver's machine.
+    """
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isDefined():
         return
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
-        import tempfile
-
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the executors share")
         folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     context.setCheckpointDir(folder)
 
@@ -52,29 +58,9 @@ def chunks(column: pa.Array, limit: int = CHUNK) -> Iterator[tuple[int, int, np.
         lo = hi
 
 
-@cache
-def _byte_values() -> np.ndarray:
-    return np.random.default_rng(20240229).integers(1, 1 << 63, 256).astype(np.uint64) * np.uint64(2) + np.uint64(1)
-
-
-_BASE = 0x9E3779B97F4A7C15
-_POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-#: Powers that a worker keeps; those of longer buffers are made anew.
-_KEPT = 1 << 21
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_POWERS[0]) > n:
-        return _POWERS[0], _POWERS[1]
-    size = (n // (1 << 18) + 1) << 18
-    made = []
-    for base in (_BASE, pow(_BASE, -1, 1 << 64)):
-        steps = np.full(size, base, np.uint64)
-        steps[0] = 1
-        made.append(np.cumprod(steps))
-    if size <= _KEPT:
-        _POWERS[:] = made
-    return made[0], made[1]
+#: Spans up to this many bytes are hashed together, longer ones one by one.
+LONG = 64
+SEED = 0x9E3779B97F4A7C15
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -95,15 +81,62 @@ def sums(flags: np.ndarray, dtype=np.int64) -> np.ndarray:
 
 
 class Spans:
-    """Hashes of any spans of one buffer, from running sums."""
+    """Hashes and equality of any spans of one buffer."""
+
+    def __init__(self, buf: np.ndarray, seed: int = SEED):
+        self.seed = seed
+        self.bytes = np.concatenate([buf, np.zeros(8, np.uint8)])
+        self.eight = np.ndarray((len(buf) + 1,), "<u8", self.bytes.data, 0, (1,))
 
-    def __init__(self, buf: np.ndarray):
-        self.power, self.inverse = _powers(len(buf))
-        self.sums = sums(_byte_values()[buf] * self.power[: len(buf)], np.uint64)
+    def _part(self, at: np.ndarray, left: np.ndarray) -> np.ndarray:
+        """The next eight bytes from each place, or the ``left`` that remain, as a number."""
+        cut = (np.maximum(0, 8 - left) * 8).astype(np.uint64)
+        return (self.eight[at] << cut) >> cut
 
     def hash(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        h = (self.sums[ends] - self.sums[starts]) * self.inverse[starts]
-        return mix(h + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        size = ends - starts
+        out = mix(size.astype(np.uint64) + np.uint64(self.seed))
+        rows = np.flatnonzero((size > 0) & (size <= LONG))
+        for done in range(0, LONG, 8):
+            rows = rows[size[rows] > done]
+            if not len(rows):
+                break
+            out[rows] = mix(out[rows] ^ self._part(starts[rows] + done, size[rows] - done))
+        key = self.seed.to_bytes(8, "little")
+        raw = self.bytes.data
+        for i in np.flatnonzero(size > LONG).tolist():
+            out[i] = int.from_bytes(blake2b(raw[starts[i] : ends[i]], digest_size=8, key=key).digest(), "little")
+        return out
+
+    def same(self, starts: np.ndarray, other: np.ndarray, size: np.ndarray, among: Spans | None = None) -> np.ndarray:
+        """Whether the ``size`` bytes from each of ``starts`` are those from ``other`` (of ``among``, by default this buffer)."""
+        among = among or self
+        out = np.ones(len(size), bool)
+        raw, theirs = self.bytes.data, among.bytes.data
+        rows = np.flatnonzero((size <= LONG) & ((starts != other) | (among is not self)))
+        for done in range(0, LONG, 8):
+            rows = rows[size[rows] > done]
+            if not len(rows):
+                break
+            left = size[rows] - done
+            out[rows] &= self._part(starts[rows] + done, left) == among._part(other[rows] + done, left)
+        for i in np.flatnonzero((size > LONG) & ((starts != other) | (among is not self))).tolist():
+            out[i] = raw[starts[i] : starts[i] + size[i]] == theirs[other[i] : other[i] + size[i]]
+        return out
+
+    def numbers(self, starts: np.ndarray, ends: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, int]:
+        """A number for each span, from 0: equal if and only if the owner and the bytes are; and how many there are."""
+        if not len(starts):
+            return np.zeros(0, np.int64), 0
+        keys = mix(self.hash(starts, ends) + owner.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        _, first, number = np.unique(keys, return_index=True, return_inverse=True)
+        size, like = ends - starts, first[number]
+        if (owner == owner[like]).all() and (size == size[like]).all() and self.same(starts, starts[like], size).all():
+            return number, len(first)
+        known: dict[tuple[int, bytes], int] = {}
+        raw = self.bytes.tobytes()
+        listed = [known.setdefault((o, raw[a:b]), len(known)) for o, a, b in zip(owner.tolist(), starts.tolist(), ends.tolist(), strict=True)]
+        return np.array(listed, np.int64), len(known)
 
 
 def word_bounds(inside: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

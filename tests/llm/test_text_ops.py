@@ -190,12 +190,12 @@ def contaminated(rows, items):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("block", [1 << 20, 300])
-def test_decontamination(spark, root, block):
+@pytest.mark.parametrize("block,piece", [(1 << 20, 20_000), (300, 7)])
+def test_decontamination(spark, root, block, piece):
     folder, rows = root
     bench = spark.read.parquet(f"{folder}/benchmark.parquet")
     docs = spark.read.parquet(f"{folder}/documents.parquet").withColumn("items", F.lit("clash")).select("doc_id", "text", "items")
-    marked = decontaminate.mark(docs, bench, block=block)
+    marked = decontaminate.mark(docs, bench, block=block, piece=piece)
     got = marked.select("doc_id", "n_words", "n_hit", F.size("items").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("h"), decontaminate.contaminated().alias("c"))
     assert rows_of(got, "doc_id", "n_words", "n_hit", "n_items", "h", "c") == contaminated(rows, [(r["item_id"], r["text"]) for r in bench.collect()])
     for r in marked.filter("n_hit > 0").select("text", "n_hit", "spans").collect():
@@ -314,3 +314,37 @@ def test_pipeline_stages(spark, root):
     assert all(len(shingle_set(t)) >= 46 for _, t in left)
     assert not any(c for *_, c in contaminated(left, [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{folder}/benchmark.parquet").collect()]))
     assert rows_of(corpus_pipeline.run(spark, folder), "doc_id") == sorted(((i,) for i, _ in left), key=repr)
+
+
+def thue_morse(n):
+    """Two different strings of 2**n letters that every polynomial hash modulo 2**64 takes for equal, from n = 10 on."""
+    a, b = "a", "b"
+    for _ in range(n):
+        a, b = a + b, b + a
+    return a, b
+
+
+def test_thue_morse_words_and_lines(spark, tmp_path):
+    """Strings made to collide are told apart by the rules, the join and the decontamination."""
+    (w, v), fill = thue_morse(11), [prose(60) for _ in range(3)]
+    texts = [w, v, f"{w}\n{v}\n{fill[0]}", f"{w}\n{w}\n{fill[0]}", f"{fill[1]} {w}", f"{fill[1]} {v}", " ".join([w, v, "x"] * 3), " ".join([w, w, "x", v, v, "x"]), f"q {v} {fill[2]}"]
+    rows = [(i, t, "en", "s", 0) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, w), (2, f"x {w} x")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    folder = str(tmp_path)
+    want = [(i, *c, c[0] < 50 or 100 * c[4] > 50 * c[0]) for i, t, *_ in rows for c in [base_counts(t)]]
+    assert rows_of(q.op9_ngram_likelihood_ratio(spark, folder), "doc_id", *quality_llr.COUNTS, "base_failed") == sorted(want, key=repr)
+    assert rows_of(q.op6_partenum_jaccard_join(spark, folder), "doc_id", "n_shingles", "component_id") == component_ids(rows)
+    got = rows_of(q.op5_fm_index_decontamination(spark, folder), "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    assert got == contaminated(rows, [(1, w), (2, f"x {w} x")])
+
+
+def test_numbers_of_equal_hashes(monkeypatch):
+    """Where hashes fail altogether the bytes decide."""
+    monkeypatch.setattr(textkit.Spans, "hash", lambda self, starts, ends: np.zeros(len(starts), np.uint64))
+    monkeypatch.setattr(textkit, "mix", lambda h: h * np.uint64(0))
+    buf, offs = textkit.strings(pa.array(["a b a", "a cc b", None]))
+    starts, ends, firsts = textkit.word_bounds(~textkit.SPACE[buf], offs)
+    number, n = textkit.Spans(buf).numbers(starts, ends, textkit.owners(firsts))
+    assert number.tolist() == [0, 1, 0, 2, 3, 4] and n == 5
