@@ -1,74 +1,83 @@
 r"""N-gram Jaccard join by PartEnum signatures.
 
 A document is the set of its distinct five-word shingles (words ``[^\x20\x09-\x0D]+``, A-Z lower-cased; fewer words
-make one shingle). Sets that link at similarity 0.75 and have sizes a <= b differ in at most (a + b) / 7 shingles.
+make one shingle). Sets that link at similarity 0.75 and have sizes a <= b differ in k <= (a + b) / 7 shingles.
 
-Bands of sizes run from u to u / 0.75, so partners lie in one band or the next. Instance j, for sets of band j (role
-*lower*) and of band j + 1 (role *upper*), deals the shingle domain by hash to n_j groups. Of the subsets of groups
-that PartEnum enumerates, those of a single group are taken; a set has one signature for each of its non-empty groups.
-With N non-empty groups and at most k differing ones, two linked sets share at least N - k signatures. n_j is large
-enough for N > k; every set is checked for that, and if one fails the groups are made finer and the step is repeated,
-so no link is lost to chance. In the smallest band every shingle is a group of its own.
+**Bands and instances.** Sizes fall in bands up to 2, 5, 8, 14, 24, 42, ... (each 16/9 of the one before). Instance j serves the sets of
+band j (role *lower*) and those above it that a set of band j can link with (role *upper*: up to 4/3 of the band's end), so two linked
+sets always meet in an instance. Sets of up to 2 shingles link with equal sets only, which are one node anyhow.
 
-Signatures meet in buckets. A group of at most ``SMALL`` sets gives its pairs with the number of signatures they share,
-and a pair stays if that number, plus those it may share in larger groups, reaches N - k. Larger groups make no pairs:
-the members with at least N - k signatures in such groups are tied to one of them. The ties' components hold all
-linked sets together; within them, blocks of ``BLOCK`` sets are compared exactly (intersections are counted through an
-inverted list) and only a spanning forest of the links leaves a task. The links' components are the classes.
+**Two levels.** An instance deals the shingle domain by hash to n1 partitions of n2 subpartitions each, and a set's signatures are, for
+each partition, its projections on every subset of n2 - k2 subpartitions. Of k differences at most floor(k / (k2 + 1)) partitions have
+more than k2, and in any other partition some subset shows no difference. Bands up to 5 and 8 have (n1, n2, k2) = (1, 6, 1) and
+(1, 6, 2); a band up to u has (0.185 u + 2.5, 3, 1): some 0.6 signatures a shingle.
 
-Equal sets are one node from the start, once per task, so hot copies cost one row a task. Nodes are 64-bit hashes of
-sets, shingles 48-bit hashes within a document. Signatures travel as packed arrays of 15 bytes
-each, one row per task and bucket.
+**Empty projections** tell nothing and make no signature, so a set counts what it surely keeps: with G partitions of two or more used
+subpartitions and E of one, k differences leave ``least_shared(G, E, k)`` of its three (or two) signatures a partition at least. If that
+is none, the set adds a further round under another hash, until it is some. Of two linked sets the one with fewer rounds is sure of its
+signatures in its last round, in which both take part; so no link is lost to chance at any size.
+
+**Meeting.** Signatures meet in buckets. A group of at most ``SMALL`` sets gives its pairs with the number of signatures they share, and
+a pair stays if that number, plus those it may share in larger groups, reaches what it must share. Larger groups make no pairs: members
+that have enough signatures in such groups are tied to one of them. A signature that is common within a task leaves it as
+tie candidates and ``SMALL`` + 1 entries, so no bucket holds all sets of a hot signature. The ties' components hold all linked sets
+together; within them, blocks of ``BLOCK`` sets or ``BLOCK_SHINGLES`` shingles are compared exactly, two at a time, and only a spanning
+forest of the links leaves a task. The links' components are the classes.
+
+Equal sets are one node from the start, once per task, so hot copies cost one row a task. Nodes are 64-bit hashes of sets, shingles
+64-bit hashes of word hashes. Signatures travel as packed arrays of 15 bytes each, one row per task and bucket.
 
 Defined cases: null text and text without words have the empty set, link with nothing and are their own class; a
-null id takes the class's smallest id, if any has one; rows may repeat; an empty table gives no rows.
+null id takes the class's smallest id, if any has one; rows may repeat; an empty table gives no rows; an input column with the name of
+an output is replaced, other names may clash with anything.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from roadtrace.llm import textkit as tk
-from roadtrace.llm.components import components
+from roadtrace.llm.components import SALTS, components
 
 SHINGLE = 5
-#: Sizes of the smallest band, whose shingles are signatures themselves.
-FIRST = 40
 #: Signature groups up to this size give pairs.
 SMALL = 16
-#: Sets compared at once.
-BLOCK = 2000
+#: Sets and shingles of a block; two blocks are compared at once.
+BLOCK = 256
+BLOCK_SHINGLES = 1 << 17
 #: Signatures a task holds before it hands them on.
-FLUSH = 1 << 20
+FLUSH = 1 << 19
 #: Bytes of text per bucket of signatures.
 BUCKET_BYTES = 8 << 20
 
-_MASK = np.uint64((1 << 48) - 1)
-
 
-def bands(largest: int) -> np.ndarray:
-    """Upper sizes of the bands: each is the one before divided by 0.75."""
-    out = [FIRST]
-    while out[-1] < largest:
-        out.append(out[-1] * 4 // 3)
-    return np.array(out, np.int64)
+def _instances(largest: int = 1 << 40) -> np.ndarray:
+    """(end of the band, n1, n2, k2) of each instance; the first has no signatures."""
+    rows = [(2, 0, 1, 0), (5, 1, 6, 1), (8, 1, 6, 2)]
+    while rows[-1][0] < largest:
+        end = rows[-1][0] * 16 // 9
+        rows.append((end, int(0.185 * end + 2.5), 3, 1))
+    return np.array(rows, np.int64)
 
 
-_BANDS = bands(1 << 40)
+INSTANCES = _instances()
 
 
-def group_counts(fineness: float) -> np.ndarray:
-    """Groups of each instance; 0 for the first, whose shingles stand alone."""
-    return np.concatenate([[0], np.ceil(fineness * (0.4 * _BANDS[1:] + 24)).astype(np.int64)])
+def least_shared(full: np.ndarray, single: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """Signatures that survive ``k`` differences: a first one in a partition costs two, a second one a third where there is one."""
+    more = np.clip(k - full - single, 0, full)
+    return 3 * full + 2 * single - 2 * np.minimum(k, full + single) - more
 
 
 def shingles(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct 48-bit shingles of each text, sorted, and their n+1 bounds; at most 65,536 texts."""
+    """Distinct 64-bit shingles of each text, sorted, and their n+1 bounds; at most 65,536 texts."""
     low = buf.copy()
     low[(buf >= 65) & (buf <= 90)] += 32
     starts, ends, firsts = tk.word_bounds(~tk.SPACE[buf], offs)
@@ -91,10 +100,12 @@ def shingles(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]
             owners.append(short)
     if not parts:
         return np.zeros(0, np.uint64), np.zeros(len(offs), np.int64)
-    keys = (np.concatenate(owners).astype(np.uint64) << np.uint64(48)) | (np.concatenate(parts) >> np.uint64(16))
-    keys.sort()
-    keys = keys[np.concatenate([[True], keys[1:] != keys[:-1]])]
-    return keys & _MASK, np.searchsorted(keys >> np.uint64(48), np.arange(len(offs)).astype(np.uint64))
+    keys, of = np.concatenate(parts), np.concatenate(owners).astype(np.uint16)
+    order = np.argsort(keys)
+    order = order[np.argsort(of[order], kind="stable")]
+    keys, of = keys[order], of[order]
+    new = np.concatenate([[True], (keys[1:] != keys[:-1]) | (of[1:] != of[:-1])])
+    return keys[new], np.searchsorted(of[new], np.arange(len(offs)))
 
 
 def node_ids(sets: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -112,63 +123,99 @@ def _pieces(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray
             yield at + lo, at + hi, buf, offs
 
 
+def _role(size: np.ndarray, role: int) -> tuple[np.ndarray, np.ndarray]:
+    """The instance of sets in the role (-1: none), and the most differences that a partner there can have."""
+    band = np.searchsorted(INSTANCES[:, 0], size)
+    if role == 0:
+        return np.where(size > 2, band, -1), (size + size * 4 // 3) // 7
+    end = INSTANCES[np.maximum(band - 1, 0), 0]
+    return np.where((band > 1) & (size <= end * 4 // 3), band - 1, -1), (end + size) // 7
+
+
+def signatures(sets: np.ndarray, bounds: np.ndarray, emit: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(signature, set number * 2 + role) of all sets, and by role each set's last round and its full and single partitions there."""
+    size = np.diff(bounds)
+    out, who = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    told = np.zeros((2, 3, len(size)), np.int64)
+    for role in (0, 1):
+        instance, most = _role(size, role)
+        for n2, k2 in ((6, 1), (6, 2), (3, 1)):
+            rows = np.flatnonzero((instance >= 0) & (INSTANCES[instance, 2] == n2) & (INSTANCES[instance, 3] == k2))
+            turn = 0
+            while len(rows):
+                n1 = INSTANCES[instance[rows], 1]
+                first = tk.sums(n1 * n2)
+                owner = np.repeat(np.arange(len(rows)), size[rows])
+                salt = (instance[rows] * 4096 + turn + 1).astype(np.uint64) * np.uint64(0xD1342543DE82EF95)
+                h = tk.mix(sets[tk.ranges(bounds[rows], bounds[rows + 1])] + salt[owner])
+                cell = first[owner] + (((h >> np.uint64(32)) * (n1 * n2)[owner].astype(np.uint64)) >> np.uint64(32)).astype(np.int64)
+                total = np.zeros(first[-1], np.uint64)
+                if emit:
+                    np.add.at(total, cell, tk.mix(h + np.uint64(0x2545F4914F6CDD1D)))
+                total = total.reshape(-1, n2)
+                used = (np.bincount(cell, minlength=first[-1]) > 0).reshape(-1, n2)
+                of = np.repeat(np.arange(len(rows)), n1)
+                count = used.sum(axis=1)
+                if emit:
+                    place = (np.arange(len(of)) - (first // n2)[of]).astype(np.uint64) * np.uint64(64) + salt[of]
+                    for number, left in enumerate(combinations(range(n2), k2)):
+                        some = np.flatnonzero(count > used[:, left].sum(axis=1))
+                        kept = total[some].sum(axis=1) - total[some][:, left].sum(axis=1)
+                        out.append(tk.mix(kept ^ tk.mix(place[some] + np.uint64(number))))
+                        who.append(rows[of[some]] * 2 + role)
+                full = np.bincount(of[count >= 2], minlength=len(rows)) if n2 == 3 else (count > k2).astype(np.int64)
+                single = np.bincount(of[count == 1], minlength=len(rows)) if n2 == 3 else np.zeros(len(rows), np.int64)
+                told[role, 0, rows], told[role, 1, rows], told[role, 2, rows] = turn, full, single
+                sure = least_shared(full, single, most[rows]) > 0 if n2 == 3 else full > 0
+                rows, turn = rows[~sure], turn + 1
+    return np.concatenate(out), np.concatenate(who), told
+
+
+def _fresh(ids: np.ndarray, seen: set[int]) -> np.ndarray:
+    """Whether each non-empty set is the first of its kind in the task."""
+    return np.array([i and i not in seen and not seen.add(i) for i in ids.tolist()], bool)
+
+
+#: What a set tells of itself as lower and as upper: last round, full and single partitions.
+_TOLD = ("turn_0", "full_0", "single_0", "turn_1", "full_1", "single_1")
+
+
 def set_nodes(docs: DataFrame, *, text: str = "text", keep: list[str]) -> DataFrame:
-    """``keep`` columns with node (long, 0 for the empty set) and n_shingles."""
+    """``keep`` columns with node (long, 0 for the empty set), n_shingles and, once a task for each set, ``_TOLD``."""
     taken = docs.select(*keep, F.col(text).cast("string").alias("__text"))
-    schema = taken.drop("__text").withColumns({"node": F.lit(0).cast("long"), "n_shingles": F.lit(0).cast("long")}).schema
+    schema = taken.drop("__text").withColumns({c: F.lit(0).cast("long") for c in ("node", "n_shingles")} | {c: F.lit(None).cast("int") for c in _TOLD}).schema
 
     def nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
             for lo, hi, buf, offs in _pieces(batch.column(len(keep))):
                 sets, bounds = shingles(buf, offs)
-                yield pa.RecordBatch.from_arrays([*batch.slice(lo, hi - lo).columns[: len(keep)], pa.array(node_ids(sets, bounds).view(np.int64)), pa.array(np.diff(bounds))], names=schema.names)
+                ids = node_ids(sets, bounds).view(np.int64)
+                old = ~_fresh(ids, seen)
+                told = signatures(sets, bounds, emit=False)[2].reshape(6, -1)
+                yield pa.RecordBatch.from_arrays([*batch.slice(lo, hi - lo).columns[: len(keep)], pa.array(ids), pa.array(np.diff(bounds)), *(pa.array(t.astype(np.int32), mask=old) for t in told)], names=schema.names)
 
     return taken.mapInArrow(nodes, schema)
 
 
-def signatures(sets: np.ndarray, bounds: np.ndarray, groups: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(signature, set number * 2 + role) of all sets, and the non-empty groups of each set as lower and as upper."""
-    size = np.diff(bounds)
-    band = np.searchsorted(_BANDS, size)
-    out, who, filled = [], [], np.zeros((2, len(size)), np.int64)
-    for role in (0, 1):  # lower in the own band's instance, upper in that of the band below
-        instance = band - role
-        some = (size > 0) & (instance >= 0)
-        n = np.where(some, groups[np.maximum(instance, 0)], 0)
-        alone = np.flatnonzero(some & (n == 0))
-        rows = np.repeat(alone, size[alone])
-        out.append(tk.mix(sets[tk.ranges(bounds[alone], bounds[alone + 1])] + np.uint64(0x5851F42D4C957F2D)))
-        who.append(rows * 2 + role)
-        filled[role, alone] = size[alone]
-        many = np.flatnonzero(n)
-        if len(many):
-            first = tk.sums(n[many])
-            owner = np.repeat(np.arange(len(many)), size[many])
-            h = tk.mix(sets[tk.ranges(bounds[many], bounds[many + 1])] + instance[many][owner].astype(np.uint64) * np.uint64(0xD1342543DE82EF95))
-            group = first[owner] + (((h >> np.uint64(32)) * n[many][owner].astype(np.uint64)) >> np.uint64(32)).astype(np.int64)
-            total = np.zeros(first[-1], np.uint64)
-            np.add.at(total, group, tk.mix(h + np.uint64(0x2545F4914F6CDD1D)))
-            used = np.flatnonzero(np.bincount(group, minlength=first[-1]))
-            of = np.searchsorted(first, used, "right") - 1
-            salt = tk.mix((used - first[of]).astype(np.uint64) * np.uint64(1 << 8) + instance[many][of].astype(np.uint64))
-            out.append(tk.mix(total[used] ^ salt))
-            who.append(many[of] * 2 + role)
-            filled[role, many] = np.bincount(of, minlength=len(many))
-    return np.concatenate(out), np.concatenate(who), filled[0], filled[1]
-
-
-_PACKED = "bucket int, signature binary, who binary, code binary"
+#: Rows with ``hot`` hold whole group names of eight bytes and the nodes tied to them.
+_PACKED = "bucket int, hot boolean, signature binary, who binary, code binary"
 #: Sizes travel as their logarithm in steps of this ratio.
 _STEP = np.log(1.002)
 _NEAR = int(np.log(4 / 3) / _STEP) + 2
 
 
-def _fresh(ids: np.ndarray, seen: set[int]) -> np.ndarray:
-    """Whether each non-empty set is the first of its kind in the task."""
-    return np.array([i and i not in seen and not seen.add(i) for i in ids.tolist()], bool)
+def _crowded(sig: np.ndarray, who: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Entries whose signature has more than ``SMALL`` of them, and those entries that need not go to the bucket: all but the first
+    ``SMALL`` + 1, lower sets first."""
+    order = np.lexsort((who & np.uint64(1), sig))
+    edges = np.append(np.flatnonzero(np.concatenate([[True], sig[order][1:] != sig[order][:-1]])), len(sig))
+    length = np.diff(edges)
+    big = np.flatnonzero(length > SMALL)
+    return order[tk.ranges(edges[big], edges[big + 1])], order[tk.ranges(edges[big] + SMALL + 1, edges[big + 1])]
 
 
-def _packed(docs: DataFrame, text: str, buckets: int, groups: np.ndarray) -> DataFrame:
+def _packed(docs: DataFrame, text: str, buckets: int) -> DataFrame:
     """Rows (bucket, signatures, owners, size codes) of all distinct sets of each task.
 
     A signature takes 15 bytes at any size of the input: five of its hash, since the bucket tells the rest, eight of its
@@ -177,12 +224,24 @@ def _packed(docs: DataFrame, text: str, buckets: int, groups: np.ndarray) -> Dat
 
     def emit(sig: np.ndarray, who: np.ndarray, code: np.ndarray) -> pa.RecordBatch:
         bucket = ((sig >> np.uint64(40)) * np.uint64(buckets) >> np.uint64(24)).astype(np.int64)
+        tied, spare = _crowded(sig, who)
+        rows = []
+        if len(tied):
+            group = (bucket[tied] << 40) | (sig[tied] & np.uint64((1 << 40) - 1)).view(np.int64)
+            to = (tk.mix(who[tied].copy()) % np.uint64(buckets)).astype(np.int64)
+            order = np.argsort(to, kind="stable")
+            edges = np.searchsorted(to[order], np.arange(buckets + 1))
+            rows += [(int(b), True, group[order[lo:hi]].tobytes(), who[tied][order[lo:hi]].tobytes(), b"") for b in np.flatnonzero(np.diff(edges)) for lo, hi in [(edges[b], edges[b + 1])]]
+            stays = np.ones(len(sig), bool)
+            stays[spare] = False
+            sig, who, code, bucket = sig[stays], who[stays], code[stays], bucket[stays]
         order = np.argsort(bucket, kind="stable")
         sig, who, code = sig[order], who[order], code[order]
         edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
         five = np.ascontiguousarray(sig).view(np.uint8).reshape(-1, 8)[:, :5]
-        rows = [(int(b), five[lo:hi].tobytes(), who[lo:hi].tobytes(), code[lo:hi].tobytes()) for b in np.flatnonzero(np.diff(edges)) for lo, hi in [(edges[b], edges[b + 1])]]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "signature", "who", "code"])
+        rows += [(int(b), False, five[lo:hi].tobytes(), who[lo:hi].tobytes(), code[lo:hi].tobytes()) for b in np.flatnonzero(np.diff(edges)) for lo, hi in [(edges[b], edges[b + 1])]]
+        types = (pa.int32(), pa.bool_(), pa.binary(), pa.binary(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["bucket", "hot", "signature", "who", "code"])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -191,11 +250,12 @@ def _packed(docs: DataFrame, text: str, buckets: int, groups: np.ndarray) -> Dat
             for _, _, buf, offs in _pieces(batch.column(0)):
                 sets, bounds = shingles(buf, offs)
                 ids = node_ids(sets, bounds)
-                sig, who, _, _ = signatures(sets, bounds, groups)
-                stays = _fresh(ids, seen)[who >> 1]
-                sig, who = sig[stays], who[stays]
+                # Only sets that are new to the task are worked on.
+                new = np.flatnonzero(_fresh(ids, seen))
+                sets, bounds = tk.gather(sets, bounds, new)
+                sig, who, _ = signatures(sets, bounds)
                 code = (np.log(np.maximum(1, np.diff(bounds))) / _STEP).astype(np.uint16)
-                held.append((sig, (ids[who >> 1] & ~np.uint64(1)) | (who & 1).astype(np.uint64), code[who >> 1]))
+                held.append((sig, (ids[new][who >> 1] & ~np.uint64(1)) | (who & 1).astype(np.uint64), code[who >> 1]))
                 count += len(sig)
                 if count >= FLUSH:
                     yield emit(*(np.concatenate(c) for c in zip(*held, strict=True)))
@@ -206,36 +266,23 @@ def _packed(docs: DataFrame, text: str, buckets: int, groups: np.ndarray) -> Dat
     return docs.select(F.col(text).cast("string").alias("text")).mapInArrow(pack, _PACKED)
 
 
-def _sizes(docs: DataFrame, text: str, groups: np.ndarray) -> DataFrame:
-    """(node, size, low, up): each distinct set's size and its non-empty groups as lower and as upper."""
-
-    def size(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        for batch in batches:
-            for _, _, buf, offs in _pieces(batch.column(0)):
-                sets, bounds = shingles(buf, offs)
-                ids = node_ids(sets, bounds)
-                _, _, low, up = signatures(sets, bounds, groups)
-                first = _fresh(ids, seen)
-                yield pa.RecordBatch.from_arrays([pa.array(c[first]) for c in (ids.view(np.int64), np.diff(bounds), low, up)], names=["node", "size", "low", "up"])
-
-    rows = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(size, "node long, size long, low long, up long")
-    return rows.groupBy("node").agg(*(F.max(c).alias(c) for c in ("size", "low", "up")))
-
-
 #: kind 0: a pair with its shared signatures; 1: a member a of the large group b.
 _MET = "kind int, a long, b long, shared int, role int"
 
 
 def _meet(table: pa.Table) -> pa.Table:
     """Pairs and large-group members of one bucket."""
+    named = table.filter(table.column("hot"))
+    table = table.filter(pc.invert(table.column("hot")))
+    tied = np.frombuffer(b"".join(named.column("signature").to_pylist()), np.int64)
+    ties = np.frombuffer(b"".join(named.column("who").to_pylist()), np.uint64)
     five = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint8).reshape(-1, 5)
     wide = np.zeros((len(five), 8), np.uint8)
     wide[:, :5] = five
     sig = wide.view(np.uint64).reshape(-1)
     who = np.frombuffer(b"".join(table.column("who").to_pylist()), np.uint64)
     code = np.frombuffer(b"".join(table.column("code").to_pylist()), np.uint16)
-    bucket = np.int64(table.column("bucket")[0].as_py())
+    bucket = np.int64(table.column("bucket")[0].as_py()) if len(table) else np.int64(0)
     # Only signatures that meet another matter; the same set may come from several tasks.
     some = np.flatnonzero(tk.repeated(sig))
     sig, who, code = sig[some], who[some], code[some]
@@ -269,44 +316,54 @@ def _meet(table: pa.Table) -> pa.Table:
     at = tk.ranges(edges[:-1][big], edges[1:][big])
     group = np.repeat((bucket << 40) | sig[edges[:-1][big]].view(np.int64), length[big]) if len(big) else np.zeros(0, np.int64)
     columns = {
-        "kind": np.concatenate([np.zeros(len(first)), np.ones(len(at))]), "a": np.concatenate([pair[first, 0], node[at]]), "b": np.concatenate([pair[first, 1], group]),
-        "shared": np.concatenate([count, np.ones(len(at))]), "role": np.concatenate([pair[first, 2], role[at]]),
+        "kind": np.concatenate([np.zeros(len(first)), np.ones(len(at) + len(ties))]), "a": np.concatenate([pair[first, 0], node[at], (ties | np.uint64(1)).view(np.int64)]), "b": np.concatenate([pair[first, 1], group, tied]),
+        "shared": np.concatenate([count, np.ones(len(at) + len(ties))]), "role": np.concatenate([pair[first, 2], role[at], (ties & np.uint64(1)).astype(np.int64)]),
     }
     return pa.table({n: v.astype(np.int64 if n in "ab" else np.int32) for n, v in columns.items()})
 
 
-def _candidates(docs: DataFrame, text: str) -> DataFrame:
+def _surely(full: Column, single: Column, k: Column) -> Column:
+    """``least_shared`` as a column; at least 1, which also holds for the bands of one partition."""
+    both = full + single
+    return F.greatest(3 * full + 2 * single - 2 * F.least(k, both) - F.least(F.greatest(k - both, F.lit(0)), full), F.lit(1))
+
+
+def _candidates(docs: DataFrame, info: DataFrame, text: str) -> DataFrame:
     """(a, b): ties between sets; linked sets are always in one component of the ties."""
     spark = docs.sparkSession
-    tk.checkpoint_dir(spark)
     total = docs.agg(F.sum(F.octet_length(F.col(text).cast("string")))).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET_BYTES))
-    fineness = 1.0
-    while True:
-        groups = group_counts(fineness)
-        info = _sizes(docs, text, groups).checkpoint()
-        if info.filter(f"size > {FIRST} AND low <= size DIV 3").isEmpty():
-            break
-        fineness *= 1.5
-    met = _packed(docs, text, buckets, groups).repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_meet, _MET).checkpoint()
-    hot = met.filter("kind = 1")
-    hot_counts = hot.groupBy(F.col("a").alias("node"), "role").agg(F.sum("shared").alias("hot"))
+    met = _packed(docs, text, buckets).repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_meet, _MET).checkpoint()
+    # A set that several tasks hold names a group once.
+    hot = met.filter("kind = 1").select("a", "b", "role").distinct()
+    hot_counts = hot.groupBy(F.col("a").alias("node"), "role").agg(F.count("*").alias("hot"))
     pairs = met.filter("kind = 0").groupBy("a", "b", "role").agg(F.sum("shared").alias("shared"))
     pairs = pairs.withColumn("ra", F.shiftright("role", 1)).withColumn("rb", F.col("role").bitwiseAND(F.lit(1)))
     for side in "ab":
-        known = info.select(F.col("node").alias(side), F.col("size").alias(f"size_{side}"), F.col("low").alias(f"low_{side}"), F.col("up").alias(f"up_{side}"))
+        known = info.select(F.col("node").alias(side), F.col("size").alias(f"size_{side}"), *(F.col(c).alias(f"{c}_{side}") for c in _TOLD))
         counts = hot_counts.select(F.col("node").alias(side), F.col("role").alias(f"r{side}"), F.col("hot").alias(f"hot_{side}"))
         pairs = pairs.join(known, side).join(counts, [side, f"r{side}"], "left")
+        for told in ("turn", "full", "single"):
+            pairs = pairs.withColumn(f"{told}_{side}", F.when(F.col(f"r{side}") == 0, F.col(f"{told}_0_{side}")).otherwise(F.col(f"{told}_1_{side}")))
     pairs = pairs.filter("4 * least(size_a, size_b) >= 3 * greatest(size_a, size_b)")
-    # The signatures that a pair shares here, and at most in larger groups, must reach N - k.
-    needed = F.expr("greatest(IF(ra = 0, low_a, up_a), IF(rb = 0, low_b, up_b)) - (size_a + size_b) DIV 7")
+    # The signatures that a pair shares here, and at most in larger groups, must reach what the set with fewer rounds surely keeps.
+    k = F.floor((F.col("size_a") + F.col("size_b")) / 7)
+    sure_a, sure_b = (_surely(F.col(f"full_{x}"), F.col(f"single_{x}"), k) for x in "ab")
+    needed = F.when(F.col("turn_a") < F.col("turn_b"), sure_a).when(F.col("turn_a") > F.col("turn_b"), sure_b).otherwise(F.greatest(sure_a, sure_b))
     reach = F.col("shared") + F.least(F.coalesce("hot_a", F.lit(0)), F.coalesce("hot_b", F.lit(0)))
-    pairs = pairs.filter(reach >= F.greatest(needed, F.lit(1))).select("a", "b")
-    ready = hot_counts.join(info, "node").filter("hot >= IF(role = 0, low - size DIV 3, up - (2 * size) DIV 7)").select(F.col("node").alias("a"), "role")
+    pairs = pairs.filter(reach >= needed).select("a", "b")
+    # The most differences to any partner in the role; a set with further rounds may owe its links to a partner's first.
+    told = hot_counts.join(info, "node")
+    turn, full, single = (F.when(F.col("role") == 0, F.col(f"{c}_0")).otherwise(F.col(f"{c}_1")) for c in ("turn", "full", "single"))
+    most = F.when(F.col("role") == 0, F.expr("(size + size * 4 DIV 3) DIV 7")).otherwise(F.expr("(2 * size) DIV 7"))
+    ready = told.filter((turn > 0) | (F.col("hot") >= _surely(full, single, most))).select(F.col("node").alias("a"), "role")
     members = hot.join(ready, ["a", "role"]).select(F.col("a").alias("node"), F.col("b").alias("group"), "role")
     # The leader of a large group is a lower member; without one there is nothing to tie.
     leaders = members.filter("role = 0").groupBy("group").agg(F.min("node").alias("leader"))
-    ties = members.join(leaders, "group").filter("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
+    # A hot group's members are dealt to several tasks, each of which learns the leader.
+    spread = leaders.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    members = members.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
+    ties = members.join(spread, ["group", "salt"]).filter("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
     return pairs.union(ties)
 
 
@@ -371,12 +428,19 @@ def _texts(docs: DataFrame, text: str) -> DataFrame:
     return docs.select(F.col(text).cast("string").alias("text")).mapInArrow(once, "node long, text string")
 
 
-def set_links(docs: DataFrame, *, text: str = "text") -> DataFrame:
+def _nodes(docs: DataFrame, id_col: str, text: str) -> DataFrame:
+    """(__id, __hash, node, n_shingles and ``_TOLD``) of each row, cut off from the texts; __hash tells a row's text."""
+    tk.checkpoint_dir(docs.sparkSession)
+    named = docs.select(F.col(id_col).alias("__id"), F.xxhash64(F.col(text).cast("string")).alias("__hash"), F.col(text).alias("__body"))
+    return set_nodes(named, text="__body", keep=["__id", "__hash"]).checkpoint()
+
+
+def set_links(docs: DataFrame, nodes: DataFrame, *, text: str = "text") -> DataFrame:
     """(a, b): a spanning forest of the links between distinct sets of ``docs``, as nodes."""
-    ties = components(_candidates(docs, text))
-    sizes = ties.groupBy("label").agg(F.count("*").alias("n"))
-    placed = ties.join(sizes, "label").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
-    placed = placed.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    info = nodes.filter("turn_0 IS NOT NULL").groupBy("node").agg(F.max("n_shingles").alias("size"), *(F.max(c).alias(c) for c in _TOLD))
+    ties = components(_candidates(docs, info, text)).join(info.select("node", "size"), "node")
+    sizes = ties.groupBy("label").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("size") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    placed = ties.join(sizes, "label").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).drop("size")
     # One text for each tied set: rows with the same set are the same set whichever text stands for it.
     # Always a merge join: the tied sets grow with the input, and texts take the same way at every size.
     tied = _texts(docs, text).join(placed.hint("merge"), "node")
@@ -389,32 +453,40 @@ def set_links(docs: DataFrame, *, text: str = "text") -> DataFrame:
 
 def classes(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """``keep`` columns of every row (by default the id) with n_shingles and component_id."""
-    kept = [id_col] if keep is None else keep
-    rows = set_nodes(docs, text=text, keep=kept)
-    labels = components(set_links(docs, text=text))
-    ids = rows.filter("node <> 0").groupBy("node").agg(F.min(id_col).alias("__least"))
+    kept = [c for c in ([id_col] if keep is None else keep) if c not in ("n_shingles", "component_id")]
+    nodes = _nodes(docs, id_col, text)
+    labels = components(set_links(docs, nodes, text=text))
+    ids = nodes.filter("node <> 0").groupBy("node").agg(F.min("__id").alias("__least"))
     named = ids.join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"), "__least")
     smallest = named.groupBy("label").agg(F.min("__least").alias("component_id"))
     by_node = named.join(smallest, "label").select("node", "component_id")
+    rows = nodes
+    if kept != [id_col]:
+        # The kept columns under names of their own, beside the row's node.
+        own = docs.select(*(F.col(c).alias(f"__keep_{i}") for i, c in enumerate(kept)), F.col(id_col).alias("__id"), F.col(text).alias("__body"))
+        rows = set_nodes(own, text="__body", keep=[*(f"__keep_{i}" for i in range(len(kept))), "__id"])
     # Rows of the empty set have no partner in the join; a hash of the id spreads them.
-    spread = rows.withColumn("__key", F.when(F.col("node") == 0, F.xxhash64(id_col)).otherwise(F.col("node")))
+    spread = rows.withColumn("__key", F.when(F.col("node") == 0, F.xxhash64("__id")).otherwise(F.col("node")))
     joined = spread.join(by_node.withColumnRenamed("node", "__key"), "__key", "left")
-    return joined.select(*kept, "n_shingles", F.when(F.col("node") == 0, F.col(id_col)).otherwise(F.col("component_id")).alias("component_id"))
+    out = [F.col("__id" if kept == [id_col] else f"__keep_{i}").alias(c) for i, c in enumerate(kept)]
+    return joined.select(*out, "n_shingles", F.when(F.col("node") == 0, F.col("__id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
 def representatives(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` that stand for their class: one row with its smallest id; rows of the empty set all stay.
 
-    The choice is made on narrow rows; the texts then meet it by id and set, so a hot class is spread over its ids.
+    The choice is made on narrow rows; the texts then meet it by id and text hash, so a hot class is spread over its ids. Rows that
+    repeat an id with the same set: the one with the smallest text hash stays, once.
     """
-    columns = docs.columns
-    labels = components(set_links(docs, text=text))
-    rows = set_nodes(docs, text=text, keep=columns).drop("n_shingles")
-    own = F.coalesce(F.col(id_col), F.lit((1 << 63) - 1))
-    least = set_nodes(docs, text=text, keep=[id_col]).filter("node <> 0").groupBy("node").agg(F.min(own).alias("least"))
+    last = F.lit((1 << 63) - 1)
+    nodes = _nodes(docs, id_col, text).select(F.coalesce("__id", last).alias("__own"), "__hash", "node", "n_shingles", *_TOLD)
+    labels = components(set_links(docs, nodes, text=text))
+    least = nodes.filter("node <> 0").groupBy("node").agg(F.min(F.struct("__own", "__hash")).alias("least"))
     named = least.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    chosen = named.groupBy("label").agg(F.min(F.struct("least", "node")).alias("c")).select(F.col("c.least").alias("__least"), F.col("c.node").alias("node"))
-    met = rows.withColumn("__least", own).join(chosen.withColumn("__chosen", F.lit(1)), ["__least", "node"], "left").filter("node = 0 OR __chosen = 1")
-    # Rows that repeat an id with the same set: the first text stays.
-    place = F.row_number().over(Window.partitionBy("__least", "node").orderBy(text))
-    return met.withColumn("__place", place).filter("node = 0 OR __place = 1").select(*columns)
+    chosen = named.groupBy("label").agg(F.min("least").alias("c")).select("c.__own", "c.__hash", F.lit(1).alias("__once"))
+    empty = nodes.filter("node = 0").select("__own", "__hash", F.lit(0).alias("__once")).distinct()
+    names = {c: f"__doc_{i}" for i, c in enumerate(docs.columns)}
+    rows = docs.toDF(*names.values()).withColumn("__own", F.coalesce(F.col(names[id_col]), last)).withColumn("__hash", F.xxhash64(F.col(names[text]).cast("string")))
+    met = rows.join(chosen.union(empty), ["__own", "__hash"])
+    place = F.row_number().over(Window.partitionBy("__own", "__hash").orderBy(names[text]))
+    return met.withColumn("__place", place).filter("__once = 0 OR __place = 1").select(*(F.col(n).alias(c) for c, n in names.items()))

@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import SparkSession
 
 #: Bytes of text that are worked on together; a longer text is a chunk of its own.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 
 #: Bytes that part words: space and the controls \t \n \v \f \r.
 SPACE = np.zeros(256, bool)
