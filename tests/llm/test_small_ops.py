@@ -103,9 +103,27 @@ def test_base_spans_and_linking(spark, tmp_path):
 
 
 def test_redaction(spark):
-    df = spark.createDataFrame([(i, t, "k") for i, t in enumerate(TEXTS)], "doc_id long, text string, kind string")
-    got = {r["doc_id"]: r["text"] for r in sl.redact(df).collect()}
+    df = spark.createDataFrame([(i, t, "k") for i, t in enumerate(TEXTS)], "doc_id long, text string, kind string").withColumn("key", F.lit(1)).withColumn("__cuts", F.lit(2))
+    done = sl.redact(df)
+    assert done.columns == df.columns and done.count() == len(TEXTS)
+    got = {r["doc_id"]: r["text"] for r in done.collect()}
     assert got[0] is None and got[2] == TEXTS[2]
     assert got[3] == 'é [assign]" x'
     assert got[7].startswith("[access] then [part] and [endpoint]")
     assert got[10] == "[hex]"
+
+
+def test_scan_with_clashing_names(spark):
+    rows = [(i, t, "s", "k", 1) for i, t in enumerate(TEXTS)]
+    got = sl.scan_secrets(spark.createDataFrame(rows, "doc_id long, text string, spans string, key string, start int")).collect()
+    assert len(got) == len(TEXTS) and all(r["key"] == "k" and r["start"] == 1 for r in got)
+    assert {r["doc_id"]: ",".join(f"{s['kind']}:{s['start']}:{s['end']}" for s in r["spans"] if s["rank"] <= 3) for r in got} == {i: base_spans(t or "") for i, t in enumerate(TEXTS)}
+
+
+def test_very_long_text_with_secrets(spark):
+    text = "é word " * 60_000 + "token=abcdefgh99 " * 2_000 + "f" * 40 + " tail" * 60_000
+    df = spark.createDataFrame([(1, text), (2, text), (3, None)], "doc_id long, text string")
+    for r in sl.scan_secrets(df).filter("doc_id < 3").collect():
+        assert ",".join(f"{s['kind']}:{s['start']}:{s['end']}" for s in r["spans"]) == base_spans(text)
+    cleaned = {r["doc_id"]: r["text"] for r in sl.redact(df).collect()}
+    assert cleaned == {1: text.replace("token=abcdefgh99", "[assign]").replace("f" * 40, "[hex]"), 2: cleaned[1], 3: None}
