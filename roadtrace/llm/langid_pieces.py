@@ -3,11 +3,15 @@
 Each language has a probability for every piece of the vocabulary. A word (a run of letters, lower-cased, with the
 vocabulary's word mark before it) scores the sum over all its segmentations of the product of piece probabilities, by
 the forward algorithm; a text scores the sum of its words' logs. Unknown characters have a floor, so every word has a
-segmentation. Words longer than ``MAX_WORD`` characters are taken in stretches of that length, all of them.
+segmentation. A word may have any length: the algorithm keeps a window of the longest piece and rescales it, so nothing underflows.
 
-The piece probabilities are learned by expectation-maximisation (forward-backward) over training rows, a sample of at
-most about ``MAX_TRAIN`` per language chosen by the hash of the id; expected counts are summed by Spark, so the driver
-receives languages x vocabulary numbers. The distinct words of a worker are scored together, once (``MAX_KNOWN``).
+The piece probabilities are learned by expectation-maximisation (forward-backward, in logarithms) over training rows, a sample of at
+most about ``MAX_TRAIN`` per language chosen by the hash of the id, which is materialised once; expected counts are summed by Spark, so
+the driver receives languages x vocabulary numbers. The distinct words of a worker are scored together, once (``MAX_KNOWN``).
+
+Expected counts and log scores are whole steps of 1 / ``SCALE``, so sums are exact: the model and the result of a row don't depend
+on the rows beside it. The model (``PART`` languages of the vocabulary at a time, so of a bounded size) goes to the tasks as broadcast
+variables.
 
 Defined cases: null text or text without a letter is ``und`` with score 0; ties go to the first language in order;
 no training rows: every text is ``und``; repeated rows are judged each; an empty table gives no rows; other columns
@@ -24,6 +28,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast, SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,9 +36,13 @@ from pyspark.sql import types as T
 from roadtrace.llm import textkit as tk
 
 MAX_TRAIN = 2000
-MAX_LANGS = 500
-MAX_WORD = 24
 MAX_KNOWN = 1 << 18
+#: Steps of a log score and of an expected count.
+SCALE = 1 << 20
+#: Languages of one broadcast variable.
+PART = 64
+#: Characters times languages of words that are worked on together.
+CELLS = 1 << 20
 ROUNDS = 2
 FLOOR = 1e-7
 SMOOTH = 0.5
@@ -50,7 +59,7 @@ class Pieces:
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
-        names = sorted({p for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i)) for p in [model.id_to_piece(i)] if len(p) <= MAX_WORD + 1})
+        names = sorted({p for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i)) for p in [model.id_to_piece(i)]})
         self.size = len(names)
         by: dict[int, list[tuple[int, int]]] = defaultdict(list)
         for number, name in enumerate(names):
@@ -75,8 +84,8 @@ def pieces(path: str) -> Pieces:
     return Pieces(path)
 
 
-def stretches(word: str) -> list[str]:
-    return ["▁" + word[i : i + MAX_WORD] for i in range(0, len(word), MAX_WORD)]
+def mark(word: str) -> str:
+    return "▁" + word
 
 
 def _codes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -88,56 +97,98 @@ def _codes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return out, lengths
 
 
-def _substrings(vocabulary: Pieces, codes: np.ndarray, lengths: np.ndarray):
-    """(end, length, word rows, piece numbers) of all substrings that are a piece or a single character."""
+def _matches(vocabulary: Pieces, codes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Piece number of the substring of k + 1 characters that ends at each place (k, place, word); ``size`` where there is none."""
     n, width = codes.shape
-    prefix = np.zeros((n, width + 1), np.uint64)
+    prefix = np.zeros((width + 1, n), np.uint64)
     for j in range(width):
-        prefix[:, j + 1] = prefix[:, j] * _MULT + codes[:, j]
-    power = [np.uint64(pow(int(_MULT), k, 1 << 64)) for k in range(width + 1)]
-    for end in range(1, width + 1):
-        rows = np.flatnonzero(lengths >= end)
-        for k in range(1, min(end, vocabulary.longest) + 1):
-            found = vocabulary.find(prefix[rows, end] - prefix[rows, end - k] * power[k], k)
-            hit = slice(None) if k == 1 else np.flatnonzero(found < vocabulary.size)
-            if k == 1 or len(hit):
-                yield end, k, rows[hit], found[hit]
-
-
-def _with_floor(probability: np.ndarray) -> np.ndarray:
-    """Piece by language, with a last row for unknown single characters."""
-    return np.vstack([np.maximum(probability, 0), np.full((1, probability.shape[1]), FLOOR)])
+        prefix[j + 1] = prefix[j] * _MULT + codes[:, j]
+    out = np.full((min(width, vocabulary.longest), width, n), vocabulary.size, np.int32)
+    inside = np.arange(1, width + 1)[:, None] <= lengths
+    for k in range(1, len(out) + 1):
+        power = np.uint64(pow(int(_MULT), k, 1 << 64))
+        found = vocabulary.find((prefix[k:] - prefix[:-k] * power).reshape(-1), k).reshape(width - k + 1, n)
+        out[k - 1, k - 1 :] = np.where(inside[k - 1 :], found, vocabulary.size)
+    return out
+
+
+def batches_of(words: list[str], cells: int) -> Iterator[np.ndarray]:
+    """Places of words of like length whose padded characters are at most ``cells``, or of one word."""
+    lengths = np.fromiter(map(len, words), np.int64, len(words))
+    order = np.argsort(lengths, kind="stable")
+    lo = 0
+    while lo < len(order):
+        hi = lo + 1
+        step = max(1, cells // max(1, int(lengths[order[lo]])))
+        hi = min(len(order), lo + step)
+        while hi - lo > 1 and (hi - lo) * int(lengths[order[hi - 1]]) > cells:
+            hi = lo + max(1, (hi - lo) // 2)
+        yield order[lo:hi]
+        lo = hi
 
 
 def forward(vocabulary: Pieces, words: list[str], probability: np.ndarray) -> np.ndarray:
     """Log of the sum over all segmentations, word by language."""
+    out = np.zeros((len(words), probability.shape[1]))
+    table = np.vstack([np.maximum(probability, 0), np.zeros((1, probability.shape[1]))])
+    for rows in batches_of(words, max(64, CELLS // max(1, probability.shape[1]))):
+        out[rows] = _forward(vocabulary, [words[i] for i in rows.tolist()], table)
+    return out
+
+
+#: Sums below ``_TINY`` are carried on times its inverse.
+_TINY = 1e-150
+
+
+def _forward(vocabulary: Pieces, words: list[str], table: np.ndarray) -> np.ndarray:
     codes, lengths = _codes(words)
-    table = _with_floor(probability)
-    alpha = np.zeros((codes.shape[1] + 1, len(words), probability.shape[1]))
-    alpha[0] = 1
-    for end, k, rows, found in _substrings(vocabulary, codes, lengths):
-        p = table[found]
-        alpha[end, rows] += alpha[end - k, rows] * (p if k > 1 else np.maximum(p, FLOOR))
-    return np.log(alpha[lengths, np.arange(len(words))])
+    found = _matches(vocabulary, codes, lengths)
+    depth, width, n = found.shape
+    # The sums of the last ``depth`` places, newest last; words are in the order of their lengths.
+    window = np.zeros((depth, n, table.shape[1]))
+    window[-1] = 1
+    raised = np.zeros((n, table.shape[1]))
+    out = np.zeros((n, table.shape[1]))
+    for end in range(width):
+        going = int(np.searchsorted(lengths, end + 1))
+        total = np.maximum(table[found[0, end, going:]], FLOOR) * window[-1, going:]
+        for k in range(1, min(end + 1, depth)):
+            hit = np.flatnonzero(found[k, end, going:] < vocabulary.size)
+            if len(hit):
+                total[hit] += table[found[k, end, going:][hit]] * window[-1 - k, going:][hit]
+        window[:-1, going:] = window[1:, going:]
+        window[-1, going:] = total
+        low = total < _TINY
+        if low.any():
+            word, language = np.nonzero(low)
+            window[:, going + word, language] /= _TINY
+            raised[going + word, language] += np.log(_TINY)
+        ended = slice(going, int(np.searchsorted(lengths, end + 1, "right")))
+        out[ended] = np.log(window[-1, ended]) + raised[ended]
+    return out
 
 
 def expected(vocabulary: Pieces, words: list[str], weights: np.ndarray, probability: np.ndarray) -> np.ndarray:
-    """Expected uses of each piece, summed over the words by ``weights``, for one language's ``probability``."""
-    codes, lengths = _codes(words)
-    n, width = codes.shape
-    table = np.append(probability, FLOOR)
-    steps = [(e, k, r, f, np.maximum(table[f], FLOOR)) for e, k, r, f in _substrings(vocabulary, codes, lengths)]
-    alpha, beta = np.zeros((width + 1, n)), np.zeros((width + 1, n))
-    alpha[0] = 1
-    beta[lengths, np.arange(n)] = 1
-    for end, k, rows, _, p in steps:
-        alpha[end, rows] += alpha[end - k, rows] * p
-    for end, k, rows, _, p in sorted(steps, key=lambda s: -s[0]):
-        beta[end - k, rows] += beta[end, rows] * p
-    total = alpha[lengths, np.arange(n)]
+    """Expected uses of each piece in steps of 1 / ``SCALE``, summed over the words by ``weights``, for one language."""
     out = np.zeros(vocabulary.size + 1)
-    for end, k, rows, found, p in steps:
-        out += np.bincount(found, weights[rows] * alpha[end - k, rows] * p * beta[end, rows] / total[rows], minlength=len(out))
+    table = np.log(np.maximum(np.append(probability, 0), 1e-300))
+    for rows in batches_of(words, CELLS // 32):
+        codes, lengths = _codes([words[i] for i in rows.tolist()])
+        found = _matches(vocabulary, codes, lengths)
+        depth, width, n = found.shape
+        steps = [(end, k, hit, found[k, end, hit]) for end in range(width) for k in range(min(end + 1, depth)) for hit in [np.flatnonzero((found[k, end] < vocabulary.size) | ((k == 0) & (lengths > end)))] if len(hit)]
+        logs = [np.maximum(table[f], np.log(FLOOR)) if k == 0 else table[f] for _, k, _, f in steps]
+        alpha, beta = np.full((width + 1, n), -np.inf), np.full((width + 1, n), -np.inf)
+        alpha[0] = 0
+        beta[lengths, np.arange(n)] = 0
+        for (end, k, hit, _), p in zip(steps, logs, strict=True):
+            alpha[end + 1, hit] = np.logaddexp(alpha[end + 1, hit], alpha[end - k, hit] + p)
+        for (end, k, hit, _), p in zip(reversed(steps), reversed(logs), strict=True):
+            beta[end - k, hit] = np.logaddexp(beta[end - k, hit], beta[end + 1, hit] + p)
+        total = alpha[lengths, np.arange(n)]
+        for (end, k, hit, f), p in zip(steps, logs, strict=True):
+            share = np.exp(alpha[end - k, hit] + p + beta[end + 1, hit] - total[hit])
+            out += np.bincount(f, np.rint(share * SCALE) * weights[rows[hit]], minlength=len(out))
     return out[:-1]
 
 
@@ -149,13 +200,28 @@ class Model:
     probability: np.ndarray
     path: str
 
+    def send(self, context: SparkContext) -> Sent:
+        parts = [np.ascontiguousarray(self.probability[:, at : at + PART]) for at in range(0, len(self.languages), PART)]
+        return Sent(self.languages, [context.broadcast(p) for p in parts], self.path)
+
+
+@dataclass(frozen=True)
+class Sent:
+    """A model whose numbers are broadcast variables."""
+
+    languages: list[str]
+    parts: list[Broadcast]
+    path: str
+
+    def probability(self) -> np.ndarray:
+        return np.hstack([p.value for p in self.parts]) if self.parts else np.zeros((0, 0))
+
 
 def fit(docs: DataFrame, path: str, *, text: str = "text", lang: str = "lang", max_train: int = MAX_TRAIN, order: Column | None = None) -> Model:
     """Learns from ``docs``, whose rows are all training rows; ``order`` is what a row is sampled by."""
     usable = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    counted = sorted((r[lang], r["n"]) for r in usable.groupBy(lang).agg(F.count("*").alias("n")).limit(MAX_LANGS + 1).collect())
-    if len(counted) > MAX_LANGS:
-        raise ValueError(f"more than {MAX_LANGS} languages")
+    # A row a language, of which the world has some thousands.
+    counted = sorted((r[lang], r["n"]) for r in usable.groupBy(lang).agg(F.count("*").alias("n")).collect())
     languages = [c for c, _ in counted]
     vocabulary = pieces(path)
     if not languages:
@@ -163,33 +229,34 @@ def fit(docs: DataFrame, path: str, *, text: str = "text", lang: str = "lang", m
     # A row is in the sample if its hash lies in its language's share.
     share = F.create_map(*(x for c, n in counted for x in (F.lit(c), F.lit(min(1.0, max_train / n)))))
     place = F.pmod(F.xxhash64(order if order is not None else F.col(text)), F.lit(1 << 20)) / float(1 << 20)
-    sample = usable.filter(place < share[F.col(lang)]).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
+    tk.checkpoint_dir(docs.sparkSession)
+    sample = usable.filter(place < share[F.col(lang)]).select(F.col(lang).alias("lang"), F.col(text).cast("string").alias("text")).checkpoint()
     number = {c: i for i, c in enumerate(languages)}
     probability = np.full((vocabulary.size, len(languages)), 1.0 / vocabulary.size)
     for _ in range(ROUNDS):
-        current = probability
+        sent = Model(languages, probability, path).send(docs.sparkSession.sparkContext)
 
-        def count(batches: Iterator[pa.RecordBatch], current=current) -> Iterator[pa.RecordBatch]:
+        def count(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             own = pieces(path)
+            current = sent.probability()
             total = np.zeros((own.size, len(languages)))
             for batch in batches:
                 words: dict[int, dict[str, int]] = defaultdict(lambda: defaultdict(int))
                 for code, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                     tally = words[number[code]]
                     for word in _LETTERS.findall(body.lower()):
-                        for part in stretches(word):
-                            tally[part] += 1
+                        tally[mark(word)] += 1
                 for i, tally in words.items():
                     listed = list(tally)
                     for lo in range(0, len(listed), 20_000):
                         some = listed[lo : lo + 20_000]
                         total[:, i] += expected(own, some, np.array([tally[w] for w in some], float), current[:, i])
             piece, language = np.nonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(piece.astype(np.int32)), pa.array(language.astype(np.int32)), pa.array(total[piece, language])], names=["piece", "language", "uses"])
+            yield pa.RecordBatch.from_arrays([pa.array(piece.astype(np.int32)), pa.array(language.astype(np.int32)), pa.array(total[piece, language].astype(np.int64))], names=["piece", "language", "uses"])
 
-        rows = sample.mapInArrow(count, "piece int, language int, uses double").groupBy("piece", "language").agg(F.sum("uses").alias("uses")).toPandas()
+        rows = sample.mapInArrow(count, "piece int, language int, uses long").groupBy("piece", "language").agg(F.sum("uses").alias("uses")).toPandas()
         uses = np.full(probability.shape, SMOOTH / vocabulary.size)
-        uses[rows["piece"], rows["language"]] += rows["uses"].round(6)
+        uses[rows["piece"], rows["language"]] += rows["uses"] / SCALE
         probability = uses / uses.sum(axis=0)
     return Model(languages, probability, path)
 
@@ -197,23 +264,18 @@ def fit(docs: DataFrame, path: str, *, text: str = "text", lang: str = "lang", m
 class Scorer:
     """Scores words once per worker."""
 
-    def __init__(self, model: Model):
-        self.model, self.pieces = model, pieces(model.path)
+    def __init__(self, model: Sent):
+        self.model, self.pieces, self.probability = model, pieces(model.path), model.probability()
         self.forget()
 
     def forget(self) -> None:
         self.number: dict[str, int] = {}
-        self.table = np.zeros((0, len(self.model.languages)))
+        self.table = np.zeros((0, len(self.model.languages)), np.int64)
         self.lettered = np.zeros(0, bool)
 
     def words(self, words: list[str]) -> None:
-        """Adds new words to the table."""
-        parts = [(i, p) for i, w in enumerate(words) for p in stretches(w)]
-        parts.sort(key=lambda x: len(x[1]))
-        scores = np.zeros((len(words), self.table.shape[1]))
-        for lo in range(0, len(parts), 20_000):
-            some = parts[lo : lo + 20_000]
-            np.add.at(scores, np.array([i for i, _ in some]), forward(self.pieces, [p for _, p in some], self.model.probability))
+        """Adds new words to the table, in steps of 1 / ``SCALE``."""
+        scores = np.rint(forward(self.pieces, [mark(w) for w in words], self.probability) * SCALE).astype(np.int64)
         lettered = np.fromiter((any(map(str.isalpha, w)) for w in words), bool, len(words))
         scores[~lettered] = 0
         self.table, self.lettered = np.vstack([self.table, scores]), np.append(self.lettered, lettered)
@@ -236,7 +298,7 @@ class Scorer:
             self.words(new)
         rows = np.concatenate([np.zeros(0, np.int64), *found])
         bounds = tk.sums(np.array([len(f) for f in found], np.int64))
-        totals = np.diff(np.stack([tk.sums(self.table[rows, k], np.float64) for k in range(self.table.shape[1])], axis=1)[bounds], axis=0)
+        totals = np.stack([np.diff(tk.sums(self.table[rows, k])[bounds]) for k in range(self.table.shape[1])], axis=1) / SCALE
         some = np.diff(tk.sums(self.lettered[rows])[bounds]) > 0
         best = totals.argmax(axis=1)
         share = 1 / np.exp(np.minimum(0, totals - totals.max(axis=1, keepdims=True))).sum(axis=1)
@@ -250,8 +312,10 @@ def predict(docs: DataFrame, model: Model, *, text: str = "text", keep: list[str
     schema = T.StructType([*(taken.schema[c] for c in kept), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     at = taken.columns.index(text)
 
+    sent = model.send(docs.sparkSession.sparkContext)
+
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(model)
+        scorer = Scorer(sent)
         for batch in batches:
             for lo, hi, buf, offs in tk.chunks(batch.column(at), CHUNK):
                 raw, ends = buf.tobytes(), offs.tolist()

@@ -348,3 +348,79 @@ def test_numbers_of_equal_hashes(monkeypatch):
     starts, ends, firsts = textkit.word_bounds(~textkit.SPACE[buf], offs)
     number, n = textkit.Spans(buf).numbers(starts, ends, textkit.owners(firsts))
     assert number.tolist() == [0, 1, 0, 2, 3, 4] and n == 5
+
+
+def segmentations(word, known, longest):
+    """Log of the sum over all ways to cut ``word``, one by one."""
+    if not word:
+        return [1.0]
+    return [p * rest for k in range(1, min(longest, len(word)) + 1) for p in [known(word[:k])] if p for rest in segmentations(word[k:], known, longest)]
+
+
+def test_all_segmentations_are_summed():
+    from roadtrace.llm import langid_pieces as lp
+
+    vocabulary = lp.pieces(q.vocabulary("piece_bpe_32k.model"))
+    draw = np.random.default_rng(3)
+    probability = draw.random((vocabulary.size, 2)) / vocabulary.size * 9
+    codes = lambda piece: int(lp._matches(vocabulary, *lp._codes([piece]))[len(piece) - 1, len(piece) - 1, 0]) if len(piece) <= vocabulary.longest else vocabulary.size
+    words = ["▁", "▁a", "▁the", "▁straße", "▁international", "▁日本語の", "▁йцук", "▁" + "ab" * 5]
+    got = lp.forward(vocabulary, words, probability)
+    for language in (0, 1):
+
+        def known(piece, language=language):
+            number = codes(piece)
+            p = probability[number, language] if number < vocabulary.size else 0
+            return max(p, lp.FLOOR) if len(piece) == 1 else p
+
+        assert np.allclose(got[:, language], [np.log(sum(segmentations(w, known, vocabulary.longest))) for w in words], rtol=1e-9)
+    # Long words: a plain logarithmic recurrence, and the same in any company.
+    long = "▁" + "donaudampfschifffahrt日本" * 400
+    logs = np.full(len(long) + 1, -np.inf)
+    logs[0] = 0
+    for end in range(1, len(long) + 1):
+        for k in range(1, min(end, vocabulary.longest) + 1):
+            number = codes(long[end - k : end])
+            p = probability[number, 1] if number < vocabulary.size else 0
+            p = max(p, lp.FLOOR) if k == 1 else p
+            if p:
+                logs[end] = np.logaddexp(logs[end], logs[end - k] + np.log(p))
+        if end > 300:
+            break
+    assert np.isclose(lp.forward(vocabulary, [long[:301], "▁a"], probability)[0, 1], logs[301], rtol=1e-9)
+    assert np.allclose(lp.forward(vocabulary, words + [long], probability)[: len(words)], got, rtol=0, atol=1e-9)
+
+
+def test_results_do_not_depend_on_the_rows_beside(spark, root):
+    """The same rows in other partitions give the same scores, verdicts and languages, bit by bit."""
+    from roadtrace.llm import langid_pieces as lp
+
+    folder, rows = root
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    path = q.vocabulary("piece_bpe_32k.model")
+    ratios, langs, scored = set(), [], []
+    for parts in (1, 5):
+        some = docs.repartition(parts)
+        model = quality_llr.fit(some, labels)
+        ratios.add((model.ratio.tobytes(), model.threshold))
+        scored.append(rows_of(quality_llr.apply(some, model), "doc_id", "text", "score", "kept"))
+        langs.append(rows_of(lp.predict(some, lp.fit(some, path, order=F.col("doc_id"))), "doc_id", "text", "lang_pred", "score"))
+    assert len(ratios) == 1 and scored[0] == scored[1] and langs[0] == langs[1]
+
+
+def test_likelihood_ratio_against_plain_counts(spark, root):
+    """Scores equal a plain count of hashed byte n-grams."""
+    folder, rows = root
+    labels = [r["doc_id"] for r in spark.read.parquet(f"{folder}/labels.parquet").collect()]
+    good = quality_llr._sampled(spark.read.parquet(f"{folder}/labels.parquet"), 1, "doc_id", "quality", 100)[::2]
+    bucket = lambda g: (int.from_bytes(g, "little") * 0x9E3779B1 % (1 << 32)) >> 16
+    grams = {i: [bucket(t[k : k + 4]) for k in range(len(t) - 3)] for i, (_, t, *_) in enumerate((r[0], (r[1] or "").encode()) for r in rows)}
+    raw, target = np.zeros(1 << 16), np.zeros(1 << 16)
+    for i, (doc_id, *_) in enumerate(rows):
+        for g in grams[i]:
+            raw[g] += 1
+            target[g] += doc_id in good
+    ratio = np.rint((np.log((target + 1) / (target.sum() + (1 << 16))) - np.log((raw + 1) / (raw.sum() + (1 << 16)))) * (1 << 20))
+    want = sorted(((doc_id, text, float(ratio[grams[i]].sum() / ((1 << 20) * max(1, len(grams[i]))))) for i, (doc_id, text, *_) in enumerate(rows)), key=repr)
+    assert labels and rows_of(q.op9_ngram_likelihood_ratio(spark, folder), "doc_id", "score") == sorted(((d, s) for d, _, s in want), key=repr)
