@@ -10,7 +10,7 @@ directory's licence files (highest cosine, then name) holds for the directory; a
 takes that of its nearest ancestor directory. Directories, not documents, are joined with their ancestors, and each
 distinct notice is scored once, so a licence line that a third of all documents share costs one scoring.
 
-The templates are a parameter of bounded size (``MAX_TERMS`` terms), inlined as a local table.
+The templates are a parameter, inlined as a local table, and broadcast up to ``MAX_TERMS`` terms.
 
 With ``pieces`` a document is scored by parts: each marker line, each paragraph with a marker and the whole text are
 notices of their own, and the best one counts, so a header stands out beside copyright lines and code. ``FULL`` adds
@@ -18,7 +18,8 @@ SPDX ids, standard headers, title paragraphs and the full texts of the short lic
 tells its templates apart.
 
 Defined cases: null text has no notice; a null path has no directory and neither gives nor takes a licence; ids may
-repeat or be null; an empty table gives no rows; other columns stay out of the result unless named in ``keep``.
+repeat or be null; an empty table gives no rows; other columns stay out of the result unless named in ``keep``, where one with the name
+of an output is replaced.
 """
 
 from __future__ import annotations
@@ -33,8 +34,14 @@ from pyspark.sql import functions as F
 MARKER = r"(?i)licen[cs]|copyright|spdx|warrant"
 LICENSE_NAME = r"(?i)(^|/)(licen[cs]e|copying|notice)[^/]*$"
 TERM = r"[a-z0-9]+(?:\.[0-9]+)*"
+#: What parts paragraphs: a line without a letter or digit.
+PARAGRAPH = r"\n(?:[^\p{L}\p{N}\n]*\n)+"
+PARAGRAPH_SQL = f"regexp_split_to_array(body, '{PARAGRAPH}')"
 LEAST = 0.6
+#: Template terms up to which they are broadcast; beyond, terms meet by a shuffle.
 MAX_TERMS = 10_000
+#: Tasks to which the rows of one notice are dealt.
+SALTS = 16
 
 #: Usual notices of common licences.
 TEMPLATES = {
@@ -113,14 +120,13 @@ def values(rows: list[tuple]) -> str:
 def scored(spark: SparkSession, notices: DataFrame, templates: dict[str, str]) -> DataFrame:
     """(key, licence, cosine) of the best template for each (key, notice)."""
     rows, idf, foreign = weights(templates)
-    if len(rows) > MAX_TERMS:
-        raise ValueError(f"templates of more than {MAX_TERMS} terms")
+    small = F.broadcast if len(rows) <= MAX_TERMS else (lambda t: t.hint("merge"))
     table = spark.sql(f"SELECT * FROM VALUES {values(rows)} AS t(term, license, weight)")
     known = spark.sql(f"SELECT * FROM VALUES {values(sorted(idf.items()))} AS t(term, idf)")
     terms = notices.select("key", F.explode(F.regexp_extract_all(F.lower("notice"), F.lit(TERM), F.lit(0))).alias("term")).groupBy("key", "term").agg(F.count("*").alias("n"))
-    terms = terms.join(F.broadcast(known), "term", "left").withColumn("w", F.col("n") * F.coalesce("idf", F.lit(foreign)))
+    terms = terms.join(small(known), "term", "left").withColumn("w", F.col("n") * F.coalesce("idf", F.lit(foreign)))
     norms = terms.groupBy("key").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    dots = terms.join(F.broadcast(table), "term").groupBy("key", "license").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"))
+    dots = terms.join(small(table), "term").groupBy("key", "license").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"))
     cosines = dots.join(norms, "key").withColumn("cosine", F.round(F.col("dot") / F.col("norm"), 6)).filter(F.col("cosine") >= LEAST)
     best = cosines.groupBy("key").agg(F.min(F.struct((-F.col("cosine")).alias("minus"), "license")).alias("best"))
     return best.select("key", F.substring_index("best.license", ":", 1).alias("license"), (-F.col("best.minus")).alias("cosine"))
@@ -130,7 +136,7 @@ def scored_pieces(spark: SparkSession, bodies: DataFrame, templates: dict[str, s
     """As ``scored`` for (key, body): the best of a body's marker lines, paragraphs with a marker, and whole text."""
     marked = lambda parts: F.filter(parts, lambda part: part.rlike(MARKER))
     # A line without a letter or digit ends a paragraph, also within a comment.
-    paragraphs = F.split("body", r"\n(?:[^\p{L}\p{N}\n]*\n)+")
+    paragraphs = F.split("body", PARAGRAPH)
     pieces = F.array_distinct(F.concat(marked(F.split("body", "\n", -1)), marked(paragraphs), F.array("body")))
     each = bodies.select(F.col("key").alias("__body"), F.explode(pieces).alias("notice")).withColumn("key", F.sha2("notice", 256))
     # Each distinct piece is scored once, whatever the number of texts that hold it.
@@ -145,19 +151,22 @@ def scan_licenses(df: DataFrame, *, id_col: str, path: str, text: str = "text",
     ``pieces``: the best of a text's lines, paragraphs and whole counts, not all its marker lines as one notice.
     """
     spark = df.sparkSession
-    kept = [id_col] if keep is None else keep
+    kept = [c for c in ([id_col] if keep is None else keep) if c not in ("path", "own_license", "cosine", "license", "license_dir")]
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     marked = F.when(body.rlike(MARKER), F.array_join(F.filter(F.split(body, "\n", -1), lambda line: line.rlike(MARKER)), "\n"))
     words = F.when(body.rlike(MARKER), F.size(F.filter(F.split(body, r"\s+"), lambda w: w != "")))
     scored_text = F.when(body.rlike(MARKER), body) if pieces else marked
-    rows = df.select(*kept, F.col(path).cast("string").alias("__path"), marked.alias("__notice"), words.alias("__words"), scored_text.alias("__scored"))
+    rows = df.select(*(F.col(c).alias(f"__keep_{i}") for i, c in enumerate(kept)), F.col(path).cast("string").alias("__path"), marked.alias("__notice"), words.alias("__words"), scored_text.alias("__scored"))
     directory = F.when(F.col("__path").contains("/"), F.regexp_replace("__path", "/[^/]*$", "")).otherwise(F.when(F.col("__path").isNotNull(), F.lit("")))
     # Rows without a notice spread over the join by a key of their own.
     rows = rows.withColumn("__dir", directory).withColumn("__key", F.when(F.col("__notice").isNotNull(), F.sha2("__scored", 256)).otherwise(F.concat(F.lit("-"), F.monotonically_increasing_id())))
     notices = rows.filter("__notice IS NOT NULL").select(F.col("__key").alias("key"), F.col("__scored").alias("body" if pieces else "notice")).distinct()
     rows = rows.drop("__scored")
     best = (scored_pieces if pieces else scored)(spark, notices, templates).select(F.col("key").alias("__key"), F.col("license").alias("own_license"), "cosine")
-    owned = rows.join(best, "__key", "left")
+    # A notice that a third of all rows share is one key: it is dealt to SALTS tasks.
+    best = best.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    rows = rows.withColumn("__salt", F.pmod(F.xxhash64("__path", *(f"__keep_{i}" for i in range(len(kept)))), F.lit(SALTS)).cast("int"))
+    owned = rows.join(best, ["__key", "__salt"], "left")
 
     notice_words = F.size(F.filter(F.split("__notice", r"\s+"), lambda w: w != ""))
     is_file = F.col("__path").rlike(LICENSE_NAME) | (2 * notice_words >= F.col("__words"))
@@ -171,12 +180,17 @@ def scan_licenses(df: DataFrame, *, id_col: str, path: str, text: str = "text",
     nearest = above.join(held, "holder").groupBy("__dir").agg(F.min(F.struct("up", "dir_license", "holder")).alias("near"))
     nearest = nearest.select("__dir", F.col("near.dir_license").alias("__inherited"), F.col("near.holder").alias("__holder"))
     out = owned.join(nearest, "__dir", "left")
-    return out.select(*kept, F.col("__path").alias("path"), "own_license", "cosine", F.coalesce("own_license", "__inherited").alias("license"), F.when(F.col("own_license").isNull(), F.col("__holder")).alias("license_dir"))
+    return out.select(*(F.col(f"__keep_{i}").alias(c) for i, c in enumerate(kept)), F.col("__path").alias("path"), "own_license", "cosine", F.coalesce("own_license", "__inherited").alias("license"), F.when(F.col("own_license").isNull(), F.col("__holder")).alias("license_dir"))
 
 
-def oracle(path_sql: str, templates: dict[str, str] = TEMPLATES) -> str:
+def oracle(path_sql: str, templates: dict[str, str] = TEMPLATES, pieces: bool = False) -> str:
     """The same over ``documents`` in DuckDB."""
     rows, idf, foreign = weights(templates)
+    parts = "SELECT rid, 0 AS pid, notice FROM m"
+    if pieces:
+        marked = lambda split: f"list_filter({split}, lambda x: regexp_matches(x, '{MARKER}'))"
+        lists = rf"list_distinct({marked('string_split(body, chr(10))')} || {marked(PARAGRAPH_SQL)} || [body])"
+        parts = f"SELECT rid, row_number() OVER () AS pid, notice FROM (SELECT rid, unnest({lists}) AS notice FROM d WHERE regexp_matches(body, '{MARKER}'))"
     plain = lambda r: values(r).replace("D)", ")")
     return rf"""
 WITH t(term, license, weight) AS (VALUES {plain(rows)}),
@@ -184,10 +198,12 @@ k(term, idf) AS (VALUES {plain(sorted(idf.items()))}),
 d AS (SELECT row_number() OVER () AS rid, doc_id, {path_sql} AS path, coalesce(text, '') AS body FROM documents),
 m AS (SELECT rid, array_to_string(list_filter(string_split(body, chr(10)), lambda l: regexp_matches(l, '{MARKER}')), chr(10)) AS notice, len(list_filter(regexp_split_to_array(body, '\s+'), lambda w: w <> '')) AS words
   FROM d WHERE regexp_matches(body, '{MARKER}')),
-terms AS (SELECT rid, term, count(*) AS n FROM (SELECT rid, unnest(regexp_extract_all(lower(notice), '{TERM}')) AS term FROM m) GROUP BY 1, 2),
-w AS (SELECT rid, term, n * coalesce(idf, {foreign!r}) AS w FROM terms LEFT JOIN k USING (term)),
-c AS (SELECT rid, license, round(sum(w * weight) / any_value(norm), 6) AS cosine FROM w JOIN t USING (term) JOIN (SELECT rid, sqrt(sum(w * w)) AS norm FROM w GROUP BY 1) USING (rid) GROUP BY 1, 2),
-best AS (SELECT rid, license AS own_license, cosine FROM c WHERE cosine >= {LEAST} QUALIFY row_number() OVER (PARTITION BY rid ORDER BY cosine DESC, license) = 1),
+p AS ({parts}),
+terms AS (SELECT rid, pid, term, count(*) AS n FROM (SELECT rid, pid, unnest(regexp_extract_all(lower(notice), '{TERM}')) AS term FROM p) GROUP BY 1, 2, 3),
+w AS (SELECT rid, pid, term, n * coalesce(idf, {foreign!r}) AS w FROM terms LEFT JOIN k USING (term)),
+c AS (SELECT rid, pid, license, round(sum(w * weight) / any_value(norm), 6) AS cosine FROM w JOIN t USING (term) JOIN (SELECT rid, pid, sqrt(sum(w * w)) AS norm FROM w GROUP BY 1, 2) USING (rid, pid) GROUP BY 1, 2, 3),
+each AS (SELECT rid, string_split(license, ':')[1] AS own_license, cosine FROM c WHERE cosine >= {LEAST} QUALIFY row_number() OVER (PARTITION BY rid, pid ORDER BY cosine DESC, license) = 1),
+best AS (SELECT rid, own_license, cosine FROM each QUALIFY row_number() OVER (PARTITION BY rid ORDER BY cosine DESC, own_license) = 1),
 o AS (SELECT d.*, own_license, cosine, notice, words, CASE WHEN contains(path, '/') THEN regexp_replace(path, '/[^/]*$', '') WHEN path IS NOT NULL THEN '' END AS dir FROM d LEFT JOIN best USING (rid) LEFT JOIN m USING (rid)),
 held AS (SELECT dir, own_license AS dir_license FROM o WHERE own_license IS NOT NULL AND dir IS NOT NULL AND (regexp_matches(path, '{LICENSE_NAME}') OR 2 * len(list_filter(regexp_split_to_array(notice, '\s+'), lambda w: w <> '')) >= words)
   QUALIFY row_number() OVER (PARTITION BY dir ORDER BY cosine DESC, own_license) = 1),

@@ -4,12 +4,13 @@ The rules form one trie: the host's labels from the right (``com``, ``example``,
 the rule paths that end there. A lookup walks a url's labels once and remembers the deepest node that holds a
 fitting path, so the longest match wins between allow and block entries: first more host labels, then the longer path.
 
-The trie is broadcast inside the task closure. Its size is checked: more than ``max_rules`` rules raise, since such a
-list wants the join form (explode host suffixes, join on host).
+The trie is a broadcast variable of at most ``max_rules`` rules. A longer list is taken in parts of that size, one after another, and a
+url keeps the longest match of all parts, so any list gives the verdicts of one trie.
 
 Defined cases: a null url, or one without ``://``, has an empty host and path; no rule fits an empty host. Host and
 path follow the first ``://`` literally, so a port or user part belongs to the last or first label. Two rules with the
-same host and path: block wins. Repeated rows each get their verdict. Columns besides the url pass through.
+same host and path: block wins. Repeated rows each get their verdict. The ``keys`` columns pass through; one with the name of an output is
+replaced.
 """
 
 from __future__ import annotations
@@ -86,25 +87,39 @@ def split_url(url: str | None) -> tuple[str, str]:
     return (found[1].translate(_LOWER), found[2]) if found else ("", "")
 
 
+OUTPUTS = ("host", "path", "rule", "verdict")
+
+
+def rank(found: tuple[str, str]) -> tuple[int, int, bool]:
+    """Of two matches of one url: more host labels, then the longer path, then block."""
+    host, _, path = found[0].partition("/")
+    return host.count("."), len(path), found[1] == "block"
+
+
 def judge_urls(df: DataFrame, rules: Iterable[Rule], *, keys: list[str], url: str = "url", default: str = "allow", max_rules: int = MAX_RULES) -> DataFrame:
     """``keys`` columns with host, path, rule (null without a match) and verdict of each row's url."""
     rules = list(rules)
-    if len(rules) > max_rules:
-        raise ValueError(f"{len(rules)} rules exceed the broadcast bound of {max_rules}")
-    trie = HostTrie(rules)
-    taken = df.select(*[F.col(k) for k in keys], F.col(url).cast("string").alias("__url"))
-    schema = T.StructType([*taken.schema.fields[:-1], *(T.StructField(n, T.StringType()) for n in ("host", "path", "rule", "verdict"))])
-
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for text in batch.column(batch.num_columns - 1).to_pylist():
-                host, path = split_url(text)
-                found = trie.match(host, path)
-                rows.append((host, path, *(found or (None, default))))
-            columns = list(zip(*rows, strict=True)) if rows else [(), (), (), ()]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], *(pa.array(c, pa.string()) for c in columns)], names=[*keys, "host", "path", "rule", "verdict"]
-            )
-
-    return taken.mapInArrow(judge, schema)
+    kept = [k for k in keys if k not in OUTPUTS]
+    out = df.select(*[F.col(k) for k in kept], F.col(url).cast("string").alias("__url"))
+    schema = T.StructType([*out.schema.fields[:-1], *(T.StructField(n, T.StringType()) for n in ("__url", *OUTPUTS))])
+    parts = [rules[at : at + max_rules] for at in range(0, len(rules), max_rules)] or [[]]
+    for number, part in enumerate(parts):
+        sent = df.sparkSession.sparkContext.broadcast(HostTrie(part))
+
+        def judge(batches: Iterator[pa.RecordBatch], sent=sent, later=number > 0) -> Iterator[pa.RecordBatch]:
+            trie = sent.value
+            for batch in batches:
+                own = batch.columns[: len(kept)]
+                earlier = [c.to_pylist() for c in batch.columns[-2:]] if later else [[None] * len(batch), [default] * len(batch)]
+                rows = []
+                for text, rule, verdict in zip(batch.column(len(kept)).to_pylist(), *earlier, strict=True):
+                    host, path = split_url(text)
+                    found = trie.match(host, path)
+                    if found and (rule is None or rank(found) > rank((rule, verdict))):
+                        rule, verdict = found
+                    rows.append((text, host, path, rule, verdict))
+                columns = list(zip(*rows, strict=True)) if rows else [()] * 5
+                yield pa.RecordBatch.from_arrays([*own, *(pa.array(c, pa.string()) for c in columns)], names=schema.names)
+
+        out = out.mapInArrow(judge, schema)
+    return out.drop("__url")

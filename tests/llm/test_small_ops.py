@@ -68,8 +68,8 @@ def test_url_rules(spark):
         return host, path, best and best.text, best.verdict if best else "allow"
 
     assert got == {i: plain(u) for i, u in enumerate(urls)}
-    with pytest.raises(ValueError):
-        ut.judge_urls(df, q.URL_RULES, keys=["page_id"], max_rules=2)
+    for parts in (1, 2, 3):
+        assert {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in ut.judge_urls(df.withColumn("host", F.lit(3)), q.URL_RULES, keys=["page_id", "host"], max_rules=parts).collect()} == got
 
 
 def base_spans(text):
