@@ -5,13 +5,15 @@ are ordered by that index and the order is cut into equal runs. Neighbouring cel
 dimension, so each run's files carry narrow minima and maxima and predicates on any of the dimensions prune files.
 
 A global order needs no global sort: there are at most 2**(dims*bits) cells, so their cumulative counts are a table of
-bounded size. A hot cell (one source may hold a third of all rows) is dealt to ``subcells`` by a hash of the id, so
-that no task ranks a whole cell. The offsets table has at most 2**(dims*bits) * subcells rows and is broadcast.
+bounded size. A cell is dealt by a hash of the order columns to one subcell for every ``SUBROWS`` of its rows (one source may hold a
+third of all rows), so no task ranks a whole hot cell. The offsets table has at most 2**(dims*bits) + rows / ``SUBROWS`` rows. The input is
+read once: rows with their cell are cut off by checkpoint() and counted from there.
 
 Law ``rows``: run s holds positions p with floor(p * shards / n) = s, so counts are at most one apart.
 
 Defined cases: null text counts as no bytes (size 1, checksum 0); null dimensions quantise to 0; null ids rank first
-in their subcell; repeated rows take neighbouring slots; an empty table gives no rows.
+in their subcell; repeated rows take neighbouring slots; an empty table gives no rows; input columns named cell, shard or slot are
+replaced, other names may clash with anything.
 """
 
 from __future__ import annotations
@@ -19,8 +21,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from roadtrace.llm import textkit as tk
+
 BITS = 4
-SUBCELLS = 64
+#: Rows of a subcell.
+SUBROWS = 1 << 16
 
 
 def curve_tables(dims: int) -> tuple[list[int], list[int], list[int]]:
@@ -73,21 +78,28 @@ def log_level(value: Column, bits: int) -> Column:
     return F.coalesce(F.least(F.floor(F.log2(F.greatest(value, F.lit(1)))), F.lit((1 << bits) - 1)), F.lit(0)).cast("int")
 
 
-def hilbert_shards(df: DataFrame, dimensions: list[Column], *, order: list[str], shards: int, bits: int = BITS, subcells: int = SUBCELLS) -> DataFrame:
+def hilbert_shards(df: DataFrame, dimensions: list[Column], *, order: list[str], shards: int, bits: int = BITS, subrows: int = SUBROWS) -> DataFrame:
     """``df`` with cell (curve index), shard (int, 0 to shards-1) and slot (long, gapless from 0 in its shard).
 
     ``dimensions`` are integer columns below 2**bits; ``order`` names the columns that order rows within a subcell.
     """
-    base = df.withColumn("__cell", curve_index(dimensions, bits)).withColumn("__sub", F.pmod(F.xxhash64(*order), F.lit(subcells)).cast("int"))
-    counts = base.groupBy("__cell", "__sub").agg(F.count("*").alias("__n"))
+    tk.checkpoint_dir(df.sparkSession)
+    kept = [c for c in df.columns if c not in ("cell", "shard", "slot")]
+    names = {c: f"__row_{i}" for i, c in enumerate(kept)}
+    sorts = [f"__order_{i}" for i in range(len(order))]
+    own = [*(F.col(c).alias(n) for c, n in names.items()), *(F.col(c).alias(n) for c, n in zip(order, sorts, strict=True))]
+    base = df.select(*own, curve_index(dimensions, bits).alias("__cell"), F.xxhash64(*order).alias("__hash")).checkpoint()
     # At most 2**(dims*bits) rows meet in this one task, whatever the input.
-    cells = counts.groupBy("__cell").agg(F.sum("__n").alias("__m"))
+    cells = base.groupBy("__cell").agg(F.count("*").alias("__m"))
     all_cells = Window.partitionBy(F.lit(0))
-    cells = cells.select("__cell", (F.sum("__m").over(all_cells.orderBy("__cell")) - F.col("__m")).alias("__before"), F.sum("__m").over(all_cells).alias("__total"))
-    subs = counts.withColumn("__inner", F.sum("__n").over(Window.partitionBy("__cell").orderBy("__sub")) - F.col("__n"))
-    offsets = subs.join(F.broadcast(cells), "__cell").select("__cell", "__sub", (F.col("__before") + F.col("__inner")).alias("__offset"), "__total")
-    ranked = base.withColumn("__rank", F.row_number().over(Window.partitionBy("__cell", "__sub").orderBy(*order)) - F.lit(1))
-    placed = ranked.join(F.broadcast(offsets), ["__cell", "__sub"]).withColumn("__at", F.col("__offset") + F.col("__rank"))
-    placed = placed.withColumn("shard", F.expr(f"CAST((__at * {shards}) DIV __total AS INT)"))
-    placed = placed.withColumn("slot", F.expr(f"__at - (shard * __total + {shards - 1}) DIV {shards}"))
-    return placed.select(*[F.col(c) for c in df.columns if c not in ("cell", "shard", "slot")], F.col("__cell").alias("cell"), "shard", "slot")
+    before = F.sum("__m").over(all_cells.orderBy("__cell")) - F.col("__m")
+    cells = cells.select("__cell", before.alias("__before"), F.sum("__m").over(all_cells).alias("__total"), F.ceil(F.col("__m") / subrows).cast("int").alias("__subs"))
+    dealt = base.join(F.broadcast(cells.select("__cell", "__subs")), "__cell").withColumn("__sub", F.pmod(F.col("__hash"), F.col("__subs")).cast("int")).drop("__subs", "__hash")
+    counts = dealt.groupBy("__cell", "__sub").agg(F.count("*").alias("__n"))
+    inner = F.sum("__n").over(Window.partitionBy("__cell").orderBy("__sub")) - F.col("__n")
+    offsets = counts.withColumn("__inner", inner).join(F.broadcast(cells), "__cell").select("__cell", "__sub", (F.col("__before") + F.col("__inner")).alias("__offset"), "__total")
+    ranked = dealt.withColumn("__rank", F.row_number().over(Window.partitionBy("__cell", "__sub").orderBy(*sorts)) - F.lit(1))
+    placed = ranked.join(offsets, ["__cell", "__sub"]).withColumn("__at", F.col("__offset") + F.col("__rank"))
+    placed = placed.withColumn("__shard", F.expr(f"CAST((__at * {shards}) DIV __total AS INT)"))
+    slot = F.expr(f"__at - (__shard * __total + {shards - 1}) DIV {shards}")
+    return placed.select(*(F.col(n).alias(c) for c, n in names.items()), F.col("__cell").alias("cell"), F.col("__shard").alias("shard"), slot.alias("slot"))

@@ -20,7 +20,8 @@ Texts are shuffled once, as whole documents; the three passes over the document
 Positions are recomputed, never stored, and every step is a Spark stage that can be run again.
 
 Defined cases: null text counts as empty; a null id counts as larger than all others; rows that share an id don't
-remove each other's strings; texts under ``LENGTH`` bytes stay; an empty table gives no rows.
+remove each other's strings; texts under ``LENGTH`` bytes stay; an empty table gives no rows; a kept column with the name of an output is
+replaced, other names may clash with anything.
 """
 
 from __future__ import annotations
@@ -359,16 +360,18 @@ def _cut(keep: list[str], schema: pa.Schema, shards: int):
 def remove_repeats(df: DataFrame, *, id_col: str = "doc_id", text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """``keep`` columns (by default the id) with n_bytes, n_removed, n_spans (long) and kept (binary, what is left)."""
     spark = df.sparkSession
-    kept = [id_col] if keep is None else keep
+    kept = [c for c in ([id_col] if keep is None else keep) if c not in ("n_bytes", "n_removed", "n_spans", "kept")]
     total = df.agg(F.sum(F.octet_length(F.col(text).cast("string")))).first()[0] or 0
     shards = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // SHARD_BYTES))
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     pieces = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // PIECE_BYTES))
-    docs = df.select(*kept, F.col(id_col).cast("long").alias("__id"), F.pmod(F.xxhash64(id_col, text), F.lit(shards)).cast("int").alias("__home"), body.alias("__text"))
+    names = {c: f"__keep_{i}" for i, c in enumerate(kept)}
+    docs = df.select(*(F.col(c).alias(n) for c, n in names.items()), F.col(id_col).cast("long").alias("__id"), F.pmod(F.xxhash64(id_col, text), F.lit(shards)).cast("int").alias("__home"), body.alias("__text"))
     announced = docs.groupBy("__home").applyInArrow(_announced(pieces), "piece int, home int, anchors binary")
     shared = announced.groupBy("piece").applyInArrow(_shared, "home int, kind int, payload binary")
     sent = docs.groupBy("__home").cogroup(shared.groupBy("home")).applyInArrow(_sent(pieces), "piece int, home int, numbers binary, contexts binary, sides binary, least binary")
     bits = sent.groupBy("piece").applyInArrow(_judged, "home int, kind int, payload binary")
     news = shared.unionByName(bits)
-    out = T.StructType([*(docs.schema[c] for c in kept), *(T.StructField(n, T.LongType()) for n in ("n_bytes", "n_removed", "n_spans")), T.StructField("kept", T.BinaryType())])
-    return docs.groupBy("__home").cogroup(news.groupBy("home")).applyInArrow(_cut(kept, to_arrow_schema(out), pieces), out)
+    out = T.StructType([*(docs.schema[n] for n in names.values()), *(T.StructField(n, T.LongType()) for n in ("n_bytes", "n_removed", "n_spans")), T.StructField("kept", T.BinaryType())])
+    done = docs.groupBy("__home").cogroup(news.groupBy("home")).applyInArrow(_cut(list(names.values()), to_arrow_schema(out), pieces), out)
+    return done.select(*(F.col(n).alias(c) for c, n in names.items()), "n_bytes", "n_removed", "n_spans", "kept")

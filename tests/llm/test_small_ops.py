@@ -127,3 +127,23 @@ def test_very_long_text_with_secrets(spark):
         assert ",".join(f"{s['kind']}:{s['start']}:{s['end']}" for s in r["spans"]) == base_spans(text)
     cleaned = {r["doc_id"]: r["text"] for r in sl.redact(df).collect()}
     assert cleaned == {1: text.replace("token=abcdefgh99", "[assign]").replace("f" * 40, "[hex]"), 2: cleaned[1], 3: None}
+
+
+def test_clashing_names_in_every_keeping_operator(spark):
+    """A kept column with an output's name is replaced; helper names of an operator don't matter."""
+    from roadtrace.llm import bpe_codec, langid_pieces, license_scan, partenum_join, suffix_dedup
+
+    names = ["n_bytes", "kept", "node", "n_shingles", "license", "cell", "slot", "shard", "__id", "label", "lang_pred", "ids"]
+    df = spark.createDataFrame([(i, "MIT License\nsome words of a text that has more than five " + "x" * (i % 3)) for i in range(9)], "doc_id long, text string")
+    for n in names:
+        df = df.withColumn(n, F.lit("own"))
+    keep = ["doc_id", *names]
+    model = langid_pieces.fit(df.withColumn("lang", F.lit("en")), q.vocabulary("piece_bpe_32k.model"))
+    for got in (
+        hs.hilbert_shards(df, [hs.log_level(F.col("doc_id"), 4), hs.hashed_level(F.col("text"), 4)], order=["doc_id"], shards=3, subrows=2),
+        suffix_dedup.remove_repeats(df, keep=keep), partenum_join.classes(df, keep=keep), partenum_join.representatives(df),
+        license_scan.scan_licenses(df, id_col="doc_id", path="text", keep=keep), bpe_codec.encode_texts(df, q.vocabulary("byte_bpe_50k.json"), keep=keep), langid_pieces.predict(df, model, keep=keep),
+    ):
+        assert len(set(got.columns)) == len(got.columns)
+        rows = got.collect()
+        assert rows and all(r["__id"] == "own" and r["label"] == "own" for r in rows), got.columns
