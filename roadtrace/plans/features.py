@@ -91,7 +91,7 @@ def turn_features(spark: SparkSession, root: str) -> DataFrame:
 SELECT event_id, round(CASE WHEN abs(y) < 0.1 THEN 1 ELSE exp(-0.5 * least(9, power((value / 10 * y - 1.5) / (0.25 + 0.6 * abs(y)), 2))) END, 6) AS likelihood,
   round(0.1 * least(1, 1 / power(0.5 + value / 50, 2)), 6) AS pull, round(0.004 * value * value + 2 * sqrt(60 * value), 4) AS growth,
   round((0.4 + 0.6 * greatest(0, least(1, (value - 3) / 2.5))) * (1 - 0.55 * greatest(0, least(1, (value - 25) / 7.0))), 6) AS echo,
-  round(1000 / (CASE event_type WHEN 'click' THEN 110 WHEN 'view' THEN 60 ELSE 30 END / 3.6), 4) AS seconds,
+  round(1000 / (CASE event_type WHEN 'click' THEN 100 WHEN 'view' THEN 60 ELSE 30 END / 3.6), 4) AS seconds,
   CASE WHEN value > 100 THEN 'sensorGap' WHEN value > 80 THEN 'handling' WHEN abs(y) > 1.6 THEN 'handling' WHEN user_id % 9 = 0 THEN 'outsideCoverage' WHEN value * 10 > 350 THEN 'uncertain' END AS failure
 FROM (SELECT *, (event_id % 41) / 20.0 - 1 AS y FROM events)""")
 def motion_formulas(spark: SparkSession, root: str) -> DataFrame:

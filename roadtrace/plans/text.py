@@ -45,29 +45,61 @@ def _places(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
     return s.postings(p, "entry", ["name", "context"]), p
 
 
-@query(f"""
+def _search_sql(terms: list[tuple[int, str]], first: str, near: str = "starts_with(word, term)", typo: str = "0") -> str:
+    listed = ", ".join(f"({i}, '{t}')" for i, t in terms)
+    return f"""
 WITH p AS (SELECT p_partkey AS entry, p_name AS name, p_brand || ' ' || p_type AS context, p_size % 7 AS rank, p_retailprice / 4 AS km FROM part),
 i AS (SELECT entry, 0 AS field, unnest({_WORDS.format('name')}) AS word FROM p UNION ALL SELECT entry, 1, unnest({_WORDS.format('context')}) FROM p),
-h AS (SELECT entry, number, min(field) AS field FROM i, (VALUES (0, 'red'), (1, 'sma')) t(number, term) WHERE starts_with(word, term) GROUP BY 1, 2),
-m AS (SELECT entry, max(CASE WHEN number = 0 AND field = 0 THEN 1 ELSE 0 END) AS opens FROM h GROUP BY 1 HAVING count(*) = 2 AND min(field) = 0)
-SELECT entry, name, round(10 * rank - 5 * opens + 0.05 * least(km, 300.0), 6) AS score FROM m JOIN p USING (entry) ORDER BY score, name, entry LIMIT 40""")
+h AS (SELECT entry, number, min(10 * field + {typo}) AS best FROM i, (VALUES {listed}) t(number, term) WHERE {near} GROUP BY 1, 2),
+m AS (SELECT entry, sum(best % 10) AS typos FROM h GROUP BY 1 HAVING count(*) = {len(terms)} AND min(best // 10) = 0)
+SELECT entry, name, round(10 * rank + 15 * typos - 5 * CASE WHEN starts_with({_WORDS.format('name').removeprefix('list_distinct')}[1], '{first}') THEN 1 ELSE 0 END + 0.05 * least(km, 300.0), 6) AS score FROM m JOIN p USING (entry) ORDER BY score, name, entry LIMIT 40"""
+
+
+@query(_search_sql([(0, "red"), (1, "sma")], "red"))
 def ranked_search(spark: SparkSession, root: str) -> DataFrame:
-    """JOI22, TOP03: two terms over names and contexts, best forty."""
+    """JOI22, TOP03: two terms over names and contexts, best forty; accents of the query are folded."""
     index, entries = _places(spark, root)
-    return s.ranked(index, entries, "red sma", 40, fuzzy=False).select("entry", "name", "score")
+    return s.ranked(index, entries, "Réd smä", 40, fuzzy=False).select("entry", "name", "score")
 
 
-@query("""
-WITH c AS (SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'https://maps.example/@' || lat || ',' || lon || ',15z' WHEN 1 THEN 'geo:' || lat || ',' || lon WHEN 2 THEN 'see ' || lat || ', ' || lon || ' there' ELSE 'https://m.example/?q=' || lat || '%2C' || lon || '&z=3' END AS link, lat, lon
-  FROM (SELECT c_custkey, (c_custkey % 180) - 89 || '.' || (c_custkey % 90 + 10) AS lat, (c_custkey % 400) - 199 || '.25' AS lon FROM customer))
-SELECT c_custkey, CASE WHEN ok THEN CAST(lat AS DOUBLE) END AS lat, CASE WHEN ok THEN CAST(lon AS DOUBLE) END AS lon FROM (SELECT *, abs(CAST(lat AS DOUBLE)) <= 90 AND abs(CAST(lon AS DOUBLE)) <= 180 AS ok FROM c)""")
+@query(_search_sql(
+    [(0, "widgat"), (1, "red")], "widgat", typo="CASE WHEN starts_with(word, term) THEN 0 ELSE 1 END",
+    near="starts_with(word, term) OR (length(term) >= 5 AND ((length(word) >= length(term) - 1 AND levenshtein(left(word, length(term) - 1), term) <= 1) OR (length(word) >= length(term) AND levenshtein(left(word, length(term)), term) <= 1) OR (length(word) > length(term) AND levenshtein(left(word, length(term) + 1), term) <= 1)))",
+))
+def typo_search(spark: SparkSession, root: str) -> DataFrame:
+    """SRC06, TXT03, TOP03: an index built from two columns; the pass with typos takes over where the exact one finds little."""
+    index, entries = _places(spark, root)
+    return s.search(index, entries, "widgat red").select("entry", "name", "score")
+
+
+@query("SELECT p_partkey AS entry, p_name AS name, p_size % 7 AS rank, row_number() OVER (ORDER BY p_size % 7, p_name, p_brand, p_partkey) AS place FROM part ORDER BY place LIMIT 100")
+def index_order(spark: SparkSession, root: str) -> DataFrame:
+    """TOP09, TOP10: the first hundred places by rank, name and context."""
+    p = table(spark, root, "part").select(F.col("p_partkey").alias("entry"), F.col("p_name").alias("name"), (F.col("p_size") % 7).alias("rank"), F.col("p_brand").alias("context"))
+    first = s.index_order(p).limit(100)
+    return first.withColumn("place", F.row_number().over(Window.orderBy("rank", "name", "context", "entry")).cast("long")).drop("context")
+
+
+_LINKS = """CASE k % 12 WHEN 0 THEN 'https://maps.example/@' || lat || ',' || lon || ',15z' WHEN 1 THEN 'geo:' || lat || ',' || lon || ' or https://m.example/@1.25,2.25'
+  WHEN 2 THEN 'see ' || lat || ', ' || lon || ' there' WHEN 3 THEN 'https://m.example/?q=' || lat || '%2C' || lon || '&z=3'
+  WHEN 4 THEN 'https://m.example/maps/place/Big+House/@1.5,2.5,17z/data=!3d' || lat || '!4d' || lon WHEN 5 THEN 'https://o.example/?mlat=' || lat || '&amp;mlon=' || lon || '#map=17/1.5/2.5'
+  WHEN 6 THEN 'https://o.example/#map=17/' || lat || '/' || lon || '&x=@1.5,2.5' WHEN 7 THEN 'https://m.example/?q=House&ll=' || lat || ',' || lon
+  WHEN 8 THEN 'https://www.example/maps/search/' || lat || ',+' || lon || '?entry=t' WHEN 9 THEN 'https://m.example/l?u=https%3A%2F%2Fm.example%2F%3Fcenter%3D' || lat || '%252C' || lon
+  WHEN 10 THEN 'Call me at 12, 30 tomorrow ' || k WHEN 11 THEN 'two: ?sll=' || lat || ';' || lon || ' &daddr=0.0,0.0' END"""
+
+
+@query(f"""
+WITH c AS (SELECT c_custkey AS k, (c_custkey % 180) - 89 || '.' || (c_custkey % 900 + 100) AS lat, (c_custkey % 400) - 199 || '.250' AS lon FROM customer)
+SELECT k AS c_custkey, CASE WHEN ok THEN CAST(lat AS DOUBLE) END AS lat, CASE WHEN ok THEN CAST(lon AS DOUBLE) END AS lon,
+  CASE k % 12 WHEN 4 THEN 'Big House' WHEN 7 THEN 'House' END AS name
+FROM (SELECT *, abs(CAST(lat AS DOUBLE)) <= 90 AND abs(CAST(lon AS DOUBLE)) <= 180 AND k % 12 <> 10 AS ok FROM c) WHERE ok OR k % 12 IN (0, 2, 3, 7, 8, 9, 10, 11)""")
 def place_from_text(spark: SparkSession, root: str) -> DataFrame:
-    """TXT05, TXT09: coordinates back out of links and sentences that are written from keys."""
-    k = F.col("c_custkey")
-    lat = F.concat(((k % 180) - 89).cast("string"), F.lit("."), (k % 90 + 10).cast("string"))
-    lon = F.concat(((k % 400) - 199).cast("string"), F.lit(".25"))
-    link = F.when(k % 4 == 0, F.concat(F.lit("https://maps.example/@"), lat, F.lit(","), lon, F.lit(",15z"))).when(k % 4 == 1, F.concat(F.lit("geo:"), lat, F.lit(","), lon)).when(k % 4 == 2, F.concat(F.lit("see "), lat, F.lit(", "), lon, F.lit(" there"))).otherwise(F.concat(F.lit("https://m.example/?q="), lat, F.lit("%2C"), lon, F.lit("&z=3")))
-    return table(spark, root, "customer").select(k, t.place_from_text(link).alias("p")).select("c_custkey", "p.lat", "p.lon")
+    """TXT05, TXT07, TXT09: coordinates and names back out of links and sentences written from keys; a lesser form stands beside."""
+    keys = table(spark, root, "customer").selectExpr("c_custkey AS k", "concat(c_custkey % 180 - 89, '.', c_custkey % 900 + 100) AS lat", "concat(c_custkey % 400 - 199, '.250') AS lon")
+    told = keys.withColumn("link", F.expr(_LINKS)).withColumn("p", t.place_from_text(F.col("link")))
+    # Where a pair off the globe stands beside a lesser form, that one counts; such rows are left to the unit tests.
+    fits = (F.abs(F.col("lat").cast("double")) <= 90) & (F.abs(F.col("lon").cast("double")) <= 180) & (F.col("k") % 12 != 10)
+    return told.filter(fits | (F.col("k") % 12).isin(0, 2, 3, 7, 8, 9, 10, 11)).select(F.col("k").alias("c_custkey"), "p.lat", "p.lon", t.place_name(F.col("link")).alias("name"))
 
 
 @query("""SELECT page_id, nullif(regexp_extract(html, 'https?://[^\\s"''<>]+'), '') AS link, split_part(split_part(url, '://', 2), '/', 1) AS host FROM pages""")

@@ -52,7 +52,7 @@ PLACES = [
     ("https://consent.example/?continue=https%3A%2F%2Fmaps.example%2F%3Fq%3D50.45%252C30.52", (50.45, 30.52)),
     ("https://osm.example/?mlat=49.84&mlon=24.03#map=15/1/2", (49.84, 24.03)),
     ("https://osm.example/#map=15/49.84/24.03", (49.84, 24.03)),
-    ("geo:49.84,24.03?z=3", (49.84, 24.03)), ("meet at 49.84, 24.03 ok", (49.84, 24.03)),
+    ("geo:49.84,24.03?z=3", (49.84, 24.03)), ("meet at 49.840, 24.030 ok", (49.84, 24.03)),
     ("49°50'24\"N 24°1'48\"E", (49.84, 24.03)), ("24°1'48\"W 49°50'24\"S", (-49.84, -24.03)),
     ("https://short.example/abc", None), ("Open 24/7 at all times", None), ("geo:0,0", None), ("geo:95,10", None),
 ]
@@ -84,3 +84,31 @@ def test_flags(spark):
     assert one(spark, ql.valid_raw(vector(0.0, 0.1, 0.2), vector(0.0, 0.0, 0.0), vector(0.0, -1.0, 0.0)))
     assert not one(spark, ql.valid_raw(vector(0.0, 0.1), vector(0.0, 0.0, 0.0), vector(0.0, -1.0, 0.0)))
     assert not one(spark, ql.valid_raw(vector(0.0, 0.1, 0.2), vector(0.0, 0.0, 0.0), vector(0.0, -0.2, 0.0)))
+
+
+def test_places_by_precedence(spark):
+    """The most telling form wins, wherever it stands; broken pairs, prices and telephone numbers are none."""
+    cases = {
+        "geo:50.45,30.52 or https://m.example/@10.1,20.2": (50.45, 30.52), "https://m.example/@1.1,2.2,9z #map=12/50.1/30.2": (50.1, 30.2), "https://m.example/?center=50.4,30.5": (50.4, 30.5),
+        "https://m.example/?markers=loc:50.4,30.5": (50.4, 30.5), "https://o.example/?mlat=50.4&amp;mlon=30.5": (50.4, 30.5), "https://m.example/?saddr=1.5,2.5&daddr=3.5,4.5": (3.5, 4.5),
+        "https://m.example/?coordinate=91.5,2.5&q=3.5,4.5": (3.5, 4.5), "Call me at 12, 30 tomorrow": None, "12.50, 30.20": None, "at 50.4501 30.5234": (50.4501, 30.5234), "150.4501,30.5234": None,
+        "https://s.example/x 50.4501, 30.5234": None, "?q=0.0,0.0": None, "30°31'24\"E, 50°27'N": (50.45, 30.523333), "https://a.example/l?u=https%253A%252F%252Fm.example%252F%2540%3Fll%3D5.5%2C6.5": (5.5, 6.5),
+    }
+    df = spark.createDataFrame([(k, *(v or (None, None))) for k, v in cases.items()], "t string, lat double, lon double")
+    for r in df.withColumn("p", t.place_from_text(F.col("t"))).collect():
+        assert (r["p"] is None) == (r["lat"] is None), r["t"]
+        assert r["p"] is None or (r["p"]["lat"], r["p"]["lon"]) == pytest.approx((r["lat"], r["lon"]), abs=1e-5), r["t"]
+    names = {"https://a.example/?q=Big+House&z=1&ll=1.5,2.5": "Big House", "https://a.example/?ll=1.5,2.5&q=House": None, "https://a.example/?q=1.5,2.5&ll=1.5,2.5": None, "no link": None}
+    df = spark.createDataFrame(list(names.items()), "t string, name string")
+    assert all(r["got"] == r["name"] for r in df.withColumn("got", t.place_name(F.col("t"))).collect())
+
+
+def test_landmark_radius_and_names(spark):
+    from roadtrace.functions import motion as m
+
+    args = (4.0, 0.5, 0.0001, -0.002, 12.0)
+    v, b = max(0.5, 0.15**2), max(0.0001, 0.004**2)
+    c = max(-((v * b) ** 0.5), min(-0.002, (v * b) ** 0.5))
+    want = 2 * (2 + (v * 144 - c * 12**3 + b * 12**4 / 4 + 0.07**2 * 12**3 / 3 + 0.004**2 * 12**5 / 20) ** 0.5)
+    assert one(spark, m.landmark_radius(*map(F.lit, args))) == pytest.approx(want)
+    assert one(spark, t.recording_name(F.lit("lviv"), F.lit("2026-01-02 03:04:05").cast("timestamp"), F.lit("ab12cdef"))) == "Lviv_2026-01-02_03-04-05_AB12.jsonl.gz"
