@@ -93,6 +93,20 @@ def heading_at(points: Column, distance: Column, span: float = 10.0) -> Column:
     return bearing(b["x"] - a["x"], b["y"] - a["y"])
 
 
+def path_heading(points: Column, distance: Column, span: float) -> Column:
+    """FN08: heading of the chord of ``span`` about a distance along a path; null if the chord leaves the path or has no length."""
+    half = max(1.0, span / 2)
+    a, b = point_at(points, distance - half), point_at(points, distance + half)
+    dx, dy = b["x"] - a["x"], b["y"] - a["y"]
+    return F.when((distance >= half) & (distance + half <= polyline_length(points)) & (F.sqrt(dx * dx + dy * dy) > 0.1), bearing(dx, dy))
+
+
+def path_curvature(points: Column, distance: Column, span: float) -> Column:
+    """FN08: change of heading per metre between two chords about a distance; null where either leaves the path."""
+    apart = max(4.0, span)
+    return angle_difference(path_heading(points, distance + apart / 2, apart), path_heading(points, distance - apart / 2, apart)) / apart
+
+
 def project_on_polyline(points: Column, x: Column, y: Column) -> Column:
     """FN07: (error, along) of the nearest point of a polyline; the first segment wins a tie."""
 

@@ -28,12 +28,31 @@ def valid_raw(acceleration: Column, rotation: Column, gravity: Column) -> Column
     return vectors[0] & vectors[1] & vectors[2] & (norm > 0.5) & (norm < 1.5)
 
 
-def gps_flags(age: Column, horizontal: Column, speed: Column, speed_accuracy: Column, course: Column, latitude: Column, longitude: Column) -> Column:
-    """FLT09 for position fixes: stale or future fixes, poor or invalid values."""
+def gps_flags(fix: Column) -> Column:
+    """FLT09 for position fixes: the thirteen flags of a fix in their order.
+
+    ``fix`` has latitude, longitude, timestamp, age, horizontal, altitude, vertical, speed, speed_accuracy, course, course_accuracy and
+    the booleans reduced, simulated and accessory; a missing age tells nothing, other missing numbers are invalid.
+    """
+    number = lambda name: finite(fix[name])
+    bad = lambda name: ~number(name) | (fix[name] < 0)
+    speed, accuracy = bad("speed") | bad("speed_accuracy"), bad("horizontal")
     return flags([
-        ("future_fix", age < -1), ("stale_fix", age > 3),
-        ("invalid_coordinate", ~finite(latitude) | ~finite(longitude) | (F.abs(latitude) > 90) | (F.abs(longitude) > 180)),
-        ("invalid_horizontal_accuracy", ~finite(horizontal) | (horizontal < 0)), ("poor_horizontal_accuracy", horizontal > 25),
-        ("invalid_speed", ~finite(speed) | (speed < 0)), ("poor_speed_accuracy", speed_accuracy > 3),
-        ("invalid_course", ~finite(course) | (course < 0) | (course >= 360)),
+        ("invalid_coordinate", ~number("latitude") | ~number("longitude") | (F.abs(fix["latitude"]) > 90) | (F.abs(fix["longitude"]) > 180)),
+        ("invalid_timestamp", ~number("timestamp")), ("stale_fix", fix["age"] > 3), ("future_fix", fix["age"] < -1),
+        ("invalid_horizontal_accuracy", accuracy), ("poor_horizontal_accuracy", ~accuracy & (fix["horizontal"] > 25)),
+        ("invalid_altitude", bad("vertical") | ~number("altitude")),
+        ("invalid_speed", speed), ("poor_speed_accuracy", ~speed & (fix["speed_accuracy"] > 3)),
+        ("invalid_course", bad("course") | (fix["course"] >= 360) | bad("course_accuracy")),
+        ("reduced_accuracy", fix["reduced"]), ("software_simulation", fix["simulated"]), ("accessory_source", fix["accessory"]),
     ])
+
+
+def vibration_gate(speed: Column, wheelbase: Column) -> Column:
+    """FLT10: why a vibration speed is refused, or null."""
+    return first_reason([("not_finite", ~finite(speed) | ~finite(wheelbase)), ("speed_range", (speed < 0) | (speed > 45)), ("wheelbase", wheelbase <= 0)])
+
+
+def visual_gate(speed: Column, sigma: Column, quality: Column) -> Column:
+    """FLT10: why a camera speed is refused, or null."""
+    return first_reason([("not_finite", ~finite(speed) | ~finite(sigma) | ~finite(quality)), ("speed_range", (speed < 0) | (speed > 55)), ("sigma_range", (sigma < 1) | (sigma > 20)), ("quality_range", (quality < 0.2) | (quality > 1))])

@@ -46,7 +46,7 @@ def shortest(edges: DataFrame, turns: DataFrame, requests: DataFrame, *, most: f
             return done.checkpoint()
 
 
-def alternatives(edges: DataFrame, turns: DataFrame, requests: DataFrame, *, rounds: int = 6, penalty: float = 1.8, most: int = 3, longer: float = 1.5, shared: float = 0.75) -> DataFrame:
+def alternatives(edges: DataFrame, turns: DataFrame, requests: DataFrame, *, rounds: int = 6, penalty: float = 1.8, most: int = 3, longer: float = 1.5, shared: float = 0.75, longest: float = float("inf")) -> DataFrame:
     """GRF07: (request, option, cost, route): the best route and others found by making offered edges dearer.
 
     Each round multiplies the cost of all edges offered so far to the request; a route counts if it costs at most
@@ -54,13 +54,14 @@ def alternatives(edges: DataFrame, turns: DataFrame, requests: DataFrame, *, rou
     ``edges`` has one cost for all requests, so penalties live in a per-request table.
     """
     shared_folder(edges.sparkSession)
-    best = shortest(edges, turns, requests).withColumn("option", F.lit(1))
+    best = shortest(edges, turns, requests, most=longest).withColumn("option", F.lit(1)).checkpoint()
     chosen = best.select("request", "option", "cost", "route").checkpoint()
     offered = chosen
-    for _ in range(rounds):
+    for made in range(rounds):
         uses = offered.select("request", F.explode("route").alias("id")).groupBy("request", "id").agg(F.count("*").alias("times"))
         dear = uses.join(edges, "id").select("request", "id", (F.col("cost") * F.pow(F.lit(penalty), F.col("times"))).alias("cost"))
-        found = _penalised(edges, turns, requests, dear)
+        # A route above ``longer`` times the best can't be offered, so its penalised cost needs no search beyond the largest penalty.
+        found = _penalised(edges, turns, best.select("request", (F.col("cost") * longer * penalty ** (made + 1)).alias("within")).join(requests, "request"), dear)
         real = found.select("request", F.explode("route").alias("id"), "route").join(edges, "id").groupBy("request", "route").agg(F.sum("cost").alias("full"))
         real = real.join(edges.select(F.col("id").alias("goal_id"), F.col("cost").alias("last")), F.element_at("route", -1) == F.col("goal_id")).select("request", "route", (F.col("full") - F.col("last")).alias("cost"))
         limit = best.select("request", (F.col("cost") * longer).alias("limit"))
@@ -75,11 +76,12 @@ def alternatives(edges: DataFrame, turns: DataFrame, requests: DataFrame, *, rou
 def _penalised(edges: DataFrame, turns: DataFrame, requests: DataFrame, dear: DataFrame) -> DataFrame:
     """``shortest`` where ``dear`` (request, id, cost) replaces an edge's cost for a request."""
     state = requests.select("request", "goal", F.col("start").alias("edge"), F.lit(0.0).alias("cost"), F.array("start").alias("route")).checkpoint()
+    within = requests.select("request", "within")
     own = dear.select("request", F.col("id").alias("edge"), F.col("cost").alias("own"))
     plain = edges.select(F.col("id").alias("edge"), F.col("cost").alias("step"))
     frontier = state
     while True:
-        left = frontier.join(plain, "edge").join(own, ["request", "edge"], "left").withColumn("cost", F.col("cost") + F.coalesce("own", "step"))
+        left = frontier.join(plain, "edge").join(own, ["request", "edge"], "left").withColumn("cost", F.col("cost") + F.coalesce("own", "step")).join(within, "request").filter("cost <= within")
         moved = left.join(turns, "edge").select("request", "goal", F.col("next").alias("edge"), "cost", F.concat("route", F.array("next")).alias("route"))
         best = moved.groupBy("request", "goal", "edge").agg(F.min(F.struct("cost", "route")).alias("b")).select("request", "goal", "edge", "b.cost", "b.route")
         bound = state.filter("edge = goal").select("request", F.col("cost").alias("reached"))

@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from roadtrace.functions.geometry import project_on_polyline
+from roadtrace.functions.geometry import project_on_polyline, segments
 from roadtrace.operators.components import components
 
 
@@ -40,6 +40,39 @@ def nearest(left: DataFrame, right: DataFrame, left_id: str, right_id: str, most
     return best.select(left_id, f"b.{right_id}", F.col("b.d").alias("distance"))
 
 
+def roads_within(points: DataFrame, edges: DataFrame, point_id: str, most: float, size: float = 200.0) -> DataFrame:
+    """JOI05: (``point_id``, id, error, along) of every road (id, points) whose line comes nearer than ``most`` to a point.
+
+    A road stands in the cells that its segments' boxes touch, a point in its own and those within ``most``; the nearest is the minimum
+    of (error, id).
+    """
+    span = lambda a, b: F.sequence(F.floor(F.least(a, b) / size), F.floor(F.greatest(a, b) / size))
+    parts = edges.select("id", F.explode(segments(F.col("points"))).alias("q"))
+    held = parts.withColumn("cx", F.explode(span(F.col("q.a.x"), F.col("q.b.x")))).withColumn("cy", F.explode(span(F.col("q.a.y"), F.col("q.b.y")))).select("id", "cx", "cy").distinct()
+    asked = around(points.select(point_id, F.col("x").alias("px"), F.col("y").alias("py")), size, int(-(-most // size)), "px", "py")
+    met = asked.join(held, ["cx", "cy"]).select(point_id, "px", "py", "id").distinct()
+    on = met.join(edges.select("id", "points"), "id").withColumn("p", project_on_polyline(F.col("points"), F.col("px"), F.col("py")))
+    return on.select(point_id, "id", "p.error", "p.along").filter(F.col("error") < most)
+
+
+def nearest_road(points: DataFrame, edges: DataFrame, point_id: str, most: float = 70.0, size: float = 200.0) -> DataFrame:
+    """JOI05: each point's nearest road, the smaller id on a tie, with how far along it."""
+    best = roads_within(points, edges, point_id, most, size).groupBy(point_id).agg(F.min(F.struct("error", "id", "along")).alias("b"))
+    return best.select(point_id, F.col("b.id").alias("edge"), "b.error", "b.along")
+
+
+def nearby(points: DataFrame, edges: DataFrame, key: str, margin: float = 180.0, size: float = 500.0) -> DataFrame:
+    """GRF13: (``key``, id) of physical roads whose box meets the box of a key's points, ``margin`` wider; of the two directions the
+    smaller id stands. ``edges`` has (id, way, from, to, points); boxes meet by cells."""
+    low = points.groupBy(key).agg((F.min("x") - margin).alias("w"), (F.max("x") + margin).alias("e"), (F.min("y") - margin).alias("s"), (F.max("y") + margin).alias("n"))
+    box_of = lambda c, f: f(F.transform("points", lambda q: q[c]))
+    roads = edges.groupBy("way", F.least("from", "to").alias("a"), F.greatest("from", "to").alias("b")).agg(F.min(F.struct("id", "points")).alias("r")).select("r.id", "r.points")
+    roads = roads.select("id", *(box_of(c, f).alias(n) for c, f, n in (("x", F.array_min, "x0"), ("x", F.array_max, "x1"), ("y", F.array_min, "y0"), ("y", F.array_max, "y1"))))
+    spread = lambda df, x0, x1, y0, y1: df.withColumn("cx", F.explode(F.sequence(F.floor(F.col(x0) / size), F.floor(F.col(x1) / size)))).withColumn("cy", F.explode(F.sequence(F.floor(F.col(y0) / size), F.floor(F.col(y1) / size))))
+    met = spread(low, "w", "e", "s", "n").join(spread(roads, "x0", "x1", "y0", "y1"), ["cx", "cy"]).filter("x1 >= w AND x0 <= e AND y1 >= s AND y0 <= n")
+    return met.select(key, "id").distinct()
+
+
 def within(left: DataFrame, right: DataFrame, most: float) -> DataFrame:
     """JOI08: the left points with a right point within ``most``."""
     r = around(right.select("x", "y"), most).select(F.col("x").alias("rx"), F.col("y").alias("ry"), F.col("cx").alias("rcx"), F.col("cy").alias("rcy"))
@@ -50,17 +83,20 @@ def within(left: DataFrame, right: DataFrame, most: float) -> DataFrame:
 def proximity_links(df: DataFrame, id_col: str, name: str, most: float) -> DataFrame:
     """JOI09, as links whose components are those of all pairs of one name within ``most``.
 
-    Points of a cell half as wide as needed for its diagonal to fit in ``most`` are linked in a chain through their
-    smallest id; pairs are made only between neighbouring cells, and of these only one link for each pair of cells.
+    Points of a cell half as wide as needed for its diagonal to fit in ``most`` are linked in a star through their smallest id. Pairs are
+    made only between different cells of a neighbourhood, each pair of cells once, and of these one link for each pair of cells stays.
     """
     size = most / 2**0.5
     placed = cell(df.select(F.col(id_col).alias("id"), F.col(name).alias("name"), "x", "y"), size)
     heads = placed.groupBy("name", "cx", "cy").agg(F.min("id").alias("head"))
     inner = placed.join(heads, ["name", "cx", "cy"]).filter("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b"))
-    other = around(df.select(F.col(id_col).alias("oid"), F.col(name).alias("name"), F.col("x").alias("ox"), F.col("y").alias("oy")), size, 2, "ox", "oy")
-    met = placed.join(other, ["name", "cx", "cy"]).filter((F.col("id") < F.col("oid")) & (_distance("x", "y", "ox", "oy") <= most))
-    cells = met.withColumns({"ocx": F.floor(F.col("ox") / size), "ocy": F.floor(F.col("oy") / size)})
-    outer = cells.groupBy("name", "cx", "cy", "ocx", "ocy").agg(F.min(F.struct("id", "oid")).alias("l")).select(F.col("l.id").alias("a"), F.col("l.oid").alias("b"))
+    # Half of the neighbours: cells above, or beside to the right.
+    steps = [(dx, dy) for dx in range(-2, 3) for dy in range(0, 3) if dy > 0 or dx > 0]
+    offsets = F.explode(F.array(*(F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in steps))).alias("o")
+    other = placed.select(F.col("id").alias("oid"), "name", F.col("x").alias("ox"), F.col("y").alias("oy"), F.col("cx").alias("ocx"), F.col("cy").alias("ocy"), offsets)
+    other = other.select("oid", "name", "ox", "oy", "ocx", "ocy", (F.col("ocx") - F.col("o.dx")).alias("cx"), (F.col("ocy") - F.col("o.dy")).alias("cy"))
+    met = placed.join(other, ["name", "cx", "cy"]).filter(_distance("x", "y", "ox", "oy") <= most)
+    outer = met.groupBy("name", "cx", "cy", "ocx", "ocy").agg(F.min(F.struct("id", "oid")).alias("l")).select(F.col("l.id").alias("a"), F.col("l.oid").alias("b"))
     return inner.union(outer)
 
 

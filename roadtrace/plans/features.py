@@ -154,22 +154,6 @@ def duplicate_suppression(spark: SparkSession, root: str) -> DataFrame:
     return p.suppressed(points(spark, root), ["label"], ["vec_id"], 30).select("vec_id", "label")
 
 
-_NET = "net AS (SELECT DISTINCT (l_suppkey * 13) % 61 AS a, (l_partkey * 7) % 61 AS b FROM lineitem WHERE l_orderkey % 400 = 0)"
-
-
-@query(f"""
-WITH RECURSIVE {_NET}, w AS (SELECT a AS start, a AS node, 0 AS cost, 0 AS d FROM (SELECT DISTINCT a FROM net WHERE a < 12) UNION SELECT start, b, cost + 1 + node % 3, d + 1 FROM w JOIN net ON net.a = w.node WHERE d < 9 AND cost < 14)
-SELECT start, node AS goal, CAST(min(cost) AS DOUBLE) AS cost FROM w WHERE node IN (20, 33, 47) GROUP BY 1, 2""")
-def shortest_routes(spark: SparkSession, root: str) -> DataFrame:
-    """GRF05, GRF06: cheapest routes for all pairs of a few starts and goals; leaving a node costs one to three."""
-    net = table(spark, root, "lineitem").filter("l_orderkey % 400 = 0").select(((F.col("l_suppkey") * 13) % 61).alias("edge"), ((F.col("l_partkey") * 7) % 61).alias("next")).distinct()
-    nodes = net.select(F.col("edge").alias("id")).union(net.select("next")).distinct().withColumn("cost", (1 + F.col("id") % 3).cast("double"))
-    starts = net.filter("edge < 12").select(F.col("edge").alias("start")).distinct()
-    pairs = starts.withColumn("goal", F.explode(F.array(*(F.lit(n).cast("long") for n in (20, 33, 47))))).withColumn("request", F.concat_ws("-", "start", "goal"))
-    found = routing.shortest(nodes, net, pairs, most=14)
-    return found.join(pairs, "request").select("start", "goal", "cost")
-
-
 @query("""
 SELECT event_id, n AS "rows", round(v, 9) AS variance FROM (
   SELECT event_id, count(*) OVER w AS n, var_pop(value) OVER w AS v FROM (SELECT *, epoch_us(ts) AS t FROM events) WINDOW w AS (PARTITION BY user_id ORDER BY t RANGE BETWEEN 86400000000 PRECEDING AND CURRENT ROW)) WHERE n >= 3 AND v <= 60""")
@@ -187,17 +171,6 @@ def calibration_record(spark: SparkSession, root: str) -> DataFrame:
     return out.select("l_suppkey", "rows", "begin", "end", *(F.round(c, 6).alias(c) for c in out.columns if c[:4] in ("mean", "devi")))
 
 
-@query("""
-WITH e AS (SELECT DISTINCT l_suppkey AS id, (l_suppkey * 37) % 63 / 10.0 AS arrive, (l_suppkey * 53) % 63 / 10.0 AS leave FROM lineitem), t AS (SELECT DISTINCT l_suppkey AS edge, l_partkey % 100 AS next FROM lineitem WHERE l_orderkey % 20 = 0)
-SELECT edge, next, round(atan2(sin(b.leave - a.arrive), cos(b.leave - a.arrive)), 5) AS angle FROM t JOIN e a ON a.id = edge JOIN e b ON b.id = next WHERE abs(atan2(sin(b.leave - a.arrive), cos(b.leave - a.arrive))) BETWEEN 0.77 AND 2.11""")
-def junction_candidates(spark: SparkSession, root: str) -> DataFrame:
-    """JOI21."""
-    l = table(spark, root, "lineitem")
-    e = l.select(F.col("l_suppkey").alias("id")).distinct().withColumns({"arrive": (F.col("id") * 37) % 63 / 10.0, "leave": (F.col("id") * 53) % 63 / 10.0})
-    t = l.filter("l_orderkey % 20 = 0").select(F.col("l_suppkey").alias("edge"), (F.col("l_partkey") % 100).alias("next")).distinct()
-    return f.junctions(e, t, 0.77, 2.11).withColumn("angle", F.round("angle", 5))
-
-
 @query("""
 SELECT l_orderkey, array_to_string(list_sort(list_filter([1, 2, 3, 4, 5, 6, 7], lambda c: NOT list_contains(r[-3:], c))), ',') AS open FROM (
   SELECT l_orderkey, list(CAST(l_linenumber AS INTEGER) ORDER BY l_linenumber) AS r FROM lineitem GROUP BY 1)""")

@@ -75,11 +75,14 @@ def test_names_words_letters(spark):
 
 
 def test_flags(spark):
-    nan = F.lit(float("nan"))
-    good = ql.gps_flags(F.lit(0.5), F.lit(5.0), F.lit(3.0), F.lit(1.0), F.lit(90.0), F.lit(50.0), F.lit(30.0))
-    poor = ql.gps_flags(F.lit(5.25), F.lit(50.0), F.lit(-1.0), F.lit(9.0), nan, nan, F.lit(30.0))
-    assert one(spark, good) == []
-    assert one(spark, poor) == ["stale_fix", "invalid_coordinate", "poor_horizontal_accuracy", "invalid_speed", "poor_speed_accuracy", "invalid_course"]
+    names = ["latitude", "longitude", "timestamp", "age", "horizontal", "altitude", "vertical", "speed", "speed_accuracy", "course", "course_accuracy", "reduced", "simulated", "accessory"]
+    fix = lambda *v: ql.gps_flags(F.struct(*(F.lit(x).alias(n) for x, n in zip(v, names, strict=True))))
+    nan = float("nan")
+    assert one(spark, fix(50.0, 30.0, 9.0, 0.5, 5.0, 100.0, 3.0, 3.0, 1.0, 90.0, 5.0, False, False, False)) == []
+    assert one(spark, fix(nan, 30.0, nan, 5.25, 50.0, nan, 3.0, 3.0, 9.0, 360.0, 5.0, True, True, True)) == [
+        "invalid_coordinate", "invalid_timestamp", "stale_fix", "poor_horizontal_accuracy", "invalid_altitude", "poor_speed_accuracy", "invalid_course", "reduced_accuracy", "software_simulation", "accessory_source",
+    ]
+    assert one(spark, fix(50.0, 30.0, 9.0, -2.0, -1.0, 1.0, 1.0, -3.0, 9.0, 90.0, -1.0, False, False, False)) == ["future_fix", "invalid_horizontal_accuracy", "invalid_speed", "invalid_course"]
     vector = lambda *v: F.array(*map(F.lit, v))
     assert one(spark, ql.valid_raw(vector(0.0, 0.1, 0.2), vector(0.0, 0.0, 0.0), vector(0.0, -1.0, 0.0)))
     assert not one(spark, ql.valid_raw(vector(0.0, 0.1), vector(0.0, 0.0, 0.0), vector(0.0, -1.0, 0.0)))
