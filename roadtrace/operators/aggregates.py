@@ -55,9 +55,19 @@ def inverse_variance(df: DataFrame, group: list[str], value: Column, sigma: Colu
     return out.withColumn("confident", (F.col("n") >= 2) & (F.col("error") <= 0.015 * F.abs("estimate"))).drop("w", "s")
 
 
-def error_summary(df: DataFrame, group: list[str], error: Column, within: Column) -> DataFrame:
-    """AGG13: 95th percentile, largest error and share within the stated uncertainty."""
-    return df.groupBy(*group).agg(F.percentile(error, 0.95).alias("p95"), F.max(error).alias("worst"), F.avg(within.cast("double")).alias("covered"), F.count("*").alias("n"))
+def error_summary(df: DataFrame, group: list[str], error: Column, within: Column, *, time: Column | None = None, stage: Column | None = None, failure: Column | None = None) -> DataFrame:
+    """AGG13: 95th percentile, largest error and share within the stated uncertainty.
+
+    With ``time``: the last error; with ``stage`` as well the accepted and detected turns; with ``failure`` the first failure.
+    """
+    parts = [F.percentile(error, 0.95).alias("p95"), F.max(error).alias("worst"), F.avg(within.cast("double")).alias("covered"), F.count("*").alias("n")]
+    if time is not None:
+        parts.append(F.max_by(error, F.when(error.isNotNull(), time)).alias("last"))
+    if stage is not None:
+        parts += [F.count_if(stage == name).alias(name) for name in ("accepted", "detected")]
+    if failure is not None and time is not None:
+        parts.append(F.min_by(failure, F.when(failure.isNotNull(), time)).alias("failure"))
+    return df.groupBy(*group).agg(*parts)
 
 
 def signal_statistics(df: DataFrame, group: list[str], channels: list[str]) -> DataFrame:

@@ -51,8 +51,8 @@ def roads_within(points: DataFrame, edges: DataFrame, point_id: str, most: float
     held = parts.withColumn("cx", F.explode(span(F.col("q.a.x"), F.col("q.b.x")))).withColumn("cy", F.explode(span(F.col("q.a.y"), F.col("q.b.y")))).select("id", "cx", "cy").distinct()
     asked = around(points.select(point_id, F.col("x").alias("px"), F.col("y").alias("py")), size, int(-(-most // size)), "px", "py")
     met = asked.join(held, ["cx", "cy"]).select(point_id, "px", "py", "id").distinct()
-    on = met.join(edges.select("id", "points"), "id").withColumn("p", project_on_polyline(F.col("points"), F.col("px"), F.col("py")))
-    return on.select(point_id, "id", "p.error", "p.along").filter(F.col("error") < most)
+    on = met.join(edges.select("id", "points"), "id").withColumn("__on", project_on_polyline(F.col("points"), F.col("px"), F.col("py")))
+    return on.select(point_id, "id", "__on.error", "__on.along").filter(F.col("error") < most)
 
 
 def nearest_road(points: DataFrame, edges: DataFrame, point_id: str, most: float = 70.0, size: float = 200.0) -> DataFrame:

@@ -9,6 +9,7 @@ from roadtrace.functions import geometry as geo
 from roadtrace.functions import motion as m
 from roadtrace.functions import quality as ql
 from roadtrace.functions import signal
+from roadtrace.operators import aggregates as a
 from roadtrace.operators import features as f
 from roadtrace.operators import ordered as o
 from roadtrace.operators import spatial as s
@@ -186,3 +187,37 @@ def smoothed(spark: SparkSession, root: str) -> DataFrame:
     v = F.transform("embedding", lambda x: x.cast("double"))
     e = table(spark, root, "embeddings").select("vec_id", signal.gaussian_blur(v, 1.5).alias("b"), signal.hann(v).alias("h"))
     return e.select("vec_id", F.round(F.col("b")[9], 6).alias("blurred"), F.round(F.col("h")[19], 6).alias("windowed"), F.round(F.col("b")[0], 6).alias("edge"))
+
+
+@query("""
+SELECT user_id, round(quantile_cont(e, 0.95), 4) AS p95, max(e) AS worst, count(*) AS n, max_by(e, event_id) AS last, count(*) FILTER (event_type = 'click') AS accepted, count(*) FILTER (event_type = 'view') AS detected,
+  min_by(event_type, event_id) FILTER (event_type = 'error') AS failure, round(avg(CASE WHEN e <= 30 THEN 1 ELSE 0 END), 6) AS covered FROM (SELECT *, abs(value - 20) AS e FROM events) GROUP BY 1""")
+def drive_errors(spark: SparkSession, root: str) -> DataFrame:
+    """AGG13 in full: percentile, worst and last error, coverage, turns by stage, first failure of each drive."""
+    kind, e = F.col("event_type"), F.abs(F.col("value") - 20)
+    stage = F.when(kind == "click", "accepted").when(kind == "view", "detected")
+    out = a.error_summary(table(spark, root, "events"), ["user_id"], e, e <= 30, time=F.col("event_id"), stage=stage, failure=F.when(kind == "error", kind))
+    return out.withColumn("p95", F.round("p95", 4)).withColumn("covered", F.round("covered", 6))
+
+
+@query("""
+SELECT conv_id, string_agg(role, ',' ORDER BY first) AS roles FROM (SELECT conv_id, role, min(turn) AS first FROM conversations GROUP BY 1, 2) GROUP BY 1""")
+def ordered_names(spark: SparkSession, root: str) -> DataFrame:
+    """SET07: distinct names in the order in which they come."""
+    turns = table(spark, root, "conversations").filter("role IS NOT NULL").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role"))).alias("t"))
+    return turns.select("conv_id", F.array_join(F.array_distinct(F.col("t.role")), ",").alias("roles"))
+
+
+@query("""
+SELECT host, page_id FROM (SELECT page_id, split_part(split_part(url, '://', 2), '/', 1) AS host FROM pages) QUALIFY row_number() OVER (PARTITION BY host ORDER BY page_id) <= 12""")
+def suggestions(spark: SparkSession, root: str) -> DataFrame:
+    """TOP11: the first twelve of each source, in its own order."""
+    host = F.split_part(F.split_part("url", F.lit("://"), F.lit(2)), F.lit("/"), F.lit(1))
+    return o.last_n(table(spark, root, "pages").select(host.alias("host"), "page_id"), "host", [F.asc("page_id")], 12).select("host", "page_id")
+
+
+@query("SELECT event_id, user_id, event_type FROM events WHERE event_type IN ('click', 'view') AND NOT (event_type = 'view' AND value < 5)")
+def listed_events(spark: SparkSession, root: str) -> DataFrame:
+    """FLT21: runs of the kinds asked for, without events that are no more than detected."""
+    kept = table(spark, root, "events").filter(F.col("event_type").isin("click", "view"))
+    return kept.filter(~((F.col("event_type") == "view") & (F.col("value") < 5))).select("event_id", "user_id", "event_type")

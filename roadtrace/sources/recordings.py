@@ -2,7 +2,7 @@
 
 A row is a wide struct of optional payloads; unknown keys are ignored and missing ones are null. A file may end in a torn
 row: the last row, undecodable and without a newline, is dropped. Any other undecodable row, or one over
-``MAX_ROW`` characters, is damage: strict reads raise, salvage reads keep the good rows and report a warning.
+``MAX_ROW`` bytes, is damage: strict reads raise, salvage reads keep the good rows and report a warning.
 """
 
 from __future__ import annotations
@@ -50,24 +50,23 @@ def read_recordings(spark: SparkSession, path: str, *, salvage: bool = False, fo
     ``salvage`` a truncated one gives the rows that can be read.
     """
     reader = spark.read.option("ignoreCorruptFiles", str(salvage).lower())
-    text = reader.option("recursiveFileLookup", "true").text(path)
-    lines = text.select(F.col("_metadata.file_path").alias("file"), F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("place"), "value")
+    text = reader.option("recursiveFileLookup", "true").option("lineSep", "\n").text(path)
+    lines = text.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("size"), F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("place"), "value")
     parsed = F.from_json("value", T.StructType([*DRIVE_ENTRY.fields, T.StructField("_corrupt", T.StringType())]), {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
-    rows = lines.withColumn("e", parsed).withColumn("bad", F.col("e").isNull() | F.col("e._corrupt").isNotNull() | F.col("e.kind").isNull() | (F.length("value") > MAX_ROW))
-    checks = rows.groupBy("file").agg(F.count_if("bad").alias("n_bad"), F.max("place").alias("last"), F.max(F.when(F.col("bad"), F.col("place"))).alias("last_bad")).filter("n_bad > 0")
-    # Few files have a bad row; only those are opened to see how they end.
-    ends = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(F.col("path").alias("file"), F.substring("content", -1, 1).alias("end"), F.lower("path").endswith(".gz").alias("packed"))
-    suspects = checks.withColumn("file", F.regexp_replace("file", "^file:/+", "file:/")).join(ends.withColumn("file", F.regexp_replace("file", "^file:/+", "file:/")), "file", "left")
-    torn = (F.col("n_bad") == 1) & (F.col("last") == F.col("last_bad")) & (F.col("packed") | (F.col("end") != F.lit("\n").cast("binary")))
-    suspects = suspects.select("file", F.coalesce(torn, F.lit(False)).alias("torn"), "n_bad")
+    long = F.octet_length("value")
+    rows = lines.withColumn("e", parsed).withColumn("bad", F.col("e").isNull() | F.col("e._corrupt").isNotNull() | F.col("e.kind").isNull() | (long > MAX_ROW))
+    # Every row but a last one without a newline takes one byte more than its text.
+    checks = rows.groupBy("file").agg(F.count_if("bad").alias("n_bad"), F.max("place").alias("last"), F.max(F.when(F.col("bad"), F.col("place"))).alias("last_bad"), (F.sum(long + 1) > F.max("size")).alias("open")).filter("n_bad > 0")
+    torn = (F.col("n_bad") == 1) & (F.col("last") == F.col("last_bad")) & (F.lower("file").endswith(".gz") | F.col("open"))
+    suspects = checks.select("file", torn.alias("torn"), "n_bad")
     if not salvage and (worst := suspects.filter("NOT torn").select("file", "n_bad").first()):
         raise DamagedRecording(f"{worst['file']}: {worst['n_bad']} undecodable rows")
     drive = F.regexp_extract("file", "/drive=([^/]*)/", 1) if folders else F.regexp_replace(F.element_at(F.split("file", "/"), -1), r"\.jsonl(\.gz)?$", "")
     good = rows.filter("NOT bad").select(drive.alias("drive"), "file", "place", *(F.col(f"e.{f.name}").alias(f.name) for f in DRIVE_ENTRY.fields))
     if not salvage:
         return good.drop("file")
-    warned = suspects.select(F.col("file").alias("at"), F.concat(F.col("n_bad").cast("string"), F.when(F.col("torn"), F.lit(" torn row")).otherwise(F.lit(" damaged rows"))).alias("warning"))
-    return good.withColumn("at", F.regexp_replace("file", "^file:/+", "file:/")).join(warned, "at", "left").drop("at", "file")
+    warned = suspects.select("file", F.concat(F.col("n_bad").cast("string"), F.when(F.col("torn"), F.lit(" torn row")).otherwise(F.lit(" damaged rows"))).alias("warning"))
+    return good.join(warned, "file", "left").drop("file")
 
 
 def write_recordings(entries: DataFrame, path: str, drive: str) -> None:
@@ -79,8 +78,12 @@ def write_recordings(entries: DataFrame, path: str, drive: str) -> None:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder that driver and executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    """A new folder that driver and executors share; in local mode one of our own where spark.checkpoint.dir is unset."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the executors share")
+        base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
