@@ -25,7 +25,7 @@ from roadtrace.llm import textkit as tk
 
 BITS = 4
 #: Rows of a subcell.
-SUBROWS = 1 << 16
+SUBROWS = 1 << 10
 
 
 def curve_tables(dims: int) -> tuple[list[int], list[int], list[int]]:
