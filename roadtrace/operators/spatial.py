@@ -43,16 +43,29 @@ def nearest(left: DataFrame, right: DataFrame, left_id: str, right_id: str, most
 def roads_within(points: DataFrame, edges: DataFrame, point_id: str, most: float, size: float = 200.0) -> DataFrame:
     """JOI05: (``point_id``, id, error, along) of every road (id, points) whose line comes nearer than ``most`` to a point.
 
-    A road stands in the cells that its segments' boxes touch, a point in its own and those within ``most``; the nearest is the minimum
-    of (error, id).
+    A segment stands in the cells that its box touches, a point in those that its reach touches; a pair counts in the first cell that
+    both have. The nearest road is the minimum of (error, id); on one road the first segment wins a tie.
     """
-    span = lambda a, b: F.sequence(F.floor(F.least(a, b) / size), F.floor(F.greatest(a, b) / size))
-    parts = edges.select("id", F.explode(segments(F.col("points"))).alias("q"))
-    held = parts.withColumn("cx", F.explode(span(F.col("q.a.x"), F.col("q.b.x")))).withColumn("cy", F.explode(span(F.col("q.a.y"), F.col("q.b.y")))).select("id", "cx", "cy").distinct()
-    asked = around(points.select(point_id, F.col("x").alias("px"), F.col("y").alias("py")), size, int(-(-most // size)), "px", "py")
-    met = asked.join(held, ["cx", "cy"]).select(point_id, "px", "py", "id").distinct()
-    on = met.join(edges.select("id", "points"), "id").withColumn("__on", project_on_polyline(F.col("points"), F.col("px"), F.col("py")))
-    return on.select(point_id, "id", "__on.error", "__on.along").filter(F.col("error") < most)
+    length = lambda q: F.sqrt((q["b"]["x"] - q["a"]["x"]) ** 2 + (q["b"]["y"] - q["a"]["y"]) ** 2)
+    begun = F.aggregate(segments(F.col("points")), F.array(F.lit(0.0)), lambda out, q: F.concat(out, F.array(F.element_at(out, -1) + length(q))))
+    parts = edges.select("id", begun.alias("til"), F.posexplode(segments(F.col("points"))).alias("n", "q"))
+    parts = parts.select("id", "n", F.get("til", F.col("n")).alias("base"), F.col("q.a.x").alias("ax"), F.col("q.a.y").alias("ay"), (F.col("q.b.x") - F.col("q.a.x")).alias("dx"), (F.col("q.b.y") - F.col("q.a.y")).alias("dy"))
+
+    def spread(df: DataFrame, name: str, x: tuple[Column, Column], y: tuple[Column, Column]) -> DataFrame:
+        cells = [(F.floor(low / size), F.floor(high / size)) for low, high in (x, y)]
+        first = df.withColumns({f"{name}_x": cells[0][0], f"{name}_y": cells[1][0]})
+        return first.withColumn("cx", F.explode(F.sequence(*cells[0]))).withColumn("cy", F.explode(F.sequence(*cells[1])))
+
+    ends = lambda a, d: (F.least(F.col(a), F.col(a) + F.col(d)), F.greatest(F.col(a), F.col(a) + F.col(d)))
+    held = spread(parts, "__s", ends("ax", "dx"), ends("ay", "dy"))
+    asked = points.select(F.col(point_id).alias("__point"), F.col("x").alias("px"), F.col("y").alias("py"))
+    asked = spread(asked, "__p", (F.col("px") - most, F.col("px") + most), (F.col("py") - most, F.col("py") + most))
+    met = asked.join(held, ["cx", "cy"]).filter((F.col("cx") == F.greatest("__s_x", "__p_x")) & (F.col("cy") == F.greatest("__s_y", "__p_y")))
+    square = F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy")
+    share = F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((F.col("px") - F.col("ax")) * F.col("dx") + (F.col("py") - F.col("ay")) * F.col("dy")) / F.greatest(square, F.lit(1e-9))))
+    met = met.withColumn("share", share).withColumn("error", F.sqrt((F.col("ax") + F.col("dx") * F.col("share") - F.col("px")) ** 2 + (F.col("ay") + F.col("dy") * F.col("share") - F.col("py")) ** 2))
+    near = met.filter(F.col("error") < most).groupBy("__point", "id").agg(F.min(F.struct("error", "n", (F.col("base") + F.col("share") * F.sqrt(square)).alias("along"))).alias("b"))
+    return near.select(F.col("__point").alias(point_id), "id", "b.error", "b.along")
 
 
 def nearest_road(points: DataFrame, edges: DataFrame, point_id: str, most: float = 70.0, size: float = 200.0) -> DataFrame:
