@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from roadtrace.operators.ordered import running_sum
+from roadtrace.operators.ordered import running_sum, with_previous
 
 
 def bends(turns: DataFrame, key: str, at: str, delta: str, active: float, quiet: float, least: float) -> DataFrame:
@@ -98,6 +98,8 @@ def background(df: DataFrame, key: str, order: list[str], value: str, length: in
 
 #: Rows of a key that ``background`` runs in one piece.
 BLOCK = 4096
+#: Span of a numeric order that makes a bucket.
+ROWS = 100_000
 
 
 def downsampled(df: DataFrame, key: str, time: str, values: list[str], step: float) -> DataFrame:
@@ -127,7 +129,9 @@ def spectrum(df: DataFrame, key: str, order: str, value: str, size: int) -> Data
     The windows are dealt out first: each window of each key is a group of its own, and bins are averaged by Spark.
     """
     half = size // 2
-    numbered = df.select(key, F.col(value).cast("double").alias("x"), (F.row_number().over(Window.partitionBy(key).orderBy(order)) - 1).alias("n"))
+    # Rows are numbered by buckets, since a key may hold a large part of all rows.
+    rows = running_sum(df.select(key, order, F.col(value).cast("double").alias("x")), [key], [order], F.lit(1), F.floor(F.col(order) / ROWS), "n")
+    numbered = rows.select(key, "x", (F.col("n") - 1).alias("n"))
     part = F.floor(F.col("n") / half)
     spread = numbered.withColumn("w", F.explode(F.array(part - 1, part))).filter("w >= 0")
 
@@ -146,8 +150,8 @@ def spectrum(df: DataFrame, key: str, order: str, value: str, size: int) -> Data
 
 def short_term_noise(df: DataFrame, key: str, order: str, value: str) -> DataFrame:
     """AGG25: deviation of first differences over the root of two."""
-    step = F.col(value) - F.lag(value).over(Window.partitionBy(key).orderBy(order))
-    return df.select(key, step.alias("d")).groupBy(key).agg((F.stddev_pop("d") / 2**0.5).alias("noise"))
+    before = with_previous(df.select(key, order, value), [key], [order], [value], F.floor(F.col(order) / ROWS))
+    return before.select(key, (F.col(value) - F.col(f"previous.{value}")).alias("d")).groupBy(key).agg((F.stddev_pop("d") / 2**0.5).alias("noise"))
 
 
 def banded_evidence(df: DataFrame, ratio: str, speed: str, score: str, bands: int, width: float) -> DataFrame:
