@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from roadtrace.operators.ordered import running_sum, with_previous
+from roadtrace.operators.ordered import rolling, running_sum, throttle_marks, with_previous
 
 
 def bends(turns: DataFrame, key: str, at: str, delta: str, active: float, quiet: float, least: float) -> DataFrame:
@@ -102,25 +102,19 @@ BLOCK = 4096
 ROWS = 100_000
 
 
-def downsampled(df: DataFrame, key: str, time: str, values: list[str], step: float) -> DataFrame:
-    """WIN16: a row when at least ``step`` has passed since the last, with duration-weighted means of ``values``."""
-    schema = df.select(key, time, *values).schema
+def downsampled(df: DataFrame, key: str, time: str, values: list[str], step: float, bucket: Column, *, tie: str | None = None) -> DataFrame:
+    """WIN16: a row when at least ``step`` has passed since the last, with duration-weighted means of ``values``.
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(time, kind="stable")
-        t, data = rows[time].to_numpy(), rows[values].to_numpy(float)
-        width = np.diff(t, prepend=t[0])
-        out, begin = [], 0
-        for i in range(1, len(t)):
-            if t[i] - t[begin] >= step:
-                w = width[begin + 1 : i + 1]
-                out.append([t[i], *(w @ data[begin + 1 : i + 1] / w.sum())])
-                begin = i
-        found = pd.DataFrame(out, columns=[time, *values])
-        found.insert(0, key, rows[key].iloc[0])
-        return found[schema.names]
-
-    return df.select(key, time, *values).groupBy(key).applyInPandas(run, schema)
+    The rows that end an interval are those that a throttle keeps; the rest is running sums by ``bucket`` and one grouping.
+    """
+    order = [time, tie] if tie else [time]
+    marked = throttle_marks(df.select(key, *order, *(v for v in values if v not in order)), [key], time, tie or time, step, bucket)
+    timed = with_previous(marked, [key], order, [time], bucket).withColumn("__width", F.col(time) - F.col(f"previous.{time}"))
+    kept = F.col("__kept").cast("int")
+    run = running_sum(timed, [key], order, kept, bucket, "__seen").withColumn("__interval", F.col("__seen") - kept).filter("__interval > 0")
+    means = [(F.sum(F.col(v) * F.col("__width")) / F.sum("__width")).alias(v) for v in values]
+    out = run.groupBy(key, "__interval").agg(F.max(F.when(F.col("__kept"), F.col(time))).alias(time), *means)
+    return out.filter(F.col(time).isNotNull()).select(key, time, *values)
 
 
 def spectrum(df: DataFrame, key: str, order: str, value: str, size: int) -> DataFrame:
@@ -163,8 +157,8 @@ def banded_evidence(df: DataFrame, ratio: str, speed: str, score: str, bands: in
 
 def settled(df: DataFrame, key: str, time: str, value: str, span: int, least: int, variance: float) -> DataFrame:
     """FLT17: rows whose last ``span`` holds at least ``least`` rows of at most ``variance``."""
-    back = Window.partitionBy(key).orderBy(time).rangeBetween(-span, 0)
-    return df.withColumns({"rows": F.count("*").over(back), "variance": F.var_pop(value).over(back)}).filter((F.col("rows") >= least) & (F.col("variance") <= variance))
+    seen = rolling(df, [key], time, span, {"rows": lambda w: F.count("*").over(w), "variance": lambda w: F.var_pop(value).over(w)})
+    return seen.filter((F.col("rows") >= least) & (F.col("variance") <= variance))
 
 
 def calibration_record(df: DataFrame, key: str, time: str, channels: list[str]) -> DataFrame:

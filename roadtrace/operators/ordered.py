@@ -2,18 +2,21 @@
 
 A drive (key) may hold a third of all rows, so nothing here needs a whole key in one task where the operator can be
 split. Order-based operators take a ``bucket`` (a coarse, monotone function of time): rows are ordered within
-(key, bucket), and one row per bucket carries the state across. Greedy operators, whose every decision depends on the
-one before, work per key (``throttle``, ``thin``), as they must.
+(key, bucket), and one row per bucket carries the state across. ``throttle`` carries a small table a bucket, since its
+state is one time. ``thin`` works per key: its state is a place, which no such table bounds.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.window import WindowSpec
 
 DAY = 86_400_000_000
 
@@ -97,6 +100,21 @@ def interpolated(instants: DataFrame, samples: DataFrame, keys: list[str], time:
     return after.withColumn(value, F.when(F.col("before").isNotNull() & F.col("after").isNotNull(), lerp)).drop("before", "after")
 
 
+def integrated(instants: DataFrame, intervals: DataFrame, keys: list[str], time: str, value: str, bucket: Column, *, tie: str) -> DataFrame:
+    """JOI16: ``instants`` with the integral of ``value`` up to their time, the last interval in part.
+
+    ``intervals`` has (keys, ``time``, end, ``value``, ``tie``) in seconds or microseconds alike, without overlaps; ``bucket`` is
+    of ``time``. Whole intervals are a running sum, and the interval that holds an instant counts up to it. Instants before
+    the first interval get null.
+    """
+    part = intervals.withColumn("__area", F.col(value) * (F.col("end") - F.col(time)))
+    run = running_sum(part, keys, [time, tie], F.col("__area"), bucket, "__til")
+    run = run.select(*keys, time, tie, F.col("end").alias("__end"), F.col(value).alias("__rate"), (F.col("__til") - F.col("__area")).alias("__base"), F.col(time).alias("__start"))
+    held = hold_last(instants, run, keys, time, ["__start", "__end", "__rate", "__base"], bucket, tie=tie, name="__h")
+    reach = F.least(F.col(time), F.col("__h.__end")) - F.col("__h.__start")
+    return held.withColumn("integral", F.col("__h.__base") + F.col("__h.__rate") * reach).drop("__h")
+
+
 def last_n(df: DataFrame, kind: str, order: list[Column], n: int) -> DataFrame:
     """WIN22: the last ``n`` rows of each kind; spread first, so a hot kind is cut down in many tasks."""
     parts = Window.partitionBy(kind, "__part").orderBy(*order)
@@ -110,27 +128,78 @@ def hopping(df: DataFrame, time: str, size: int, hop: int) -> DataFrame:
     return df.withColumn("window_start", F.explode(F.transform(F.sequence(first, F.floor(F.col(time) / hop)), lambda k: k * F.lit(hop))))
 
 
-def throttle(df: DataFrame, keys: list[str], time: str, tie: str, step: int) -> DataFrame:
-    """WIN15: keeps a row only if it comes at least ``step`` after the last kept; ``suppressed`` counts those between.
+def rolling(df: DataFrame, keys: list[str], time: str, span: int, measures: dict[str, Callable[[WindowSpec], Column]]) -> DataFrame:
+    """WIN05: ``df`` with ``measures`` over the rows of the last ``span`` up to each row's time.
 
-    Every decision depends on the one before, so a key is one sequential pass.
+    A row stands in the bucket of its own time and in the next, so a window is a bucket of twice ``span`` and not a key.
     """
-    schema = df.withColumn("suppressed", F.lit(0).cast("long")).schema
+    own = F.floor(F.col(time) / span)
+    dealt = df.withColumn("__own", own).withColumn("__bucket", F.explode(F.array(own, own + 1)))
+    back = Window.partitionBy(*keys, "__bucket").orderBy(time).rangeBetween(-span, 0)
+    return dealt.withColumns({n: m(back) for n, m in measures.items()}).filter("__own = __bucket").drop("__own", "__bucket")
 
-    def keep(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values([time, tie], kind="stable")
-        last, dropped, kept, counts = None, 0, [], []
-        for i, t in enumerate(rows[time].tolist()):
-            if last is None or t - last >= step:
-                last = t
-                kept.append(i)
-                counts.append(dropped)
-                dropped = 0
-            else:
-                dropped += 1
-        return rows.iloc[kept].assign(suppressed=counts)[schema.names]
 
-    return df.groupBy(*keys).applyInPandas(keep, schema)
+def throttle_marks(df: DataFrame, keys: list[str], time: str, tie: str, step: int, bucket: Column) -> DataFrame:
+    """WIN15: ``df`` with ``__kept``: whether a row comes at least ``step`` after the last kept. Rows without a time go.
+
+    A bucket's outcome depends only on the last kept time before it. Each bucket makes the table of its own last kept time
+    by that time, which has few rows because chains from neighbouring starts soon meet; one pass over the buckets of a
+    key follows the tables, and then every bucket marks its rows by itself.
+    """
+    dealt = df.filter(F.col(time).isNotNull()).withColumn("__bucket", bucket)
+    when = dealt.schema[time].dataType
+    groups = [*keys, "__bucket"]
+    head = dealt.select(*groups)
+
+    def table(rows: pd.DataFrame) -> pd.DataFrame:
+        t = np.sort(rows[time].to_numpy())
+        follow = np.searchsorted(t, t + step)
+        last = t.copy()
+        for i in range(len(t) - 1, -1, -1):
+            if follow[i] < len(t):
+                last[i] = last[follow[i]]
+        first = min(len(t), int(np.searchsorted(t, t[0] + step)) + 1)  # No earlier time reaches beyond these rows.
+        ends = np.flatnonzero(np.append(last[1:first] != last[: first - 1], True))
+        out = rows[groups].iloc[:1].copy()
+        out["__til"], out["__last"] = [t[ends].tolist()], [last[ends].tolist()]
+        return out
+
+    times = T.ArrayType(when)
+    tables = dealt.select(*groups, time).groupBy(*groups).applyInPandas(table, T.StructType([*head.schema.fields, T.StructField("__til", times), T.StructField("__last", times)]))
+
+    def follow(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("__bucket", kind="stable")
+        last, before = None, []
+        for til, ends in zip(rows["__til"], rows["__last"], strict=True):
+            before.append(last)
+            at = 0 if last is None else int(np.searchsorted(til, last + step))
+            last = ends[at] if at < len(ends) else last
+        return rows[groups].assign(__before=pd.Series(before, index=rows.index, dtype=object))
+
+    carried = tables.groupBy(*keys).applyInPandas(follow, T.StructType([*head.schema.fields, T.StructField("__before", when)]))
+    schema = T.StructType([*dealt.schema.fields, T.StructField("__before", when), T.StructField("__kept", T.BooleanType())])
+
+    def mark(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values([time, tie], kind="stable")
+        before = rows["__before"].iloc[0]
+        t, kept = rows[time].to_numpy(), np.zeros(len(rows), bool)
+        at = 0 if pd.isna(before) else int(np.searchsorted(t, before + step))
+        while at < len(t):
+            kept[at] = True
+            at = int(np.searchsorted(t, t[at] + step))
+        return rows.assign(__kept=kept)[schema.names]
+
+    same = [dealt[c].eqNullSafe(carried[c]) for c in groups]
+    met = dealt.join(carried, reduce(Column.__and__, same), "left").select(*(dealt[c] for c in dealt.columns), "__before")
+    return met.groupBy(*groups).applyInPandas(mark, schema).drop("__before", "__bucket")
+
+
+def throttle(df: DataFrame, keys: list[str], time: str, tie: str, step: int, bucket: Column) -> DataFrame:
+    """WIN15: keeps a row only if it comes at least ``step`` after the last kept; ``suppressed`` counts those between."""
+    marked = throttle_marks(df, keys, time, tie, step, bucket)
+    kept = running_sum(marked, keys, [time, tie], F.lit(1), bucket, "__n").filter("__kept").drop("__kept")
+    before = with_previous(kept, keys, [time, tie], ["__n"], bucket)
+    return before.withColumn("suppressed", F.coalesce(F.col("__n") - F.col("previous.__n") - 1, F.lit(0)).cast("long")).drop("previous", "__n")
 
 
 def thin(df: DataFrame, keys: list[str], order: list[str], xy: tuple[str, str], least: float) -> DataFrame:

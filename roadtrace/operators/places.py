@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -10,6 +13,33 @@ from roadtrace.operators.components import shared_folder
 from roadtrace.operators.spatial import around, cell
 
 
+def _closest(points: DataFrame, towns: DataFrame, size: float, side: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(id, place, score): the best of the 3x3 cells of ``size`` around each point, where they hold any.
+
+    Each bonus is searched by itself, where the best is the nearest, from cells so narrow that none holds more than ``FEW``
+    up to ``size``; narrower cells nest in wider ones, so a hit nearer than one width ends its search. Cells follow the
+    density, and pairs grow with the points alone.
+    """
+    fine, width = 0, size
+    while fine < FINEST and (most := cell(towns, width, "sx", "sy").groupBy("bonus", "cx", "cy").count().agg(F.max("count")).first()[0] or 0) > FEW:
+        fine += max(1, math.ceil(math.log(most / FEW, 4)))
+        width = size / 2**fine
+    bonuses = towns.agg(F.sort_array(F.collect_set("bonus")).alias("b")).first()["b"]
+    rest = points.withColumn("bonus", F.explode(F.array(*map(F.lit, bonuses)).cast("array<double>")))
+    distance = F.sqrt((F.col("x") - F.col("sx")) ** 2 + (F.col("y") - F.col("sy")) ** 2)
+    found = None
+    for level in range(fine, -1, -1):
+        width = size / 2**level
+        met = around(rest, width).join(side(cell(towns, width, "sx", "sy")), ["bonus", "cx", "cy"]).withColumn("d", distance)
+        near = met.groupBy("id", "bonus").agg(F.min(F.struct((F.col("d") - F.col("bonus")).alias("score"), "place", "d")).alias("b"))
+        if level:
+            # Cells beyond are farther than one width by more than rounding can hide.
+            near = near.filter(F.col("b.d") <= width * (1 - 1e-9)).checkpoint()
+            rest = rest.join(near, ["id", "bonus"], "left_anti").checkpoint()
+        found = near if found is None else found.unionByName(near)
+    return found.groupBy("id").agg(F.min(F.struct("b.score", "b.place")).alias("b")).select("id", "b.place", "b.score")
+
+
 def nearest_settlement(points: DataFrame, settlements: DataFrame, size: float, bonus: dict[str, float]) -> DataFrame:
     """JOI07: (id, place): the settlement with the least distance less its kind's bonus, among the 3x3 cells around.
 
@@ -19,25 +49,28 @@ def nearest_settlement(points: DataFrame, settlements: DataFrame, size: float, b
     shared_folder(points.sparkSession)
     weight = F.create_map(*(F.lit(x) for pair in bonus.items() for x in pair)) if bonus else F.create_map(F.lit(""), F.lit(0.0))
     s = settlements.select(F.col("id").alias("place"), F.col("x").alias("sx"), F.col("y").alias("sy"), F.coalesce(weight[F.col("kind")], F.lit(0.0)).alias("bonus"))
-    score = F.sqrt((F.col("x") - F.col("sx")) ** 2 + (F.col("y") - F.col("sy")) ** 2) - F.col("bonus")
-    best = lambda met: met.groupBy("id").agg(F.min(F.struct(score.alias("score"), "place")).alias("b")).select("id", "b.place", "b.score")
+    s = s.groupBy("sx", "sy", "bonus").agg(F.min("place").alias("place"))  # Of settlements at one place the smallest id wins every tie.
     some = s.limit(BROADCAST + 1).count()
+    if not some:
+        return points.select("id", F.lit(None).cast(s.schema["place"].dataType).alias("place"), F.lit(None).cast("double").alias("score")).limit(0)
     side = F.broadcast if some <= BROADCAST else lambda df: df
-    block = lambda p, width: best(around(p, width).join(side(cell(s, width, "sx", "sy")), ["cx", "cy"]))
-    found = block(points.select("id", "x", "y"), size)
+    found = _closest(points.select("id", "x", "y"), s, size, side).checkpoint()
     rest = points.select("id", "x", "y").join(found, "id", "left_anti").checkpoint()
     placed = rest.select("x", "y").union(s.select("sx", "sy")).filter((F.abs("x") < F.lit(float("inf"))) & (F.abs("y") < F.lit(float("inf"))))
     span = placed.agg(F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y")).alias("span")).first()["span"] or 0.0
-    most, width, seen_all = max([0.0, *bonus.values()]), size, some == 0
+    most, width, seen_all = max([0.0, *bonus.values()]), size, False
     while not seen_all and not rest.isEmpty():
         width *= 2
         seen_all = width > span
-        met = block(rest, width)
+        met = _closest(rest, s, width, side)
         ended = (met if seen_all else met.filter(F.col("score") + most <= width)).checkpoint()
         found, rest = found.unionByName(ended), rest.join(ended, "id", "left_anti").checkpoint()
     return found
 
 
+#: Settlements of one bonus that a cell of the narrowest search may hold, and how often a cell may be halved for that; both only set the speed.
+FEW = 8
+FINEST = 24
 #: Settlements that may be broadcast to the joins by cell; the result is the same beyond.
 BROADCAST = 10_000
 

@@ -84,7 +84,7 @@ SELECT user_id, t AS event_id, round(mean, 4) AS mean FROM w WHERE mean IS NOT N
 def downsampled_events(spark: SparkSession, root: str) -> DataFrame:
     """WIN16: duration-weighted means, a row when two thousand have passed."""
     e = table(spark, root, "events").select("user_id", "event_id", "value")
-    return f.downsampled(e, "user_id", "event_id", ["value"], 2000).select("user_id", "event_id", F.round("value", 4).alias("mean"))
+    return f.downsampled(e, "user_id", "event_id", ["value"], 2000, F.floor(F.col("event_id") / 100_000)).select("user_id", "event_id", F.round("value", 4).alias("mean"))
 
 
 @query("""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from roadtrace.operators import ordered as o
@@ -68,7 +68,7 @@ k AS (SELECT user_id, event_id, t, n FROM e WHERE n = 1
 SELECT user_id, event_id, CAST(coalesce(n - lag(n) OVER (PARTITION BY user_id ORDER BY n) - 1, 0) AS BIGINT) AS suppressed FROM k""")
 def throttle_hourly(spark: SparkSession, root: str) -> DataFrame:
     """WIN15: at most one row an hour per user, counted from the last kept."""
-    kept = o.throttle(events(spark, root).select("user_id", "event_id", "t"), ["user_id"], "t", "event_id", 60 * MINUTE)
+    kept = o.throttle(events(spark, root).select("user_id", "event_id", "t"), ["user_id"], "t", "event_id", 60 * MINUTE, o.by_day("t"))
     return kept.select("user_id", "event_id", "suppressed")
 
 
@@ -95,9 +95,9 @@ SELECT event_id, n, round(sqrt(s / n), 4) AS rms FROM (
   WINDOW w AS (PARTITION BY user_id ORDER BY t RANGE BETWEEN 21600000000 PRECEDING AND CURRENT ROW))""")
 def rolling_rms(spark: SparkSession, root: str) -> DataFrame:
     """WIN05, AGG09: root mean square over the last six hours."""
-    back = Window.partitionBy("user_id").orderBy("t").rangeBetween(-360 * MINUTE, 0)
-    rms = F.sqrt(F.sum(F.col("value") * F.col("value")).over(back) / F.count("*").over(back))
-    return events(spark, root).select("event_id", F.count("*").over(back).alias("n"), F.round(rms, 4).alias("rms"))
+    square = F.col("value") * F.col("value")
+    seen = o.rolling(events(spark, root), ["user_id"], "t", 360 * MINUTE, {"n": lambda w: F.count("*").over(w), "s": lambda w: F.sum(square).over(w)})
+    return seen.select("event_id", "n", F.round(F.sqrt(F.col("s") / F.col("n")), 4).alias("rms"))
 
 
 @query(f"""

@@ -30,8 +30,9 @@ def test_bends_and_downsampling(spark):
     got = [(b["begin"], b["end"], round(b["angle"], 6), b["middle"]) for b in f.bends(turns, "k", "at", "d", 0.02, 15, 0.3).orderBy("begin").collect()]
     assert got == [(0, 10, 1.0, 0), (40, 40, -0.6, 40), (60, 60, -0.3, 60)]
     rows = spark.createDataFrame([("d", i * 0.02, float(i)) for i in range(11)], "k string, t double, v double")
-    out = f.downsampled(rows, "k", "t", ["v"], 0.05).orderBy("t").collect()
-    assert [(round(q["t"], 2), round(q["v"], 6)) for q in out] == [(0.06, 2.0), (0.12, 5.0), (0.18, 8.0)]
+    for size in (0.07, 10.0):
+        out = f.downsampled(rows, "k", "t", ["v"], 0.05, F.floor(F.col("t") / size)).orderBy("t").collect()
+        assert [(round(q["t"], 2), round(q["v"], 6)) for q in out] == [(0.06, 2.0), (0.12, 5.0), (0.18, 8.0)]
 
 
 def test_turn_likelihood(spark):

@@ -53,11 +53,36 @@ def test_asof_and_interpolation(rows, spark, size):
             assert between[k, t] is None
 
 
-def test_throttle_counts_from_the_last_kept(spark):
+@pytest.mark.parametrize("size", [1, 7, 60, 10_000])
+def test_throttle_counts_from_the_last_kept(spark, size):
+    bucket = F.floor(F.col("t") / size)
     df = spark.createDataFrame([("d", t, i) for i, t in enumerate([0, 4, 10, 19, 20, 31])], "k string, t long, i long")
-    assert [(r["t"], r["suppressed"]) for r in o.throttle(df, ["k"], "t", "i", 10).orderBy("t").collect()] == [(0, 0), (10, 1), (20, 1), (31, 0)]
-    many = spark.createDataFrame([("d", i, i) for i in range(600)], "k string, t long, i long")
-    assert o.throttle(many, ["k"], "t", "i", 10).count() == 60
+    assert [(r["t"], r["suppressed"]) for r in o.throttle(df, ["k"], "t", "i", 10, bucket).orderBy("t").collect()] == [(0, 0), (10, 1), (20, 1), (31, 0)]
+    data = [(k, rnd.randint(0, 600), i) for i, k in enumerate(rnd.choices("aab", k=400))]
+    want = []
+    for k in "ab":
+        last, dropped = None, 0
+        for _, t, i in sorted((r for r in data if r[0] == k), key=lambda r: r[1:]):
+            if last is None or t - last >= 23:
+                want.append((k, t, i, dropped))
+                last, dropped = t, 0
+            else:
+                dropped += 1
+    got = o.throttle(spark.createDataFrame([*data, ("a", None, 900)], "k string, t long, i long"), ["k"], "t", "i", 23, bucket)
+    assert sorted(map(tuple, got.select("k", "t", "i", "suppressed").collect())) == sorted(want)
+
+
+def test_rolling_and_partial_integrals(rows, spark):
+    df, data = rows
+    got = {r["i"]: (r["n"], r["s"]) for r in o.rolling(df, ["k"], "t", 37, {"n": lambda w: F.count("*").over(w), "s": lambda w: F.sum("v").over(w)}).collect()}
+    for k, t, i, _ in data:
+        back = [v for k2, u, _, v in data if k2 == k and t - 37 <= u <= t]
+        assert got[i] == (len(back), sum(back))
+    steps = [("a", 0, 10, 2.0, 0), ("a", 10, 15, -1.0, 1), ("a", 40, 50, 3.0, 2), ("b", 5, 6, 4.0, 3)]
+    at = [("a", -1), ("a", 0), ("a", 4), ("a", 12), ("a", 30), ("a", 45), ("a", 90), ("b", 6)]
+    for size in (1, 20, 1000):
+        held = o.integrated(spark.createDataFrame(at, "k string, t long"), spark.createDataFrame(steps, "k string, t long, end long, v double, i long"), ["k"], "t", "v", F.floor(F.col("t") / size), tie="i")
+        assert {(r["k"], r["t"]): r["integral"] for r in held.collect()} == dict(zip(at, [None, 0, 8, 18, 15, 30, 45, 4], strict=True))
 
 
 def test_thinning(spark):
@@ -72,5 +97,5 @@ def test_stream_equals_batch_over_ordered_files(spark, tmp_path):
     schema = "k string, t long, i long"
     stream = spark.readStream.schema(schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
     got = live.run_to_end(live.throttled(stream, "k", "t", "i", 20), f"{tmp_path}/out").select("k", "t", "i", "suppressed")
-    want = o.throttle(spark.createDataFrame(data, schema), ["k"], "t", "i", 20).select("k", "t", "i", "suppressed")
+    want = o.throttle(spark.createDataFrame(data, schema), ["k"], "t", "i", 20, F.floor(F.col("t") / 50)).select("k", "t", "i", "suppressed")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
