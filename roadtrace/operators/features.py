@@ -108,7 +108,7 @@ def downsampled(df: DataFrame, key: str, time: str, values: list[str], step: flo
     The rows that end an interval are those that a throttle keeps; the rest is running sums by ``bucket`` and one grouping.
     """
     order = [time, tie] if tie else [time]
-    marked = throttle_marks(df.select(key, *order, *(v for v in values if v not in order)), [key], time, tie or time, step, bucket)
+    marked = throttle_marks(df.select(key, *order, *(v for v in values if v not in order)), [key], time, tie or time, step, bucket).drop("__n")
     timed = with_previous(marked, [key], order, [time], bucket).withColumn("__width", F.col(time) - F.col(f"previous.{time}"))
     kept = F.col("__kept").cast("int")
     run = running_sum(timed, [key], order, kept, bucket, "__seen").withColumn("__interval", F.col("__seen") - kept).filter("__interval > 0")

@@ -140,15 +140,17 @@ def rolling(df: DataFrame, keys: list[str], time: str, span: int, measures: dict
 
 
 def throttle_marks(df: DataFrame, keys: list[str], time: str, tie: str, step: int, bucket: Column) -> DataFrame:
-    """WIN15: ``df`` with ``__kept``: whether a row comes at least ``step`` after the last kept. Rows without a time go.
+    """WIN15: ``df`` with its row number ``__n`` and ``__kept``: whether a row comes at least ``step`` after the last kept.
 
-    A bucket's outcome depends only on the last kept time before it. Each bucket makes the table of its own last kept time
-    by that time, which has few rows because chains from neighbouring starts soon meet; one pass over the buckets of a
-    key follows the tables, and then every bucket marks its rows by itself.
+    Rows without a time go. Rows are numbered by ``bucket`` and dealt in blocks of ``BLOCK``. A block's outcome depends only on
+    the last kept time before it: each block makes the table of its own last kept time by that time, which has few rows
+    because chains from neighbouring starts soon meet; one pass over the blocks of a key follows the tables, and then every
+    block marks its rows by itself.
     """
-    dealt = df.filter(F.col(time).isNotNull()).withColumn("__bucket", bucket)
+    numbered = running_sum(df.filter(F.col(time).isNotNull()), keys, [time, tie], F.lit(1), bucket, "__n")
+    dealt = numbered.withColumn("__block", F.floor((F.col("__n") - 1) / BLOCK))
     when = dealt.schema[time].dataType
-    groups = [*keys, "__bucket"]
+    groups = [*keys, "__block"]
     head = dealt.select(*groups)
 
     def table(rows: pd.DataFrame) -> pd.DataFrame:
@@ -168,7 +170,7 @@ def throttle_marks(df: DataFrame, keys: list[str], time: str, tie: str, step: in
     tables = dealt.select(*groups, time).groupBy(*groups).applyInPandas(table, T.StructType([*head.schema.fields, T.StructField("__til", times), T.StructField("__last", times)]))
 
     def follow(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("__bucket", kind="stable")
+        rows = rows.sort_values("__block")
         last, before = None, []
         for til, ends in zip(rows["__til"], rows["__last"], strict=True):
             before.append(last)
@@ -189,15 +191,16 @@ def throttle_marks(df: DataFrame, keys: list[str], time: str, tie: str, step: in
             at = int(np.searchsorted(t, t[at] + step))
         return rows.assign(__kept=kept)[schema.names]
 
-    same = [dealt[c].eqNullSafe(carried[c]) for c in groups]
-    met = dealt.join(carried, reduce(Column.__and__, same), "left").select(*(dealt[c] for c in dealt.columns), "__before")
-    return met.groupBy(*groups).applyInPandas(mark, schema).drop("__before", "__bucket")
+    return dealt.join(carried, groups).select(*schema.names[:-1]).groupBy(*groups).applyInPandas(mark, schema).drop("__before", "__block")
+
+
+#: Rows of a key that a throttle runs in one piece.
+BLOCK = 32_768
 
 
 def throttle(df: DataFrame, keys: list[str], time: str, tie: str, step: int, bucket: Column) -> DataFrame:
     """WIN15: keeps a row only if it comes at least ``step`` after the last kept; ``suppressed`` counts those between."""
-    marked = throttle_marks(df, keys, time, tie, step, bucket)
-    kept = running_sum(marked, keys, [time, tie], F.lit(1), bucket, "__n").filter("__kept").drop("__kept")
+    kept = throttle_marks(df, keys, time, tie, step, bucket).filter("__kept").drop("__kept")
     before = with_previous(kept, keys, [time, tie], ["__n"], bucket)
     return before.withColumn("suppressed", F.coalesce(F.col("__n") - F.col("previous.__n") - 1, F.lit(0)).cast("long")).drop("previous", "__n")
 

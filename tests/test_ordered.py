@@ -53,8 +53,9 @@ def test_asof_and_interpolation(rows, spark, size):
             assert between[k, t] is None
 
 
-@pytest.mark.parametrize("size", [1, 7, 60, 10_000])
-def test_throttle_counts_from_the_last_kept(spark, size):
+@pytest.mark.parametrize(("size", "block"), [(7, 3), (60, 16), (10_000, 32_768)])
+def test_throttle_counts_from_the_last_kept(spark, monkeypatch, size, block):
+    monkeypatch.setattr(o, "BLOCK", block)
     bucket = F.floor(F.col("t") / size)
     df = spark.createDataFrame([("d", t, i) for i, t in enumerate([0, 4, 10, 19, 20, 31])], "k string, t long, i long")
     assert [(r["t"], r["suppressed"]) for r in o.throttle(df, ["k"], "t", "i", 10, bucket).orderBy("t").collect()] == [(0, 0), (10, 1), (20, 1), (31, 0)]
