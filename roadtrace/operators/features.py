@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from roadtrace.functions.signal import erf
+from roadtrace.operators.components import shared_folder
 from roadtrace.operators.ordered import rolling, running_sum, throttle_marks, with_previous
 
 
@@ -200,3 +204,73 @@ def junctions(edges: DataFrame, turns: DataFrame, low: float, high: float) -> Da
 def unvisited(candidates: Column, route: Column, last: int = 15) -> Column:
     """SET05: candidates that are not among the last ``last`` of a route."""
     return F.array_except(candidates, F.slice(route, F.greatest(F.size(route) - last + 1, F.lit(1)), F.lit(last)))
+
+
+def vibration_level(df: DataFrame, key: str, order: str, axes: list[str], *, size: int = 100, hop: int = 100, transform: int = 128, rate: float = 100.0, low: float = 3.0, high: float = 45.0) -> DataFrame:
+    """AGG26: (key, window, level): the mean over ``axes`` of log10 of the median power between ``low`` and ``high`` hertz.
+
+    Windows of ``size`` rows under a Hann window begin every ``hop`` rows and are groups of their own; short ones give none.
+    """
+    rows = running_sum(df.select(key, order, *axes), [key], [order], F.lit(1), F.floor(F.col(order) / ROWS), "__n").withColumn("__n", F.col("__n") - 1)
+    first = F.greatest(F.floor((F.col("__n") - size) / hop) + 1, F.lit(0))
+    spread = rows.filter(first <= F.floor(F.col("__n") / hop)).withColumn("window", F.explode(F.sequence(first, F.floor(F.col("__n") / hop))))
+
+    def level(rows: pd.DataFrame) -> pd.DataFrame:
+        out = rows[[key, "window"]].iloc[:1].assign(level=0.0)
+        if len(rows) < size:
+            return out.iloc[:0]
+        x = rows.sort_values("__n")[axes].to_numpy(float)
+        power = np.abs(np.fft.rfft((x - x.mean(axis=0)) * np.hanning(size)[:, None], n=transform, axis=0)) ** 2
+        band = power[int(np.ceil(low * transform / rate)) : int(high * transform / rate) + 1]
+        return out.assign(level=np.log10(np.median(band, axis=0) + 1e-14).mean())
+
+    return spread.groupBy(key, "window").applyInPandas(level, f"{key} {df.schema[key].dataType.simpleString()}, window long, level double")
+
+
+#: Channels whose spectra are correlated with themselves, with their weights (fixed values).
+CHANNEL_WEIGHTS = {"accelerationX": 45.2, "rotationZ": 41.3, "vertical": 35.6, "rotationY": 31.8, "rotationX": 27.5, "accelerationZ": 24.4}
+
+
+def channel_products(spectra: DataFrame, key: str, weights: dict[str, float], whitening: float = 0.8) -> DataFrame:
+    """JOI25: (key, bin, product) of spectra (key, channel, bin, power): whitened products of each channel with itself.
+
+    A channel's products are scaled by its whitened total, weighted, added by bin and divided by the weights of all channels.
+    Channels without a weight count nothing.
+    """
+    weight = F.create_map(*(F.lit(x) for pair in weights.items() for x in pair))
+    known = spectra.withColumn("__weight", weight[F.col("channel")]).filter("__weight IS NOT NULL")
+    totals = known.groupBy(key, "channel").agg(F.sum(F.pow("power", F.lit(1 - whitening))).alias("__total"))
+    scale = F.col("__weight") / F.sqrt(F.col("__total") * F.col("__total") + 1e-30)
+    each = known.join(totals, [key, "channel"]).withColumn("__p", F.col("power") / (F.pow("power", F.lit(whitening)) + 1e-20) * scale)
+    return each.groupBy(key, "bin").agg((F.sum("__p") / F.lit(sum(weights.values()))).alias("product"))
+
+
+def credible_radius(mixture: DataFrame, centres: DataFrame, key: str, mass: float = 0.95) -> DataFrame:
+    """AGG24: (key, radius): the least radius about a centre that holds ``mass`` of a mixture of normals.
+
+    ``mixture`` has (key, weight, offset, variance), variances of at least 1 counting; ``centres`` (key, centre, length). The first radius
+    of 1000, 2000, ... that holds enough, or reaches twice ``length``, is cut in ``PARTS`` eight times; each time the components
+    add up their mass within every cut, so no mixture is one group.
+    """
+    shared_folder(mixture.sparkSession)
+    deviation = F.sqrt(F.greatest("variance", F.lit(1.0))) * math.sqrt(2)
+
+    def first(asked: DataFrame) -> DataFrame:
+        """(key, i): the first radius of (key, centre, radii) that holds enough, else the last."""
+        cut = asked.select(key, "centre", F.posexplode("radii").alias("i", "r"))
+        away = lambda sign: erf((F.col("centre") + sign * F.col("r") - F.col("offset")) / deviation)
+        held = mixture.join(cut, key).groupBy(key, "i").agg(F.sum(F.col("weight") * 0.5 * (away(1) - away(-1))).alias("held"))
+        return held.groupBy(key).agg(F.coalesce(F.min(F.when(F.col("held") >= mass, F.col("i"))), F.max("i")).alias("i"))
+
+    doublings = F.greatest(F.lit(0), F.ceil(F.log2(F.col("length") * 2 / 1000))).cast("int")
+    begun = centres.withColumn("radii", F.transform(F.sequence(F.lit(0), doublings), lambda j: F.lit(1000.0) * F.pow(F.lit(2.0), j)))
+    state = begun.join(first(begun), key).select(key, "centre", F.lit(0.0).alias("low"), F.get("radii", "i").alias("high")).checkpoint()
+    for _ in range(8):
+        step = (F.col("high") - F.col("low")) / PARTS
+        asked = state.withColumn("radii", F.transform(F.sequence(F.lit(1), F.lit(PARTS)), lambda j: F.col("low") + step * j))
+        state = asked.join(first(asked), key).select(key, "centre", (F.col("low") + step * F.col("i")).alias("low"), F.get("radii", "i").alias("high")).checkpoint()
+    return state.select(key, F.col("high").alias("radius"))
+
+
+#: Cuts of an interval a round; eight rounds of 32 are forty halvings.
+PARTS = 32

@@ -5,6 +5,9 @@ Edges are rows (id, way, from, to, ...). Turn restrictions are rows (via, from_w
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,6 +26,30 @@ def drivable(tags: Column, extra: Column | None = None) -> Column:
     return F.coalesce(kind if extra is None else kind | extra, F.lit(False)) & ~access.isin(NO_ACCESS)
 
 
+#: Areas that a map shows beside roads (fixed values of the map format).
+AREAS = [("natural", "water"), ("waterway", "riverbank"), ("landuse", "forest"), ("landuse", "grass"), ("landuse", "recreation_ground"), ("leisure", "park")]
+
+
+def collected(tags: Column, points: Column, focus: list[tuple[float, float, float, float]], *, clip: tuple[float, float, float, float] | None = None, corridor: Callable[[Column], Column] | None = None) -> Column:
+    """FLT23: whether an extract keeps a way: a road or an area; a track only inside ``focus`` and below grade 5.
+
+    Boxes are (south, west, north, east) and ``points`` structs of (lon, lat); one point within suffices. A ``corridor`` tests every
+    n-th point, about twenty of them, and the last.
+    """
+    inside = lambda p, b: p["lat"].between(b[0], b[2]) & p["lon"].between(b[1], b[3])
+    kind = F.coalesce(tags["highway"], F.lit(""))
+    area = reduce(Column.__or__, (F.coalesce(tags[k] == v, F.lit(False)) for k, v in AREAS))
+    focused = F.exists(points, lambda p: reduce(Column.__or__, (inside(p, b) for b in focus), F.lit(False)))
+    kept = (kind.isin(DRIVABLE) | (kind == "track") | area) & ((kind != "track") | (focused & (F.coalesce(tags["tracktype"], F.lit("")) != "grade5")))
+    if clip is not None:
+        kept &= F.exists(points, lambda p: inside(p, clip))
+    if corridor is not None:
+        n = F.size(points)
+        every = F.greatest(F.lit(1), F.floor(n / 20).cast("int"))
+        kept &= F.exists(F.filter(points, lambda _, i: (i % every == 0) | (i == n - 1)), corridor)
+    return F.coalesce(kept, F.lit(False))
+
+
 def directions(tags: Column) -> Column:
     """FLT08: array of the directions (1, -1) in which a way is driven."""
     given = F.coalesce(tags["oneway"], F.lit(""))

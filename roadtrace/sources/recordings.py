@@ -118,3 +118,72 @@ def previous_chain(heads: DataFrame, depth: int = 8) -> DataFrame:
         step = step.join(link, F.col("ancestor") == F.col("child")).select("drive", F.col("parent").alias("ancestor"), F.lit(i).alias("step"))
         out = out.unionByName(step)
     return out
+
+
+def recording_files(spark: SparkSession, path: str) -> DataFrame:
+    """SET08: (path) of every recording under ``path``, plain or compressed, each once and in order; no content is read."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{jsonl,jsonl.gz}").load(path)
+    return found.select("path").distinct().orderBy("path")
+
+
+def reference_files(spark: SparkSession, folder: str) -> DataFrame:
+    """SRC14: (name, path) of the plain recordings of ``folder`` by name."""
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.jsonl").load(folder)
+    return found.select(F.element_at(F.split("path", "/"), -1).alias("name"), "path").orderBy("name")
+
+
+def save_reference(reference: DataFrame, folder: str, *, metadata: dict[str, str], snapshot: str) -> str:
+    """SNK04: one reference row as a folder of its own, which the job's commit makes visible as a whole; gives its path.
+
+    Its name holds the observed time in UTC (column ``observedAt``) and four characters that keep equal times apart.
+    """
+    row = reference.select(F.date_format("observedAt", "yyyy-MM-dd_HH-mm-ss").alias("at")).first()
+    details = F.create_map(*(F.lit(x) for pair in {**metadata, "mapSnapshot": snapshot, "formatVersion": "3"}.items() for x in pair))
+    entry = F.struct(F.lit("field-reference").alias("kind"), F.struct(*reference.columns).alias("reference"), details.alias("details"))
+    path = f"{folder}/Reference_{row['at']}_{uuid.uuid4().hex[:4]}.jsonl"
+    reference.select(F.to_json(entry).alias("value")).coalesce(1).write.text(path)
+    return path
+
+
+#: Kinds that a replay of raw frames uses.
+RAW_REPLAY = ["header", "raw", "event", "calibration", "visual-speed", "gps-reference"]
+
+
+def raw_replay(entries: DataFrame, seconds: float) -> DataFrame:
+    """SRC17: the rows that a replay of raw frames uses, up to the first frame over ``seconds`` after the first one.
+
+    Rows before a drive's first header count nothing; of calibrations only those marked as reused stay.
+    """
+    begun = entries.groupBy("drive").agg(F.min(F.when(F.col("kind") == "header", F.col("sequence"))).alias("__head"))
+    led = entries.join(begun, "drive").filter("sequence >= __head")
+    frame = (F.col("kind") == "raw") & F.col("raw").isNotNull()
+    origin = led.groupBy("drive").agg(F.min_by(F.when(frame, F.col("raw.time")), F.when(frame, F.col("sequence"))).alias("__origin"))
+    over = frame & (F.col("raw.time") - F.col("__origin") > seconds)
+    cut = led.join(origin, "drive").groupBy("drive").agg(F.min(F.when(over, F.col("sequence"))).alias("__cut"))
+    used = F.col("kind").isin(RAW_REPLAY) & ((F.col("kind") != "calibration") | F.coalesce(F.col("details")["reason"] == "reused", F.lit(False)))
+    return led.join(cut, "drive").filter(used & (F.col("__cut").isNull() | (F.col("sequence") < F.col("__cut")))).drop("__head", "__cut")
+
+
+def annotated(entries: DataFrame, notes: dict[str, str]) -> DataFrame:
+    """SNK07: ``entries`` whose headers' metadata says how they were made again; ``notes`` win over what stood there."""
+    held = F.coalesce(F.col("header.metadata"), F.create_map().cast("map<string,string>"))
+    rest = F.map_filter(held, lambda k, _: ~k.isin(list(notes)))
+    both = F.map_concat(rest, F.create_map(*(F.lit(x) for pair in notes.items() for x in pair)))
+    return entries.withColumn("header", F.when(F.col("header").isNotNull(), F.col("header").withField("metadata", both)))
+
+
+def beside(original: DataFrame, current: DataFrame, snapshot: str, map_hash: str) -> DataFrame:
+    """SRC19: (drive, origin, kind, time, latitude, longitude, speed, heading, event): recorded and replayed estimates and events.
+
+    Only drives of the same map count: an equal snapshot, and an equal hash where the header has one. Times begin at a drive's first
+    recorded sample.
+    """
+    fits = headers(original).filter((F.col("snapshot") == snapshot) & F.coalesce(F.col("mapHash") == map_hash, F.lit(True))).select("drive")
+    zero = original.filter("kind = 'sample'").groupBy("drive").agg(F.min_by("sample.time", "sequence").alias("__zero")).join(fits, "drive")
+
+    def rows(entries: DataFrame, origin: str) -> DataFrame:
+        e = entries.filter(F.col("kind").isin("estimate", "event")).join(zero, "drive")
+        time = F.coalesce("estimate.time", "receivedUptime") - F.col("__zero")
+        return e.select("drive", F.lit(origin).alias("origin"), "kind", time.alias("time"), "estimate.latitude", "estimate.longitude", "estimate.speed", "estimate.heading", "event")
+
+    return rows(original, "original").unionByName(rows(current, "current"))
