@@ -17,6 +17,7 @@ from roadtrace.llm import quality_llr as ql
 from roadtrace.llm import secret_links as sl
 from roadtrace.llm import suffix_dedup as sd
 from roadtrace.llm import url_trie as ut
+from roadtrace.llm import whitening as wh
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -102,8 +103,13 @@ def op10_piece_language_id(spark: SparkSession, root: str) -> DataFrame:
     return lp.predict(docs, model, keep=["doc_id", "held_out"])
 
 
+def op12_embedding_whitening(spark: SparkSession, root: str) -> DataFrame:
+    vectors = table(spark, root, "embeddings").select("vec_id", "embedding")
+    return wh.transform(vectors, wh.fit(vectors, components=4), keep=["vec_id"])
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_suffix_array_dedup, op2_hilbert_sharding, op3_credential_linking, op4_license_inheritance, op4_license_notices, op5_fm_index_decontamination, op6_partenum_jaccard_join, op7_url_trie_filter, op8_pair_index_bpe, op9_ngram_likelihood_ratio, op10_piece_language_id)}
+    return {f.__name__: f for f in (op1_suffix_array_dedup, op2_hilbert_sharding, op3_credential_linking, op4_license_inheritance, op4_license_notices, op5_fm_index_decontamination, op6_partenum_jaccard_join, op7_url_trie_filter, op8_pair_index_bpe, op9_ngram_likelihood_ratio, op10_piece_language_id, op12_embedding_whitening)}
 
 
 _OP7_SQL = """
