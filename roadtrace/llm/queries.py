@@ -12,6 +12,7 @@ from roadtrace.llm import decontaminate as dc
 from roadtrace.llm import hilbert_shards as hs
 from roadtrace.llm import langid_pieces as lp
 from roadtrace.llm import license_scan as ls
+from roadtrace.llm import line_dedup as ld
 from roadtrace.llm import partenum_join as pj
 from roadtrace.llm import quality_llr as ql
 from roadtrace.llm import secret_links as sl
@@ -108,8 +109,14 @@ def op12_embedding_whitening(spark: SparkSession, root: str) -> DataFrame:
     return wh.transform(vectors, wh.fit(vectors, components=4), keep=["vec_id"])
 
 
+def op13_cuckoo_line_dedup(spark: SparkSession, root: str) -> DataFrame:
+    """All documents inserted in one state of filters and reference counts, then freed of the lines that it drops."""
+    cut = ld.dedup_lines(table(spark, root, "documents").select("doc_id", "text"))
+    return cut.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_suffix_array_dedup, op2_hilbert_sharding, op3_credential_linking, op4_license_inheritance, op4_license_notices, op5_fm_index_decontamination, op6_partenum_jaccard_join, op7_url_trie_filter, op8_pair_index_bpe, op9_ngram_likelihood_ratio, op10_piece_language_id, op12_embedding_whitening)}
+    return {f.__name__: f for f in (op1_suffix_array_dedup, op2_hilbert_sharding, op3_credential_linking, op4_license_inheritance, op4_license_notices, op5_fm_index_decontamination, op6_partenum_jaccard_join, op7_url_trie_filter, op8_pair_index_bpe, op9_ngram_likelihood_ratio, op10_piece_language_id, op12_embedding_whitening, op13_cuckoo_line_dedup)}
 
 
 _OP7_SQL = """
@@ -201,8 +208,19 @@ FROM d LEFT JOIN n USING (rid) LEFT JOIN least ON root = rid
 """
 
 
+_OP13_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+l AS (SELECT rid, doc_id, unnest(range(1, len(ls) + 1)) AS i, unnest(ls) AS line FROM d),
+k AS (SELECT *, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+c AS (SELECT key, count(DISTINCT doc_id) + max(CASE WHEN doc_id IS NULL THEN 1 ELSE 0 END) AS documents, max(doc_id) AS top FROM k WHERE length(key) >= 20 GROUP BY key),
+j AS (SELECT k.rid, k.i, k.line, c.key IS NOT NULL AND k.doc_id IS DISTINCT FROM c.top AS gone FROM k LEFT JOIN c ON c.key = k.key AND c.documents >= 3),
+t AS (SELECT rid, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone) AS kept FROM j GROUP BY rid)
+SELECT doc_id, n_lines, n_dropped, sha256(coalesce(kept, '')) AS kept_sha256 FROM d JOIN t USING (rid)
+"""
+
+
 _TREE = "concat_ws('/', source, lang, CAST(doc_id AS VARCHAR))"
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_credential_linking": _op3_sql(), "op4_license_inheritance": ls.oracle(_TREE, ls.FULL, pieces=True), "op4_license_notices": ls.oracle(_TREE), "op5_fm_index_decontamination": _OP5_SQL, "op6_partenum_jaccard_join": _OP6_SQL, "op7_url_trie_filter": _OP7_SQL}
+    return {"op3_credential_linking": _op3_sql(), "op4_license_inheritance": ls.oracle(_TREE, ls.FULL, pieces=True), "op4_license_notices": ls.oracle(_TREE), "op5_fm_index_decontamination": _OP5_SQL, "op6_partenum_jaccard_join": _OP6_SQL, "op7_url_trie_filter": _OP7_SQL, "op13_cuckoo_line_dedup": _OP13_SQL}
