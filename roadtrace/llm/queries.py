@@ -16,6 +16,7 @@ from roadtrace.llm import line_dedup as ld
 from roadtrace.llm import partenum_join as pj
 from roadtrace.llm import quality_llr as ql
 from roadtrace.llm import secret_links as sl
+from roadtrace.llm import spelling as sp
 from roadtrace.llm import suffix_dedup as sd
 from roadtrace.llm import url_trie as ut
 from roadtrace.llm import whitening as wh
@@ -104,6 +105,11 @@ def op10_piece_language_id(spark: SparkSession, root: str) -> DataFrame:
     return lp.predict(docs, model, keep=["doc_id", "held_out"])
 
 
+def op11_spelling_variants(spark: SparkSession, root: str) -> DataFrame:
+    docs = table(spark, root, "documents").select("doc_id", "text")
+    return sp.variants(sp.word_counts(docs, rule=sp.misspell, least_points=6, least_count=5), ratio=5)
+
+
 def op12_embedding_whitening(spark: SparkSession, root: str) -> DataFrame:
     vectors = table(spark, root, "embeddings").select("vec_id", "embedding")
     return wh.transform(vectors, wh.fit(vectors, components=4), keep=["vec_id"])
@@ -116,7 +122,7 @@ def op13_cuckoo_line_dedup(spark: SparkSession, root: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_suffix_array_dedup, op2_hilbert_sharding, op3_credential_linking, op4_license_inheritance, op4_license_notices, op5_fm_index_decontamination, op6_partenum_jaccard_join, op7_url_trie_filter, op8_pair_index_bpe, op9_ngram_likelihood_ratio, op10_piece_language_id, op12_embedding_whitening, op13_cuckoo_line_dedup)}
+    return {f.__name__: f for f in (op1_suffix_array_dedup, op2_hilbert_sharding, op3_credential_linking, op4_license_inheritance, op4_license_notices, op5_fm_index_decontamination, op6_partenum_jaccard_join, op7_url_trie_filter, op8_pair_index_bpe, op9_ngram_likelihood_ratio, op10_piece_language_id, op11_spelling_variants, op12_embedding_whitening, op13_cuckoo_line_dedup)}
 
 
 _OP7_SQL = """
@@ -208,6 +214,36 @@ FROM d LEFT JOIN n USING (rid) LEFT JOIN least ON root = rid
 """
 
 
+def _op11_sql() -> str:
+    """The checksum byte by byte over a table made from its polynomial; near words by equal strings with one place left out."""
+    steps = []
+    for value in range(256):
+        for _ in range(8):
+            value = value >> 1 ^ (0xEDB88320 if value & 1 else 0)
+        steps.append(value)
+    return f"""
+WITH RECURSIVE t AS (SELECT {steps}::BIGINT[] AS step),
+lowered AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS doc, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS s FROM documents WHERE text IS NOT NULL),
+run AS (SELECT doc, r, count(*) AS times FROM (SELECT doc, unnest(regexp_extract_all(s, '[a-z\\x{{C0}}-\\x{{FF}}]+')) AS r FROM lowered) WHERE length(r) >= 6 GROUP BY doc, r),
+coded AS (SELECT r, times, hex(doc || ':' || r) AS x FROM run),
+sums AS (SELECT r, times, xor(list_reduce(list_transform(range(1, length(x), 2), lambda i: CAST('0x' || substr(x, i, 2) AS BIGINT)),
+  lambda a, b: xor(a >> 8, step[xor(a & 255, b) + 1]), 4294967295::BIGINT), 4294967295) AS h FROM coded, t),
+w AS (SELECT word, CAST(sum(times) AS BIGINT) AS n FROM (SELECT times, CASE WHEN h % 199 = 0 THEN substr(r, 1, h % length(r)) || substr(r, h % length(r) + 2) ELSE r END AS word FROM sums)
+  WHERE length(word) >= 6 GROUP BY word HAVING sum(times) >= 5),
+cut AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM w)),
+near AS (
+  SELECT a.word, a.n, b.word AS other, b.n AS m FROM cut a JOIN cut b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT a.word, a.n, b.word, b.n FROM w a JOIN cut b ON a.word = b.rest
+  UNION SELECT b.word, b.n, a.word, a.n FROM w a JOIN cut b ON a.word = b.rest),
+best AS (SELECT word, count(*) AS n_near, max(m) AS m FROM near GROUP BY word),
+formed AS (SELECT w.word, w.n, coalesce(best.n_near, 0) AS n_near, CASE WHEN best.m >= 5 * w.n THEN best.m END AS form_n,
+  CASE WHEN best.m >= 5 * w.n THEN (SELECT min(other) FROM near WHERE near.word = w.word AND near.m = best.m) END AS form FROM w LEFT JOIN best USING (word)),
+chain AS (SELECT word, word AS tip FROM formed UNION ALL SELECT chain.word, formed.form FROM chain JOIN formed ON formed.word = chain.tip WHERE formed.form IS NOT NULL)
+SELECT word, form, tip AS root, n, n_near, form_n FROM formed JOIN chain USING (word)
+WHERE NOT EXISTS (SELECT 1 FROM formed f WHERE f.word = chain.tip AND f.form IS NOT NULL)
+"""
+
+
 _OP13_SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
 l AS (SELECT rid, doc_id, unnest(range(1, len(ls) + 1)) AS i, unnest(ls) AS line FROM d),
@@ -223,4 +259,4 @@ _TREE = "concat_ws('/', source, lang, CAST(doc_id AS VARCHAR))"
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_credential_linking": _op3_sql(), "op4_license_inheritance": ls.oracle(_TREE, ls.FULL, pieces=True), "op4_license_notices": ls.oracle(_TREE), "op5_fm_index_decontamination": _OP5_SQL, "op6_partenum_jaccard_join": _OP6_SQL, "op7_url_trie_filter": _OP7_SQL, "op13_cuckoo_line_dedup": _OP13_SQL}
+    return {"op3_credential_linking": _op3_sql(), "op4_license_inheritance": ls.oracle(_TREE, ls.FULL, pieces=True), "op4_license_notices": ls.oracle(_TREE), "op5_fm_index_decontamination": _OP5_SQL, "op6_partenum_jaccard_join": _OP6_SQL, "op7_url_trie_filter": _OP7_SQL, "op11_spelling_variants": _op11_sql(), "op13_cuckoo_line_dedup": _OP13_SQL}
