@@ -8,13 +8,13 @@ The index follows VGRAM. A word stands between two marks. The gram at a place be
 as it is in the dictionary: the grams with more than a floor of occurrences in the word list, at most ``MAX_NODES`` of each length, so the
 dictionary is a bounded broadcast. Of the grams at all places, those that end within an earlier one are left out.
 
-An edit at a place changes only grams that end in the ``high`` places after it: those that hold the place, and those behind it
-that an earlier gram, grown, may now cover. So the most grams that end within any ``high`` places bound what one edit can change
-(``affected``), and two near words share all but that number of the grams of either, at places and lengths that differ by at most one. A word
-therefore looks up its ``affected`` + 1 rarest grams; every near word is in one of these lists. Each candidate is verified by its edit distance.
+An edit at a place affects only grams that end in the ``high`` places after it: those that hold the place, and those behind it
+that an earlier gram, grown, may now cover. All others come back in the near word, before the place as far from the start and behind it as far
+from the end. So a near word is in the lists of all grams that the edit leaves. Lists are merged for every place of an edit: both
+words stand under the digest of the grams that are left there, and one join finds them, where a count of shared grams would pair
+each word with hundreds that share its few common ones. Each candidate is verified by its edit distance.
 
-A word so short that an edit may change all its grams has no such list: such words are indexed again among themselves with shorter grams. With grams of
-two code points every word of two or more has a list, so no pair is lost.
+With grams of two and three, no edit affects all grams of a word of ``LONG_ENOUGH`` code points; shorter words get grams of two.
 
 Defined cases: a null text has no words; a null id counts as an empty text in ``misspell``; ids may repeat; an empty table gives no rows; words of any
 length are whole; ties of forms go to the smallest word in code-point order; other columns of the input are not read.
@@ -30,6 +30,7 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,8 +39,9 @@ from roadtrace.llm import textkit as tk
 #: Class of the letters of a word; all lie in one byte of Latin-1.
 LETTERS = r"A-Za-zÀ-ÿ"
 LOW = 2
-#: Lengths to which grams grow; each next one serves only the words for which the one before gives no list.
-HIGHS = (4, 3, 2)
+#: Length to which grams grow, and the words from which that leaves a gram at every edit; word lists with shorter ones have grams of LOW alone.
+HIGH = 3
+LONG_ENOUGH = 6
 MAX_NODES = 4096
 #: Occurrences up to which a gram never grows.
 FLOOR = 16
@@ -130,13 +132,16 @@ class Dictionary:
 
 @dataclass(frozen=True)
 class Grams:
-    """The grams of marked words that follow each other in a buffer: word, place in it and gram; and what one edit may change in each word."""
+    """The grams of marked words that follow each other in a buffer, in order: word, place in it, gram, and the first of each word (n+1).
+
+    ``closed`` has, for each place of the buffer, how many grams end there or before.
+    """
 
     word: np.ndarray
     place: np.ndarray
     gram: np.ndarray
-    affected: np.ndarray
     bounds: np.ndarray
+    closed: np.ndarray
 
 
 def marked(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -170,12 +175,33 @@ def decompose(buf: np.ndarray, bounds: np.ndarray, dictionary: Dictionary, high:
     places, gram, end = places[kept], gram[kept], end[kept]
     closed = np.zeros(len(buf) + 1, np.int64)
     closed[end] = 1
-    closed = np.cumsum(closed)
-    at = np.arange(len(buf))
-    changed = closed[np.minimum(at + high, until)] - closed[at]
     word = np.searchsorted(bounds, places, "right") - 1
-    affected = np.maximum.reduceat(changed, bounds[:-1]) if len(size) else size
-    return Grams(word, places - bounds[word], gram, affected, np.searchsorted(places, bounds))
+    return Grams(word, places - bounds[word], gram, np.searchsorted(places, bounds), np.cumsum(closed))
+
+
+def left_by_edits(found: Grams, bounds: np.ndarray, high: int) -> tuple[tuple[np.ndarray, ...], int]:
+    """(word, key, first affected gram, first one behind) for an edit at each place, and how many of them come first.
+
+    First come code points replaced or deleted, then those inserted, under the size of the word that they make. Two words one edit
+    apart share a key, and at least for one of them it is of the first kind.
+    """
+    size = np.diff(bounds)
+    word = np.repeat(np.arange(len(size)), size)
+    at = np.arange(len(word))
+    offset = at - bounds[word]
+    fore = tk.sums(tk.mix(found.gram.astype(np.uint64) * np.uint64(64) + found.place.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)), np.uint64)
+    rear = tk.sums(tk.mix(found.gram.astype(np.uint64) * np.uint64(64) + (size[found.word] - found.place).astype(np.uint64) * np.uint64(0xA24BAED4963EE407)), np.uint64)
+    out = []
+    for reach, grown in ((high, 0), (high - 1, 1)):
+        # Letters are replaced or deleted; insertions come before a letter or the last mark.
+        edits = np.flatnonzero((offset > 0) & (offset < size[word] - 1 + grown))
+        w = word[edits]
+        first = found.closed[edits]
+        behind = np.maximum(first, found.closed[np.minimum(edits + reach, bounds[w + 1])])
+        before, after = fore[first] - fore[found.bounds[w]], rear[found.bounds[w + 1]] - rear[behind]
+        key = tk.mix(tk.mix(before) + after * np.uint64(3) + (size[w] + grown).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        out.append((w, key.view(np.int64), first, behind))
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True)), len(out[0][0])
 
 
 def _pieces(words: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -201,51 +227,45 @@ def gram_dictionary(words: DataFrame, high: int, *, max_nodes: int = MAX_NODES)
 
 
 def gram_index(words: DataFrame, dictionary: Dictionary, high: int) -> DataFrame:
-    """(id, gram, place, size, probe, loose): the grams of each word; ``probe`` marks those to look up, ``loose`` words without a bound."""
+    """(key, id, grows, text): a word under the digests of the grams that each edit leaves; ``grows`` for insertions, ``text`` of words up to SHORT."""
     # At most high - LOW + 1 times max_nodes grams: a bounded broadcast.
     sent = words.sparkSession.sparkContext.broadcast(dictionary)
-    names = ["id", "gram", "place", "size", "probe", "loose"]
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_numpy()
             for first, buf, bounds in _pieces(batch.column(1)):
                 found = decompose(buf, bounds, sent.value, high)
-                often = sent.value.count(found.gram)
-                rank = np.empty(len(often), np.int64)
-                rank[np.lexsort((found.place, often, found.word))] = np.arange(len(often))
-                rank -= found.bounds[found.word]
-                loose = (np.diff(found.bounds) <= found.affected)[found.word]
-                probe = ~loose & (rank <= found.affected[found.word])
-                size = np.diff(bounds)[found.word] - 2
-                columns = (ids[first + found.word], found.gram, found.place, size, probe, loose)
-                for lo in range(0, len(often), 1 << 16):
-                    yield pa.RecordBatch.from_arrays([pa.array(c[lo : lo + (1 << 16)]) for c in columns], names=names)
+                (word, key, _, _), plain = left_by_edits(found, bounds, high)
+                grows = np.arange(len(word)) >= plain
+                # Edits between the same two grams leave the same ones.
+                order = np.lexsort((key, grows, word))
+                word, key, grows = word[order], key[order], grows[order]
+                new = np.append(True, (word[1:] != word[:-1]) | (key[1:] != key[:-1]) | (grows[1:] != grows[:-1]))
+                word, key, grows = word[new], key[new], grows[new]
+                own = batch.slice(first, len(bounds) - 1)
+                texts = pc.if_else(pa.array(np.diff(bounds) - 2 <= SHORT), own.column(1), None)
+                for lo in range(0, len(word), 1 << 16):
+                    rows = pa.array(word[lo : lo + (1 << 16)])
+                    yield pa.RecordBatch.from_arrays([pa.array(key[lo : lo + (1 << 16)]), own.column(0).take(rows), pa.array(grows[lo : lo + (1 << 16)]), texts.take(rows)], names=["key", "id", "grows", "text"])
 
-    return words.select("id", "word").mapInArrow(index, "id long, gram long, place long, size long, probe boolean, loose boolean")
+    return words.select("id", "word").mapInArrow(index, "key long, id long, grows boolean, text string")
 
 
-#: Change of length and of a shared gram's place from a word to a near word.
-SHIFTS = ((0, 0), (1, 0), (1, 1), (-1, 0), (-1, -1))
+#: Words up to this size travel with their keys and are verified where they meet; longer ones are looked up for it.
+SHORT = 64
 
 
 def near_pairs(words: DataFrame) -> DataFrame:
     """(a, b): ids of near words, both ways, from (id, word)."""
-    pairs, rest = None, words
-    for high in HIGHS:
-        if rest.isEmpty():
-            break
-        index = gram_index(rest, gram_dictionary(rest, high), high).checkpoint()
-        shift = F.explode(F.array(*(F.struct(F.lit(d).alias("d"), F.lit(p).alias("p")) for d, p in SHIFTS)))
-        asked = index.filter("probe").withColumn("s", shift).select(F.col("id").alias("a"), "gram", (F.col("place") + F.col("s.p")).alias("place"), (F.col("size") + F.col("s.d")).alias("size"))
-        met = asked.join(index.select(F.col("id").alias("b"), "gram", "place", "size"), ["gram", "place", "size"]).filter("a <> b")
-        met = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        pairs = met if pairs is None else pairs.union(met)
-        rest = rest.join(index.filter("loose").select("id").distinct(), "id", "left_semi").checkpoint()
-    if pairs is None:
-        return words.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)
+    least = words.agg(F.min(F.length("word")).alias("n")).first()["n"] or 0
+    high = HIGH if least >= LONG_ENOUGH else LOW
+    index = gram_index(words, gram_dictionary(words, high), high).checkpoint()
+    one = lambda c: index.select("key", F.col("id").alias(c), F.col("grows").alias(f"{c}_grows"), F.col("text").alias(f"{c}_text"))
+    met = one("a").filter("NOT a_grows").join(one("b"), "key").filter((F.col("b_grows") & (F.col("a") != F.col("b"))) | (F.col("a") < F.col("b")))
+    met = met.filter(F.col("a_text").isNull() | F.col("b_text").isNull() | (F.levenshtein("a_text", "b_text", 1) == 1))
+    pairs = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     left, right = (words.select(F.col("id").alias(c), F.col("word").alias(f"{c}_word")) for c in "ab")
-    sure = pairs.join(left, "a").join(right, "b").filter(F.levenshtein("a_word", "b_word", 1) == 1).select("a", "b").distinct().checkpoint()
+    sure = pairs.join(left, "a").join(right, "b").filter(F.levenshtein("a_word", "b_word", 1) == 1).select("a", "b").checkpoint()
     return sure.union(sure.select("b", "a"))
 
 

@@ -85,34 +85,38 @@ def test_near_pairs_of_dense_word_lists(spark, monkeypatch, letters, floor):
     assert {tuple(r) for r in sp.variants(table).collect()} == _plain(counts)
 
 
+def _dictionary(rng, letters):
+    every = np.unique(rng.integers(97, 97 + letters, size=(40, 3)).astype(np.int64) @ np.array([65536, 256, 1]))
+    pairs = np.unique(every & 0xFFFF)
+    some = np.sort(np.concatenate([rng.permutation(pairs)[: rng.integers(0, 7)], rng.permutation(every)[: rng.integers(0, 11)]]))
+    return sp.Dictionary(some, np.ones(len(some), np.int64))
+
+
 @pytest.mark.parametrize("high", [4, 3, 2])
-def test_one_edit_changes_no_more_grams_than_the_bound(high):
-    """Whatever the dictionary, all but ``affected`` grams come back in every word one edit apart, at a place and length one off at most."""
+def test_words_one_edit_apart_share_a_key(high):
+    """Whatever the dictionary: under one key of the first kind and one of any kind."""
     rng = np.random.default_rng(high)
-    for _ in range(60):
-        every = np.unique(rng.integers(97, 101, size=(40, 3)).astype(np.int64) @ np.array([65536, 256, 1]))
-        pairs = np.unique(every & 0xFFFF)
-        some = np.sort(np.concatenate([rng.permutation(pairs)[:6], rng.permutation(every)[:10]]))
-        dictionary = sp.Dictionary(some, np.ones(len(some), np.int64))
+    for _ in range(150):
+        dictionary = _dictionary(rng, 4)
         word = "".join(rng.choice(list("abcd"), size=rng.integers(2, 11)))
         edits = {word[:i] + c + word[i:] for i in range(len(word) + 1) for c in "abz"} | {word[:i] + c + word[i + 1 :] for i in range(len(word)) for c in ("", "b", "z")}
         listed = [word, *sorted(e for e in edits if e and e != word)]
-        found = sp.decompose(*sp.marked(listed), dictionary, high)
-        sets = [{(int(p), int(g)) for p, g in zip(found.place[a:b], found.gram[a:b], strict=True)} for a, b in itertools.pairwise(found.bounds)]
-        for other, grams in zip(listed[1:], sets[1:], strict=True):
-            d = len(other) - len(word)
-            shared = sum((p, g) in grams or (p + d, g) in grams for p, g in sets[0])
-            assert shared >= len(sets[0]) - found.affected[0], (word, other)
+        buf, bounds = sp.marked(listed)
+        (owner, key, _, _), plain = sp.left_by_edits(sp.decompose(buf, bounds, dictionary, high), bounds, high)
+        keys = [(set(key[:plain][owner[:plain] == i]), set(key[owner == i])) for i in range(len(listed))]
+        for other, (first, every) in zip(listed[1:], keys[1:], strict=True):
+            assert (keys[0][0] & every) or (first & keys[0][1]), (word, other)
 
 
-def test_words_of_six_points_always_have_a_list():
-    """With grams of two and three, an edit never changes all grams of a word of six or more, whatever the dictionary."""
+def test_no_edit_affects_all_grams_of_a_word_of_six_points():
     rng = np.random.default_rng(9)
-    for n in range(300):
-        grams = np.unique(rng.integers(97, 99, size=(rng.integers(0, 5), 2)).astype(np.int64) @ np.array([256, 1]))
-        words = ["".join(rng.choice(list("ab"), size=rng.integers(6, 9))) for _ in range(20)]
-        found = sp.decompose(*sp.marked(words), sp.Dictionary(grams, np.ones(len(grams), np.int64)), 3)
-        assert (np.diff(found.bounds) > found.affected).all()
+    for high, least in ((3, 6), (2, 2)):
+        for _ in range(300):
+            words = ["".join(rng.choice(list("ab"), size=rng.integers(least, least + 4))) for _ in range(20)]
+            buf, bounds = sp.marked(words)
+            found = sp.decompose(buf, bounds, _dictionary(rng, 2), high)
+            (word, _, first, behind), _ = sp.left_by_edits(found, bounds, high)
+            assert (behind - first < np.diff(found.bounds)[word]).all() and (behind - first <= high).all()
 
 
 def test_defined_cases(spark):
