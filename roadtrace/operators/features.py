@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from roadtrace.functions.signal import erf
 from roadtrace.operators.components import shared_folder
@@ -274,3 +275,56 @@ def credible_radius(mixture: DataFrame, centres: DataFrame, key: str, mass: floa
 
 #: Cuts of an interval a round; eight rounds of 32 are forty halvings.
 PARTS = 32
+
+
+def basins(df: DataFrame, key: str, cell: str, value: str, *, dip: float = 0.3, step: float = 5.0, least: float = 1e-3) -> DataFrame:
+    """WIN14: (key, first, last, mass, mean, variance): the separate peaks of a density sampled at whole ``cell`` numbers, heaviest first by mass.
+
+    A peak is no lower than the cell before and higher than the one after. Two neighbouring peaks are apart if the lowest cell from the one to the
+    other is below ``dip`` times the smaller; else the higher stands for both. A basin reaches from valley to valley; lighter ones than ``least`` of the
+    heaviest go. Cells of a key follow each other without a gap. Peaks and the valleys between them are found by cells in blocks, so what one
+    task sees of a key is its peaks alone.
+    """
+    shared_folder(df.sparkSession)
+    low = F.lit(-1.0)
+    rows = df.select(key, F.col(cell).cast("long").alias("__at"), F.col(value).cast("double").alias("__v"))
+    beside = lambda d: rows.select(key, (F.col("__at") - d).alias("__at"), F.col("__v").alias(f"__{'r' if d > 0 else 'l'}"))
+    around = rows.join(beside(1), [key, "__at"], "left").join(beside(-1), [key, "__at"], "left")
+    top = (F.col("__v") > 0) & (F.col("__v") >= F.coalesce("__l", low)) & (F.col("__v") > F.coalesce("__r", low))
+    peak = running_sum(around.withColumn("__peak", top), [key], ["__at"], F.col("__peak").cast("int"), F.floor(F.col("__at") / ROWS), "__n").checkpoint()
+    # The lowest cell from a peak to the next; of equal ones the first.
+    valleys = peak.filter("__n > 0").groupBy(key, "__n").agg(F.min(F.when(~F.col("__peak"), F.struct("__v", "__at"))).alias("__valley"), F.max(F.when(F.col("__peak"), F.struct("__v", "__at"))).alias("__top"))
+    schema = T.StructType([df.schema[key], T.StructField("first", T.LongType()), T.StructField("n", T.LongType())])
+
+    def cut(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("n")
+        opens, kept, deepest = [(None, 0)], None, None
+        for at, top, valley_at, valley in zip(rows["top_at"], rows["top"], rows["valley_at"], rows["valley"], strict=True):
+            if kept is None:
+                kept = top
+            elif deepest[0] < dip * min(kept, top):
+                opens.append((deepest[1], len(opens)))
+                kept = top
+                deepest = None
+            else:
+                if top > kept:
+                    kept, deepest = top, None
+            here = (top, at) if pd.isna(valley) else min((valley, valley_at), (top, at))
+            deepest = here if deepest is None else min(deepest, here)
+        return pd.DataFrame({key: rows[key].iloc[0], "first": [o[0] for o in opens], "n": [o[1] for o in opens]})[schema.names]
+
+    listed = valleys.select(key, F.col("__n").alias("n"), F.col("__top.__v").alias("top"), F.col("__top.__at").alias("top_at"), F.col("__valley.__v").alias("valley"), F.col("__valley.__at").alias("valley_at"))
+    bounds = listed.groupBy(key).applyInPandas(cut, schema).checkpoint()
+    # Every cell learns its basin from the last opening at or before it.
+    opened = bounds.select(key, F.coalesce("first", F.lit(-(1 << 62))).alias("__at"), F.lit(0).alias("__row"), F.col("n").alias("__opens"), F.lit(None).cast("double").alias("__v"))
+    cells = rows.join(bounds.select(key).distinct(), key, "left_semi").select(key, "__at", F.lit(1).alias("__row"), F.lit(None).cast("long").alias("__opens"), "__v")
+    held = running_sum(opened.unionByName(cells), [key], ["__at", "__row"], 1 - F.col("__row"), F.floor(F.col("__at") / ROWS), "__basin").filter("__row = 1")
+    place = F.col("__at") * F.lit(step)
+    sums = held.groupBy(key, "__basin").agg(F.min("__at").alias("first"), F.max("__at").alias("last"), F.sum("__v").alias("__mass"), F.sum(F.col("__v") * place).alias("__moment")).filter((F.col("__mass") > 0) & (F.col("__mass") < F.lit(float("inf"))))
+    sums = sums.withColumn("mean", F.col("__moment") / F.col("__mass"))
+    spread = held.join(sums.select(key, "__basin", "mean"), [key, "__basin"]).groupBy(key, "__basin").agg(F.sum(F.col("__v") * (place - F.col("mean")) ** 2).alias("__spread"))
+    made = sums.join(spread, [key, "__basin"])
+    heaviest = made.groupBy(key).agg(F.max("__mass").alias("__most"))
+    fits = made.join(heaviest, key).filter(F.col("__mass") >= F.lit(least) * F.col("__most"))
+    variance = F.greatest(F.lit(16.0), F.col("__spread") / F.col("__mass") + F.lit(step * step / 12))
+    return fits.select(key, "first", "last", (F.col("__mass") * step).alias("mass"), "mean", variance.alias("variance"))

@@ -5,7 +5,6 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -76,18 +75,37 @@ BROADCAST = 10_000
 
 
 def suppressed(df: DataFrame, keys: list[str], order: list[str], most: float) -> DataFrame:
-    """JOI10: in ``order``, a row goes if a kept row of the same keys lies within ``most``; greedy, one pass a key."""
+    """JOI10: in ``order``, a row goes if a kept row of the same keys lies within ``most`` (columns x, y).
 
-    def keep(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(order, kind="stable")
-        grid: dict[tuple[int, int], list[tuple[float, float]]] = {}
-        kept = []
-        for i, (x, y) in enumerate(zip(rows["x"].tolist(), rows["y"].tolist(), strict=True)):
-            cx, cy = int(x // most), int(y // most)
-            near = (p for dx in (-1, 0, 1) for dy in (-1, 0, 1) for p in grid.get((cx + dx, cy + dy), ()))
-            if all((p[0] - x) ** 2 + (p[1] - y) ** 2 > most * most for p in near):
-                grid.setdefault((cx, cy), []).append((x, y))
-                kept.append(i)
-        return rows.iloc[kept]
-
-    return df.groupBy(*keys).applyInPandas(keep, df.schema)
+    The greedy pass is the first independent set in order, and that is found by rounds: a row stays once none of its earlier neighbours is
+    undecided or kept, and goes once one is kept. Neighbours meet by grid cells, so no key comes together in one task. A cell of half
+    of ``most`` across holds at most one kept row a key; so before any pair is made, the rows of such a cell that
+    come after one known to stay are gone. Rows that tie in ``order`` are told apart by a number; rows without a finite place stay.
+    Rounds grow with the longest chain of neighbours in order, which is short unless the order follows the plane.
+    """
+    shared_folder(df.sparkSession)
+    # Within a cell of this width all rows are neighbours of each other.
+    small = most / 1.5
+    told = df.withColumn("__id", F.monotonically_increasing_id()).checkpoint()
+    fine = [F.floor(F.col("x") / small).alias("__fx"), F.floor(F.col("y") / small).alias("__fy")]
+    left = told.select("__id", F.struct(*(F.col(c) for c in order), "__id").alias("__at"), F.struct(*(F.col(k) for k in keys)).alias("__key"), "x", "y", *fine)
+    finite = [F.col(c).isNotNull() & (F.abs(F.col(c)) < F.lit(float("inf"))) for c in "xy"]
+    unplaced = left.filter(~(finite[0] & finite[1]))
+    left = left.filter(finite[0] & finite[1])
+    kept = unplaced.select("__id", "__key", "x", "y", "__fx", "__fy")
+    span = F.sequence(F.lit(-2), F.lit(2))
+    while True:
+        # Of a cell only its first row can stay next, and it stays if it is the first of all its neighbours: those are first rows of cells around.
+        first = left.groupBy("__key", "__fx", "__fy").agg(F.min(F.struct("__at", "__id", "x", "y")).alias("f")).select("__key", "__fx", "__fy", "f.*").checkpoint()
+        if first.isEmpty():
+            break
+        rivals = left.select("__key", F.col("__at").alias("__rival"), F.col("x").alias("__rx"), F.col("y").alias("__ry"), "__fx", "__fy")
+        spread = lambda rows: rows.withColumn("__dx", F.explode(span)).withColumn("__dy", F.explode(span)).withColumn("__fx", F.col("__fx") + F.col("__dx")).withColumn("__fy", F.col("__fy") + F.col("__dy")).drop("__dx", "__dy")
+        near = (F.col("x") - F.col("__rx")) ** 2 + (F.col("y") - F.col("__ry")) ** 2 <= most * most
+        beaten = spread(first).join(rivals, ["__key", "__fx", "__fy"]).filter(near & (F.col("__rival") < F.col("__at"))).select("__id").distinct()
+        stays = first.join(beaten, "__id", "left_anti").select("__id", "__key", "x", "y", "__fx", "__fy").checkpoint()
+        kept = kept.unionByName(stays)
+        blocked = spread(stays.select("__key", F.col("x").alias("__rx"), F.col("y").alias("__ry"), "__fx", "__fy"))
+        gone = left.join(blocked, ["__key", "__fx", "__fy"]).filter(near).select("__id").distinct()
+        left = left.join(gone, "__id", "left_anti").checkpoint()
+    return told.join(kept.select("__id"), "__id", "left_semi").drop("__id")

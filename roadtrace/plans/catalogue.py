@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from roadtrace.plans.registry import ORACLES, QUERIES, Query
 
-for _name in ("ordered", "aggregates", "spatial", "graph", "text", "recordings", "features", "roads", "gates", "replay"):
+for _name in ("ordered", "aggregates", "spatial", "graph", "text", "recordings", "features", "roads", "gates", "replay", "ways"):
     import_module(f"roadtrace.plans.{_name}")
 
 

@@ -65,6 +65,26 @@ def density_peaks(spark: SparkSession, root: str) -> DataFrame:
     return f.peaks(v, "l_suppkey", "l_partkey", "mass")
 
 
+@query("""
+WITH RECURSIVE n AS (SELECT l_suppkey AS k, CAST(l_quantity AS BIGINT) AS c, sum(l_linenumber * l_linenumber) AS v FROM lineitem GROUP BY 1, 2),
+d AS MATERIALIZED (SELECT a.k, a.c, CAST(coalesce(n.v, 0) AS DOUBLE) AS v FROM (SELECT k, unnest(range(1, 51)) AS c FROM n GROUP BY 1) a LEFT JOIN n USING (k, c)),
+p AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY k ORDER BY c) AS i FROM (SELECT *, coalesce(lag(v) OVER w, -1) AS l, coalesce(lead(v) OVER w, -1) AS r FROM d WINDOW w AS (PARTITION BY k ORDER BY c)) WHERE v > 0 AND v >= l AND v > r),
+w AS (SELECT k, i, c AS kept, v AS kv, CAST(NULL AS BIGINT) AS opens FROM p WHERE i = 1 UNION ALL
+  SELECT k, i, CASE WHEN low.v < 0.3 * least(kv, v) OR v > kv THEN c ELSE kept END, CASE WHEN low.v < 0.3 * least(kv, v) OR v > kv THEN v ELSE kv END, CASE WHEN low.v < 0.3 * least(kv, v) THEN low.c END
+  FROM (SELECT p.k, p.i, p.c, p.v, w.kept, w.kv, min(struct_pack(v := d.v, c := d.c)) AS low FROM w JOIN p ON p.k = w.k AND p.i = w.i + 1 JOIN d ON d.k = w.k AND d.c BETWEEN w.kept AND p.c GROUP BY ALL)),
+b AS (SELECT d.*, (SELECT count(*) FROM w WHERE w.k = d.k AND w.opens <= d.c) AS basin FROM d),
+m AS (SELECT k, basin, min(c) AS "first", max(c) AS "last", sum(v) AS mass, sum(v * c * 5) / sum(v) AS mean FROM b GROUP BY 1, 2 HAVING sum(v) > 0),
+s AS (SELECT m.*, (SELECT sum(b.v * power(b.c * 5 - m.mean, 2)) FROM b WHERE b.k = m.k AND b.basin = m.basin) AS spread, max(mass) OVER (PARTITION BY k) AS most FROM m)
+SELECT k AS l_suppkey, "first", "last", round(mass * 5, 4) AS mass, round(mean, 5) AS mean, round(greatest(16, spread / mass + 25 / 12.0), 5) AS variance FROM s WHERE mass >= 1e-3 * most""")
+def density_basins(spark: SparkSession, root: str) -> DataFrame:
+    """WIN14: a density of each supplier's lines over quantities, split at its deep valleys."""
+    n = table(spark, root, "lineitem").groupBy("l_suppkey", F.col("l_quantity").cast("long").alias("cell")).agg(F.sum(F.col("l_linenumber") * F.col("l_linenumber")).cast("double").alias("v"))
+    every = n.select("l_suppkey").distinct().withColumn("cell", F.explode(F.sequence(F.lit(1), F.lit(50)).cast("array<long>")))
+    d = every.join(n, ["l_suppkey", "cell"], "left").withColumn("v", F.coalesce("v", F.lit(0.0)))
+    out = f.basins(d, "l_suppkey", "cell", "v")
+    return out.select("l_suppkey", "first", "last", F.round("mass", 4).alias("mass"), F.round("mean", 5).alias("mean"), F.round("variance", 5).alias("variance"))
+
+
 @query("""
 WITH v AS (SELECT l_suppkey, l_partkey, sum(l_quantity) AS mass FROM lineitem GROUP BY 1, 2)
 SELECT l_suppkey, l_partkey, mass, CAST(row_number() OVER w AS BIGINT) AS place FROM v WINDOW w AS (PARTITION BY l_suppkey ORDER BY mass DESC, l_partkey) QUALIFY row_number() OVER w BETWEEN 2 AND 4""")
@@ -148,9 +168,13 @@ def nearest_settlement(spark: SparkSession, root: str) -> DataFrame:
     return near.select(F.col("id").alias("vec_id"), "place", F.round("score", 4).alias("score"))
 
 
-@query()
+@query("""
+WITH RECURSIVE e AS (SELECT vec_id, label, CAST(embedding[1] AS DOUBLE) * 1000 AS x, CAST(embedding[2] AS DOUBLE) * 1000 AS y, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS n FROM embeddings),
+w AS (SELECT vec_id, label, n, true AS kept, [struct_pack(x := x, y := y)] AS held FROM e WHERE n = 1 UNION ALL
+  SELECT vec_id, label, n, free, CASE WHEN free THEN list_append(held, struct_pack(x := x, y := y)) ELSE held END FROM (SELECT e.*, w.held, len(list_filter(w.held, lambda q: power(q.x - e.x, 2) + power(q.y - e.y, 2) <= 900)) = 0 AS free FROM w JOIN e ON e.label = w.label AND e.n = w.n + 1))
+SELECT vec_id, label FROM w WHERE kept""")
 def duplicate_suppression(spark: SparkSession, root: str) -> DataFrame:
-    """JOI10: greedy suppression of near places of one kind; tested against a plain pass."""
+    """JOI10: suppression of near places of one kind in order, by rounds over cells."""
     return p.suppressed(points(spark, root), ["label"], ["vec_id"], 30).select("vec_id", "label")
 
 
