@@ -12,7 +12,7 @@ from roadtrace.operators.ordered import last_n
 from roadtrace.plans.registry import query
 from roadtrace.sources.tables import table
 
-_FOLD = f"translate(lower(coalesce({{0}}, '')), '{t.ACCENTED}', '{t.PLAIN}')"
+_FOLD = "strip_accents(lower(coalesce({0}, '')))"
 _WORDS = "list_distinct(list_filter(regexp_split_to_array(regexp_replace(" + _FOLD + ", '[’ʼ''`]', '', 'g'), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> ''))"
 
 
@@ -146,3 +146,28 @@ def poi_classification(spark: SparkSession, root: str) -> DataFrame:
     label = F.concat(F.col("p_name"), F.lit(" · "), F.round("p_retailprice").cast("long").cast("string"), F.lit(" m"))
     p = table(spark, root, "part").select(first_reason(rules).alias("category"), label.alias("label"))
     return p.withColumn("min_zoom", zoom[F.col("category")]).groupBy("category", "min_zoom").agg(F.count("*").alias("n"), F.min("label").alias("first_label"))
+
+
+@query(r"""
+SELECT doc_id, CAST(len(w) AS BIGINT) AS words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS letters
+FROM (SELECT doc_id, list_distinct(list_filter(string_split_regex(regexp_replace(strip_accents(lower(coalesce(text, ''))), '[’ʼ''`]', '', 'g'), '[^\p{L}\p{N}]+'), lambda x: x <> '')) AS w FROM documents)""")
+def folded_words(spark: SparkSession, root: str) -> DataFrame:
+    """TXT01, SET02: distinct words of whole documents without case and accents."""
+    w = table(spark, root, "documents").select("doc_id", t.words(F.col("text")).alias("w"))
+    return w.select("doc_id", F.size("w").cast("long").alias("words"), F.aggregate("w", F.lit(0).cast("long"), lambda n, x: n + F.length(x)).alias("letters"))
+
+
+#: Letters that stand for those of the customers' names and segments, so that all forms occur at the start, inside and after another letter.
+_SPELT = ("Custmer#0123456789ABDEFGHIJKLMNOPQRSTUVWXYZ", "ЗгєЇйю яьщыэёЪзжґх'АБДЕФГЗІЙКЛМНОПЯРСТУВШХЮЦ")
+
+
+@query(rf"""
+WITH c AS (SELECT c_custkey, replace(translate(c_mktsegment || '-' || c_name || 'зг', '{_SPELT[0]}', '{_SPELT[1].replace("'", "’")}'), '’', '') AS s FROM customer),
+m AS (SELECT MAP {{{", ".join(f"'{a}': '{b}'" for a, b in t.LETTERS.items())}}} AS plain, MAP {{{", ".join(f"'{a}': '{b}'" for a, b in t.INITIAL.items())}}} AS initial),
+l AS (SELECT c_custkey, list_transform(range(1, length(s) + 1), lambda i: struct_pack(c := substr(s, i, 1), low := lower(substr(s, i, 1)), before := CASE WHEN i > 1 THEN lower(substr(s, i - 1, 1)) ELSE ' ' END)) AS parts FROM c),
+k AS (SELECT c_custkey, list_transform(parts, lambda p: struct_pack(big := p.c <> p.low, made := CASE WHEN p.low = 'г' AND p.before = 'з' THEN 'gh' WHEN NOT regexp_matches(p.before, '\p{{L}}') AND map_contains(initial, p.low) THEN initial[p.low] WHEN map_contains(plain, p.low) THEN plain[p.low] ELSE p.low END)) AS parts FROM l, m)
+SELECT c_custkey, list_aggregate(list_transform(parts, lambda p: CASE WHEN p.big AND p.made <> '' THEN upper(substr(p.made, 1, 1)) || substr(p.made, 2) ELSE p.made END), 'string_agg', '') AS latin FROM k""")
+def transliterated(spark: SparkSession, root: str) -> DataFrame:
+    """TXT04: names spelt in Cyrillic letters, in Latin ones."""
+    spelt = F.translate(F.concat("c_mktsegment", F.lit("-"), "c_name", F.lit("зг")), _SPELT[0], _SPELT[1])
+    return table(spark, root, "customer").select("c_custkey", t.transliterate(spelt).alias("latin"))
