@@ -172,6 +172,23 @@ def calibration_record(df: DataFrame, key: str, time: str, channels: list[str])
     return df.groupBy(key).agg(F.count("*").alias("rows"), F.min(time).alias("begin"), F.max(time).alias("end"), *moments)
 
 
+def calibration_intervals(df: DataFrame, key: str, order: list[str], still: Column, bucket: Column, *, span: float = 4.0, frames: int = 150, kept: int = 800) -> DataFrame:
+    """FLT16: (key, begin, end, frames): each key's first interval of still frames that is long enough to calibrate by.
+
+    A frame that isn't ``still`` ends an interval and the next begins behind it. An interval counts from the frame at which its last ``kept`` frames
+    last ``span`` and number ``frames``; a key without such a frame has no row. The first column of ``order`` is the time; ``bucket`` is of it.
+    """
+    time = order[0]
+    moves = running_sum(df.select(key, *order, still.alias("__still")), [key], order, F.when(F.coalesce("__still", F.lit(False)), 0).otherwise(1), bucket, "__island")
+    numbered = running_sum(moves.filter("__still"), [key, "__island"], order, F.lit(1), bucket, "__n")
+    oldest = numbered.select(key, "__island", (F.col("__n") + kept - 1).alias("__n"), F.col(time).alias("__old"))
+    begun = numbered.groupBy(key, "__island").agg(F.min(time).alias("__begin"))
+    held = numbered.join(begun, [key, "__island"]).join(oldest, [key, "__island", "__n"], "left").withColumn("begin", F.coalesce("__old", "__begin"))
+    enough = held.filter((F.col(time) - F.col("begin") >= span) & (F.least("__n", F.lit(kept)) >= frames))
+    first = enough.groupBy(key).agg(F.min(F.struct(*order, "begin", "__n")).alias("f"))
+    return first.select(key, "f.begin", F.col(f"f.{time}").alias("end"), F.least("f.__n", F.lit(kept)).cast("long").alias("frames"))
+
+
 def distinct_bends(features: DataFrame, key: str, least: float) -> DataFrame:
     """WIN12: of neighbours nearer than ``least`` with the same sense the larger angle stays; one pass a route."""
 

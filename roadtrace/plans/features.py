@@ -230,3 +230,13 @@ def junction_candidates_whole(spark: SparkSession, root: str) -> DataFrame:
     e = l.select(F.col("l_suppkey").alias("id")).distinct().withColumns({"arrive": (F.col("id") * 37) % 63 / 10.0, "leave": (F.col("id") * 53) % 63 / 10.0})
     t = l.select(F.col("l_suppkey").alias("edge"), F.col("l_partkey").alias("next")).distinct()
     return f.junctions(e, t, 0.77, 2.11).withColumn("angle", F.round("angle", 5))
+
+
+@query("""
+WITH e AS (SELECT user_id, event_id, epoch_us(ts) AS t, value < 70 AS still, sum(CASE WHEN value < 70 THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS island FROM events),
+n AS (SELECT *, row_number() OVER w AS n, coalesce(lag(t, 3) OVER w, first_value(t) OVER w) AS begun FROM e WHERE still WINDOW w AS (PARTITION BY user_id, island ORDER BY t, event_id))
+SELECT user_id, begun AS "begin", t AS "end", least(n, 4) AS frames FROM n WHERE t - begun >= 36000000000 AND least(n, 4) >= 3 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY t, event_id) = 1""")
+def calibration_gates(spark: SparkSession, root: str) -> DataFrame:
+    """FLT16: of each user the first run of small values that lasts ten hours and three events, by its last four."""
+    e = table(spark, root, "events").select("user_id", "event_id", micros("ts").alias("t"), "value")
+    return f.calibration_intervals(e, "user_id", ["t", "event_id"], F.col("value") < 70, by_day("t"), span=36_000_000_000, frames=3, kept=4)
