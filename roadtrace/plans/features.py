@@ -12,6 +12,7 @@ from roadtrace.operators import places as p
 from roadtrace.operators import routing
 from roadtrace.operators.ordered import by_day, micros
 from roadtrace.plans.registry import query
+from roadtrace.plans.roads import _TAGS, road_edges
 from roadtrace.plans.spatial import _POINTS, _SEGS, _lines, points
 from roadtrace.sources.tables import table
 
@@ -205,12 +206,10 @@ def unvisited_lines(spark: SparkSession, root: str) -> DataFrame:
     return r.select("l_orderkey", F.array_join(F.array_sort(f.unvisited(candidates, F.col("r"), 3)), ",").alias("open"))
 
 
-@query("""SELECT count(*) AS roads, CAST(sum(b) AS BIGINT) AS total FROM (SELECT DISTINCT l_orderkey % 500 AS way, least(l_suppkey % 97, l_partkey % 97) AS a, greatest(l_suppkey % 97, l_partkey % 97) AS b FROM lineitem) GROUP BY way % 10""")
+@query(f"""WITH {_TAGS} SELECT way, least("from", "to") AS a, greatest("from", "to") AS b, count(*) AS directions FROM edges GROUP BY 1, 2, 3""")
 def physical_roads(spark: SparkSession, root: str) -> DataFrame:
-    """SET06: roads regardless of direction."""
-    a, b = F.col("l_suppkey") % 97, F.col("l_partkey") % 97
-    roads = table(spark, root, "lineitem").select((F.col("l_orderkey") % 500).alias("way"), F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
-    return roads.groupBy(F.col("way") % 10).agg(F.count("*").alias("roads"), F.sum("b").alias("total")).select("roads", "total")
+    """SET06: roads of the grid network regardless of direction."""
+    return road_edges(spark, root).groupBy("way", F.least("from", "to").alias("a"), F.greatest("from", "to").alias("b")).agg(F.count("*").alias("directions"))
 
 
 @query()
@@ -218,7 +217,7 @@ def shortest_routes_whole(spark: SparkSession, root: str) -> DataFrame:
     """GRF05, GRF06 over the whole table under its own ids; leaving a node costs one to three; tested against brute force."""
     net = table(spark, root, "lineitem").select(F.col("l_suppkey").alias("edge"), F.col("l_partkey").alias("next")).distinct()
     nodes = net.select(F.col("edge").alias("id")).union(net.select("next")).distinct().withColumn("cost", (1 + F.col("id") % 3).cast("double"))
-    starts = net.filter("edge < 12").select(F.col("edge").alias("start")).distinct()
+    starts = net.filter("edge % 100 = 0").select(F.col("edge").alias("start")).distinct()
     pairs = starts.withColumn("goal", F.explode(F.array(*(F.lit(n).cast("long") for n in (20, 33, 47))))).withColumn("request", F.concat_ws("-", "start", "goal"))
     return routing.shortest(nodes, net, pairs, most=14).join(pairs, "request").select("start", "goal", "cost")
 

@@ -137,14 +137,14 @@ def private_literals(spark: SparkSession, root: str) -> DataFrame:
 
 @query("""
 WITH p AS (SELECT o_orderkey, (o_orderkey % 120) * 100.0 + o_custkey % 20 AS x, (o_orderkey // 120) * 100.0 + o_custkey % 17 AS y, o_orderpriority AS p, o_custkey FROM orders),
-e AS (SELECT x, y FROM p QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) = 1 AND o_custkey % 40 = 0)
-SELECT o_orderkey FROM p WHERE p <> '1-URGENT' AND EXISTS (SELECT 1 FROM e WHERE sqrt(power(p.x - e.x, 2) + power(p.y - e.y, 2)) <= 300)""")
+e AS (SELECT x, y FROM p QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) = 1)
+SELECT o_orderkey FROM p WHERE EXISTS (SELECT 1 FROM e WHERE sqrt(power(p.x - e.x, 2) + power(p.y - e.y, 2)) <= 300)""")
 def near_drive_ends(spark: SparkSession, root: str) -> DataFrame:
     """JOI14: places within 300 metres of the end of a drive, by cells in place of a cross join."""
     k, c = F.col("o_orderkey"), F.col("o_custkey")
     p = table(spark, root, "orders").select(k, c, "o_orderpriority", ((k % 120) * 100.0 + c % 20).alias("x"), (F.floor(k / 120) * 100.0 + c % 17).alias("y"))
-    ends = p.groupBy("o_custkey").agg(F.max_by(F.struct("x", "y"), "o_orderkey").alias("e")).filter("o_custkey % 40 = 0").select("e.x", "e.y")
-    return s.within(p.filter("o_orderpriority <> '1-URGENT'"), ends, 300).select("o_orderkey")
+    ends = p.groupBy("o_custkey").agg(F.max_by(F.struct("x", "y"), "o_orderkey").alias("e")).select("e.x", "e.y")
+    return s.within(p, ends, 300).select("o_orderkey")
 
 
 @query("""

@@ -10,10 +10,10 @@ from roadtrace.plans import catalogue
 
 rnd = random.Random(5)
 # Orders of one to four lines; suppliers and parts share ids, some beyond the foldings of the sliced queries.
-LINES = [(o, n, rnd.choice([*range(12), 20, 33, 47, 58, 130, 227]), rnd.choice([*range(12), 20, 33, 47, 58, 130, 227]), float(rnd.randint(1, 9))) for o in range(1, 90) for n in range(1, rnd.randint(2, 5))]
+LINES = [(o, n, rnd.choice([*range(12), 20, 33, 47, 58, 100, 200]), rnd.choice([*range(12), 20, 33, 47, 58, 100, 200]), float(rnd.randint(1, 9))) for o in range(1, 90) for n in range(1, rnd.randint(2, 5))]
 # Ways back, and orders that share parts with the next.
 LINES += [(o, 6, p, s, q + 1) for o, n, s, p, q in LINES if n == 1 and o % 4 == 0] + [(o + 1, 7, 3, p, q) for o, n, s, p, q in LINES if n == 1 and o % 3 == 0]
-ORDERS = [(o, rnd.choice([*range(12), 130, 227]), rnd.choice("FOP")) for o in range(1, 90)]
+ORDERS = [(o, rnd.choice([*range(12), 100, 200]), rnd.choice("FOP")) for o in range(1, 90)]
 
 
 @pytest.fixture(scope="module")
@@ -50,7 +50,7 @@ def test_reach_and_routes(run):
         cost[s, p] = 1.0 + (s * 7 + p) % 13
         net[s].add(p)
     want = {}
-    for start in {s for s in net if s < 10}:
+    for start in set(net):
         best = layer = {start: 0.0}
         for _ in range(4):
             step = {}
@@ -62,7 +62,7 @@ def test_reach_and_routes(run):
         want |= {(start, n): c for n, c in best.items()}
     assert run("bounded_reach_whole") == sorted((*k, c) for k, c in want.items())
     routes = []
-    for start in {s for s in net if s < 12}:
+    for start in {s for s in net if s % 100 == 0}:
         best = {start: 0.0}
         for _ in range(40):
             for node in list(best):
