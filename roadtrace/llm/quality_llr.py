@@ -1,10 +1,13 @@
 r"""Quality rules: surface counts, then a hashed n-gram log-likelihood ratio of trusted text against the raw corpus.
 
 Words are ``[^\x20\x09-\x0D]+``. Byte n-grams (``GRAM``, within a text) are hashed to ``BUCKETS``; the raw multinomial counts every
-document, the target multinomial the trusted ones (a bounded sample of documents labelled good, ``MAX_TRUSTED``). A
+document, the target multinomial every other trusted one (documents labelled good, in the order of their ids' hashes). A
 document's score is the mean over its n-grams of log p_target - log p_raw, with one added to each count. The threshold
-is the cut that best parts the labelled good from the labelled bad (bounded samples as well); it is a number, and each
-document is on one side of it.
+is the cut that best parts the other trusted documents from all that are labelled bad; it is a number, and each
+document is on one side of it. No label is left out, however many there are.
+
+Trusted texts meet their labels in a merge join, so texts are shuffled once; for the threshold only scores meet labels. Places among
+the trusted and sums below a score are counted within bins of the hash and of the score; only the coarsest bins, some 1,300 at most, pass through one task.
 
 Counts leave a task as sparse (bucket, raw, target) rows and are summed by bucket, so what reaches the driver is
 ``BUCKETS`` rows whatever the input. The model goes to the tasks as a broadcast variable of that size.
@@ -13,7 +16,8 @@ Log ratios are whole numbers of 1 / ``SCALE``, so a text's sum is exact and does
 have equal scores under any partitioning. Lines and windows are compared by their bytes, not by hashes alone.
 
 Defined cases: null text has no words, so it fails the word floor; without good labels every document that passes the
-base rules is kept; with good labels alone the cut is the lowest score of the sample; repeated rows are judged each by
+base rules is kept; with good labels alone the cut is their lowest score; an id labelled
+both good and bad counts as good; repeated rows are judged each by
 itself; an empty table gives no rows; an input column with the name of an output is replaced.
 """
 
@@ -24,7 +28,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -32,8 +36,6 @@ from roadtrace.llm import textkit as tk
 
 BUCKETS = 1 << 16
 GRAM = 4
-#: Labelled rows that the fit reads at most, per class: those with the smallest hash of their id.
-MAX_TRUSTED = 20_000
 #: Steps of a log ratio; sums of 64-bit integers stay exact up to some 10**11 n-grams a text.
 SCALE = 1 << 20
 MIN_WORDS = 50
@@ -110,64 +112,109 @@ def measure(buf: np.ndarray, offs: np.ndarray, ratio: np.ndarray | None = None)
 
 
 def _sampled(labels: DataFrame, value: int, id_col: str, label: str, limit: int) -> list[int]:
+    """The first ids of a class in the order that ``_roles`` deals them in; for a look at small tables, the fit doesn't use it."""
     rows = labels.filter(F.col(label) == value).filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id")).distinct()
     return [r["id"] for r in rows.orderBy(F.xxhash64("id"), "id").limit(limit).collect()]
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text: str = "text", label: str = "quality", max_trusted: int = MAX_TRUSTED) -> Model:
-    """Counts over all of ``docs``; the trusted and the bad are bounded samples of ``labels`` (1 and 0).
+def _below(rows: DataFrame, order: list[str], levels: list[Column], values: list[str]) -> DataFrame:
+    """``rows`` with ``<value>_below``, the sum of each of ``values`` over the rows before in ``order``, which must tell rows apart.
 
-    Every other trusted document gives the target counts; the rest, unseen by them, place the threshold.
+    ``levels`` are bins from coarse to fine, none of which falls along the order; only the coarsest bins, one row each, pass through one task.
     """
-    listed, bad = _sampled(labels, 1, id_col, label, max_trusted), _sampled(labels, 0, id_col, label, max_trusted)
-    good, unseen = np.array(listed[::2], np.int64), listed[1::2] or listed
-    taken = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
+    keys = [f"__bin_{i}" for i in range(len(levels))]
+    rows = rows.withColumns(dict(zip(keys, levels, strict=True)))
+
+    def before(inside: list[str], along: list[str]) -> list[Column]:
+        window = Window.partitionBy(*inside).orderBy(*along).rowsBetween(Window.unboundedPreceding, -1)
+        return [F.coalesce(F.sum(v).over(window), F.lit(0)) for v in values]
+
+    out = rows.withColumns({f"{v}_below": c for v, c in zip(values, before(keys, order), strict=True)})
+    for n in range(len(keys), 0, -1):
+        sums = rows.groupBy(*keys[:n]).agg(*(F.sum(v).alias(v) for v in values))
+        sums = sums.select(*keys[:n], *(c.alias(f"__{v}") for v, c in zip(values, before(keys[: n - 1], keys[n - 1 : n]), strict=True)))
+        out = out.join(sums, keys[:n]).withColumns({f"{v}_below": F.col(f"{v}_below") + F.col(f"__{v}") for v in values}).drop(*(f"__{v}" for v in values))
+    return out.drop(*keys)
+
+
+def _roles(labels: DataFrame, id_col: str, label: str) -> DataFrame:
+    """(id, good, place) of all labelled ids; place counts the good from 0 by the hash of their id and is null for the bad."""
+    rows = labels.filter(F.col(label).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("id")).agg(F.max(label).cast("int").alias("good")).checkpoint()
+    good = rows.filter("good = 1").withColumn("hash", F.xxhash64("id"))
+    placed = _below(good, ["hash", "id"], [F.shiftright("hash", 56), F.shiftright("hash", 44)], ["good"]).select("id", "good", F.col("good_below").alias("place"))
+    return placed.union(rows.filter("good = 0").select("id", "good", F.lit(None).cast("long"))).checkpoint()
+
+
+def _tally(texts: DataFrame) -> np.ndarray:
+    """How often each bucket stands in the one column of ``texts``; ``BUCKETS`` rows reach the driver."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((2, BUCKETS), np.int64)
+        total = np.zeros(BUCKETS, np.int64)
         for batch in batches:
-            ids = batch.column(0).fill_null(-(1 << 62)).to_numpy(zero_copy_only=False)
-            trusted = np.isin(ids, good)
-            for lo, hi, buf, offs in tk.chunks(batch.column(1)):
+            for _, _, buf, offs in tk.chunks(batch.column(0)):
                 bucket, whole = _grams(buf, offs)
-                total[0] += np.bincount(bucket[whole], minlength=BUCKETS)
-                own = whole & np.repeat(trusted[lo:hi], np.diff(offs))[: len(whole)]
-                total[1] += np.bincount(bucket[own], minlength=BUCKETS)
-        used = np.flatnonzero(total[0])
-        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[0][used]), pa.array(total[1][used])], names=["bucket", "raw", "target"])
-
-    rows = taken.mapInArrow(count, "bucket int, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toPandas()
-    raw, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
-    raw[rows["bucket"]], target[rows["bucket"]] = rows["raw"], rows["target"]
+                total += np.bincount(bucket[whole], minlength=BUCKETS)
+        used = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[used])], names=["bucket", "n"])
+
+    rows = texts.mapInArrow(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
+    out = np.zeros(BUCKETS)
+    out[rows["bucket"]] = rows["n"]
+    return out
+
+
+def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text: str = "text", label: str = "quality") -> Model:
+    """Counts over all of ``docs``; the trusted and the bad are all ids of ``labels`` (1 and 0).
+
+    Every other trusted document gives the target counts; the rest, unseen by them, place the threshold.
+    """
+    tk.checkpoint_dir(docs.sparkSession)
+    taken = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
+    roles = _roles(labels, id_col, label)
+    # Always a merge join: the labelled ids grow with the input, and texts take the same way at every size.
+    trusted = roles.filter("place % 2 = 0").select("id").hint("merge")
+    raw, target = _tally(taken.select("text")), _tally(taken.join(trusted, "id", "left_semi").select("text"))
     exact = np.log((target + 1) / (target.sum() + BUCKETS)) - np.log((raw + 1) / (raw.sum() + BUCKETS))
     ratio = np.rint(exact * SCALE).astype(np.int64)
-    if not len(good) or not target.sum():
+    if not target.sum():
         return Model(ratio, -np.inf)
-    labelled = docs.sparkSession.createDataFrame([(i, 1) for i in unseen] + [(i, 0) for i in set(bad) - set(listed)], "id long, good int")
-    # At most 2 * max_trusted ids, so the broadcast has a bound.
-    held = apply(taken.join(F.broadcast(labelled), "id"), Model(ratio, -np.inf)).filter("NOT base_failed").groupBy("id").agg(F.min("score").alias("score"), F.min("good").alias("good")).toPandas()
-    return Model(ratio, cut(held["score"].to_numpy(), held["good"].to_numpy()))
-
+    # A single trusted document takes both parts.
+    unseen = "place % 2 = 1" if len(roles.filter("good = 1").head(2)) == 2 else "good = 1"
+    scored = apply(taken.filter("id IS NOT NULL"), Model(ratio, -np.inf), keep=["id"]).filter("NOT base_failed").select("id", "score")
+    held = scored.join(roles.filter(f"good = 0 OR {unseen}"), "id").groupBy("id").agg(F.min("score").alias("score"), F.min("good").alias("good"))
+    return Model(ratio, cut(held))
 
-def cut(score: np.ndarray, good: np.ndarray) -> float:
-    """The lowest cut with the largest sum of kept share of the good and dropped share of the bad."""
-    if not (good == 1).any():
-        return -np.inf
-    if not (good == 0).any():
-        return float(score.min())
-    at = np.unique(score)
-    at = np.concatenate([at[:1], (at[1:] + at[:-1]) / 2])
-    kept = 1 - np.searchsorted(np.sort(score[good == 1]), at) / (good == 1).sum()
-    dropped = np.searchsorted(np.sort(score[good == 0]), at) / (good == 0).sum()
-    return float(at[np.argmax(kept + dropped)])
 
+def cut(held: DataFrame) -> float:
+    """The lowest cut with the largest sum of kept share of the good and dropped share of the bad; ``held`` has score and good (1 or 0).
 
-def apply(docs: DataFrame, model: Model, *, text: str = "text") -> DataFrame:
-    """``docs`` with the counts, score (double), base_failed and kept (boolean); all rows and columns stay."""
+    All sums are of whole numbers, so ties are exact.
+    """
+    at = held.groupBy("score").agg(F.sum("good").alias("good"), F.sum(1 - F.col("good")).alias("bad")).checkpoint()
+    all_good, all_bad, least = at.agg(F.sum("good"), F.sum("bad"), F.min("score")).first()
+    if not all_good:
+        return -np.inf
+    if not all_bad:
+        return least
+    # Scores are means of log ratios, within some 40 of 0.
+    below = _below(at, ["score"], [F.floor(F.col("score") * steps) for steps in (16, 1 << 16)], ["good", "bad"])
+    good, bad = (F.col(f"{c}_below").cast("decimal(18,0)") for c in ("good", "bad"))
+    gain = bad * F.lit(all_good).cast("decimal(18,0)") - good * F.lit(all_bad).cast("decimal(18,0)")
+    first = below.orderBy(gain.desc(), "score").first()["score"]
+    last = at.filter(F.col("score") < first).agg(F.max("score")).first()[0]
+    # Half way to the score below, unless no number lies between.
+    return first if last is None or (first + last) / 2 <= last else (first + last) / 2
+
+
+def apply(docs: DataFrame, model: Model, *, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """``docs`` with the counts, score (double), base_failed and kept (boolean); all rows stay, and the columns of ``keep`` (by default all)."""
     added = T.StructType([*(T.StructField(c, T.LongType()) for c in COUNTS), T.StructField("score", T.DoubleType()), T.StructField("base_failed", T.BooleanType()), T.StructField("kept", T.BooleanType())])
     docs = docs.drop(*added.names)
-    schema = T.StructType([*docs.schema.fields, *added.fields])
-    at = docs.columns.index(text)
+    inside = docs.columns if keep is None else keep
+    schema = T.StructType([*(docs.schema[c] for c in inside), *added.fields])
+    at = len(inside) if keep is not None else docs.columns.index(text)
+    if keep is not None:
+        docs = docs.select(*keep, F.col(text).alias("__text"))
     # BUCKETS numbers: a bounded broadcast.
     sent, threshold = docs.sparkSession.sparkContext.broadcast(model.ratio), model.threshold
 
@@ -177,6 +224,6 @@ def apply(docs: DataFrame, model: Model, *, text: str = "text") -> DataFrame:
                 counts, score = measure(buf, offs, sent.value)
                 failed = (counts["n_words"] < MIN_WORDS) | (100 * counts["n_repeat_words"] > MAX_REPEAT_PERCENT * counts["n_words"])
                 columns = [*(pa.array(counts[c].astype(np.int64)) for c in COUNTS), pa.array(score), pa.array(failed), pa.array(~failed & (score >= threshold))]
-                yield pa.RecordBatch.from_arrays([*batch.slice(lo, hi - lo).columns, *columns], names=schema.names)
+                yield pa.RecordBatch.from_arrays([*batch.slice(lo, hi - lo).columns[: len(inside)], *columns], names=schema.names)
 
     return docs.mapInArrow(judge, schema)

@@ -94,7 +94,7 @@ def op8_pair_index_bpe(spark: SparkSession, root: str) -> DataFrame:
 def op9_ngram_likelihood_ratio(spark: SparkSession, root: str) -> DataFrame:
     docs = table(spark, root, "documents").select("doc_id", "text")
     model = ql.fit(docs, table(spark, root, "labels"))
-    return ql.apply(docs, model).drop("text")
+    return ql.apply(docs, model, keep=["doc_id"])
 
 
 def op10_piece_language_id(spark: SparkSession, root: str) -> DataFrame:
