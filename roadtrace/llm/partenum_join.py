@@ -25,7 +25,8 @@ together; within them, blocks of ``BLOCK`` sets or ``BLOCK_SHINGLES`` shingles a
 forest of the links leaves a task. The links' components are the classes.
 
 Equal sets are one node from the start, once per task, so hot copies cost one row a task. Nodes are 64-bit hashes of sets, shingles
-64-bit hashes of word hashes. Signatures travel as packed arrays of 15 bytes each, one row per task and bucket.
+64-bit hashes of word hashes. Signatures travel as packed arrays of 12 bytes each, one row per task and bucket: sets meet under the lower
+48 bits of their node, and a pair or member found stands for all nodes that have these bits, so nodes that share them only add candidates.
 
 Defined cases: null text and text without words have the empty set, link with nothing and are their own class; a
 null id takes the class's smallest id, if any has one; rows may repeat; an empty table gives no rows; an input column with the name of
@@ -200,11 +201,26 @@ def set_nodes(docs: DataFrame, *, text: str = "text", keep: list[str]) -> DataFr
 
 #: Rows with ``hot`` hold whole group names of eight bytes and the nodes tied to them.
 _PACKED = "bucket int, hot boolean, signature binary, who binary, code binary"
-#: Sizes travel as their logarithm in steps of this ratio.
-_STEP = np.log(1.002)
+#: Bits of a node that travel with its signatures; the lowest, set in every node, gives way to the role.
+SHORT = (1 << 48) - 1
+#: Sizes travel as one byte, their logarithm in steps modulo 256: the sets of an instance are at most log(64 / 27) apart, 173 steps, and
+#: linked ones ``_NEAR``, so no linked pair looks far apart.
+_STEP = 0.005
 _NEAR = int(np.log(4 / 3) / _STEP) + 2
 
 
+def _bytes_of(values: np.ndarray, width: int) -> np.ndarray:
+    """The lower ``width`` bytes of unsigned 64-bit numbers, a row each."""
+    return np.ascontiguousarray(values).view(np.uint8).reshape(-1, 8)[:, :width]
+
+
+def _numbers_of(packed: list[bytes], width: int) -> np.ndarray:
+    few = np.frombuffer(b"".join(packed), np.uint8).reshape(-1, width)
+    wide = np.zeros((len(few), 8), np.uint8)
+    wide[:, :width] = few
+    return wide.view(np.uint64).reshape(-1)
+
+
 def _crowded(sig: np.ndarray, who: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Entries whose signature has more than ``SMALL`` of them, and those entries that need not go to the bucket: all but the first
     ``SMALL`` + 1, lower sets first."""
@@ -218,8 +234,8 @@ def _crowded(sig: np.ndarray, who: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _packed(docs: DataFrame, text: str, buckets: int) -> DataFrame:
     """Rows (bucket, signatures, owners, size codes) of all distinct sets of each task.
 
-    A signature takes 15 bytes at any size of the input: five of its hash, since the bucket tells the rest, eight of its
-    set, whose lowest bit is its role, and two of the set's size.
+    A signature takes 12 bytes at any size of the input: five of its hash, since the bucket tells the rest, six of its
+    set (``SHORT``), whose lowest bit is its role, and one of the set's size.
     """
 
     def emit(sig: np.ndarray, who: np.ndarray, code: np.ndarray) -> pa.RecordBatch:
@@ -238,8 +254,8 @@ def _packed(docs: DataFrame, text: str, buckets: int) -> DataFrame:
         order = np.argsort(bucket, kind="stable")
         sig, who, code = sig[order], who[order], code[order]
         edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
-        five = np.ascontiguousarray(sig).view(np.uint8).reshape(-1, 8)[:, :5]
-        rows += [(int(b), False, five[lo:hi].tobytes(), who[lo:hi].tobytes(), code[lo:hi].tobytes()) for b in np.flatnonzero(np.diff(edges)) for lo, hi in [(edges[b], edges[b + 1])]]
+        five, six = _bytes_of(sig, 5), _bytes_of(who, 6)
+        rows += [(int(b), False, five[lo:hi].tobytes(), six[lo:hi].tobytes(), code[lo:hi].tobytes()) for b in np.flatnonzero(np.diff(edges)) for lo, hi in [(edges[b], edges[b + 1])]]
         types = (pa.int32(), pa.bool_(), pa.binary(), pa.binary(), pa.binary())
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["bucket", "hot", "signature", "who", "code"])
 
@@ -254,8 +270,8 @@ def _packed(docs: DataFrame, text: str, buckets: int) -> DataFrame:
                 new = np.flatnonzero(_fresh(ids, seen))
                 sets, bounds = tk.gather(sets, bounds, new)
                 sig, who, _ = signatures(sets, bounds)
-                code = (np.log(np.maximum(1, np.diff(bounds))) / _STEP).astype(np.uint16)
-                held.append((sig, (ids[new][who >> 1] & ~np.uint64(1)) | (who & 1).astype(np.uint64), code[who >> 1]))
+                code = ((np.log(np.maximum(1, np.diff(bounds))) / _STEP).astype(np.int64) & 255).astype(np.uint8)
+                held.append((sig, (ids[new][who >> 1] & np.uint64(SHORT - 1)) | (who & 1).astype(np.uint64), code[who >> 1]))
                 count += len(sig)
                 if count >= FLUSH:
                     yield emit(*(np.concatenate(c) for c in zip(*held, strict=True)))
@@ -266,7 +282,7 @@ def _packed(docs: DataFrame, text: str, buckets: int) -> DataFrame:
     return docs.select(F.col(text).cast("string").alias("text")).mapInArrow(pack, _PACKED)
 
 
-#: kind 0: a pair with its shared signatures; 1: a member a of the large group b.
+#: kind 0: a pair with its shared signatures; 1: a member a of the large group b. Sets go by their ``SHORT`` bits.
 _MET = "kind int, a long, b long, shared int, role int"
 
 
@@ -276,12 +292,9 @@ def _meet(table: pa.Table) -> pa.Table:
     table = table.filter(pc.invert(table.column("hot")))
     tied = np.frombuffer(b"".join(named.column("signature").to_pylist()), np.int64)
     ties = np.frombuffer(b"".join(named.column("who").to_pylist()), np.uint64)
-    five = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint8).reshape(-1, 5)
-    wide = np.zeros((len(five), 8), np.uint8)
-    wide[:, :5] = five
-    sig = wide.view(np.uint64).reshape(-1)
-    who = np.frombuffer(b"".join(table.column("who").to_pylist()), np.uint64)
-    code = np.frombuffer(b"".join(table.column("code").to_pylist()), np.uint16)
+    sig = _numbers_of(table.column("signature").to_pylist(), 5)
+    who = _numbers_of(table.column("who").to_pylist(), 6)
+    code = np.frombuffer(b"".join(table.column("code").to_pylist()), np.uint8)
     bucket = np.int64(table.column("bucket")[0].as_py()) if len(table) else np.int64(0)
     # Only signatures that meet another matter; the same set may come from several tasks.
     some = np.flatnonzero(tk.repeated(sig))
@@ -301,7 +314,7 @@ def _meet(table: pa.Table) -> pa.Table:
         for i in range(n):
             for j in range(i + 1, n):
                 # A pair of two uppers counts in its own instance; partners' sizes must be within the threshold.
-                both = ((role[at + i] == 0) | (role[at + j] == 0)) & (np.abs(code[at + i] - code[at + j]) <= _NEAR) & (node[at + i] != node[at + j])
+                both = ((role[at + i] == 0) | (role[at + j] == 0)) & (np.abs((code[at + i] - code[at + j] + 128) % 256 - 128) <= _NEAR) & (node[at + i] != node[at + j])
                 left.append((at + i)[both])
                 right.append((at + j)[both])
     x, y = np.concatenate(left), np.concatenate(right)
@@ -331,17 +344,18 @@ def _surely(full: Column, single: Column, k: Column) -> Column:
 def _candidates(docs: DataFrame, info: DataFrame, text: str) -> DataFrame:
     """(a, b): ties between sets; linked sets are always in one component of the ties."""
     spark = docs.sparkSession
+    info = info.withColumn("short", F.col("node").bitwiseAND(F.lit(SHORT)))
     total = docs.agg(F.sum(F.octet_length(F.col(text).cast("string")))).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET_BYTES))
     met = _packed(docs, text, buckets).repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_meet, _MET).checkpoint()
     # A set that several tasks hold names a group once.
     hot = met.filter("kind = 1").select("a", "b", "role").distinct()
-    hot_counts = hot.groupBy(F.col("a").alias("node"), "role").agg(F.count("*").alias("hot"))
+    hot_counts = hot.groupBy(F.col("a").alias("short"), "role").agg(F.count("*").alias("hot"))
     pairs = met.filter("kind = 0").groupBy("a", "b", "role").agg(F.sum("shared").alias("shared"))
     pairs = pairs.withColumn("ra", F.shiftright("role", 1)).withColumn("rb", F.col("role").bitwiseAND(F.lit(1)))
     for side in "ab":
-        known = info.select(F.col("node").alias(side), F.col("size").alias(f"size_{side}"), *(F.col(c).alias(f"{c}_{side}") for c in _TOLD))
-        counts = hot_counts.select(F.col("node").alias(side), F.col("role").alias(f"r{side}"), F.col("hot").alias(f"hot_{side}"))
+        known = info.select(F.col("short").alias(side), F.col("node").alias(f"node_{side}"), F.col("size").alias(f"size_{side}"), *(F.col(c).alias(f"{c}_{side}") for c in _TOLD))
+        counts = hot_counts.select(F.col("short").alias(side), F.col("role").alias(f"r{side}"), F.col("hot").alias(f"hot_{side}"))
         pairs = pairs.join(known, side).join(counts, [side, f"r{side}"], "left")
         for told in ("turn", "full", "single"):
             pairs = pairs.withColumn(f"{told}_{side}", F.when(F.col(f"r{side}") == 0, F.col(f"{told}_0_{side}")).otherwise(F.col(f"{told}_1_{side}")))
@@ -351,13 +365,13 @@ def _candidates(docs: DataFrame, info: DataFrame, text: str) -> DataFrame:
     sure_a, sure_b = (_surely(F.col(f"full_{x}"), F.col(f"single_{x}"), k) for x in "ab")
     needed = F.when(F.col("turn_a") < F.col("turn_b"), sure_a).when(F.col("turn_a") > F.col("turn_b"), sure_b).otherwise(F.greatest(sure_a, sure_b))
     reach = F.col("shared") + F.least(F.coalesce("hot_a", F.lit(0)), F.coalesce("hot_b", F.lit(0)))
-    pairs = pairs.filter(reach >= needed).select("a", "b")
+    pairs = pairs.filter(reach >= needed).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
     # The most differences to any partner in the role; a set with further rounds may owe its links to a partner's first.
-    told = hot_counts.join(info, "node")
+    told = hot_counts.join(info, "short")
     turn, full, single = (F.when(F.col("role") == 0, F.col(f"{c}_0")).otherwise(F.col(f"{c}_1")) for c in ("turn", "full", "single"))
     most = F.when(F.col("role") == 0, F.expr("(size + size * 4 DIV 3) DIV 7")).otherwise(F.expr("(2 * size) DIV 7"))
-    ready = told.filter((turn > 0) | (F.col("hot") >= _surely(full, single, most))).select(F.col("node").alias("a"), "role")
-    members = hot.join(ready, ["a", "role"]).select(F.col("a").alias("node"), F.col("b").alias("group"), "role")
+    ready = told.filter((turn > 0) | (F.col("hot") >= _surely(full, single, most))).select(F.col("short").alias("a"), "node", "role")
+    members = hot.join(ready, ["a", "role"]).select("node", F.col("b").alias("group"), "role")
     # The leader of a large group is a lower member; without one there is nothing to tie.
     leaders = members.filter("role = 0").groupBy("group").agg(F.min("node").alias("leader"))
     # A hot group's members are dealt to several tasks, each of which learns the leader.
