@@ -146,7 +146,8 @@ class Cuckoo:
             at, who = np.unique(second, return_index=True)
             wait = np.ones(len(prints), bool)
             wait[who] = False
-            slot = (prints[who].astype(np.int64) * 7 + turn) % SLOTS
+            # Mixed by bucket and turn: a slot that follows from turn modulo SLOTS alone lets copies drive each other round for ever.
+            slot = (tk.mix((at.astype(np.uint64) << np.uint64(16)) + np.uint64(turn)) >> np.uint64(62)).astype(np.int64) % SLOTS
             moved = self.table[at, slot].copy()
             self.table[at, slot] = prints[who]
             prints = np.concatenate([moved, prints[wait]])
