@@ -37,3 +37,14 @@ def test_turns_are_no_rows_of_a_shuffle(spark):
     plan = turns._jdf.queryExecution().optimizedPlan().toString()
     # The join of roads at a crossing is the outermost: restrictions were joined to roads before.
     assert plan.index("Join Inner") < plan.index("Join LeftOuter") and "LeftAnti" not in plan and turns.count() > 100
+
+
+def test_routes_with_dead_ends_ties_and_free_roads(spark):
+    from roadtrace.operators import routing
+
+    # 1 to 9 by 2 or 3 alike; 5 and 6 lead to each other for nothing; 50 and on lead nowhere.
+    links = [(1, 2), (1, 3), (2, 5), (3, 5), (5, 6), (6, 5), (6, 9), *((1, n) for n in range(50, 90)), *((5, n) for n in range(90, 99))]
+    edges = spark.createDataFrame([(n, 0.0 if n in (5, 6) else 1.0) for n in range(1, 100)], "id long, cost double")
+    asked = spark.createDataFrame([("a", 1, 9), ("b", 5, 5), ("c", 1, 60), ("d", 9, 1)], "request string, start long, goal long")
+    found = routing.shortest(edges, spark.createDataFrame(links, "edge long, next long"), asked, most=14)
+    assert sorted(map(tuple, found.collect())) == [("a", 2.0, [1, 2, 5, 6, 9]), ("b", 0.0, [5]), ("c", 1.0, [1, 60])]
