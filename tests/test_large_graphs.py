@@ -48,3 +48,57 @@ def test_routes_with_dead_ends_ties_and_free_roads(spark):
     asked = spark.createDataFrame([("a", 1, 9), ("b", 5, 5), ("c", 1, 60), ("d", 9, 1)], "request string, start long, goal long")
     found = routing.shortest(edges, spark.createDataFrame(links, "edge long, next long"), asked, most=14)
     assert sorted(map(tuple, found.collect())) == [("a", 2.0, [1, 2, 5, 6, 9]), ("b", 0.0, [5]), ("c", 1.0, [1, 60])]
+
+
+def test_totals_of_nearby_roads(spark):
+    from roadtrace.operators import spatial as sp
+
+    rnd = random.Random(8)
+    roads = []
+    for n in range(400):
+        x, y, long = rnd.randint(-300, 300), rnd.randint(-300, 300), rnd.choice([5, 5, 40, 300])
+        roads.append((n * 10**9, n // 2, n, n + 1, [{"x": float(x), "y": float(y)}, {"x": float(x + rnd.randint(-long, long)), "y": float(y + rnd.randint(-long, long))}]))
+    edges = spark.createDataFrame(roads, "id long, way long, `from` long, `to` long, points array<struct<x:double,y:double>>")
+    points = spark.createDataFrame([(k, float(rnd.randint(-350, 350)), float(rnd.randint(-350, 350))) for k in range(60) for _ in range(k % 3 + 1)], "k long, x double, y double")
+    want = sorted(map(tuple, sp.nearby(points, edges, "k", 10.0, 50.0).groupBy("k").agg(F.count("*"), F.sum("id")).collect()))
+    for size, together in ((64.0, 100_000), (1000.0, 30)):
+        assert sorted(map(tuple, sp.nearby_totals(points, edges, "k", 10.0, size, together).collect())) == want and len(want) > 40
+
+
+def test_a_point_meets_its_roads_in_one_cell(spark):
+    from roadtrace.operators import spatial as sp
+
+    rnd = random.Random(9)
+    roads = [(n, [(rnd.uniform(-400, 400), rnd.uniform(-400, 400)) for _ in range(3)]) for n in range(40)]
+    points = [(p, float(rnd.randint(-4, 4)) * 100, rnd.uniform(-400, 400)) for p in range(150)]
+    edges = spark.createDataFrame([(n, [{"x": x, "y": y} for x, y in line]) for n, line in roads], "id long, points array<struct<x:double,y:double>>")
+    asked = spark.createDataFrame(points, "p long, x double, y double")
+
+    def far(x, y, line):
+        out = []
+        for (ax, ay), (bx, by) in zip(line, line[1:], strict=False):
+            u = max(0, min(1, ((x - ax) * (bx - ax) + (y - ay) * (by - ay)) / ((bx - ax) ** 2 + (by - ay) ** 2)))
+            out.append(((ax + (bx - ax) * u - x) ** 2 + (ay + (by - ay) * u - y) ** 2) ** 0.5)
+        return min(out)
+
+    want = {}
+    for p, x, y in points:
+        near = sorted((far(x, y, line), n) for n, line in roads if far(x, y, line) < 70)
+        if near:
+            want[p] = (len(near), near[0][1], round(near[0][0], 6))
+    found = sp.nearest_road(asked, edges, "p", 70, 200)
+    assert {r["p"]: (r["met"], r["edge"], round(r["error"], 6)) for r in found.collect()} == want and len(want) > 50
+    # Once dealt to its cell, a point isn't dealt again: two exchanges, of points and of segments.
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    plan = sp.nearest_road(asked, edges, "p", 70, 200)._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("Exchange hashpartitioning") == 2
+
+
+def test_bundle_of_a_grid_far_to_the_north(spark, tmp_path):
+    from roadtrace.plans import roads
+
+    rows = [(k, k % 50) for first in (0, 9_000_000) for k in range(first, first + 480)]
+    spark.createDataFrame(rows, "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    found = roads.graph_check(spark, str(tmp_path)).first()
+    assert found["roads"] == found["ids"] == roads.road_edges(spark, str(tmp_path)).count() > 900
