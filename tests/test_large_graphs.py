@@ -102,3 +102,14 @@ def test_bundle_of_a_grid_far_to_the_north(spark, tmp_path):
     spark.createDataFrame(rows, "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
     found = roads.graph_check(spark, str(tmp_path)).first()
     assert found["roads"] == found["ids"] == roads.road_edges(spark, str(tmp_path)).count() > 900
+
+
+def test_a_request_with_many_states_is_one_of_a_task(spark):
+    from roadtrace.operators import wayfinding as wf
+
+    network = spark.createDataFrame([(7, n) for n in range(5)], "cell long, edge long")
+    asked = spark.createDataFrame([(7, r, 0, n, None) for r in range(3) for n in range(200)], "cell long, request long, mode int, edge long, factor double")
+    dealt, roads = wf._dealt(asked, network)
+    # 600 rows of three requests are one task's, and its roads are sent once.
+    assert dealt.select("task").distinct().count() == 1 and roads.count() == 5
+    assert "part" not in wf._STATE
